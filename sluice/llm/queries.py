@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontam, line_dedup, packing, token_store
+from . import common, decontam, langid, line_dedup, packing, simhash, token_store, toxicity
 
 
 def tokenizer_path() -> str:
@@ -16,6 +16,17 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(common.crc_mod("doc_id", 3) != 1))
+    out = langid.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (common.crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
@@ -24,6 +35,17 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.digests(token_store.read_store(spark, path))
 
 
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Fitted on the rows that are not held out."""
+    return toxicity.fit(docs, labels.where(common.crc_mod("doc_id", 4) != 2))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity_model(docs, common.table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", (common.crc_mod("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.judged(decontam.find(docs, common.table(spark, sf_dir, "benchmark")))
@@ -40,7 +62,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op3_simhash": op3_simhash,
     "op4_token_store": op4_token_store,
+    "op5_toxicity": op5_toxicity,
     "op7_decontamination": op7_decontamination,
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
