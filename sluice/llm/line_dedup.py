@@ -47,7 +47,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     here = F.struct(*_KEY, "pos")
     firsts = windows.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1")
     firsts = written(firsts.drop("n"), "line-windows")
-    later = windows.join(firsts, ["h1", "h2"]).where(~here.eqNullSafe(F.col("first"))).select(*_KEY, "pos").distinct()
+    later = windows.join(firsts.hint("merge"), ["h1", "h2"]).where(~here.eqNullSafe(F.col("first"))).select(*_KEY, "pos").distinct()
     by_doc = Window.partitionBy(*_KEY).orderBy("pos")
     opens = F.coalesce(F.col("pos") - F.lag("pos").over(by_doc) > LINES, F.lit(True)).cast("int")
     islands = later.withColumn("opens", opens).withColumn("island", F.sum("opens").over(by_doc))
@@ -60,7 +60,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     ranges = written(repeated_ranges(docs), "line-ranges")
     found = ranges.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "ranges")
     base = docs.drop("kept_text", "n_lines", "n_removed", "ranges")
-    joined = base.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
+    joined = base.join(found.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
     gaps = F.transform(
         F.sequence(F.lit(0), F.size("ranges")),
         lambda i: F.slice(

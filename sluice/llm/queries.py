@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontam, langid, line_dedup, packing, simhash, token_store, toxicity
+from . import ann, common, decontam, langid, line_dedup, packing, simhash, token_store, toxicity
 
 
 def tokenizer_path() -> str:
@@ -23,6 +23,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (common.crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ann.usable(common.table(spark, sf_dir, "embeddings"))
+    return ann.search(rows, rows.where(F.col("vec_id") % 20 == 0))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -63,6 +68,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_simhash": op3_simhash,
     "op4_token_store": op4_token_store,
     "op5_toxicity": op5_toxicity,

@@ -302,4 +302,4 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, tau: int
     found = components(members, tau, sketch_bits(similarity))
     removed = found.where("keeper is not null and (doc_id <> keeper.doc_id or text_key <> keeper.text_key)").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
     removed = written(removed, "near-copies")
-    return docs.join(removed, (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_anti")
+    return docs.join(removed.hint("merge"), (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_anti")
