@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, common, decontam, langid, line_dedup, packing, simhash, token_store, toxicity
+from . import ann, common, decontam, langid, line_dedup, packing, passage_dedup, pii, simhash, token_store, toxicity
 
 
 def tokenizer_path() -> str:
@@ -51,12 +51,20 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (common.crc_mod("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup.repeats(common.table(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.judged(decontam.find(docs, common.table(spark, sf_dir, "benchmark")))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.summary(common.table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", line_dedup.ranges_text().alias("removed"), F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
@@ -72,7 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_token_store": op4_token_store,
     "op5_toxicity": op5_toxicity,
+    "op6_passage_dedup": op6_passage_dedup,
     "op7_decontamination": op7_decontamination,
+    "op8_personal_data": op8_personal_data,
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
 }
