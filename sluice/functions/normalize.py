@@ -54,9 +54,12 @@ def dotted_time(c: Column) -> Column:
     return F.when(c.rlike(r"^\d{1,2}\.\d{2}\.\d{2}"), F.replace(c, F.lit("."), F.lit(":"))).otherwise(c)
 
 
-def parse_timestamp(c: Column, day_first: bool = False) -> Column:
-    """A timestamp by the first format that fits; null if none does."""
-    formats = (*DAY_FIRST_FORMATS, *DATE_FORMATS) if day_first else (*DATE_FORMATS, *DAY_FIRST_FORMATS)
+def parse_timestamp(c: Column, day_first: bool = False, fall_back: bool = True) -> Column:
+    """A timestamp by the first format that fits; null if none does. Without ``fall_back``, in the asked order of day and month alone."""
+    iso = DATE_FORMATS[:3]
+    formats = (*iso, *DAY_FIRST_FORMATS) if day_first else DATE_FORMATS
+    if fall_back:
+        formats = (*formats, *(DATE_FORMATS[3:] if day_first else DAY_FIRST_FORMATS))
     return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats])
 
 
@@ -81,8 +84,8 @@ def format_ratios(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                 share(c, c.rlike(r"^-?\d+,\d+$")).alias("comma"),
                 share(c, c.rlike(r"^\d{1,2}\.\d{2}\.\d{2}")).alias("dotted"),
                 share(c, c.rlike(r"^\d{1,2}[-/]\d{1,2}[-/]\d{2,4}|^\d{1,2}:\d{2}")).alias("date"),
-                share(c, parse_timestamp(c).isNotNull()).alias("parsed"),
-                share(c, parse_timestamp(c, day_first=True).isNotNull()).alias("day_first"),
+                share(c, parse_timestamp(c, fall_back=False).isNotNull()).alias("parsed"),
+                share(c, parse_timestamp(c, day_first=True, fall_back=False).isNotNull()).alias("day_first"),
             )
         )
     return df.agg(F.array(*each).alias("a")).select(F.inline("a"))
