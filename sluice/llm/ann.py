@@ -4,7 +4,7 @@ Every vector is represented by the order of its nearest pivots. Vectors are deal
 an inverted file (pivot -> the vectors that have it among their nearest, with its rank). A block of queries is
 matched against each block of vectors: the files of the query's pivots give Spearman footrule distances (a
 pivot that is missing counts as ranked after the last), the share of the block with the least distances, ties
-included, is reranked by inner products in double precision, and the best of all blocks are merged.
+included, is reranked by inner products in double precision, and the best of all blocks are merged as they come.
 
 Pivots are a bounded sample of the rows, in order of a hash; every row is indexed. The share that is reranked
 grows with the data; it is set by ``rerank``.
@@ -20,14 +20,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
 PIVOTS, PREFIX, RERANK = 192, 32, 0.4
-BLOCK_ROWS, QUERY_ROWS = 1024, 512
+BLOCK_ROWS, QUERY_ROWS, SHARDS = 1024, 256, 4
 
 
 def usable(df: DataFrame, vec: str = "embedding") -> DataFrame:
@@ -95,28 +95,90 @@ def top_of_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarra
     return out
 
 
+class _Match:
+    """One block of queries against a stream of vectors; keeps the k best found so far of each query."""
+
+    def __init__(self, pivots: np.ndarray, k: int, prefix: int, rerank: float):
+        self.how = (pivots, k, prefix, rerank)
+        self.k = k
+        self.q_ids: list[np.ndarray] = []
+        self.q: list[np.ndarray] = []
+        self.ids: list[np.ndarray] = []
+        self.x: list[np.ndarray] = []
+        self.waiting = 0
+        self.best: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, ids: np.ndarray, v: np.ndarray, asked: np.ndarray) -> None:
+        if asked.any():
+            self.q_ids.append(ids[asked])
+            self.q.append(v[asked])
+        self.ids.append(ids[~asked])
+        self.x.append(v[~asked])
+        self.waiting += int((~asked).sum())
+        while self.waiting >= BLOCK_ROWS:
+            self.block(BLOCK_ROWS)
+
+    def block(self, n: int) -> None:
+        ids, x = np.concatenate(self.ids), np.concatenate(self.x)
+        self.ids, self.x, self.waiting = [ids[n:]], [x[n:]], len(ids) - n
+        if not self.q:
+            return
+        if len(self.q) > 1:
+            self.q_ids, self.q = [np.concatenate(self.q_ids)], [np.concatenate(self.q)]
+        found = top_of_block(self.q_ids[0], self.q[0], ids[:n], x[:n], *self.how)
+        for i, (_, v, s) in enumerate(found):
+            if i < len(self.best):
+                v, s = np.concatenate([self.best[i][0], v]), np.concatenate([self.best[i][1], s])
+                top = np.lexsort((v, -s))[: self.k]
+                self.best[i] = (v[top], s[top])
+            else:
+                self.best.append((v, s))
+
+    def result(self) -> pa.RecordBatch:
+        if self.waiting:
+            self.block(self.waiting)
+        q = np.concatenate(self.q_ids) if self.q_ids else np.zeros(0, np.int64)
+        sizes = [v.size for v, _ in self.best]
+        columns = [np.repeat(q[: len(sizes)], sizes), *(np.concatenate([b[k] for b in self.best]) if self.best else np.zeros(0) for k in (0, 1))]
+        return pa.RecordBatch.from_arrays([pa.array(columns[0].astype(np.int64)), pa.array(columns[1].astype(np.int64)), pa.array(columns[2].astype(float))], names=["query_id", "vec_id", "score"])
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PIVOTS, prefix: int = PREFIX, rerank: float = RERANK) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score of each query's k nearest found. Both frames: ``usable`` rows."""
+    """query_id, rank (from 1), vec_id, score of each query's k nearest found. Both frames: ``usable`` rows.
+
+    Blocks of queries are sent to ``SHARDS`` parts of the vectors; a task reads a part as a stream, block by block.
+    """
     rows = written(vectors, "vectors")
     asked = written(queries, "queries")
-    n, n_asked = rows.count(), asked.count()
     p = pivots_of(rows, pivots)
-    blocks, asked_blocks = max(1, -(-n // BLOCK_ROWS)), max(1, -(-n_asked // QUERY_ROWS))
-    block_of = lambda count: F.pmod(F.xxhash64("vec_id", "v"), F.lit(count)).cast("int")
-    size = F.size("v").alias("size")
+    groups = max(1, -(-asked.count() // QUERY_ROWS))
+    hashed = F.xxhash64("vec_id", "v")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    data = rows.select(block_of(blocks).alias("block"), every(asked_blocks).alias("asked"), size, "vec_id", "v")
-    ask = asked.select(every(blocks).alias("block"), block_of(asked_blocks).alias("asked"), size, "vec_id", "v")
-
-    def match(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        x, q = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
-        found = top_of_block(right["vec_id"].to_numpy(), q, left["vec_id"].to_numpy(), x, p, k, prefix, rerank)
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), (np.concatenate(c) for c in zip(*found)))))
-
-    on = ("block", "asked", "size")
-    pairs = data.groupBy(*on).cogroup(ask.groupBy(*on)).applyInPandas(match, "query_id long, vec_id long, score double")
-    best = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    keys = [F.size("v").alias("size"), hashed.alias("h"), "vec_id", "v"]
+    data = rows.select(every(groups).alias("block"), F.pmod(hashed, F.lit(SHARDS)).cast("int").alias("shard"), F.lit(1).alias("kind"), *keys)
+    ask = asked.select(F.pmod(hashed, F.lit(groups)).cast("int").alias("block"), every(SHARDS).alias("shard"), F.lit(0).alias("kind"), *keys)
+    on = ["block", "shard", "size"]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = data.unionByName(ask).repartition(parts, *on).sortWithinPartitions(*on, "kind", "h", "vec_id")
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, task = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            names = [b.column(c).to_numpy() for c in on]
+            change = np.flatnonzero(np.any([n[1:] != n[:-1] for n in names], axis=0)) + 1
+            ids, kind, v = b.column("vec_id").to_numpy(), b.column("kind").to_numpy(), b.column("v")
+            for lo, hi in zip([0, *change.tolist()], [*change.tolist(), b.num_rows]):
+                key = tuple(int(n[lo]) for n in names)
+                if key != now:
+                    if task is not None:
+                        yield task.result()
+                    now, task = key, _Match(p, k, prefix, rerank)
+                task.add(ids[lo:hi], v.slice(lo, hi - lo).flatten().to_numpy().reshape(hi - lo, key[2]), kind[lo:hi] == 0)
+        if task is not None:
+            yield task.result()
+
+    best = dealt.mapInArrow(match, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
