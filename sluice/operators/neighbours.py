@@ -62,7 +62,7 @@ def approximate_knn(rows: DataFrame, k: int, tables: int = 8, bits: int = 8, see
     sizes = filed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))  # at most tables * 2 ** bits rows
     dealt = filed.join(F.broadcast(sizes), "key").withColumn("mine", F.pmod(F.xxhash64("id"), "n").cast("int"))
     left = dealt.select("key", F.col("mine").alias("a"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("b"), "id", "v")
-    right = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("a"), F.col("mine").alias("b"), "id", "v")
+    right = dealt.select(*[F.col(c).alias(c) for c in ("key", "id", "v")], F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("a"), F.col("mine").alias("b"))
 
     def best(key: tuple, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"id": np.zeros(0, np.int64), "nid": np.zeros(0, np.int64), "dist": np.zeros(0)})]

@@ -190,8 +190,8 @@ class AdaBoost:
     def transform(self, df: DataFrame) -> DataFrame:
         out = df.withColumn("_v", F.array(*[F.lit(0.0)] * self.classes))
         for m, w in zip(self.stumps, self.weights):
-            out = m.transform(out)
-            out = out.withColumn("_v", F.transform("_v", lambda x, i, w=w: x + F.when(i == F.col("prediction"), w).otherwise(0.0))).drop("rawPrediction", "probability", "prediction")
+            told = F.array(*[F.when(F.col("prediction") == c, w).otherwise(0.0) for c in range(self.classes)])
+            out = m.transform(out).withColumn("_v", F.zip_with("_v", told, lambda a, b: a + b)).drop("rawPrediction", "probability", "prediction")
         return out.withColumn("prediction", (F.array_position("_v", F.array_max("_v")) - 1).cast("double")).drop("_v")
 
 

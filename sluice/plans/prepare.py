@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import columns, correlate, neighbours, profile, rows, transforms
+from ..session import cut
 from . import policy
 
 
@@ -54,7 +55,7 @@ def adaptive(df: DataFrame, key: str, target: str | None = None, model: str | No
     if target:
         base = base.where(F.col(target).isNotNull())
     base = rows.drop_duplicates(base, [*keep, *[target] * bool(target)], key)
-    split = rows.train_test_split(base, key, target if task == "classification" else None, ratio, seed)
+    split = cut(rows.train_test_split(base, key, target if task == "classification" else None, ratio, seed))
     train, test = split.where("split = 'train'").drop("split"), split.where("split = 'test'").drop("split")
     steps: list[transforms.Fitted] = []
 

@@ -36,10 +36,10 @@ def _r(df: DataFrame, digits: int, *names: str) -> DataFrame:
 
 
 def _results(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "nation").select(F.col("n_name").alias("model"), (F.lit(0.95) - F.col("n_nationkey") * 0.01).alias("train_score"), (F.lit(0.9) - (F.col("n_nationkey") % 7) * 0.03).alias("cv_score"))
+    return load(spark, d, "nation").select(F.col("n_name").alias("model"), (F.lit(0.95) - F.col("n_nationkey") * 0.01).alias("train_score"), (F.lit(0.9) - (F.col("n_nationkey") % 7) * 0.0313).alias("cv_score"))
 
 
-_RES = "SELECT n_name AS model, 0.95 - n_nationkey * 0.01 AS train_score, 0.9 - (n_nationkey % 7) * 0.03 AS cv_score FROM nation"
+_RES = "SELECT n_name AS model, CAST(0.95 AS DOUBLE) - n_nationkey * CAST(0.01 AS DOUBLE) AS train_score, CAST(0.9 AS DOUBLE) - (n_nationkey % 7) * CAST(0.0313 AS DOUBLE) AS cv_score FROM nation"
 _GEN = f"WITH r AS ({_RES}), g AS (SELECT *, abs(train_score - cv_score) AS gap FROM r), p AS (SELECT *, gap > 0.20 AS rejected, gap * CASE WHEN gap > 0.20 THEN 5 WHEN gap > 0.10 THEN 3 ELSE 2 END AS penalty, gap > 0.05 AS overfitting FROM g)"
 
 # Metrics
@@ -417,7 +417,8 @@ def t07(spark: SparkSession, d: str) -> DataFrame:
     models.fit_fixed(train, "logistic_regression").write().overwrite().save(f"{folder}/model")
     model = PipelineModel.load(f"{folder}/model")
     source = load(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_custkey", "o_orderpriority", "o_orderdate")
-    arriving = scoring.stream(spark, f"{d}/orders.parquet", load(spark, d, "orders")).select(source.columns).withColumn("size", F.lit(None).cast("string"))
+    source.write.parquet(f"{folder}/arriving")
+    arriving = scoring.stream(spark, f"{folder}/arriving", source).withColumn("size", F.lit(None).cast("string"))
     scoring.score_stream(arriving, p.chain, model, p.features, f"{folder}/scores", f"{folder}/progress", ["o_orderkey", "prediction", "confidence"]).awaitTermination()
     return spark.read.parquet(f"{folder}/scores")
 
@@ -425,7 +426,7 @@ def t07(spark: SparkSession, d: str) -> DataFrame:
 # Catalog, shaped like lists of models and datasets
 
 _MODELS = "SELECT n_nationkey AS model_id, n_name AS name, (CASE WHEN n_nationkey % 6 = 0 THEN 99 ELSE n_regionkey END)::INT AS dataset_id, round(0.4 + n_nationkey * 0.02, 2) AS score FROM nation"
-_SETS = "SELECT r_regionkey::INT AS dataset_id, r_name AS name, r_regionkey % 2 = 0 AS processed, r_regionkey AS at FROM region"
+_SETS = "SELECT r_regionkey::INT AS dataset_id, r_name AS name, r_regionkey % 2 = 0 AS processed, r_regionkey AS \"at\" FROM region"
 
 
 def _models(spark: SparkSession, d: str) -> DataFrame:
@@ -462,12 +463,12 @@ def l02(spark: SparkSession, d: str) -> DataFrame:
     return catalog.top(load(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", 10)
 
 
-@query("l03_u02_timeline", "SELECT kind, at, name FROM (SELECT 'event' AS kind, ts AS at, event_type AS name FROM events UNION ALL SELECT 'order', o_orderdate, o_orderpriority FROM orders) ORDER BY at DESC, kind, name LIMIT 15")
+@query("l03_u02_timeline", "SELECT kind, \"at\", name FROM (SELECT 'event' AS kind, ts AS \"at\", event_type AS name FROM events UNION ALL SELECT 'order', o_orderdate, o_orderpriority FROM orders) ORDER BY \"at\" DESC, kind, name LIMIT 15")
 def l03(spark: SparkSession, d: str) -> DataFrame:
     return catalog.timeline(event=load(spark, d, "events").select(F.col("ts").alias("at"), F.col("event_type").alias("name")), order=load(spark, d, "orders").select(F.col("o_orderdate").alias("at"), F.col("o_orderpriority").alias("name")))
 
 
-@query("a30_dashboard", f"WITH m AS ({_MODELS}), s AS ({_SETS}) SELECT (SELECT count(*) FROM m) AS n_models, (SELECT name FROM m ORDER BY score DESC, name DESC LIMIT 1) AS best_model, (SELECT max(score) FROM m) AS best_score, (SELECT count(*) FROM m WHERE score < 0.6) AS n_weak, (SELECT count(*) FROM s) AS n_datasets, (SELECT name FROM s ORDER BY at DESC, name DESC LIMIT 1) AS latest, (SELECT count(*) FROM s WHERE NOT processed) AS n_unprocessed")
+@query("a30_dashboard", f"WITH m AS ({_MODELS}), s AS ({_SETS}) SELECT (SELECT count(*) FROM m) AS n_models, (SELECT name FROM m ORDER BY score DESC, name DESC LIMIT 1) AS best_model, (SELECT max(score) FROM m) AS best_score, (SELECT count(*) FROM m WHERE score < 0.6) AS n_weak, (SELECT count(*) FROM s) AS n_datasets, (SELECT name FROM s ORDER BY \"at\" DESC, name DESC LIMIT 1) AS latest, (SELECT count(*) FROM s WHERE NOT processed) AS n_unprocessed")
 def a30(spark: SparkSession, d: str) -> DataFrame:
     return catalog.dashboard(_models(spark, d), _sets(spark, d))
 
