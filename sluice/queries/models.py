@@ -300,8 +300,8 @@ def m12(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, d: str) -> tuple[prepare.Prepared, DataFrame, DataFrame]:
-    df = load(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_custkey", "o_orderpriority", "o_orderdate", F.when(F.col("o_totalprice") + F.col("o_custkey") % 7 * 1000 > 250000, "big").otherwise("small").alias("size"))
-    p = prepare.adaptive(df, "o_orderkey", "size", family="linear")
+    df = load(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_custkey", "o_orderpriority", F.when(F.col("o_totalprice") + F.col("o_custkey") % 7 * 1000 > 250000, "big").otherwise("small").alias("size"))
+    p = prepare.fixed(df, "o_orderkey", "size")
     name = lambda x: prepare.vectors(x, p.features).withColumn("label", F.col("size").cast("double"))
     return p, name(p.train), name(p.test)
 
@@ -416,7 +416,7 @@ def t07(spark: SparkSession, d: str) -> DataFrame:
     folder = _folder(spark)
     models.fit_fixed(train, "logistic_regression").write().overwrite().save(f"{folder}/model")
     model = PipelineModel.load(f"{folder}/model")
-    source = load(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_custkey", "o_orderpriority", "o_orderdate")
+    source = load(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_custkey", "o_orderpriority")
     source.write.parquet(f"{folder}/arriving")
     arriving = scoring.stream(spark, f"{folder}/arriving", source).withColumn("size", F.lit(None).cast("string"))
     scoring.score_stream(arriving, p.chain, model, p.features, f"{folder}/scores", f"{folder}/progress", ["o_orderkey", "prediction", "confidence"]).awaitTermination()
