@@ -30,8 +30,8 @@ from .graph import connected_components, spanning
 SEED = 42
 #: Rows of one partition value that are compared in one task; more are split into blocks.
 BLOCK = 1024
-#: Estimated seconds for a filed row and for a comparison.
-ROW_S, PAIR_S = 2e-6, 1e-8
+#: Estimated seconds for a filed row and for a comparison, and the number of fingerprints that plans are made for.
+ROW_S, PAIR_S, PLAN_ROWS = 2e-6, 1e-8, 16_000_000
 SKETCH_WORDS = 4
 
 
@@ -138,8 +138,12 @@ def within(p: np.ndarray, most: int) -> list[float]:
     return np.cumsum(np.r_[dist, np.zeros(most + 1)])[: most + 1].tolist()
 
 
-def thresholds(n: int, both: np.ndarray, tau: int) -> list[tuple[list[int], int]]:
-    """The grouping and thresholds of least estimated cost: (bits, t) of each partition that is used."""
+def thresholds(n: int, both: np.ndarray, tau: int, size: int = PLAN_ROWS) -> list[tuple[list[int], int]]:
+    """The grouping and thresholds of least estimated cost: (bits, t) of each partition that is used.
+
+    The bit counts ``both`` of ``n`` fingerprints say how bits agree; ``size`` is the table that the plan is made
+    for, the same at every size of input.
+    """
     p = np.diag(both) / max(n, 1)
     best: tuple[float, list[tuple[list[int], int]]] = (float("inf"), [])
     for m in range(2, tau + 3):
@@ -148,8 +152,8 @@ def thresholds(n: int, both: np.ndarray, tau: int) -> list[tuple[list[int], int]
         for g in groups:
             share, nxt = within(p[g], 2), dict(state)  # t = -1: not used
             for t in range(3):
-                rows = n * sum(comb(len(g), j) for j in range(t + 1))
-                cost = ROW_S * (rows + n * (t > 0)) + PAIR_S * share[t] * n * n
+                rows = size * (1 + sum(comb(len(g), j) for j in range(1, t + 1)) / 2)
+                cost = ROW_S * rows + PAIR_S * share[t] * size * size
                 for used, (c, chosen) in state.items():
                     to = min(tau + 1, used + t + 1)
                     if to not in nxt or c + cost < nxt[to][0]:
@@ -161,7 +165,10 @@ def thresholds(n: int, both: np.ndarray, tau: int) -> list[tuple[list[int], int]
 
 
 def _entries(nodes: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
-    """Every node under its own values (probe 0) and the values within the thresholds (probe 1)."""
+    """Every node under its own values (probe 0) and the values within the thresholds (probe 1).
+
+    Of two values that differ, the one with a 0 at the lowest differing bit probes the other.
+    """
     sketched = "sketch" in nodes.columns
     kept = ["node", "fp", *["sketch"] * sketched]
     flips = [[sum(1 << i for i in c) for j in range(1, t + 1) for c in combinations(range(len(bits)), j)] for bits, t in plan]
@@ -174,7 +181,9 @@ def _entries(nodes: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
                 for k, bit in enumerate(bits):
                     value |= ((fp >> np.uint64(bit)) & np.uint64(1)).astype(np.int64) << k
                 for mask in [0, *flips[part]]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(fp.size, part, np.int32)), pa.array(value ^ mask), pa.array(np.full(fp.size, mask != 0)), *[b.column(c) for c in kept]], names=["part", "value", "probe", *kept])
+                    mine = np.flatnonzero(value & (mask & -mask) == 0)
+                    row = b.take(pa.array(mine))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(mine.size, part, np.int32)), pa.array(value[mine] ^ mask), pa.array(np.full(mine.size, mask != 0)), *[row.column(c) for c in kept]], names=["part", "value", "probe", *kept])
 
     return nodes.select(*kept).mapInArrow(file, "part int, value long, probe boolean, node long, fp long" + ", sketch binary" * sketched)
 
