@@ -181,7 +181,7 @@ def _categories(df: DataFrame, columns: Sequence[str]) -> dict[str, list]:
     """Sorted values of each column; numbers sort as numbers."""
     numbers = set(profile.numeric_columns(df))
     out: dict = {c: [] for c in columns}
-    for r in profile.value_counts(df, columns).where("value is not null").select("column", "value").collect():
+    for r in profile.value_counts(df, columns).where("value is not null").select("column", "value").collect() if columns else []:
         out[r["column"]].append(r["value"])
     return {c: sorted(v, key=float) if c in numbers else sorted(v) for c, v in out.items()}
 

@@ -139,7 +139,7 @@ def read_table(spark: SparkSession, path: str, sep: str | None = None, header: b
         df = spark.read.csv(path, sep=sep, header=header, mode="DROPMALFORMED", ignoreLeadingWhiteSpace=True, encoding=charset)
         if not header:
             df = df.toDF(*[f"Column{i + 1}" for i in range(len(df.columns))])
-    return normalise(clean_names(df), numeric_sentinels)
+    return clean_names(normalise(df, numeric_sentinels))
 
 
 def write_splits(train: DataFrame, test: DataFrame, path: str) -> None:
