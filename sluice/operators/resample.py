@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import neighbours, profile
+from .rows import hash_edges
 
 
 def _unit(*parts: Column) -> Column:
@@ -20,15 +21,13 @@ def oversample(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame
     """
     counts = {r[0]: r[1] for r in df.groupBy(label).count().collect() if r[0] is not None}  # a row for each class
     most = max(counts.values(), default=0)
-    edges = {}
     h = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")).cast("binary"))
-    for c, n in counts.items():
-        if rest := most % n:
-            edges[c] = df.where(F.col(label) == F.lit(c)).select(h.alias("h")).orderBy("h").limit(rest).agg(F.max("h")).head()[0]
+    named = F.col(label).cast("string")
+    edges = hash_edges(df.where(F.col(label).isNotNull()), h, named, {(str(c), 0): most % n for c, n in counts.items() if most % n})
     whole = F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, most // n)])[F.col(label)]
     extra = F.lit(0)
-    for c, e in edges.items():
-        extra = F.when((F.col(label) == F.lit(c)) & (h <= F.lit(e)), 1).otherwise(extra)
+    for (c, _), e in edges.items():
+        extra = F.when((named == F.lit(c)) & (h <= F.lit(e)), 1).otherwise(extra)
     return df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.coalesce(whole, F.lit(1)) + extra - 1)))
 
 
@@ -48,8 +47,8 @@ def smote(rows: DataFrame, label: str = "label", k: int = 5, seed: int = 42) ->
         kk = min(k, n - 1)
         near = neighbours.knn(mine, mine, kk).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "nid"))).alias("near"))
         each, rest = divmod(most - n, n)
-        edge = mine.select(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string")).cast("binary")).alias("h")).orderBy("h").limit(rest).agg(F.max("h")).head()[0] if rest else None
         h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string")).cast("binary"))
+        edge = hash_edges(mine, h, F.lit(""), {("", 0): rest})[("", 0)] if rest else None
         number = F.lit(each) + (F.when(h <= F.lit(edge), 1).otherwise(0) if rest else F.lit(0))
         made = mine.join(near, "id").withColumn("n", number).where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
         pick = F.get("near", F.floor(_unit(F.lit(seed), F.col("id"), F.col("copy")) * F.size("near")).cast("int"))["nid"]

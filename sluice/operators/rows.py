@@ -62,12 +62,13 @@ def drop_outliers_in_turn(df: DataFrame, columns: Sequence[str], k: float = 1.5)
 
 
 def drop_duplicates(df: DataFrame, columns: Sequence[str], key: str, keep: str = "first") -> DataFrame:
-    """Rows whose ``columns`` differ: of equal ones the first or last by ``key``, or none at all."""
-    by = Window.partitionBy(*columns)
-    if keep == "none":
-        return df.withColumn("_n", F.count("*").over(by)).where("_n = 1").drop("_n")
-    order = F.col(key).asc() if keep == "first" else F.col(key).desc()
-    return df.withColumn("_n", F.row_number().over(by.orderBy(order))).where("_n = 1").drop("_n")
+    """Rows whose ``columns`` differ: of equal ones the first or last by ``key``, or none at all.
+
+    An aggregate, so that rows of a large group are combined before the shuffle.
+    """
+    row, pick = F.struct(*df.columns), F.max_by if keep == "last" else F.min_by
+    groups = df.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(columns)]).agg(pick(row, F.col(key)).alias("_row"), F.count("*").alias("_n"))
+    return (groups.where("_n = 1") if keep == "none" else groups).select("_row.*")
 
 
 def exclude(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -96,40 +97,73 @@ def _order(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")).cast("binary"))
 
 
+def hash_edges(df: DataFrame, h: Column, label: Column, wanted: Mapping[tuple[str, int], int]) -> dict[tuple[str, int], str]:
+    """For each (class, number) the text up to which exactly so many hashes of the class lie.
+
+    Hashes are counted by their first digits, three more each time, within the groups that a border falls into: a
+    few thousand counts for each border, and no sort. ``label`` is the class as text.
+    """
+    rows = df.select(label.alias("c"), h.alias("h"))
+    done = {k: "" for k, n in wanted.items() if n <= 0}
+    open_ = {k: ("", n) for k, n in wanted.items() if n > 0}
+    size = 0
+    while open_:
+        heads = {f"{c}|{prefix}" for (c, _), (prefix, _) in open_.items()}
+        within = rows if not size else rows.where(F.concat_ws("|", "c", F.substring("h", 1, size)).isin(*heads))
+        counts: dict[str, list[tuple[str, int]]] = {}
+        for r in within.groupBy("c", F.substring("h", 1, size + 3).alias("p")).count().collect():
+            counts.setdefault(r["c"], []).append((r["p"], r["count"]))
+        size += 3
+        for k, (prefix, left) in list(open_.items()):
+            for p, n in sorted(x for x in counts.get(k[0], []) if x[0].startswith(prefix)):
+                if n < left:
+                    left -= n
+                    continue
+                if n == left or size >= 32:
+                    done[k] = p + "~"  # behind every digit
+                    del open_[k]
+                else:
+                    open_[k] = (p, left)
+                break
+            else:
+                done[k] = "~"
+                del open_[k]
+    return done
+
+
+def _class(label: str | None) -> Column:
+    return F.lit("") if label is None else F.coalesce(F.col(label).cast("string"), F.lit("\0"))
+
+
 def train_test_split(df: DataFrame, key: str, label: str | None = None, ratio: float = 0.2, seed: int = 42) -> DataFrame:
     """``df`` with ``split``: exactly ceil(n * ratio) test rows, in each class its share (largest remainders).
 
-    Rows are ranked within their class by a hash of the key. Not stratified if a class has under two rows.
+    Of each class the rows with the lowest hashes of the key are for testing. Not stratified if a class has under
+    two rows.
     """
-    if label is not None:
-        counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # a row for each class
-        if min(counts.values(), default=0) < 2:
-            label = None
-    if label is None:
-        n = df.count()
-        cut = ceil(n * ratio)
-        if n == 0:
-            return df.withColumn("split", F.lit("train"))
-        # The cut-off hash: exact, without sorting all rows in one place.
-        edge = df.select(_order(key, seed).alias("h")).orderBy("h").limit(cut).agg(F.max("h")).head()[0]
-        return df.withColumn("split", F.when(_order(key, seed) <= F.lit(edge), "test").otherwise("train"))
-    total = ceil(sum(counts.values()) * ratio)
+    counts = {r[0]: r[1] for r in df.groupBy(_class(label)).count().collect()}  # a row for each class
+    if label is not None and min(counts.values(), default=0) < 2:
+        return train_test_split(df, key, None, ratio, seed)
     exact = {c: n * ratio for c, n in counts.items()}
     take = {c: int(x) for c, x in exact.items()}
-    for c in sorted(counts, key=lambda c: (take[c] - exact[c], str(c)))[: max(0, total - sum(take.values()))]:
+    for c in sorted(counts, key=lambda c: (take[c] - exact[c], c))[: max(0, ceil(sum(counts.values()) * ratio) - sum(take.values()))]:
         take[c] += 1
-    quota = F.create_map(*[F.lit(x) for c, n in take.items() if c is not None for x in (c, n)])[F.col(label)]
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(_order(key, seed), key))
-    return df.withColumn("_r", rank).withColumn("split", F.when(F.col("_r") <= F.coalesce(quota, F.lit(take.get(None, 0))), "test").otherwise("train")).drop("_r")
+    h = _order(key, seed)
+    edges = hash_edges(df, h, _class(label), {(c, 0): n for c, n in take.items()})
+    test = F.lit(False)
+    for (c, _), edge in edges.items():
+        test = test | ((_class(label) == F.lit(c)) & (h <= F.lit(edge)))
+    return df.withColumn("split", F.when(test, "test").otherwise("train"))
 
 
 def folds(df: DataFrame, key: str, label: str | None = None, k: int = 5, seed: int = 42) -> DataFrame:
-    """``df`` with ``fold``: 0 to k - 1, dealt evenly within each class (or by hash alone without a label)."""
-    if label is None:
-        number = F.conv(F.substring(_order(key, seed), 1, 8), 16, 10).cast("long") % k
-        return df.withColumn("fold", number.cast("int"))
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(_order(key, seed), key))
-    return df.withColumn("fold", ((rank - 1) % k).cast("int"))
+    """``df`` with ``fold``: 0 to k - 1, of even size within each class, by the order of a hash of the key."""
+    counts = {r[0]: r[1] for r in df.groupBy(_class(label)).count().collect()}  # a row for each class
+    wanted = {(c, j): sum(n // k + (i < n % k) for i in range(j)) for c, n in counts.items() for j in range(1, k)}
+    h, fold = _order(key, seed), F.lit(0)
+    for (c, _), edge in hash_edges(df, h, _class(label), wanted).items():
+        fold = fold + ((_class(label) == F.lit(c)) & (h > F.lit(edge))).cast("int")
+    return df.withColumn("fold", fold)
 
 
 def search(df: DataFrame, text: str, columns: Sequence[str]) -> DataFrame:

@@ -351,7 +351,7 @@ def w03b(spark: SparkSession, d: str) -> DataFrame:
     return rows.train_test_split(orders(spark, d), "order_id").select("order_id", "split")
 
 
-@query("w04_folds", f"WITH t AS ({ORDERS_SQL}) SELECT order_id, ((({_RANK.format(by='late')}) - 1) % 5)::INT AS fold FROM t")
+@query("w04_folds", f"WITH t AS ({ORDERS_SQL}) SELECT order_id, (ntile(5) OVER (PARTITION BY late ORDER BY md5('42|' || order_id)) - 1)::INT AS fold FROM t")
 def w04(spark: SparkSession, d: str) -> DataFrame:
     return rows.folds(orders(spark, d), "order_id", "late").select("order_id", "fold")
 
