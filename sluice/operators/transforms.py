@@ -7,6 +7,7 @@ saved, and used on streams.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -17,9 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalar
+from ..session import cut, shared_dir
 from . import profile
 
 OTHER = "__OTHER__"
+#: Values of a column that a fitted encoding keeps in its state.
+LITERALS = 5000
 
 
 @dataclass
@@ -166,15 +170,16 @@ def _scale(df: DataFrame, s: dict) -> DataFrame:
 
 
 def fit_rare(df: DataFrame, columns: Sequence[str], share: float = 0.01) -> Fitted:
-    rows = profile.value_shares(df, columns).where(F.col("share") < share).select("column", "value").collect()  # values below a share
-    out: dict = {}
-    for r in rows:
-        out.setdefault(r["column"], []).append(r["value"])
+    """Values that are not frequent when fitted become one. The frequent ones are kept: at most 1 / share of them."""
+    out: dict = {c: [] for c in columns}
+    if columns:
+        for r in profile.value_shares(df, columns).where(F.col("share") >= share).select("column", "value").collect():
+            out[r["column"]].append(r["value"])
     return Fitted("rare", {"values": {c: sorted(v) for c, v in out.items()}})
 
 
 def _rare(df: DataFrame, s: dict) -> DataFrame:
-    return df.withColumns({c: F.when(F.col(f"`{c}`").isin(v), OTHER).otherwise(F.col(f"`{c}`")) for c, v in s["values"].items()})
+    return df.withColumns({c: F.when(F.col(f"`{c}`").isin(v) | F.col(f"`{c}`").isNull(), F.col(f"`{c}`")).otherwise(OTHER) for c, v in s["values"].items()})
 
 
 def _categories(df: DataFrame, columns: Sequence[str]) -> dict[str, list]:
@@ -197,14 +202,38 @@ def _one_hot(df: DataFrame, s: dict) -> DataFrame:
 
 
 def dictionary(df: DataFrame, column: str) -> DataFrame:
-    """value, code (from 0, sorted): the encoding dictionary as a table."""
+    """value, code (from 0, sorted): the encoding dictionary as a table.
+
+    Values are sorted by ranges; a code is the place within the range after all earlier ranges.
+    """
     values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
-    return values.select("value", (F.row_number().over(Window.orderBy("value")) - 1).alias("code"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = values.repartitionByRange(parts, "value").sortWithinPartitions("value").select("value", F.monotonically_increasing_id().alias("m"))
+    placed = cut(placed.select("value", F.shiftright("m", 33).alias("part"), F.col("m").bitwiseAND(F.lit((1 << 33) - 1)).alias("nth")))
+    before, total = [], 0
+    for part, n in sorted(map(tuple, placed.groupBy("part").count().collect())):  # a row for each range
+        before += [F.lit(part), F.lit(total)]
+        total += n
+    if not before:
+        return placed.select("value", F.col("nth").cast("int").alias("code"))
+    return placed.select("value", (F.col("nth") + F.create_map(*before)[F.col("part")]).cast("int").alias("code"))
 
 
 def fit_ordinal(df: DataFrame, columns: Sequence[str]) -> Fitted:
-    """Codes from 0 in sorted order; -1 for null and for values unknown when fitted."""
-    return Fitted("ordinal", {"values": _categories(df, columns)})
+    """Codes from 0 in sorted order; -1 for null and for values unknown when fitted.
+
+    Up to ``LITERALS`` values of a column are kept in the state; more are a table in the shared folder, which is
+    joined.
+    """
+    if not columns:
+        return Fitted("ordinal", {"values": {}, "tables": {}})
+    sizes = {r["column"]: r["n"] for r in profile.value_counts(df, columns).where("value is not null").groupBy("column").agg(F.count("*").alias("n")).collect()}
+    large = [c for c in columns if sizes.get(c, 0) > LITERALS]
+    tables = {}
+    for c in large:
+        tables[c] = f"{shared_dir(df.sparkSession)}/codes-{uuid.uuid4().hex}"
+        dictionary(df, c).select(F.col("value").cast("string").alias("value"), "code").write.parquet(tables[c])
+    return Fitted("ordinal", {"values": _categories(df, [c for c in columns if c not in large]), "tables": tables})
 
 
 def _ordinal(df: DataFrame, s: dict) -> DataFrame:
@@ -212,7 +241,12 @@ def _ordinal(df: DataFrame, s: dict) -> DataFrame:
     for c, values in s["values"].items():
         codes = F.create_map(*[F.lit(x) for i, v in enumerate(values) for x in (v, float(i))]) if values else None
         new[c] = F.coalesce(F.try_element_at(codes, F.col(f"`{c}`").cast("string")), F.lit(-1.0)) if values else F.lit(-1.0)
-    return df.withColumns(new)
+    df = df.withColumns(new)
+    for c, path in s.get("tables", {}).items():
+        codes = df.sparkSession.read.schema("value string, code int").parquet(path).select(F.col("value").alias("_v"), F.col("code").cast("double").alias("_c"))
+        joined = df.join(codes, F.col(f"`{c}`").cast("string") == F.col("_v"), "left")
+        df = joined.select(*[F.coalesce("_c", F.lit(-1.0)).alias(x) if x == c else F.col(f"`{x}`") for x in df.columns])
+    return df
 
 
 def decode(df: DataFrame, code: str, fitted: Fitted, column: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators import catalog, metrics, neighbours, resample, rows, transforms
 from ..plans import models, policy, prepare
-from ..session import cut
+from ..session import shared_dir
 from ..sources import readers
 from ..streaming import scoring
 from . import load, query
@@ -26,9 +26,7 @@ NUM_SQL = "SELECT " + ", ".join(NUMERIC) + " FROM orders"
 
 def _folder(spark: SparkSession) -> str:
     """A new folder among the shared ones."""
-    sc = spark.sparkContext
-    cut(spark.range(1))  # sets the checkpoint folder where none is set
-    return f"{sc.getConf().get('spark.checkpoint.dir') or sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
 def _r(df: DataFrame, digits: int, *names: str) -> DataFrame:

@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the checkpoint folder, so that later plans start from files that survive executors.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` names the folder. Where it is unset and Spark runs in this one process, a temporary
-    folder takes its place.
+    Where it is unset and Spark runs in this one process, a temporary folder takes its place.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
         if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="sluice-"))
+    return (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()).rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and written to the checkpoint folder, so that later plans start from files that survive executors."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

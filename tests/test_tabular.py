@@ -125,6 +125,15 @@ def test_encoders_and_unknown_values(spark):
     assert transforms.fit_one_hot(train, ["c"], drop_first=True).transform(new).columns == ["c_b"]
 
 
+def test_many_values_are_joined(spark, monkeypatch):
+    df = spark.createDataFrame([(f"v{i % 50:02d}", i) for i in range(200)], "c string, k long")
+    small = transforms.fit_ordinal(df, ["c"])
+    monkeypatch.setattr(transforms, "LITERALS", 10)
+    large = transforms.fit_ordinal(df, ["c"])
+    new = df.union(spark.createDataFrame([("zz", 900), (None, 901)], df.schema))
+    assert large.state["tables"] and sorted(map(tuple, large.transform(new).collect())) == sorted(map(tuple, small.transform(new).collect()))
+
+
 def test_chain_is_saved_and_loaded(spark, tmp_path):
     df = frame(spark)
     chain = transforms.Chain([transforms.fit_indicators(df, ["a", "b"]), transforms.fit_impute(df, ["b", "c"], {"b": "median", "c": "mode"}), transforms.fit_cap(df, ["b"]), transforms.fit_ordinal(df, ["c"])])
