@@ -22,6 +22,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,8 @@ from .common import small_batches
 
 ALPHABET, ORDER, DECAY, LONGEST = 64, 3, 0.8, 20
 SAMPLE, LANDMARKS, WORDS_EACH = 6000, 512, 3000
-#: Toxic texts with a word, times the log of how much oftener than others they have it, from which it marks toxicity.
-EVIDENCE = 12.0
+#: Likelihood ratio (G squared) of a word's counts in toxic and other texts, from which it marks toxicity.
+EVIDENCE = 24.0
 #: Word scores kept for each of two generations in a Python worker.
 KEEP = 400_000
 _APART = re.compile(r"(?:(?<=\s)|^)[^\W\d_](?:[ .*_-][^\W\d_]){2,}(?=\s|$|[.,!?])")
@@ -228,15 +229,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, landmarks: int
     chosen = marked.where("toxic = 1").orderBy("h", "doc_id").limit(sample).union(marked.where("toxic = 0").orderBy("h", "doc_id").limit(sample))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = texts.join(F.broadcast(chosen), "doc_id")  # 2 * sample rows of three numbers
-    rows = rows.select("doc_id", "text", "toxic", (F.col("h").bitwiseAND(F.lit(3)) == 0).alias("check"))
+    rows = rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"), (F.col("h").bitwiseAND(F.lit(3)) == 0).alias("check"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(w, y) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for w in {p for c in (t or "").lower().split() for p in pieces(clean(c)) if len(p) >= ORDER}]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int32())], names=["word", "toxic"])
-
-    seen = rows.where("not check").select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(words, "word string, toxic int")
-    counts = seen.groupBy("word").agg(F.sum("toxic").cast("long").alias("bad"), F.sum(1 - F.col("toxic")).cast("long").alias("fine"))
+            out = set()
+            for doc, t, y in zip(*[b.column(k).to_pylist() for k in range(3)]):
+                chunks = ["", *(t or "").lower().split(), ""]
+                for before, c, after in zip(chunks, chunks[1:], chunks[2:]):
+                    around = crc32(f"{before} {after}".encode("utf-8", "surrogatepass"))
+                    out.update((p, y, doc, around) for p in pieces(clean(c)) if len(p) >= ORDER)
+            columns = list(zip(*out)) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())], names=["word", "toxic", "doc", "around"])
+
+    seen = rows.where("not check").select("doc_id", "text", "toxic").mapInArrow(words, "word string, toxic int, doc long, around long")
+    # Copies of a text repeat its words in equal surroundings, and a text may repeat a word: the smaller number counts.
+    times = seen.groupBy("word", "toxic").agg(F.least(F.count_distinct("doc"), F.count_distinct("around")).alias("n"))
+    counts = times.groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("fine"))
     n = {r[0]: r[1] for r in rows.where("not check").groupBy("toxic").count().collect()}
     if not n.get(1) or not n.get(0):
         return Model(constant=1.0 if n.get(1) else 0.0)
@@ -244,7 +253,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, landmarks: int
 
     counts = written(counts, "toxic-words")
     lift = F.log((F.col("bad") + 0.1) / n[1]) - F.log((F.col("fine") + 0.6) / n[0])
-    marks = counts.where((F.col("bad") >= 3) & (lift > 1.5)).withColumn("s", F.col("bad") * lift).where(F.col("s") >= EVIDENCE).orderBy(F.desc("s"), "word").limit(words_each).collect()
+    share = n[1] / (n[0] + n[1])
+    part = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / ((F.col("bad") + F.col("fine")) * p))).otherwise(0.0)
+    marks = counts.where(lift > 1.5).withColumn("s", 2 * (part("bad", share) + part("fine", 1 - share))).where(F.col("s") >= EVIDENCE).orderBy(F.desc("s"), "word").limit(words_each).collect()
     others = counts.where((F.col("fine") > 0) & (lift < 0.7))
     common = others.orderBy(F.desc("fine"), "word").limit(words_each).collect()
     rare = others.orderBy(F.xxhash64("word"), "word").limit(2 * words_each).collect()
@@ -277,15 +288,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, landmarks: int
             f = np.concatenate([scorer.features(t) for _, t in _groups(b.column(0).to_pylist())]) if b.num_rows else np.zeros((0, 3))
             yield pa.RecordBatch.from_arrays([pa.array(f[:, k]) for k in range(3)] + [b.column(1)], names=["a", "b", "c", "toxic"])
 
-    got = rows.where("check").select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(look, "a double, b double, c double, toxic int").toArrow()  # a part of the sample
+    got = rows.where("check").select("text", "toxic").mapInArrow(look, "a double, b double, c double, toxic int").toArrow()  # a part of the sample
     x, t = np.c_[got.column("a").to_numpy(), got.column("b").to_numpy(), got.column("c").to_numpy()], got.column("toxic").to_numpy().astype(float)
     if not t.size or t.min() == t.max():
         model.calibration = np.asarray([2.0, 0.0, 0.0, 0.0])
         return model
     # The sample holds the classes evenly; the prior is that of all labelled rows.
-    share = {r[0]: r[1] for r in marked.groupBy("toxic").count().collect()}
+    labelled = {r[0]: r[1] for r in marked.groupBy("toxic").count().collect()}
     w = fit_logistic(x, t)
-    prior, here = share[1] / (share[0] + share[1]), t.mean()
+    prior, here = labelled[1] / (labelled[0] + labelled[1]), t.mean()
     w[-1] += np.log(prior / (1 - prior)) - np.log(here / (1 - here))
     model.calibration = w
     return model
