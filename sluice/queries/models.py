@@ -423,7 +423,7 @@ def t07(spark: SparkSession, d: str) -> DataFrame:
 
 # Catalog, shaped like lists of models and datasets
 
-_MODELS = "SELECT n_nationkey AS model_id, n_name AS name, (CASE WHEN n_nationkey % 6 = 0 THEN 99 ELSE n_regionkey END)::INT AS dataset_id, round(0.4 + n_nationkey * 0.02, 2) AS score FROM nation"
+_MODELS = "SELECT n_nationkey AS model_id, n_name AS name, (CASE WHEN n_nationkey % 6 = 0 THEN 99 ELSE n_regionkey END)::INT AS dataset_id, round(0.4 + n_nationkey * 0.02, 2)::DOUBLE AS score FROM nation"
 _SETS = "SELECT r_regionkey::INT AS dataset_id, r_name AS name, r_regionkey % 2 = 0 AS processed, r_regionkey AS \"at\" FROM region"
 
 
