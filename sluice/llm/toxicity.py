@@ -232,15 +232,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, landmarks: int
     rows = rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"), (F.col("h").bitwiseAND(F.lit(3)) == 0).alias("check"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def listed(out: set[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*out)) if out else [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())], names=["word", "toxic", "doc", "around"])
+
+        out: set[tuple] = set()
         for b in batches:
-            out = set()
-            for doc, t, y in zip(*[b.column(k).to_pylist() for k in range(3)]):
-                chunks = ["", *(t or "").lower().split(), ""]
+            for doc, t, y in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+                chunks = ["", *(t.as_py() or "").lower().split(), ""]
                 for before, c, after in zip(chunks, chunks[1:], chunks[2:]):
                     around = crc32(f"{before} {after}".encode("utf-8", "surrogatepass"))
                     out.update((p, y, doc, around) for p in pieces(clean(c)) if len(p) >= ORDER)
-            columns = list(zip(*out)) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())], names=["word", "toxic", "doc", "around"])
+                    if len(out) >= 200_000:
+                        yield listed(out)
+                        out = set()
+        yield listed(out)
 
     seen = rows.where("not check").select("doc_id", "text", "toxic").mapInArrow(words, "word string, toxic int, doc long, around long")
     # Copies of a text repeat its words in equal surroundings, and a text may repeat a word: the smaller number counts.
