@@ -33,6 +33,12 @@ BLOCK = 1024
 #: Estimated seconds for a filed row and for a comparison, and the number of fingerprints that plans are made for.
 ROW_S, PAIR_S, PLAN_ROWS = 2e-6, 1e-8, 16_000_000
 SKETCH_WORDS = 4
+#: MinHash bands: sets of similarity J agree in a band with probability J ** BAND_ROWS; at 0.8, 3 pairs in 100,000 share none of BANDS.
+BANDS, BAND_ROWS = 20, 4
+#: Differing sketch bits up to which a candidate is verified: over 3.9 standard deviations beyond the mean at a similarity of 0.8, even for sets of 4 and 5.
+LOOSE_BITS = 76
+#: Bytes of shingle hashes that one side of a verifying task holds.
+VERIFY_BYTES = 16 << 20
 
 
 def words(text: str | None) -> list[bytes]:
@@ -71,30 +77,56 @@ def _remix(h: np.ndarray, k: int) -> np.ndarray:
         return x ^ (x >> np.uint64(27))
 
 
+def shingle_set(doc: list[bytes], width: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, in order."""
+    return np.unique(shingle_hashes(doc, width))
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A value for each MinHash band of a set of shingles; sets that agree in a value are candidates."""
+    factors = np.random.default_rng(SEED).integers(0, 1 << 64, (BANDS, BAND_ROWS), np.uint64, False) | np.uint64(1)
+    if not hashes.size:
+        return np.zeros(BANDS, np.int64)
+    mixed, out = _remix(hashes, SKETCH_WORDS), np.zeros(BANDS, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(BAND_ROWS):
+            least = np.asarray([(mixed * f).min() for f in factors[:, k]])
+            out = _remix(out * np.uint64(0x9E3779B97F4A7C15) + least, k)
+    return out.view(np.int64)
+
+
 def fingerprints(docs: DataFrame, width: int = 3, sketch: bool = False) -> DataFrame:
     """doc_id, text_key and fp (64 bits, as a signed long) of every row.
 
-    With ``sketch``, fp is over the distinct words instead, and ``sketch`` holds 256 more bits of SimHash over
-    the distinct shingles of ``width`` words, from which a similarity can be estimated.
+    With ``sketch``, fp is over the distinct words instead; ``sketch`` holds 256 more bits of SimHash over the
+    distinct shingles of ``width`` words, from which a similarity can be estimated; ``bands`` the MinHash bands of
+    the shingles, ``n_set`` their number and ``node`` a hash of them all.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest
+
         for b in batches:
-            fps, sketches = [], []
+            fps, sketches, banded, sizes, nodes = [], [], [], [], []
             for text in b.column("text"):
                 doc = words(text.as_py())
                 if sketch:
-                    hashes = np.unique(shingle_hashes(doc, width))
+                    hashes = shingle_set(doc, width)
+                    banded.append(bands(hashes).astype("<i8").tobytes())
+                    sizes.append(hashes.size)
+                    nodes.append(xxh3_64_intdigest(hashes.astype("<u8").tobytes()))
                     sketches.append(np.asarray([majority(_remix(hashes, k)) for k in range(SKETCH_WORDS)], "<u8").tobytes())
                     fps.append(majority(shingle_hashes(sorted(set(doc)), 1)) if len(set(doc)) > 1 else majority(hashes))
                 else:
                     fps.append(majority(shingle_hashes(doc, width)))
             out = [b.column("doc_id"), b.column("text_key"), pa.array(np.asarray(fps, np.uint64).view(np.int64))]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(sketches, pa.binary())] if sketch else out, names=["doc_id", "text_key", "fp", *["sketch"] * sketch])
+            if sketch:
+                out += [pa.array(sketches, pa.binary()), pa.array(banded, pa.binary()), pa.array(sizes, pa.int32()), pa.array(np.asarray(nodes, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "text_key", "fp", *["sketch", "bands", "n_set", "node"] * sketch])
 
-    return rows.mapInArrow(digest, "doc_id long, text_key long, fp long" + ", sketch binary" * sketch)
+    return rows.mapInArrow(digest, "doc_id long, text_key long, fp long" + ", sketch binary, bands binary, n_set int, node long" * sketch)
 
 
 def bit_counts(nodes: DataFrame) -> tuple[int, np.ndarray]:
@@ -167,10 +199,11 @@ def thresholds(n: int, both: np.ndarray, tau: int, size: int = PLAN_ROWS) -> lis
 def _entries(nodes: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
     """Every node under its own values (probe 0) and the values within the thresholds (probe 1).
 
-    Of two values that differ, the one with a 0 at the lowest differing bit probes the other.
+    Of two values that differ, the one with a 0 at the lowest differing bit probes the other. Nodes with MinHash
+    bands are filed under those too, as partitions after those of the plan.
     """
     sketched = "sketch" in nodes.columns
-    kept = ["node", "fp", *["sketch"] * sketched]
+    kept = ["node", "fp", *["sketch", "n_set"] * sketched]
     flips = [[sum(1 << i for i in c) for j in range(1, t + 1) for c in combinations(range(len(bits)), j)] for bits, t in plan]
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,8 +217,12 @@ def _entries(nodes: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
                     mine = np.flatnonzero(value & (mask & -mask) == 0)
                     row = b.take(pa.array(mine))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(mine.size, part, np.int32)), pa.array(value[mine] ^ mask), pa.array(np.full(mine.size, mask != 0)), *[row.column(c) for c in kept]], names=["part", "value", "probe", *kept])
+            if sketched and b.num_rows:
+                values = np.frombuffer(b"".join(b.column("bands").to_pylist()), "<i8").reshape(-1, BANDS)
+                for k in range(BANDS):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(fp.size, len(plan) + k, np.int32)), pa.array(values[:, k].copy()), pa.array(np.zeros(fp.size, bool)), *[b.column(c) for c in kept]], names=["part", "value", "probe", *kept])
 
-    return nodes.select(*kept).mapInArrow(file, "part int, value long, probe boolean, node long, fp long" + ", sketch binary" * sketched)
+    return nodes.select(*kept, *["bands"] * sketched).mapInArrow(file, "part int, value long, probe boolean, node long, fp long" + ", sketch binary, n_set int" * sketched)
 
 
 def _pairs(probe: np.ndarray, fp: np.ndarray, group: np.ndarray, tau: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -210,11 +247,13 @@ def _pairs(probe: np.ndarray, fp: np.ndarray, group: np.ndarray, tau: int) -> It
                 yield a + lo + i[ok], a + lo + j[ok]
 
 
-def links(nodes: DataFrame, tau: int, sketch_tau: int | None = None) -> DataFrame:
-    """a, b: links that join what is within ``tau`` bits (and ``sketch_tau`` bits of the sketches) of each other.
+def links(nodes: DataFrame, tau: int, similarity: float | None = None) -> DataFrame:
+    """a, b: links that join what is within ``tau`` bits of each other.
 
-    ``nodes``: node (distinct), fp and, where ``sketch_tau`` is given, sketch. Links are not all pairs: those of
-    each task are reduced to as many as keep its nodes connected.
+    With ``similarity``: candidates only, i.e. what is within ``tau`` bits or agrees in a MinHash band, within
+    ``LOOSE_BITS`` of the sketches, and of sizes that allow the similarity. ``nodes``: node (distinct), fp and,
+    for candidates, sketch, bands and n_set. Links are not all pairs: those of each task are reduced to as many
+    as keep its nodes connected.
     """
     spark = nodes.sparkSession
     n, both = bit_counts(nodes)
@@ -238,15 +277,19 @@ def links(nodes: DataFrame, tau: int, sketch_tau: int | None = None) -> DataFram
                 new[1:] |= k[1:] != k[:-1]
             fp, node = rows.column("fp").to_numpy().view(np.uint64), rows.column("node").to_numpy()
             probe = rows.column("probe").to_numpy(zero_copy_only=False)
-            wide = None
-            if sketch_tau is not None:
+            group, banded, wide, outs = np.cumsum(new), keys[0] >= len(plan), None, []
+            if similarity is not None:
                 wide = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), "<u8").reshape(-1, SKETCH_WORDS)
-            outs = []
-            for i, j in _pairs(probe, fp, np.cumsum(new), tau):
-                if wide is not None:
-                    ok = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1) <= sketch_tau
-                    i, j = i[ok], j[ok]
-                outs.append(spanning(node[i], node[j]))
+                sizes = rows.column("n_set").to_numpy()
+            for at, bits in ((np.flatnonzero(~banded), tau), (np.flatnonzero(banded), 64)):  # a band asks nothing of fp
+                for i, j in _pairs(probe[at], fp[at], group[at], bits):
+                    i, j = at[i], at[j]
+                    if wide is not None:
+                        ok = np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j]) - 1e-9
+                        i, j = i[ok], j[ok]
+                        ok = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1) <= LOOSE_BITS
+                        i, j = i[ok], j[ok]
+                    outs.append(spanning(node[i], node[j]))
             a, b = spanning(*[np.concatenate([o[k] for o in outs]) for k in (0, 1)]) if outs else (np.zeros(0, np.int64),) * 2
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -269,16 +312,71 @@ def links(nodes: DataFrame, tau: int, sketch_tau: int | None = None) -> DataFram
     return dealt.mapInArrow(compare, "a long, b long")
 
 
-def components(members: DataFrame, tau: int, sketch_tau: int | None = None) -> DataFrame:
-    """``members`` (doc_id, text_key, fp and, for ``sketch_tau``, sketch) with ``component_id``, the smallest doc_id
-    reachable, and ``keeper``, the (doc_id, text_key) that comes first in the component."""
-    sketched = sketch_tau is not None
-    node = F.xxhash64("fp", "sketch") if sketched else F.col("fp")
-    members = members.withColumn("node", node)
-    one = [F.first(c).alias(c) for c in ("fp", *["sketch"] * sketched)]
+def verified(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, width: int, similarity: float) -> DataFrame:
+    """a, b: links of nodes whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
+
+    ``candidates`` (node, component): only nodes of one component are compared, all with all, by their sets. A
+    component of many bytes is dealt into blocks, and pairs of blocks are compared in separate tasks. Pairs that
+    a task has already joined through others are skipped, as are those whose sizes or sketches rule them out.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    chosen = nodes.join(candidates, "node").select("node", "component", "sketch", "n_set", F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key"))
+    chosen = written(chosen, "candidates")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(8 * F.sum(F.col("n_set").cast("long")) / VERIFY_BYTES), F.lit(1))
+    blocks = written(chosen.groupBy("component").agg(blocks.cast("int").alias("blocks")), "verify-blocks")
+    dealt = chosen.join(blocks, "component").withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_key"), F.col("text").cast("string").alias("text"))
+    texts = dealt.join(texts.hint("merge"), ["_id", "_key"]).select("component", "node", "mine", "blocks", "sketch", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingle_set(words(t.as_py()), width).astype("<u8").tobytes() for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.binary())], names=[*b.schema.names[:-1], "hashes"])
+
+    held = texts.mapInArrow(sets, "component long, node long, mine int, blocks int, sketch binary, hashes binary").dropDuplicates(["node"])
+    held = written(held, "shingle-sets").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    held = held.withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")})
+
+    def compare(key: tuple, rows: pa.Table) -> pa.Table:
+        node, mine = rows.column("node").to_numpy(), rows.column("mine").to_numpy()
+        each = [np.frombuffer(h, "<u8") for h in rows.column("hashes").to_pylist()]
+        wide = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), "<u8").reshape(-1, SKETCH_WORDS)
+        sizes, label, out = np.asarray([h.size for h in each]), np.arange(node.size), []
+        across = key[1].as_py() != key[2].as_py()
+        for i in range(node.size - 1):
+            rest = np.arange(i + 1, node.size)
+            ok = np.minimum(sizes[i], sizes[rest]) >= similarity * np.maximum(sizes[i], sizes[rest]) - 1e-9
+            if across:  # pairs inside a block have a task of their own
+                ok &= mine[rest] != mine[i]
+            rest = rest[ok]
+            rest = rest[np.bitwise_count(wide[i] ^ wide[rest]).sum(axis=1) <= LOOSE_BITS]
+            for j in rest.tolist():
+                if label[i] != label[j]:
+                    both = np.intersect1d(each[i], each[j], assume_unique=True).size
+                    if both >= similarity * (sizes[i] + sizes[j] - both) - 1e-9:
+                        label[label == label[j]] = label[i]
+                        out.append((node[i], node[j]))
+        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
+
+    return held.groupBy("component", "low", "high").applyInArrow(compare, "a long, b long")
+
+
+def components(members: DataFrame, tau: int, docs: DataFrame | None = None, width: int = 5, similarity: float | None = None) -> DataFrame:
+    """``members`` (doc_id, text_key, fp and, for ``similarity``, what ``fingerprints`` adds) with ``component_id``,
+    the smallest doc_id reachable, and ``keeper``, the (doc_id, text_key) that comes first in the component.
+
+    With ``similarity``, the links are candidates verified on the texts of ``docs``.
+    """
+    more = ["sketch", "bands", "n_set"] if similarity is not None else []
+    if not more:
+        members = members.withColumn("node", F.col("fp"))
+    one = [F.first(c).alias(c) for c in ("fp", *more)]
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key"))).alias("first")
     nodes = written(members.groupBy("node").agg(*one, first), "nodes").where("first is not null")
-    labels = connected_components(links(nodes.select("node", "fp", *["sketch"] * sketched), tau, sketch_tau))
+    labels = connected_components(links(nodes.select("node", "fp", *more), tau, similarity))
+    if more:
+        labels = connected_components(verified(docs, nodes, labels, width, similarity))
     labelled = nodes.join(labels, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     labelled = written(labelled, "labelled")
     least = written(labelled.groupBy("component").agg(F.min("first").alias("keeper")), "keepers")
@@ -294,21 +392,16 @@ def near_duplicates(docs: DataFrame, width: int = 3, tau: int = 2) -> DataFrame:
     return components(members, tau).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def sketch_bits(similarity: float) -> int:
-    """Differing bits of the sketches at which two sets of about equal size have that Jaccard similarity."""
-    cosine = 2 * similarity / (1 + similarity)
-    return int(np.arccos(cosine) / np.pi * 64 * SKETCH_WORDS)
-
-
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, tau: int = 7) -> DataFrame:
     """``docs`` without the rows that are near-copies of an earlier one.
 
-    Candidates are within ``tau`` bits by their distinct words; a link needs an estimated similarity of the
-    ``width``-word shingles of at least ``similarity``, by 256 bits of SimHash. Of each group of linked rows the
-    first by doc_id stays. Rows without doc_id stay; rows equal in doc_id and text are one document.
+    Candidates are within ``tau`` bits by their distinct words or agree in a MinHash band of their ``width``-word
+    shingles; a link needs a Jaccard similarity of the shingles of at least ``similarity``, which is computed. Of
+    each group of linked rows the first by doc_id stays. Rows without doc_id stay; rows equal in doc_id and text
+    are one document.
     """
     members = written(fingerprints(docs, width, sketch=True), "sketches")
-    found = components(members, tau, sketch_bits(similarity))
+    found = components(members, tau, docs, width, similarity)
     removed = found.where("keeper is not null and (doc_id <> keeper.doc_id or text_key <> keeper.text_key)").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
     removed = written(removed, "near-copies")
     return docs.join(removed.hint("merge"), (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_anti")

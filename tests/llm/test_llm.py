@@ -271,6 +271,24 @@ def test_keep_one(spark):
     assert sorted(r.doc_id or 0 for r in kept) == [0, 1, 3] and simhash.keep_one(docs(spark, [])).count() == 0
 
 
+def test_keep_one_finds_every_near_copy(spark):
+    """Truncated and edited copies at a similarity of 0.8 and more lose one side; those under 0.8 stay."""
+    rng = random.Random(11)
+
+    def jaccard(a, b):
+        a, b = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+        return len(a & b) / len(a | b)
+
+    texts, expected = [], set()
+    for i in range(120):
+        w = [f"w{i}x{rng.randrange(400)}" for _ in range(rng.randrange(60, 400))]
+        copy = w[: round(len(w) * rng.uniform(0.76, 0.9))] if i % 2 else [x if rng.random() > 0.03 else f"q{rng.random()}" for x in w]
+        texts += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(copy))]
+        expected |= {2 * i} if jaccard(w, copy) >= 0.8 else {2 * i, 2 * i + 1}
+    assert 140 < len(expected) < 220
+    assert {r.doc_id for r in simhash.keep_one(docs(spark, texts)).collect()} == expected
+
+
 # Languages
 
 
