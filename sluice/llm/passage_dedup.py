@@ -1,13 +1,16 @@
 """Operator 6: passages that repeat across or within documents, by hashes of normalised units.
 
-A unit is a sentence: a stretch of a line up to a sentence mark before white space. Units of at least
-``MIN_WORDS`` words are normalised (lower case, single spaces, no closing marks) and known by 128 bits of hash.
-Of equal units over all documents the first (by doc_id, then hash of the text, then position) stays; the others
-are to be removed, and keep their places in the original text (code points, end exclusive).
-
-Cases: a null or empty text has no units; shorter units never count; rows equal in doc_id and text are one
-document; null ids come first; an empty table gives an empty result; other columns are ignored, or passed
-along by ``remove``.
+Units are whole lines, whatever their length, and runs of sentences (stretches of a line up to a sentence mark):
+from each sentence on, and up to each sentence back, as many as reach ``MIN_WORDS`` words, over line breaks too.
+A sentence that is long enough is a run of its own; short sentences are covered from wherever a passage begins to
+wherever it ends. Units are normalised (lower case, single spaces, no closing marks) and known by 128 bits of
+hash. Of equal units over all documents the first (by doc_id, then hash of the text, then position) stays; the
+others are to be removed, and keep their places in the original text (code points, end exclusive). Places may
+overlap. What overlaps its own first occurrence stays, so that a copy of each repeated sentence is left.
+
+Cases: a null or empty text has no units; lines without a letter or digit are none by themselves; in texts without
+spaces, ``WORD_CHARS`` characters count as a word; rows equal in doc_id and text are one document; null ids come
+first; an empty table gives an empty result; other columns are ignored, or passed along by ``remove``.
 """
 
 from __future__ import annotations
@@ -24,22 +27,47 @@ from pyspark.sql import types as T
 from .common import small_batches, written
 
 MIN_WORDS = 8
-_BREAK = re.compile(r"[.!?]+(?=\s)|\n")
+WORD_CHARS = 12
+_BREAK = re.compile(r"[.!?]+(?=\s)|[\u3002\uff01\uff1f]+|\n")
 _KEY = ("doc_id", "text_key")
-_FIELDS = ["doc_id", "text_key", "unit", "start", "end", "n_words", "h1", "h2"]
+_FIELDS = ["doc_id", "text_key", "start", "end", "n_words", "h1", "h2"]
 
 
-def units(text: str | None) -> Iterator[tuple[int, int, str, int]]:
-    """(start, end, normalised, words) of every unit of a text."""
+def units(text: str | None, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, str, int]]:
+    """(start, end, normalised, words) of every unit of a text, each place once."""
     if not text:
         return
-    begin = 0
+    begin, opens, parts, spans = 0, 0, [], set()  # spans: first and last sentence of each unit
     for end in [*(m.end() for m in _BREAK.finditer(text)), len(text)]:
-        words = text[begin:end].lower().split()
+        piece = text[begin:end]
+        words = piece.lower().split()
         if words:
-            start = begin + len(text[begin:end]) - len(text[begin:end].lstrip())
-            yield start, begin + len(text[begin:end].rstrip()), " ".join(words).rstrip(".!?"), len(words)
+            start, stop = begin + len(piece) - len(piece.lstrip()), begin + len(piece.rstrip())
+            parts.append((start, stop, " ".join(words), len(words), max(len(words), (stop - start) // WORD_CHARS)))
+        if piece.endswith("\n") or end == len(text):
+            if len(parts) > opens and any(c.isalnum() for c in text[parts[opens][0] : parts[-1][1]]):
+                spans.add((opens, len(parts) - 1))
+            opens = len(parts)
         begin = end
+    sizes = [p[4] for p in parts]
+    last = held = 0
+    for i, n in enumerate(sizes):  # forward runs
+        while held < min_words and last < len(sizes):
+            held, last = held + sizes[last], last + 1
+        if held >= min_words:
+            spans.add((i, last - 1))
+        held -= n
+    first = len(sizes) - 1
+    held = 0
+    for i in range(len(sizes) - 1, -1, -1):  # backward runs
+        while held < min_words and first >= 0:
+            held, first = held + sizes[first], first - 1
+        if held >= min_words:
+            spans.add((first + 1, i))
+        held -= sizes[i]
+    for i, j in sorted(spans):
+        run = parts[i : j + 1]
+        yield run[0][0], run[-1][1], " ".join(p[2] for p in run).rstrip(".!?\u3002\uff01\uff1f"), sum(p[3] for p in run)
 
 
 def _units(docs: DataFrame, min_words: int) -> DataFrame:
@@ -53,12 +81,11 @@ def _units(docs: DataFrame, min_words: int) -> DataFrame:
             out: list[tuple] = []
             digests: list[bytes] = []
             for doc, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                for n, (start, end, unit, words) in enumerate(units(text.as_py())):
-                    if words >= min_words:
-                        out.append((doc, key, n, start, end, words))
-                        digests.append(xxh3_128_digest(unit.encode("utf-8", "surrogatepass")))
+                for start, end, unit, words in units(text.as_py(), min_words):
+                    out.append((doc, key, start, end, words))
+                    digests.append(xxh3_128_digest(unit.encode("utf-8", "surrogatepass")))
             h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            columns = list(zip(*out)) if out else [()] * 6
+            columns = list(zip(*out)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], names=_FIELDS)
 
     return rows.mapInArrow(listed, ", ".join(f"`{f}` long" for f in _FIELDS))
@@ -67,10 +94,11 @@ def _units(docs: DataFrame, min_words: int) -> DataFrame:
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """A row for each unit to be removed: doc_id, text_key, start, end, n_words, first_doc_id and copies (occurrences in all)."""
     every = written(_units(docs, min_words), "units")
-    here = F.struct(*_KEY, "unit")
+    here = F.struct(*_KEY, "start", "end")
     firsts = every.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count("*").alias("copies")).where("copies > 1")
     firsts = written(firsts, "first-units")
-    later = every.join(firsts.hint("merge"), ["h1", "h2"]).where(~here.eqNullSafe(F.col("first")))
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    later = every.join(firsts.hint("merge"), ["h1", "h2"]).where(~(same & (F.col("start") < F.col("first.end"))))
     return later.select(*_KEY, "start", "end", "n_words", F.col("first.doc_id").alias("first_doc_id"), "copies")
 
 
@@ -90,7 +118,7 @@ def remove(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 whole, at, parts = text.as_py(), 0, []
                 for p in places.as_py() or []:
                     parts.append(whole[at : p["start"]])
-                    at = p["end"]
+                    at = max(at, p["end"])
                 kept.append(whole if not places.is_valid else "".join([*parts, whole[at:]]))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(kept, pa.string())], names=[*b.schema.names, "kept_text"])
 

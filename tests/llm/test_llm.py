@@ -204,6 +204,15 @@ def test_passages(spark):
     assert passage_dedup.repeats(docs(spark, [])).count() == 0
 
 
+def test_passages_of_short_units(spark):
+    passage = " ".join(f"Word{i} is {'here' if i % 3 else 'now'}." for i in range(16)) + " Yes."
+    shouts = " ".join(f"SHOUT{i}!!" for i in range(30))
+    texts = [(1, f"A start. {passage} The end."), (2, f"Something else. {passage} And more."), (3, shouts), (4, shouts), (5, "short line\nown words"), (6, "other words\nShort  line"), (7, "Ha! " * 30)]
+    kept = {r.doc_id: " ".join(r.kept_text.split()) for r in passage_dedup.remove(docs(spark, texts)).collect()}
+    assert kept[1] == texts[0][1] and kept[3] == shouts and kept[5].split() == texts[4][1].split()
+    assert kept[2] == "Something else. And more." and kept[4] == "" and kept[6] == "other words" and kept[7] == ("Ha! " * 8).strip()
+
+
 # SimHash
 
 
