@@ -442,6 +442,18 @@ def test_disclosing_terms(spark):
     assert "zeph@mail.org" not in clean[0] and "[EMAIL]" in clean[0]
 
 
+def test_disclosing_terms_far_from_the_entity(spark):
+    """A term in another sentence, and in a document without the entity, is found."""
+    rng = random.Random(3)
+    plain = "house tree water stone light paper river cloud seven green".split()
+    fill = lambda n: " ".join(rng.choices(plain, k=n))
+    texts = [(i, f"Quillimore {fill(40)}. {fill(20)} q@mail.org {fill(20)}") for i in range(5)]
+    texts += [(50, f"{fill(9)} quillimore {fill(9)}")] + [(100 + i, fill(40)) for i in range(300)]
+    got = {r.doc_id: r for r in pii.summary(docs(spark, texts)).collect()}
+    assert [got[i].n_term for i in (*range(5), 50)] == [1] * 6 and sum(got[100 + i].n_term for i in range(300)) == 0
+    assert got[0].spans.endswith("term:0:10")
+
+
 # Pipeline
 
 
