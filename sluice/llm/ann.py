@@ -1,18 +1,19 @@
 """Operator 2: nearest neighbours by a permutation index.
 
-Every vector is represented by the order of its nearest pivots. Vectors are dealt into blocks; a block keeps
-an inverted file (pivot -> the vectors that have it among their nearest, with its rank). A block of queries is
-matched against each block of vectors: the files of the query's pivots give Spearman footrule distances (a
-pivot that is missing counts as ranked after the last), the share of the block with the least distances, ties
-included, is reranked by inner products in double precision, and the best of all blocks are merged as they come.
+Every vector is represented by the order of its nearest pivots and posted once, in the pivot inverted files of one
+shard (pivot -> the vectors that rank it among their nearest, with its rank). A query reads only the files of its
+own nearest pivots there: what they hold adds up to Spearman's footrule distances (a pivot that is missing counts as
+ranked after the last). The vectors of least distance, ties included, are reranked by inner products in double
+precision, and the best of all shards are merged.
 
-Pivots are a bounded sample of the rows, in order of a hash; every row is indexed. The share that is reranked
-grows with the data; it is set by ``rerank``.
+Pivots are a bounded sample of the rows, in order of a hash; every row is indexed. A shard has a bounded number of
+rows, and queries pass through it as a stream. The share of the rows that is reranked falls as rows become more
+(``rerank_share``, read off recall curves: see the README).
 
 Cases: vectors that are null, zero or hold a null or non-finite component take no part, nor do rows with a
-null vec_id; vectors of another length than most pivots' are compared with none of different length; a vector
-with more than one row counts once for each different embedding; equal scores go to the smaller vec_id; an
-empty table gives an empty result; other columns are ignored.
+null vec_id; vectors are compared with those of equal length only, without an index where most pivots have another
+length; a vector with more than one row counts once for each different embedding; equal scores go to the smaller
+vec_id; fewer rows than ``k`` give all of them; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +27,14 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-PIVOTS, PREFIX, RERANK = 192, 32, 0.4
-BLOCK_ROWS, QUERY_ROWS, SHARDS = 1024, 256, 4
+PIVOTS, PREFIX = 192, 64
+#: Rows of a shard at most (on average), and the number of shards at least.
+SHARD_ROWS, SHARDS = 1 << 16, 16
+
+
+def rerank_share(rows: int) -> float:
+    """Share of the rows that is reranked: 0.26 of 1,000, 0.11 of 50,000, 0.013 of 1,000,000,000."""
+    return min(1.0, 0.22 * (max(rows, 1) / 2000) ** -0.214)
 
 
 def usable(df: DataFrame, vec: str = "embedding") -> DataFrame:
@@ -39,145 +46,102 @@ def usable(df: DataFrame, vec: str = "embedding") -> DataFrame:
 
 
 def pivots_of(rows: DataFrame, pivots: int = PIVOTS) -> np.ndarray:
-    """At most ``pivots`` different vectors, of the length that most of the sample has."""
-    sample = [np.asarray(r[0]) for r in rows.groupBy("v").agg(F.min("vec_id").alias("vec_id")).orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).select("v").collect()]
+    """At most ``pivots`` different vectors among the first rows by a hash of vec_id, of the length that most of these have."""
+    sample = [np.asarray(r[0]) for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(8 * pivots).select("v").collect()]
     if not sample:
         return np.zeros((0, 0))
     lengths = [len(v) for v in sample]
     common = max(set(lengths), key=lambda n: (lengths.count(n), n))
-    p = np.stack([v for v in sample if len(v) == common])
+    p = np.stack(list({v.tobytes(): v for v in sample if len(v) == common}.values())[:pivots])
     return p / np.linalg.norm(p, axis=1, keepdims=True)
 
 
 def permutation(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """Numbers of the ``prefix`` nearest pivots of each vector, nearest first."""
-    return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :prefix].astype(np.int16)
-
-
-def footrule_gain(queries: np.ndarray, block: np.ndarray, n_pivots: int) -> np.ndarray:
-    """How far each pair's footrule distance lies below that of permutations that share no pivot.
-
-    With l ranks kept, a shared pivot at ranks a and b saves 2 * (l - max(a, b)).
-    """
-    prefix = block.shape[1]
-    order = np.argsort(block.ravel(), kind="stable")  # the inverted file: rows and ranks by pivot
-    rows, ranks = order // prefix, order % prefix
-    begin = np.searchsorted(block.ravel()[order], np.arange(n_pivots + 1)).tolist()
-    saves = 2.0 * (prefix - np.maximum(ranks[None, :], np.arange(prefix)[:, None]))
-    out = np.empty((len(queries), len(block)), np.int32)
-    for q, pivots in enumerate(queries.tolist()):
-        files = [slice(begin[p], begin[p + 1]) for p in pivots]
-        out[q] = np.bincount(np.concatenate([rows[f] for f in files]), np.concatenate([saves[at, f] for at, f in enumerate(files)]), len(block))
-    return out
-
-
-def top_of_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, k: int, prefix: int, rerank: float) -> list[tuple[np.ndarray, ...]]:
-    """(query_id, vec_id, score) of each query's k best in a block."""
-    if q.shape[1] == pivots.shape[1]:
-        prefix = min(prefix, len(pivots))
-        gain = footrule_gain(permutation(q, pivots, prefix), permutation(x, pivots, prefix), len(pivots))
-        keep = min(len(x), max(k + 1, int(np.ceil(rerank * len(x)))))
-        least = np.partition(gain, len(x) - keep, axis=1)[:, len(x) - keep]
-        near = gain >= least[:, None]  # with ties
-    else:  # no pivots of that length
-        near = np.ones((len(q), len(x)), bool)
-    out = []
-    for i in range(len(q)):
-        at = np.flatnonzero(near[i])
-        at = at[ids[at] != q_ids[i]]
-        rough = x[at] @ q[i]
-        if at.size > k:  # summed in one fixed order below, as near ties are ordered by the last bits
-            kth = np.partition(rough, at.size - k)[at.size - k]
-            at = at[rough >= kth - 1e-9 * (1 + abs(kth))]
-        score = (x[at] * q[i]).sum(axis=1)
-        best = np.lexsort((ids[at], -score))[:k]
-        out.append((np.full(best.size, q_ids[i]), ids[at][best], score[best]))
-    return out
-
-
-class _Match:
-    """One block of queries against a stream of vectors; keeps the k best found so far of each query."""
-
-    def __init__(self, pivots: np.ndarray, k: int, prefix: int, rerank: float):
-        self.how = (pivots, k, prefix, rerank)
-        self.k = k
-        self.q_ids: list[np.ndarray] = []
-        self.q: list[np.ndarray] = []
-        self.ids: list[np.ndarray] = []
-        self.x: list[np.ndarray] = []
-        self.waiting = 0
-        self.best: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def add(self, ids: np.ndarray, v: np.ndarray, asked: np.ndarray) -> None:
-        if asked.any():
-            self.q_ids.append(ids[asked])
-            self.q.append(v[asked])
-        self.ids.append(ids[~asked])
-        self.x.append(v[~asked])
-        self.waiting += int((~asked).sum())
-        while self.waiting >= BLOCK_ROWS:
-            self.block(BLOCK_ROWS)
-
-    def block(self, n: int) -> None:
-        ids, x = np.concatenate(self.ids), np.concatenate(self.x)
-        self.ids, self.x, self.waiting = [ids[n:]], [x[n:]], len(ids) - n
-        if not self.q:
-            return
-        if len(self.q) > 1:
-            self.q_ids, self.q = [np.concatenate(self.q_ids)], [np.concatenate(self.q)]
-        found = top_of_block(self.q_ids[0], self.q[0], ids[:n], x[:n], *self.how)
-        for i, (_, v, s) in enumerate(found):
-            if i < len(self.best):
-                v, s = np.concatenate([self.best[i][0], v]), np.concatenate([self.best[i][1], s])
-                top = np.lexsort((v, -s))[: self.k]
-                self.best[i] = (v[top], s[top])
-            else:
-                self.best.append((v, s))
-
-    def result(self) -> pa.RecordBatch:
-        if self.waiting:
-            self.block(self.waiting)
-        q = np.concatenate(self.q_ids) if self.q_ids else np.zeros(0, np.int64)
-        sizes = [v.size for v, _ in self.best]
-        columns = [np.repeat(q[: len(sizes)], sizes), *(np.concatenate([b[k] for b in self.best]) if self.best else np.zeros(0) for k in (0, 1))]
-        return pa.RecordBatch.from_arrays([pa.array(columns[0].astype(np.int64)), pa.array(columns[1].astype(np.int64)), pa.array(columns[2].astype(float))], names=["query_id", "vec_id", "score"])
-
-
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PIVOTS, prefix: int = PREFIX, rerank: float = RERANK) -> DataFrame:
+    return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :prefix]
+
+
+class Shard:
+    """Vectors of one length with their pivot inverted files."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, prefix: int, share: float):
+        self.ids, self.x, self.pivots, self.share = ids, x, pivots, share
+        self.prefix = min(prefix, len(pivots)) if x.shape[1] == pivots.shape[1] else 0
+        if self.prefix:
+            near = np.concatenate([permutation(x[lo : lo + 8192], pivots, self.prefix) for lo in range(0, len(x), 8192)]).astype(np.int16).ravel()
+            order = np.argsort(near, kind="stable")
+            self.rows, self.ranks = (order // self.prefix).astype(np.int32), (order % self.prefix).astype(np.int16)
+            self.begin = np.searchsorted(near[order], np.arange(len(pivots) + 1)).tolist()
+
+    def gain(self, near: np.ndarray) -> np.ndarray:
+        """How far the footrule distances of all rows lie below that of permutations that share no pivot, halved.
+
+        With l ranks kept, a shared pivot at ranks a and b saves 2 * (l - max(a, b)).
+        """
+        files = [slice(self.begin[p], self.begin[p + 1]) for p in near.tolist()]
+        at = np.repeat(np.arange(self.prefix, dtype=np.int16), [f.stop - f.start for f in files])
+        saves = self.prefix - np.maximum(np.concatenate([self.ranks[f] for f in files]), at)
+        return np.bincount(np.concatenate([self.rows[f] for f in files]), saves, len(self.x))
+
+    def search(self, q_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query_id, vec_id, score) of each query's k best among the rows of least footrule distance."""
+        keep = min(len(self.x), max(k + 1, int(np.ceil(self.share * len(self.x)))))
+        near = permutation(q, self.pivots, self.prefix) if self.prefix else None
+        for i in range(len(q)):
+            at = np.arange(len(self.x))
+            if near is not None and keep < len(self.x):
+                gain = self.gain(near[i])
+                at = np.flatnonzero(gain >= np.partition(gain, len(gain) - keep)[len(gain) - keep])  # with ties
+            at = at[self.ids[at] != q_ids[i]]
+            rough = self.x[at] @ q[i]
+            if at.size > k:  # summed in one fixed order below, as near ties are ordered by the last bits
+                kth = np.partition(rough, at.size - k)[at.size - k]
+                at = at[rough >= kth - 1e-9 * (1 + abs(kth))]
+            score = (self.x[at] * q[i]).sum(axis=1)
+            best = np.lexsort((self.ids[at], -score))[:k]
+            yield np.full(best.size, q_ids[i]), self.ids[at][best], score[best]
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PIVOTS, prefix: int = PREFIX, rerank: float | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of each query's k nearest found. Both frames: ``usable`` rows.
 
-    Blocks of queries are sent to ``SHARDS`` parts of the vectors; a task reads a part as a stream, block by block.
+    Vectors are shuffled once, to their shards; queries are sent to all shards. ``rerank``: the share of the rows that
+    is reranked, by ``rerank_share`` if not given.
     """
-    rows = written(vectors, "vectors")
-    asked = written(queries, "queries")
-    p = pivots_of(rows, pivots)
-    groups = max(1, -(-asked.count() // QUERY_ROWS))
-    hashed = F.xxhash64("vec_id", "v")
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    keys = [F.size("v").alias("size"), hashed.alias("h"), "vec_id", "v"]
-    data = rows.select(every(groups).alias("block"), F.pmod(hashed, F.lit(SHARDS)).cast("int").alias("shard"), F.lit(1).alias("kind"), *keys)
-    ask = asked.select(F.pmod(hashed, F.lit(groups)).cast("int").alias("block"), every(SHARDS).alias("shard"), F.lit(0).alias("kind"), *keys)
-    on = ["block", "shard", "size"]
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = data.unionByName(ask).repartition(parts, *on).sortWithinPartitions(*on, "kind", "h", "vec_id")
+    rows, asked = written(vectors, "vectors"), written(queries, "queries")
+    p, n = pivots_of(rows, pivots), rows.count()
+    share = rerank_share(n) if rerank is None else rerank
+    shards = max(SHARDS, -(-n // shard_rows))
+    on = ["size", "shard"]
+    mine = F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int")
+    data = rows.select(F.size("v").alias("size"), mine.alias("shard"), F.lit(False).alias("asks"), "vec_id", "v")
+    ask = asked.select(F.size("v").alias("size"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asks"), "vec_id", "v")
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards)
+    dealt = data.unionByName(ask).repartition(parts, *on).sortWithinPartitions(*on, "asks")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, task = None, None
+        now, held, shard = None, [], None
         for b in batches:
             if not b.num_rows:
                 continue
-            names = [b.column(c).to_numpy() for c in on]
-            change = np.flatnonzero(np.any([n[1:] != n[:-1] for n in names], axis=0)) + 1
-            ids, kind, v = b.column("vec_id").to_numpy(), b.column("kind").to_numpy(), b.column("v")
+            names = [b.column(c).to_numpy(zero_copy_only=False) for c in [*on, "asks"]]
+            change = np.flatnonzero(np.any([x[1:] != x[:-1] for x in names], axis=0)) + 1
+            ids, v = b.column("vec_id").to_numpy(), b.column("v")
             for lo, hi in zip([0, *change.tolist()], [*change.tolist(), b.num_rows]):
-                key = tuple(int(n[lo]) for n in names)
-                if key != now:
-                    if task is not None:
-                        yield task.result()
-                    now, task = key, _Match(p, k, prefix, rerank)
-                task.add(ids[lo:hi], v.slice(lo, hi - lo).flatten().to_numpy().reshape(hi - lo, key[2]), kind[lo:hi] == 0)
-        if task is not None:
-            yield task.result()
+                size, number, asks = (x[lo] for x in names)
+                if (size, number) != now:
+                    now, held, shard = (size, number), [], None
+                x = v.slice(lo, hi - lo).flatten().to_numpy().reshape(hi - lo, size)
+                if not asks:
+                    held.append((ids[lo:hi], x))
+                    continue
+                if not held:  # no vectors of that length here
+                    continue
+                shard = shard or Shard(*map(np.concatenate, zip(*held)), p, prefix, share)
+                for at in range(0, hi - lo, 1024):
+                    found = list(shard.search(ids[lo:hi][at : at + 1024], x[at : at + 1024], k))
+                    columns = [np.concatenate([f[c] for f in found]) for c in range(3)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
 
     best = dealt.mapInArrow(match, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
