@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,10 +40,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_columns_free(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """``df`` with only the columns in ``names``; columns that are absent become null."""
-    have = set(df.columns)
-    return df.select(*[F.col(f"`{n}`") if n in have else F.lit(None).alias(n) for n in names])
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def crc_mod(column: str, modulus: int) -> Column:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free_names, written
 
 LINES = 3
 _KEY = ("doc_id", "text_key")
@@ -58,28 +58,29 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with ``kept_text`` (the text without repeated lines), n_lines, n_removed and ``ranges`` added."""
     ranges = written(repeated_ranges(docs), "line-ranges")
-    found = ranges.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "ranges")
     base = docs.drop("kept_text", "n_lines", "n_removed", "ranges")
-    joined = base.join(found.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
+    i, k, lines = free_names(base, "id", "key", "lines")
+    found = ranges.select(F.col("doc_id").alias(i), F.col("text_key").alias(k), "ranges")
+    joined = base.join(found.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(k)), "left")
     gaps = F.transform(
         F.sequence(F.lit(0), F.size("ranges")),
         lambda i: F.slice(
-            "lines",
+            lines,
             F.when(i == 0, 1).otherwise(F.get("ranges", i - 1)["last"] + 2),
-            F.when(i == F.size("ranges"), F.size("lines")).otherwise(F.get("ranges", i)["first"]) - F.when(i == 0, 0).otherwise(F.get("ranges", i - 1)["last"] + 1),
+            F.when(i == F.size("ranges"), F.size(lines)).otherwise(F.get("ranges", i)["first"]) - F.when(i == 0, 0).otherwise(F.get("ranges", i - 1)["last"] + 1),
         ),
     )
     removed = F.aggregate("ranges", F.lit(0), lambda a, r: a + r["last"] - r["first"] + 1)
     return (
-        joined.withColumn("lines", _lines())
+        joined.withColumn(lines, _lines())
         .withColumns(
             {
                 "kept_text": F.when(F.col("ranges").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(gaps), "\n")),
-                "n_lines": F.coalesce(F.when(F.length("text") > 0, F.size("lines")), F.lit(0)).cast("long"),
+                "n_lines": F.coalesce(F.when(F.length("text") > 0, F.size(lines)), F.lit(0)).cast("long"),
                 "n_removed": F.coalesce(F.when(F.col("ranges").isNotNull(), removed), F.lit(0)).cast("long"),
             }
         )
-        .drop("_id", "_key", "lines")
+        .drop(i, k, lines)
     )
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import free_names, small_batches, written
 from .graph import connected_components, spanning
 
 SEED = 42
@@ -402,6 +402,7 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, tau: int
     """
     members = written(fingerprints(docs, width, sketch=True), "sketches")
     found = components(members, tau, docs, width, similarity)
-    removed = found.where("keeper is not null and (doc_id <> keeper.doc_id or text_key <> keeper.text_key)").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    removed = written(removed, "near-copies")
-    return docs.join(removed.hint("merge"), (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_anti")
+    removed = found.where("keeper is not null and (doc_id <> keeper.doc_id or text_key <> keeper.text_key)").select("doc_id", "text_key").distinct()
+    i, k = free_names(docs, "id", "key")
+    removed = written(removed, "near-copies").toDF(i, k)
+    return docs.join(removed.hint("merge"), (F.col("doc_id").cast("long") == F.col(i)) & (F.xxhash64("text") == F.col(k)), "left_anti")
