@@ -1,16 +1,19 @@
 """Operator 6: passages that repeat across or within documents, by hashes of normalised units.
 
-Units are whole lines, whatever their length, and runs of sentences (stretches of a line up to a sentence mark):
-from each sentence on, and up to each sentence back, as many as reach ``MIN_WORDS`` words, over line breaks too.
-A sentence that is long enough is a run of its own; short sentences are covered from wherever a passage begins to
-wherever it ends. Units are normalised (lower case, single spaces, no closing marks) and known by 128 bits of
-hash. Of equal units over all documents the first (by doc_id, then hash of the text, then position) stays; the
-others are to be removed, and keep their places in the original text (code points, end exclusive). Places may
-overlap. What overlaps its own first occurrence stays, so that a copy of each repeated sentence is left.
-
-Cases: a null or empty text has no units; lines without a letter or digit are none by themselves; in texts without
-spaces, ``WORD_CHARS`` characters count as a word; rows equal in doc_id and text are one document; null ids come
-first; an empty table gives an empty result; other columns are ignored, or passed along by ``remove``.
+Units are lines, and runs of sentences (stretches of a line up to a sentence mark): from each sentence on, and up to
+each sentence back, as many as reach ``MIN_WORDS`` words, over line breaks too. A line or sentence that is long enough
+is a unit of its own; shorter ones are covered, with what stands beside them, from wherever a passage begins to
+wherever it ends; a text of fewer words is one unit. (With shorter lines as units, chance repeats such as one-word
+lines touch close to half of the documents that repeat no passage.) Units are normalised (lower case, single spaces,
+no closing marks) and known by 128 bits of hash. Of equal units over all documents the first (by doc_id, then hash of
+the text, then position) stays; the others are to be removed, and keep their places in the original text (code
+points, end exclusive). Places may overlap. What overlaps its own first occurrence stays, so that a copy of each
+repeated sentence is left.
+
+Cases: a null or empty text has no units; a line without a letter or digit is none by itself; in texts without
+spaces, ``WORD_CHARS`` characters count as a word; rows equal in doc_id and text are one document, whose places are
+listed for each of them; null ids come first; an empty table gives an empty result; other columns are ignored, or
+passed along by ``remove``, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, written
+from .common import free_names, small_batches, written
 
-MIN_WORDS = 8
+MIN_WORDS = 12
 WORD_CHARS = 12
 _BREAK = re.compile(r"[.!?]+(?=\s)|[\u3002\uff01\uff1f]+|\n")
 _KEY = ("doc_id", "text_key")
@@ -45,11 +48,13 @@ def units(text: str | None, min_words: int = MIN_WORDS) -> Iterator[tuple[int, i
             start, stop = begin + len(piece) - len(piece.lstrip()), begin + len(piece.rstrip())
             parts.append((start, stop, " ".join(words), len(words), max(len(words), (stop - start) // WORD_CHARS)))
         if piece.endswith("\n") or end == len(text):
-            if len(parts) > opens and any(c.isalnum() for c in text[parts[opens][0] : parts[-1][1]]):
+            if sum(p[4] for p in parts[opens:]) >= min_words and any(c.isalnum() for c in text[parts[opens][0] : parts[-1][1]]):
                 spans.add((opens, len(parts) - 1))
             opens = len(parts)
         begin = end
     sizes = [p[4] for p in parts]
+    if 0 < sum(sizes) < min_words and any(map(str.isalnum, text)):
+        spans.add((0, len(parts) - 1))
     last = held = 0
     for i, n in enumerate(sizes):  # forward runs
         while held < min_words and last < len(sizes):
@@ -92,24 +97,24 @@ def _units(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """A row for each unit to be removed: doc_id, text_key, start, end, n_words, first_doc_id and copies (occurrences in all)."""
+    """A row for each unit to be removed: doc_id, text_key, start, end, n_words, and first_doc_id and first_start of what stays."""
     every = written(_units(docs, min_words), "units")
     here = F.struct(*_KEY, "start", "end")
-    firsts = every.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    firsts = every.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     firsts = written(firsts, "first-units")
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
     later = every.join(firsts.hint("merge"), ["h1", "h2"]).where(~(same & (F.col("start") < F.col("first.end"))))
-    return later.select(*_KEY, "start", "end", "n_words", F.col("first.doc_id").alias("first_doc_id"), "copies")
+    return later.select(*_KEY, "start", "end", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
 
 
 def remove(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with ``kept_text``, and ``removed``: the (start, end) places that were cut from the original text."""
     small_batches(docs.sparkSession)
     cuts = repeats(docs, min_words).distinct().groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
-    cuts = written(cuts.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "removed"), "unit-cuts")
     base = docs.drop("removed", "kept_text")
-    joined = base.join(cuts.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
-    joined = joined.drop("_id", "_key")
+    i, k = free_names(base, "id", "key")
+    cuts = written(cuts, "unit-cuts").toDF(i, k, "removed")
+    joined = base.join(cuts.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(k)), "left").drop(i, k)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

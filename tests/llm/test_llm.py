@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sluice.llm import ann, decontam, graph, langid, line_dedup, packing, passage_dedup, pii, simhash, token_store, toxicity
 from sluice.llm.queries import tokenizer_path
@@ -193,24 +194,77 @@ def test_lines(spark):
 # Passages
 
 
+def units_by_hand(text, least):
+    """Every unit by trying all runs of sentences: (start, end, normalised)."""
+    sentences, begin = [], 0
+    for m in [*re.finditer(r"[.!?]+(?=\s)|[\u3002\uff01\uff1f]+|\n", text or ""), None]:
+        end = m.end() if m else len(text or "")
+        piece = (text or "")[begin:end]
+        if piece.split():
+            start = begin + len(piece) - len(piece.lstrip())
+            stop = begin + len(piece.rstrip())
+            sentences.append((start, stop, piece.lower().split(), (text or "")[:start].count("\n")))
+        begin = end
+    n, out = len(sentences), set()
+    size = lambda i, j: sum(max(len(w), (e - s) // passage_dedup.WORD_CHARS) for s, e, w, _ in sentences[i : j + 1])
+    for i in range(n):
+        for j in range(i, n):
+            lines = {s[3] for s in sentences[i : j + 1]}
+            whole_line = len(lines) == 1 and (i == 0 or sentences[i - 1][3] not in lines) and (j == n - 1 or sentences[j + 1][3] not in lines)
+            letters = any(c.isalnum() for c in text[sentences[i][0] : sentences[j][1]])
+            enough = size(i, j) >= least
+            if (
+                enough and i <= j and (i == j or size(i, j - 1) < least)
+                or enough and (i == j or size(i + 1, j) < least)
+                or whole_line and enough and letters
+                or i == 0 and j == n - 1 and not enough and letters
+            ):
+                unit = " ".join(" ".join(w) for _, _, w, _ in sentences[i : j + 1]).rstrip(".!?\u3002\uff01\uff1f")
+                out.add((sentences[i][0], sentences[j][1], unit))
+    return out
+
+
+def repeats_by_hand(texts, least):
+    first, rows = {}, []
+    for k, t in sorted({(k, t) for k, t in texts if t}, key=lambda x: (x[0] is not None, x[0] or 0)):
+        for start, end, unit in sorted(units_by_hand(t, least)):
+            at = first.setdefault(unit, (k, t, start, end))
+            if not (at[:2] == (k, t) and start < at[3]):
+                rows.append((k, start, end, at[0], at[2]))
+    return sorted(rows)
+
+
+def test_passages_against_brute_force(spark):
+    rng = random.Random(12)
+    bits = ["One two three. ", "four five\n", "A b c d e f g! ", "x\n\n", "word ", "...\n", "日本語のとても長い文がここにある。", "Yes? ", "no space.end ", "A B\n"]
+    texts = [(i, "".join(rng.choices(bits, k=rng.randrange(14)))) for i in range(150)] + [(200, "tiny text"), (201, "Tiny  TEXT."), (202, "!!!"), (203, "!!!"), (204, "same\nlines"), (205, "same\nlines")]
+    for least in (4, 12):
+        got = sorted((r.doc_id, r.start, r.end, r.first_doc_id, r.first_start) for r in passage_dedup.repeats(docs(spark, texts), least).collect())
+        assert got == repeats_by_hand(texts, least)
+    assert {g[0] for g in got} >= {201, 205} and not {202, 203} & {g[0] for g in got}
+
+
 def test_passages(spark):
-    common = "This long sentence stands in more than one of the documents."
+    common = "This long sentence stands in more than one of the very many documents."
     texts = [(11, f"Begin here. {common} End of it."), (12, f"Other words.\n{common.upper()} Done"), (13, f"{common} {common}"), *ODD, (14, "Short. Short. Short.")]
-    got = sorted((r.doc_id, r.start, r.end, r.first_doc_id, r.copies) for r in passage_dedup.repeats(docs(spark, texts)).collect())
-    assert [g[0] for g in got] == [12, 13, 13] and all(g[3] == 11 and g[4] == 4 for g in got)
+    got = sorted((r.doc_id, r.start, r.end, r.first_doc_id) for r in passage_dedup.repeats(docs(spark, texts)).where(F.col("end") - F.col("start") == len(common)).collect())
+    assert [g[0] for g in got] == [12, 13, 13] and all(g[3] == 11 for g in got)
     kept = {r.doc_id: (r.kept_text, r.removed) for r in passage_dedup.remove(docs(spark, texts)).collect()}
     assert kept[11][0] == texts[0][1] and kept[12][0] == "Other words.\n Done" and kept[13][0].strip() == ""
     assert texts[1][1][kept[12][1][0]["start"] : kept[12][1][0]["end"]] == common.upper()
     assert passage_dedup.repeats(docs(spark, [])).count() == 0
+    twice = [(1, common), (1, common), (2, common)]
+    assert [(r.doc_id, r.first_doc_id, r.first_start) for r in passage_dedup.repeats(docs(spark, twice)).collect()] == [(2, 1, 0)]
 
 
 def test_passages_of_short_units(spark):
     passage = " ".join(f"Word{i} is {'here' if i % 3 else 'now'}." for i in range(16)) + " Yes."
     shouts = " ".join(f"SHOUT{i}!!" for i in range(30))
-    texts = [(1, f"A start. {passage} The end."), (2, f"Something else. {passage} And more."), (3, shouts), (4, shouts), (5, "short line\nown words"), (6, "other words\nShort  line"), (7, "Ha! " * 30)]
+    lines = "\n".join(f"line {i}" for i in range(20))
+    texts = [(1, f"A start. {passage} The end."), (2, f"Something else. {passage} And more."), (3, shouts), (4, shouts), (5, f"own words\n{lines}"), (6, f"{lines}\nother words"), (7, "Ha! " * 30), (8, "a b\nc"), (9, "A b\nc.")]
     kept = {r.doc_id: " ".join(r.kept_text.split()) for r in passage_dedup.remove(docs(spark, texts)).collect()}
-    assert kept[1] == texts[0][1] and kept[3] == shouts and kept[5].split() == texts[4][1].split()
-    assert kept[2] == "Something else. And more." and kept[4] == "" and kept[6] == "other words" and kept[7] == ("Ha! " * 8).strip()
+    assert kept[1] == texts[0][1] and kept[3] == shouts and kept[5].split() == texts[4][1].split() and kept[8] == "a b c"
+    assert kept[2] == "Something else. And more." and kept[4] == "" and kept[6] == "other words" and kept[7] == ("Ha! " * 12).strip() and kept[9] == ""
 
 
 # SimHash
