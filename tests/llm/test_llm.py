@@ -394,7 +394,7 @@ def test_kernel_by_hand():
         dot = lambda p, q: sum(v * q[k] for k, v in p.items())
         return dot(x, y) / (dot(x, x) * dot(y, y)) ** 0.5
 
-    words = ["idiot", "idxiot", "loser", "banana", "abc"]
+    words = ["idiot", "idxiot", "loser", "banana", "abc", "aaaa", "mississippi"]
     k = toxicity.kernel(words, words[:3])
     assert np.allclose(k, [[slow(a, b) for b in words[:3]] for a in words], atol=1e-5)
     assert k[1, 0] > k[2, 0]
