@@ -4,12 +4,13 @@ Letters are lower-cased, everything else counts as a space, and every three char
 an n-gram. An n-gram belongs to a language if its rate there is at least a fixed share of its highest rate
 in any language, so that words borrowed by a few documents do not count. The languages' Bloom filters are
 sliced by bit: a slot holds one mask of languages, and the AND of an n-gram's slots gives all languages that
-contain it. A text's popcount for each language is corrected for the filter's false positives; the highest
+contain it. The filters grow with the n-grams of the largest language, ``ROOM`` slots for each (letters of an alphabet
+have some tens of thousands of combinations, so this levels off as documents are added). A text's popcount for each language is corrected for the filter's false positives; the highest
 corrected share decides, and is the score.
 
 Cases: a null text or one without a letter is ``und`` with score 0, as is every text if nothing was learned;
-ties go to the language first in order; rows with a null doc_id take no part in learning; rows are judged
-one by one; only text is read for a prediction, other columns are passed over.
+ties go to the language first in order; rows are judged one by one, so repeated rows get equal results; only text is
+read for a prediction, other columns are carried along, and columns named like the added ones replaced.
 """
 
 from __future__ import annotations
@@ -23,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, written
 
 #: Characters that are worked on at once.
 SEGMENT = 1 << 19
-SLOTS = 1 << 20
-PROBES = 3
-#: An n-gram's rate in a language against its highest rate, and occurrences it needs.
-SHARE, LEAST = 0.3, 3
+#: Slots of a filter for each n-gram (rounded up to a power of two), and slots that an n-gram sets.
+ROOM, PROBES = 16, 3
+#: An n-gram's rate in a language against its highest rate in any, from which it belongs to the language.
+SHARE = 0.3
 MASK_BITS = 60
 _ALPHA: list[np.ndarray] = []
 
@@ -72,7 +73,7 @@ def ngrams(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (c[at] << np.uint64(42)) | (c[at + 1] << np.uint64(21)) | c[at + 2], np.repeat(np.arange(len(pieces)), lengths)[at]
 
 
-def slots_of(grams: np.ndarray, slots: int = SLOTS, probes: int = PROBES) -> list[np.ndarray]:
+def slots_of(grams: np.ndarray, slots: int, probes: int = PROBES) -> list[np.ndarray]:
     """The Bloom slots of n-grams, by double hashing."""
     with np.errstate(over="ignore"):
         h = grams * np.uint64(0x9E3779B97F4A7C15)
@@ -90,7 +91,7 @@ class Model:
 
     def corrected(self, counts: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Shares of n-grams that languages contain, less what false positives add."""
-        f = self.false_positive[None, :]
+        f = np.minimum(self.false_positive[None, :], 1 - 1e-9)
         return np.clip((counts - n[:, None] * f) / ((1 - f) * np.maximum(n, 1)[:, None]), 0, 1)
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +100,7 @@ class Model:
             grams, piece = ngrams(pieces)
             if not grams.size:
                 continue
-            at, row = slots_of(grams), np.asarray(rows)[piece]
+            at, row = slots_of(grams, self.masks[0].size if self.masks else 1), np.asarray(rows)[piece]
             n += np.bincount(row, minlength=len(texts))
             for w, mask in enumerate(self.masks):
                 both = mask[at[0]]
@@ -140,10 +141,8 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, share: float = SHARE, least: int = LEAST) -> Model:
+def fit(docs: DataFrame, share: float = SHARE, room: int = ROOM) -> Model:
     """Learns from every row of ``docs`` (lang, text) with a language and a text. The driver gets the filters: a mask for each slot."""
-    from .common import written
-
     rows = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     counts = written(count_ngrams(rows), "ngrams")
     langs = [r[0] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").collect()]
@@ -152,19 +151,21 @@ def fit(docs: DataFrame, share: float = SHARE, least: int = LEAST) -> Model:
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     rated = counts.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total"))  # a row for each language
     top = rated.groupBy("gram").agg(F.max("rate").alias("top"))
-    member = rated.join(top, "gram").where((F.col("rate") >= share * F.col("top")) & (F.col("n") >= least))
+    member = written(rated.join(top, "gram").where(F.col("rate") >= share * F.col("top")).select("lang", "gram"), "language-ngrams")
+    most = member.groupBy("lang").count().agg(F.max("count")).head()[0]
+    slots = 1 << max(room * most - 1, 1).bit_length()
     number = F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (lang, i)])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lang = b.column(1).to_numpy()
-            for at in slots_of(b.column(0).to_numpy().view(np.uint64)):
+            for at in slots_of(b.column(0).to_numpy().view(np.uint64), slots):
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(lang // MASK_BITS), pa.array(np.int64(1) << (lang % MASK_BITS).astype(np.int64))], names=["slot", "word", "mask"])
 
     placed = member.select("gram", number[F.col("lang")].cast("int").alias("lang")).mapInArrow(place, "slot long, word int, mask long")
     words = -(-len(langs) // MASK_BITS)
-    masks = np.zeros((words, SLOTS), np.int64)
-    got = placed.groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()  # SLOTS rows a word at most
+    masks = np.zeros((words, slots), np.int64)
+    got = placed.groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()  # ``slots`` rows a word at most
     masks[got.column("word").to_numpy(), got.column("slot").to_numpy()] = got.column("mask").to_numpy()
     fill = np.asarray([((masks[i // MASK_BITS] >> np.int64(i % MASK_BITS)) & 1).mean() for i in range(len(langs))])
     small = [m.astype(np.uint8) if len(langs) <= 8 else m for m in masks]
@@ -174,7 +175,7 @@ def fit(docs: DataFrame, share: float = SHARE, least: int = LEAST) -> Model:
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred and score; the other columns are carried along."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS masks
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a mask for each slot
     base = docs.drop("lang_pred", "score")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
