@@ -30,8 +30,8 @@ from .graph import connected_components, spanning
 SEED = 42
 #: Rows of one partition value that are compared in one task; more are split into blocks.
 BLOCK = 1024
-#: Estimated seconds for a filed row and for a comparison, and the number of fingerprints that plans are made for.
-ROW_S, PAIR_S, PLAN_ROWS = 2e-6, 1e-8, 16_000_000
+#: Estimated seconds for a filed row and for a comparison; the most bits by which a partition may differ.
+ROW_S, PAIR_S, MOST_T = 2e-6, 1e-8, 4
 SKETCH_WORDS = 4
 #: MinHash bands: sets of similarity J agree in a band with probability J ** BAND_ROWS; at 0.8, 3 pairs in 100,000 share none of BANDS.
 BANDS, BAND_ROWS = 20, 4
@@ -170,11 +170,10 @@ def within(p: np.ndarray, most: int) -> list[float]:
     return np.cumsum(np.r_[dist, np.zeros(most + 1)])[: most + 1].tolist()
 
 
-def thresholds(n: int, both: np.ndarray, tau: int, size: int = PLAN_ROWS) -> list[tuple[list[int], int]]:
+def thresholds(n: int, both: np.ndarray, tau: int) -> list[tuple[list[int], int]]:
     """The grouping and thresholds of least estimated cost: (bits, t) of each partition that is used.
 
-    The bit counts ``both`` of ``n`` fingerprints say how bits agree; ``size`` is the table that the plan is made
-    for, the same at every size of input.
+    The bit counts ``both`` of ``n`` fingerprints say how bits agree, and so how many candidates each choice has.
     """
     p = np.diag(both) / max(n, 1)
     best: tuple[float, list[tuple[list[int], int]]] = (float("inf"), [])
@@ -182,10 +181,10 @@ def thresholds(n: int, both: np.ndarray, tau: int, size: int = PLAN_ROWS) -> lis
         groups = bit_groups(n, both, m)
         state: dict[int, tuple[float, list[tuple[list[int], int]]]] = {0: (0.0, [])}
         for g in groups:
-            share, nxt = within(p[g], 2), dict(state)  # t = -1: not used
-            for t in range(3):
-                rows = size * (1 + sum(comb(len(g), j) for j in range(1, t + 1)) / 2)
-                cost = ROW_S * rows + PAIR_S * share[t] * size * size
+            share, nxt = within(p[g], MOST_T), dict(state)  # t = -1: not used
+            for t in range(min(MOST_T, tau) + 1):
+                rows = n * (1 + sum(comb(len(g), j) for j in range(1, t + 1)) / 2)
+                cost = ROW_S * rows + PAIR_S * share[t] * n * n
                 for used, (c, chosen) in state.items():
                     to = min(tau + 1, used + t + 1)
                     if to not in nxt or c + cost < nxt[to][0]:
