@@ -12,7 +12,6 @@ one, so repeated rows get equal results; only doc_id and text are used, other co
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -20,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, written
 
 WINDOW = 13
-#: Text bytes of the items that go to the executors at once; a larger benchmark is searched in several passes.
-PASS_BYTES = 16 << 20
+#: Text bytes of the items whose tables are held at once (some hundred MB); a larger benchmark is searched in several passes.
+PASS_BYTES = 1 << 20
+#: In a worker: the items of the pass at hand and their tables.
+_TABLES: list = [None, None]
 
 #: Bytes that separate words become spaces; A-Z become lower case.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -69,28 +70,37 @@ class PatternSet:
             end += 1
 
 
-def pattern_sets(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> list[PatternSet]:
+def pattern_sets(items: list[tuple[list[str], str | None]], window: int = WINDOW) -> list[PatternSet]:
+    """The patterns of items (ids, text) by length."""
     by: dict[int, dict[tuple[bytes, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
-    for item, text in items:
+    for ids, text in items:
         w = word_list(text)
         m = min(window, len(w))
         for i in range(len(w) - m + 1 if m else 0):
-            by[m][tuple(w[i : i + m])].update([] if item is None else [item])
+            by[m][tuple(w[i : i + m])].update(ids)
     return [PatternSet(m, p) for m, p in sorted(by.items())]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
-    """``docs`` with n_words, hit_words (positions, ascending) and hit_items (ids as text, ascending) added."""
-    small_batches(docs.sparkSession)
+    """``docs`` with n_words, hit_words (positions, ascending) and hit_items (ids as text, ascending) added.
+
+    Of each pass the texts go to the executors, where a worker builds their tables once; passes are written in between.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
+    items = written(items.groupBy("text").agg(F.array_sort(F.collect_set("item_id")).alias("ids")).select("ids", "text"), "benchmark-items")
     total = items.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     passes = max(1, -(-total // pass_bytes))
     added = ("n_words", "hit_words", "hit_items")
     out = docs.drop(*added).withColumns({"n_words": F.lit(None).cast("long"), "hit_words": F.expr("cast(array() as array<int>)"), "hit_items": F.expr("cast(array() as array<string>)")})
     for k in range(passes):
-        sets = pattern_sets([tuple(r) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == k).toLocalIterator()], window)
+        shared = spark.sparkContext.broadcast([tuple(r) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == k).collect()])  # about ``pass_bytes``
 
-        def search(batches: Iterator[pa.RecordBatch], sets: list[PatternSet] = sets) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            if _TABLES[0] is not shared.value:
+                _TABLES[:] = shared.value, pattern_sets(shared.value, window)
+            sets = _TABLES[1]
             for b in batches:
                 counts, places, names = [], [], []
                 for text, hits, found in zip(b.column("text"), b.column("hit_words"), b.column("hit_items")):
@@ -107,6 +117,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_bytes
                 yield pa.RecordBatch.from_arrays([new.get(n, b.column(i)) for i, n in enumerate(b.schema.names)], names=b.schema.names)
 
         out = out.mapInArrow(search, out.schema)
+        out = out if k == passes - 1 else written(out, "searched")
     return out
 
 
@@ -121,7 +132,3 @@ def judged(found: DataFrame) -> DataFrame:
             "contaminated": (n_hit > 0) & (n_hit * 20 >= F.col("n_words")),
         }
     )
-
-
-def digest(text: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(text)).encode()).hexdigest()
