@@ -12,7 +12,7 @@ rows, and queries pass through it as a stream. The share of the rows that is rer
 
 Cases: vectors that are null, zero or hold a null or non-finite component take no part, nor do rows with a
 null vec_id; vectors are compared with those of equal length only, without an index where most pivots have another
-length; a vector with more than one row counts once for each different embedding; equal scores go to the smaller
+length; a vec_id with several embeddings counts once, by the nearest; equal scores go to the smaller
 vec_id; fewer rows than ``k`` give all of them; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -66,6 +66,7 @@ class Shard:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, prefix: int, share: float):
         self.ids, self.x, self.pivots, self.share = ids, x, pivots, share
+        self.repeats = np.unique(ids).size < ids.size
         self.prefix = min(prefix, len(pivots)) if x.shape[1] == pivots.shape[1] else 0
         if self.prefix:
             near = np.concatenate([permutation(x[lo : lo + 8192], pivots, self.prefix) for lo in range(0, len(x), 8192)]).astype(np.int16).ravel()
@@ -94,11 +95,14 @@ class Shard:
                 at = np.flatnonzero(gain >= np.partition(gain, len(gain) - keep)[len(gain) - keep])  # with ties
             at = at[self.ids[at] != q_ids[i]]
             rough = self.x[at] @ q[i]
-            if at.size > k:  # summed in one fixed order below, as near ties are ordered by the last bits
+            if at.size > k and not self.repeats:  # summed in one fixed order below, as near ties are ordered by the last bits
                 kth = np.partition(rough, at.size - k)[at.size - k]
                 at = at[rough >= kth - 1e-9 * (1 + abs(kth))]
             score = (self.x[at] * q[i]).sum(axis=1)
-            best = np.lexsort((self.ids[at], -score))[:k]
+            best = np.lexsort((self.ids[at], -score))
+            if self.repeats:
+                best = best[np.sort(np.unique(self.ids[at][best], return_index=True)[1])]
+            best = best[:k]
             yield np.full(best.size, q_ids[i]), self.ids[at][best], score[best]
 
 
