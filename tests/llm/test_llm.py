@@ -492,7 +492,7 @@ def test_vectors_of_two_lengths_and_extra_columns(spark):
     rows = [(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(40)] + [(100 + i, [1.0, float(i)]) for i in range(5)] + [(3, [9.0, 9.0, 9.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("v", "size", "shard", "asks", "score", "rank", "query_id")})
     every = ann.usable(df)
-    got = ann.search(every, every.where("vec_id in (0, 100)"), 4).collect()
+    got = ann.search(every, every.where("vec_id in (0, 100)"), 4, rerank=1.0).collect()
     assert {r.vec_id for r in got if r.query_id == 100} == {101, 102, 103, 104}
     best = [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank) if r.query_id == 0]
     scores = {}
