@@ -8,13 +8,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Texts that mean "missing" in delimited files.
+# Texts that mean "missing" in delimited files (compared after trimming).
 NULL_TOKENS = (
-    "", " ", "?", "-", "--", ".", "..", "...", "_", "n/a", "N/A", "NA", "na", "N.A.", "n.a.", "nan", "NaN", "NAN", "null", "NULL", "Null",
-    "none", "None", "NONE", "nil", "NIL", "missing", "Missing", "MISSING", "unknown", "Unknown", "UNKNOWN", "undefined", "#N/A", "#NA",
-    "#NULL!", "#DIV/0!", "#VALUE!", "#REF!", "#NAME?", "#NUM!", "<NA>", "not available", "Not Available", "not applicable", "Not Applicable", "NaT",
+    "?", "??",
+    "NA", "N/A", "n/a", "na", "Na",
+    "NULL", "null", "Null",
+    "None", "none", "NONE",
+    "NaN", "nan", "NAN",
+    "", " ", "  ", "\t",
+    "-", "--", "---", "_", "__",
+    "N.A.", "n.a.",
+    "Not Available", "not available", "NOT AVAILABLE",
+    "Not Applicable", "not applicable", "NOT APPLICABLE",
+    "Missing", "missing", "MISSING",
+    "Unknown", "unknown", "UNKNOWN",
+    "Undefined", "undefined", "UNDEFINED",
+    "*", "**", "#N/A", "#NA",
+    "NIL", "nil", "Nil",
+    "BLANK", "blank", "Blank",
 )
-NUMERIC_SENTINELS = ("-1", "999", "-999", "9999", "-9999", "inf", "-inf", "Inf", "-Inf", "Infinity", "-Infinity")
+# Numbers that stand for "missing".
+NUMERIC_SENTINELS = ("-999", "-9999", "999", "9999", "-1", "inf", "-inf", "Inf", "-Inf", "INF", "-INF")
 
 DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "M/d/yyyy", "M-d-yyyy")
 DAY_FIRST_FORMATS = ("d/M/yyyy", "d-M-yyyy", "d.M.yyyy")

@@ -28,33 +28,25 @@ def groups(pairs: list[tuple[str, str]]) -> dict[str, str]:
 
 
 def relation(a: Column, b: Column) -> Column:
-    """How two features are related by name."""
+    """How two features are related by name: what a feature made of both would mean."""
     la, lb = F.lower(a), F.lower(b)
-    has = lambda words: tuple(F.lit(False) if not words else _any(c, words) for c in (la, lb))
-    time, area, unit, count = (has(w) for w in (("year", "date", "time", "age"), ("area", "sqft", "size"), ("room", "bed", "bath", "unit"), ("count", "num", "total")))
-    same = scalar.base_name(a) == scalar.base_name(b)
+    both = lambda x, y: (la.contains(x) & lb.contains(y)) | (lb.contains(x) & la.contains(y))
+    prefix = lambda c: F.when(c.contains("_"), F.split_part(c, F.lit("_"), F.lit(1))).otherwise(F.left(c, F.lit(4)))
     return (
-        F.when(time[0] & time[1], "temporal_difference")
-        .when((area[0] & unit[1]) | (area[1] & unit[0]), "area_per_unit")
-        .when(area[0] & area[1], "area_ratio")
-        .when(count[0] & count[1], "count_difference")
-        .when(same | (F.split_part(la, F.lit("_"), F.lit(1)) == F.split_part(lb, F.lit("_"), F.lit(1))) | (F.left(la, F.lit(4)) == F.left(lb, F.lit(4))), "same_category")
+        F.when(both("year", "year"), "temporal_difference")
+        .when(both("area", "cars"), "area_per_unit")
+        .when(both("area", "frontage"), "area_ratio")
+        .when(both("room", "room") | both("bed", "room"), "count_difference")
+        .when((prefix(la) == prefix(lb)) & (F.length(prefix(la)) > 2), "same_category")
         .otherwise("none")
     )
 
 
-def _any(c: Column, words: Sequence[str]) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | c.contains(w)
-    return out
-
-
 def representatives(df: DataFrame, columns: Sequence[str], limit: float = 0.9, target: str | None = None) -> DataFrame:
     """column, group, representative, group_size: columns linked by |r| >= limit; the one nearest the target (or of
     greatest variation) stands for its group. Nulls count as the median."""
     filled = df.withColumns({c: F.col(c).cast("double") for c in columns})
-    medians = filled.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in columns]).head().asDict()
+    medians = {c: q[0] for c, q in profile.quantiles(filled, columns, [0.5]).items()}
     filled = filled.withColumns({c: F.coalesce(F.col(c), F.lit(m)) for c, m in medians.items() if m is not None})
     linked = [(r["f1"], r["f2"]) for r in profile.correlations(filled, columns).where(F.abs("r") >= limit).collect()]  # pairs of columns
     head = groups(linked)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import profile
+
 
 def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """label, prediction, n for every two classes that occur, zeros included."""
@@ -86,9 +88,8 @@ def qq(df: DataFrame, column: str, points: int = 99) -> DataFrame:
     from statistics import NormalDist
 
     q = [(i + 1) / (points + 1) for i in range(points)]
-    got = df.agg(F.percentile(F.col(column).cast("double"), F.array(*map(F.lit, q))).alias("s"))
-    theory = F.array(*[F.lit(NormalDist().inv_cdf(x)) for x in q])
-    return got.select(F.explode(F.arrays_zip(F.array(*map(F.lit, q)).alias("q"), theory.alias("theoretical"), F.col("s").alias("sample"))).alias("z")).select("z.*")
+    rows = [(p, NormalDist().inv_cdf(p), x) for p, x in zip(q, profile.quantiles(df, [column], q)[column])]
+    return df.sparkSession.createDataFrame(rows, "q double, theoretical double, sample double")
 
 
 def cluster_sizes(df: DataFrame, cluster: str = "cluster") -> DataFrame:

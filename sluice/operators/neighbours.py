@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from . import profile
 
 BLOCK = 2048
 
@@ -82,8 +83,8 @@ def approximate_knn(rows: DataFrame, k: int, tables: int = 8, bits: int = 8, see
 
 def distance_range(rows: DataFrame, k: int = 5) -> DataFrame:
     """One row: the 5th and 95th percentile of the distance to the k-th neighbour."""
-    kth = knn(rows, rows, k).where(F.col("rank") == k)
-    return kth.agg(F.percentile("dist", F.lit(0.05)).alias("low"), F.percentile("dist", F.lit(0.95)).alias("high"))
+    kth = cut(knn(rows, rows, k).where(F.col("rank") == k))
+    return rows.sparkSession.createDataFrame([tuple(profile.quantiles(kth, ["dist"], [0.05, 0.95])["dist"])], "low double, high double")
 
 
 def vote(test: DataFrame, train: DataFrame, k: int = 5, weights: str = "uniform", metric: str = "euclidean") -> DataFrame:

@@ -13,8 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
+
 #: Columns in one aggregate; more are done in several, so that generated code stays small.
 BATCH = 40
+#: Accuracy of the approximate pass of ``quantiles``, values of a bracket for the driver, and parts of a narrowing step.
+ACCURACY, FEW, STEPS = 10_000, 20_000, 1000
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -32,10 +36,92 @@ def per_column(df: DataFrame, columns: Sequence[str], make) -> DataFrame:  # noq
         structs = [F.struct(F.lit(c).alias("column"), *[v.alias(k) for k, v in make(F.col(f"`{c}`")).items()]) for c in columns[lo : lo + BATCH]]
         part = df.agg(F.array(*structs).alias("a")).select(F.inline("a"))
         out = part if out is None else out.unionByName(part)
-    assert out is not None, "no columns"
+    if out is None:  # no columns, no rows
+        none = F.lit(None).cast("double")
+        one = F.struct(F.lit("").alias("column"), *[v.alias(k) for k, v in make(none).items()])
+        return df.agg(F.array(one).alias("a")).select(F.inline("a")).where(F.lit(False))
     return out
 
 
+def _ranks(n: int, p: float) -> tuple[int, int, float]:
+    """The two places (from 0) between which a percentile of n values lies, and how far it is from the first."""
+    at = p * (n - 1)
+    return int(at), min(n - 1, int(at) + 1), at - int(at)
+
+
+def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> dict[str, list[float | None]]:
+    """Exact percentiles (with linear interpolation) of each column, in order; nulls do not count.
+
+    An approximate pass puts a bracket around each; another counts the rows below the bracket and the values in it.
+    Brackets that hold many values are narrowed in steps. No task holds the values of a column, and the driver gets at
+    most ``FEW`` values of a bracket.
+    """
+    names = list(columns)
+    if not names:
+        return {}
+    double = {c: F.col(f"`{c}`").cast("double") for c in names}
+    ends = {r["column"]: r for r in per_column(df, names, lambda c: {"n": F.count(c), "lo": F.min(c.cast("double")), "hi": F.max(c.cast("double"))}).collect()}
+    live = [c for c in names if ends[c]["n"]]
+    slack = {c: 2 / ACCURACY + 3 / ends[c]["n"] for c in live}
+    near = {}
+    for lo in range(0, len(live), BATCH):
+        part = live[lo : lo + BATCH]
+        asked = [F.percentile_approx(double[c], [min(1.0, max(0.0, p + d)) for p in probabilities for d in (-slack[c], slack[c])], ACCURACY).alias(f"q{i}") for i, c in enumerate(part)]
+        got = df.agg(*asked).head()
+        near |= {c: got[f"q{i}"] for i, c in enumerate(part)}
+    brackets = {}  # number -> (column, first, second, how far, lowest, highest)
+    for c in live:
+        for k, p in enumerate(probabilities):
+            brackets[len(brackets)] = (c, *_ranks(ends[c]["n"], p), near[c][2 * k] if p > slack[c] else ends[c]["lo"], near[c][2 * k + 1] if p < 1 - slack[c] else ends[c]["hi"])
+    if not brackets:
+        return {c: [None] * len(probabilities) for c in names}
+    marks = [F.when(double[c] <= F.lit(hi), F.struct(F.lit(i).alias("b"), F.when(double[c] >= F.lit(lo), double[c]).alias("x"))) for i, (c, _, _, _, lo, hi) in brackets.items()]
+    counts = df.select(F.explode(F.filter(F.array(*marks), lambda m: m.isNotNull())).alias("m")).groupBy("m.b", "m.x").agg(F.count("*").alias("n"))
+    counts = cut(counts)
+    below = {r["b"]: r["n"] for r in counts.where("x is null").collect()}
+    inside, width = counts.where("x is not null"), {i: (lo, hi) for i, (*_, lo, hi) in brackets.items()}
+    while True:
+        held = {r["b"]: r["v"] for r in inside.groupBy("b").agg(F.count("*").alias("v")).collect()}
+        wide = [i for i, v in held.items() if v > FEW]
+        if not wide:
+            break
+        edge = lambda k: F.create_map(*[F.lit(x) for i in wide for x in (i, width[i][k])])[F.col("b")]
+        at = F.least(F.floor((F.col("x") - edge(0)) / (edge(1) - edge(0)) * STEPS), F.lit(STEPS - 1))
+        steps = inside.where(F.col("b").isin(wide)).groupBy("b", at.alias("s")).agg(F.sum("n").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()  # STEPS rows a bracket
+        for i in wide:
+            seen = below.get(i, 0)
+            for r in sorted((r for r in steps if r["b"] == i), key=lambda r: r["s"]):
+                if seen + r["n"] <= brackets[i][1]:
+                    seen += r["n"]
+                    below[i] = seen
+                    continue
+                width[i] = (r["lo"], r["hi"] if seen + r["n"] > brackets[i][2] else min(x["lo"] for x in steps if x["b"] == i and x["s"] > r["s"]))
+                break
+        keep = F.lit(False)
+        for i, (lo, hi) in width.items():
+            keep = keep | ((F.col("b") == i) & F.col("x").between(lo, hi))
+        inside = cut(inside.where(keep))
+    table = inside.orderBy("b", "x").toArrow()
+    values: dict[int, list[tuple[float, int]]] = {}
+    for b, x, n in zip(*(table.column(k).to_pylist() for k in ("b", "x", "n"))):
+        values.setdefault(b, []).append((x, n))
+    out: dict[str, list[float | None]] = {c: [] for c in names}
+    for i, (c, first, second, far, _, _) in brackets.items():
+        seen, found = below.get(i, 0), []
+        for x, n in values[i]:
+            seen += n
+            while len(found) < 2 and seen > (first, second)[len(found)]:
+                found.append(x)
+        out[c].append(found[0] + (found[1] - found[0]) * far)
+    return {c: v or [None] * len(probabilities) for c, v in out.items()}
+
+
+def _named(values: dict[str, list[float | None]], at: int) -> Column:
+    """A fitted number of each column, by the column's name."""
+    pairs = [F.lit(x) for c, v in values.items() for x in (c, float("nan") if v[at] is None else float(v[at]))]
+    return F.nanvl(F.create_map(*pairs)[F.col("column")], F.lit(None).cast("double")) if pairs else F.lit(None).cast("double")
+
+
 def column_kinds(df: DataFrame) -> DataFrame:
     """A row per column: its type and kind. Needs no data."""
     kind = {**dict.fromkeys(numeric_columns(df), "numeric"), **dict.fromkeys(text_columns(df), "categorical")}
@@ -63,40 +149,45 @@ def missing_total(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     return rows.agg(F.sum("n").alias("n_missing"), F.round(F.sum("n") * 100.0 / F.sum("rows"), 2).alias("pct_cells"), F.count_if(F.col("n") > 0).alias("n_columns"))
 
 
-def distribution(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Moments and quartiles of numeric columns; skewness and excess kurtosis corrected for bias, as samples."""
+def moments(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Moments of numeric columns; skewness and excess kurtosis corrected for bias, as samples."""
 
     def stats(c: Column) -> dict[str, Column]:
         c = c.cast("double")
-        q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        return {"n": F.count(c), "mean": F.avg(c), "std": F.stddev_samp(c), "min": F.min(c), "max": F.max(c), "q": q, "g1": F.skewness(c), "g2": F.kurtosis(c)}
+        return {"n": F.count(c), "mean": F.avg(c), "std": F.stddev_samp(c), "min": F.min(c), "max": F.max(c), "g1": F.skewness(c), "g2": F.kurtosis(c)}
 
-    rows = per_column(df, columns or numeric_columns(df), stats)
+    rows = per_column(df, numeric_columns(df) if columns is None else columns, stats)
     n = F.col("n").cast("double")
     skew = F.when(n > 2, F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2))
     kurt = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6))
-    return rows.select("column", "n", "mean", "std", "min", "max", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"), skew.alias("skewness"), kurt.alias("kurtosis"))
+    return rows.select("column", "n", "mean", "std", "min", "max", skew.alias("skewness"), kurt.alias("kurtosis"))
+
+
+def distribution(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Moments and exact quartiles of numeric columns."""
+    names = numeric_columns(df) if columns is None else list(columns)
+    q = quantiles(df, names, [0.25, 0.5, 0.75])
+    return moments(df, names).select("column", "n", "mean", "std", "min", "max", *[_named(q, i).alias(k) for i, k in enumerate(("q25", "median", "q75"))], "skewness", "kurtosis")
 
 
 def skewed(df: DataFrame, columns: Sequence[str] | None = None, limit: float = 0.75) -> DataFrame:
     """Skewed columns, what their values allow, and the power transform to use."""
     names = columns or numeric_columns(df)
-    shape = distribution(df, names).where(F.abs("skewness") > limit).select("column", "skewness", "min", "max")
+    shape = moments(df, names).where(F.abs("skewness") > limit).select("column", "skewness", "min", "max")
     signs = per_column(df, names, lambda c: {"has_zero": F.coalesce(F.bool_or(c == 0), F.lit(False)), "has_negative": F.coalesce(F.bool_or(c < 0), F.lit(False))})
-    return shape.join(signs, "column").withColumn("method", F.when(F.col("min") > 0, "box-cox").otherwise("yeo-johnson"))
+    return shape.join(F.broadcast(signs), "column").withColumn("method", F.when(F.col("min") > 0, "box-cox").otherwise("yeo-johnson"))  # a row for each column
 
 
 def outlier_bounds(df: DataFrame, columns: Sequence[str] | None = None, k: float = 2.5, population: bool = False) -> DataFrame:
     """column, low, high: quartiles -+ k interquartile ranges; mean -+ 3 standard deviations where the range is 0."""
 
-    def stats(c: Column) -> dict[str, Column]:
-        c = c.cast("double")
-        return {"q": F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))), "mean": F.avg(c), "std": F.stddev_pop(c) if population else F.stddev_samp(c)}
-
-    rows = per_column(df, columns or numeric_columns(df), stats)
-    iqr = F.col("q")[1] - F.col("q")[0]
-    low = F.when(iqr < 1e-10, F.col("mean") - 3 * F.col("std")).otherwise(F.col("q")[0] - k * iqr)
-    high = F.when(iqr < 1e-10, F.col("mean") + 3 * F.col("std")).otherwise(F.col("q")[1] + k * iqr)
+    names = numeric_columns(df) if columns is None else list(columns)
+    q = quantiles(df, names, [0.25, 0.75])
+    q1, q3 = _named(q, 0), _named(q, 1)
+    rows = per_column(df, names, lambda c: {"mean": F.avg(c.cast("double")), "std": (F.stddev_pop if population else F.stddev_samp)(c.cast("double"))})
+    flat = q3 - q1 < 1e-10
+    low = F.when(flat, F.col("mean") - 3 * F.col("std")).otherwise(q1 - k * (q3 - q1))
+    high = F.when(flat, F.col("mean") + 3 * F.col("std")).otherwise(q3 + k * (q3 - q1))
     return rows.select("column", low.alias("low"), high.alias("high"))
 
 
@@ -115,18 +206,20 @@ def id_like(name: str, substring: bool = False) -> bool:
 
 
 def outliers(df: DataFrame, columns: Sequence[str] | None = None, k: float = 2.5) -> DataFrame:
-    """Bounds, count, share and the spread of the values outside, by column. Columns named like ids are left out."""
+    """Bounds, count, share and the spread of the values outside, by column. Columns named like ids are left out; a
+    column without values has no bounds and no outliers."""
     names = [c for c in columns or numeric_columns(df) if not id_like(c)]
     bounds = bounds_dict(outlier_bounds(df, names, k))
 
     def stats(name: str) -> Column:
-        c, (low, high) = F.col(f"`{name}`").cast("double"), bounds[name]
-        out = is_outlier(c, low, high)
+        c, (low, high) = F.col(f"`{name}`").cast("double"), (F.lit(x).cast("double") for x in bounds.get(name, (None, None)))
+        out = F.coalesce(is_outlier(c, low, high), F.lit(False))
         x = F.when(out, c)
-        values = {"low": F.lit(low), "high": F.lit(high), "n_outliers": F.count_if(out), "pct": F.round(F.count_if(out) * 100.0 / F.nullif(F.count(c), F.lit(0)), 2), "mean": F.avg(x), "std": F.stddev_samp(x), "min": F.min(x), "max": F.max(x)}
+        values = {"low": low, "high": high, "n_outliers": F.count_if(out), "pct": F.round(F.count_if(out) * 100.0 / F.nullif(F.count(c), F.lit(0)), 2), "mean": F.avg(x), "std": F.stddev_samp(x), "min": F.min(x), "max": F.max(x)}
         return F.struct(F.lit(name).alias("column"), *[v.alias(a) for a, v in values.items()])
 
-    return df.agg(F.array(*[stats(n) for n in bounds]).alias("a")).select(F.inline("a"))
+    rows = df.agg(F.array(*[stats(n) for n in names or df.columns[:1]]).alias("a")).select(F.inline("a"))
+    return rows if names else rows.where(F.lit(False))
 
 
 def outlier_sample(df: DataFrame, column: str, key: str, k: float = 2.5, n_out: int = 100, n_in: int = 200) -> DataFrame:
@@ -163,37 +256,42 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def categorical(df: DataFrame, columns: Sequence[str] | None = None, top: int = 5) -> DataFrame:
     """Distinct values, mode, top values and cardinality band by column."""
     counts = value_counts(df, columns or text_columns(df)).where("value is not null")
-    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value")))
-    out = ranked.groupBy("column").agg(
-        F.count("*").alias("n_distinct"),
+    sizes = counts.groupBy("column").agg(F.count("*").alias("n_distinct"))
+    best = leading(counts, top).groupBy("column").agg(
         F.max(F.when(F.col("rank") == 1, F.col("value"))).alias("mode"),
         F.max(F.when(F.col("rank") == 1, F.col("n"))).alias("mode_count"),
-        F.array_sort(F.collect_list(F.when(F.col("rank") <= top, F.struct("rank", "value", "n")))).alias("best"),
+        F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("best"),
     )
     band = F.when(F.col("n_distinct") > 50, "high").when(F.col("n_distinct") > 10, "medium").otherwise("low")
-    return out.select("column", "n_distinct", "mode", "mode_count", band.alias("cardinality"), F.array_join(F.transform("best", lambda b: F.concat_ws(":", b["value"], b["n"].cast("string"))), ",").alias("top"))
+    listed = F.array_join(F.transform("best", lambda b: F.concat_ws(":", b["value"], b["n"].cast("string"))), ",")
+    return sizes.join(F.broadcast(best), "column").select("column", "n_distinct", "mode", "mode_count", band.alias("cardinality"), listed.alias("top"))  # a row for each column
+
+
+def leading(counts: DataFrame, top: int) -> DataFrame:
+    """The ``top`` most frequent values of each column, with their rank: Spark drops the others before the shuffle."""
+    return counts.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value"))).where(F.col("rank") <= top)
 
 
 def top_map(df: DataFrame, columns: Sequence[str], top: int = 5) -> DataFrame:
     """The most frequent values of each column as a map."""
     counts = value_counts(df, columns).where("value is not null")
-    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value"))).where(F.col("rank") <= top)
-    return ranked.groupBy("column").agg(F.map_from_entries(F.collect_list(F.struct("value", "n"))).alias("top"))
+    return leading(counts, top).groupBy("column").agg(F.map_from_entries(F.collect_list(F.struct("value", "n"))).alias("top"))
 
 
 def value_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Counts with each value's share within its column."""
     counts = value_counts(df, columns).where("value is not null")
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("column")))
+    totals = counts.groupBy("column").agg(F.sum("n").alias("of"))  # a row for each column
+    return counts.join(F.broadcast(totals), "column").select("column", "value", "n", (F.col("n") / F.col("of")).alias("share"))
 
 
 def rare_values(df: DataFrame, columns: Sequence[str], rare: float = 0.02, dominant: float = 0.1) -> DataFrame:
     """Values below ``rare`` in columns where at least two values hold over ``dominant``; with the three largest values."""
     shares = value_shares(df, columns)
-    by = Window.partitionBy("column")
-    marked = shares.withColumns({"large": F.sum((F.col("share") > dominant).cast("int")).over(by), "rank": F.row_number().over(by.orderBy(F.desc("n"), "value"))})
-    lead = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= 3, F.struct("rank", "value"))).over(by)), lambda x: x["value"]), ",")
-    return marked.withColumn("dominant", lead).where((F.col("large") >= 2) & (F.col("share") < rare)).select("column", "value", "n", "share", "dominant")
+    large = shares.groupBy("column").agg(F.count_if(F.col("share") > dominant).alias("large")).where("large >= 2")
+    lead = leading(shares, 3).groupBy("column").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]), ",").alias("dominant"))
+    heads = large.join(F.broadcast(lead), "column").select("column", "dominant")  # a row for each column
+    return shares.where(F.col("share") < rare).join(F.broadcast(heads), "column").select("column", "value", "n", "share", "dominant")
 
 
 def duplicates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -7,11 +7,11 @@ saved, and used on streams.
 from __future__ import annotations
 
 import json
+import unicodedata
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -52,13 +52,24 @@ class Chain:
         return df
 
     def save(self, spark: SparkSession, path: str) -> None:
-        rows = [(i, s.to_json()) for i, s in enumerate(self.steps)]
-        spark.createDataFrame(rows, "step int, fitted string").coalesce(1).write.mode("overwrite").json(path)
+        """Writes the steps, and the code tables that they use, into one folder."""
+        rows = []
+        for i, s in enumerate(self.steps):
+            tables = {c: f"codes/{i}-{k}" for k, c in enumerate(s.state.get("tables", {}))}
+            for c, name in tables.items():
+                spark.read.parquet(s.state["tables"][c]).write.mode("overwrite").parquet(f"{path}/{name}")
+            rows.append((i, Fitted(s.kind, s.state | ({"tables": tables} if tables else {})).to_json()))
+        spark.createDataFrame(rows, "step int, fitted string").coalesce(1).write.mode("overwrite").json(f"{path}/steps")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Chain:
-        rows = spark.read.schema("step int, fitted string").json(path).orderBy("step").collect()
-        return cls([Fitted(**json.loads(r["fitted"])) for r in rows])
+        steps = []
+        for r in spark.read.schema("step int, fitted string").json(f"{path}/steps").orderBy("step").collect():
+            s = Fitted(**json.loads(r["fitted"]))
+            if s.state.get("tables"):
+                s.state["tables"] = {c: f"{path}/{name}" for c, name in s.state["tables"].items()}
+            steps.append(s)
+        return cls(steps)
 
 
 def _row(df: DataFrame, columns: Sequence[str], make) -> dict[str, dict]:  # noqa: ANN001
@@ -77,8 +88,8 @@ def fit_impute(df: DataFrame, columns: Sequence[str], how: str | dict[str, str]
     by = {c: how if isinstance(how, str) else how[c] for c in columns}
     values: dict = {c: (constants or {}).get(c) for c, h in by.items() if h == "constant"}
     numbers = [c for c, h in by.items() if h in ("mean", "median")]
-    for c, r in _row(df, numbers, lambda c: {"mean": F.avg(c.cast("double")), "median": F.percentile(c.cast("double"), F.lit(0.5))}).items():
-        values[c] = r[by[c]]
+    values |= {c: r["mean"] for c, r in _row(df, [c for c in numbers if by[c] == "mean"], lambda c: {"mean": F.avg(c.cast("double"))}).items()}
+    values |= {c: q[0] for c, q in profile.quantiles(df, [c for c in numbers if by[c] == "median"], [0.5]).items()}
     modal = [c for c, h in by.items() if h == "mode"]
     if modal:
         best = Window.partitionBy("column").orderBy(F.desc("n"), "value")
@@ -153,12 +164,12 @@ def fit_scale(df: DataFrame, columns: Sequence[str], how: str = "standard") -> F
         c = c.cast("double")
         if how == "standard":
             return {"a": F.avg(c), "b": F.stddev_pop(c)}
-        if how == "minmax":
-            return {"a": F.min(c), "b": F.max(c) - F.min(c)}
-        q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        return {"a": q[1], "b": q[2] - q[0]}
+        return {"a": F.min(c), "b": F.max(c) - F.min(c)}
 
-    rows = _row(df, columns, stats)
+    if how == "robust":
+        rows = {c: {"a": q[1], "b": None if q[0] is None else q[2] - q[0]} for c, q in profile.quantiles(df, columns, [0.25, 0.5, 0.75]).items()}
+    else:
+        rows = _row(df, columns, stats)
     return Fitted("scale", {"scales": {c: [r["a"] or 0.0, r["b"] or 1.0] for c, r in rows.items()}})
 
 
@@ -191,8 +202,14 @@ def _categories(df: DataFrame, columns: Sequence[str]) -> dict[str, list]:
     return {c: sorted(v, key=float) if c in numbers else sorted(v) for c, v in out.items()}
 
 
-def fit_one_hot(df: DataFrame, columns: Sequence[str], drop_first: bool = False) -> Fitted:
-    """A 0/1 column for each value (but the first, if asked); values unknown when fitted give zeros."""
+def fit_one_hot(df: DataFrame, columns: Sequence[str], drop_first: bool = False, most: int = 1000) -> Fitted:
+    """A 0/1 column for each value (but the first, if asked); values unknown when fitted give zeros.
+
+    Columns are bounded by what a table can have: more than ``most`` values are an error, for which there are codes.
+    """
+    sizes = profile.value_counts(df, columns).where("value is not null").groupBy("column").count().where(F.col("count") > most).collect() if columns else []
+    if sizes:
+        raise ValueError(f"too many values for 0/1 columns: {', '.join(sorted(r['column'] for r in sizes))}")
     return Fitted("one_hot", {"values": {c: v[int(drop_first) :] for c, v in _categories(df, columns).items()}})
 
 
@@ -250,8 +267,13 @@ def _ordinal(df: DataFrame, s: dict) -> DataFrame:
 
 
 def decode(df: DataFrame, code: str, fitted: Fitted, column: str) -> DataFrame:
-    """``df`` with the value that a code of a fitted ordinal encoding stands for, in ``decoded``."""
+    """``df`` with the value that a code of a fitted ordinal encoding stands for, in ``decoded``; null for other codes."""
+    if column in fitted.state.get("tables", {}):
+        codes = df.sparkSession.read.schema("value string, code int").parquet(fitted.state["tables"][column]).select(F.col("code").alias("_code"), F.col("value").alias("decoded"))
+        return df.join(codes, F.col(code).cast("int") == F.col("_code"), "left").drop("_code")
     values = fitted.state["values"][column]
+    if not values:
+        return df.withColumn("decoded", F.lit(None).cast("string"))
     names = F.create_map(*[F.lit(x) for i, v in enumerate(values) for x in (i, v)])
     return df.withColumn("decoded", F.try_element_at(names, F.col(code).cast("int")))
 
@@ -259,7 +281,10 @@ def decode(df: DataFrame, code: str, fitted: Fitted, column: str) -> DataFrame:
 def encoding_report(fitted: Fitted, spark: SparkSession) -> DataFrame:
     """column, code, value of a fitted encoding."""
     rows = [(c, i, v) for c, values in fitted.state["values"].items() for i, v in enumerate(values)]
-    return spark.createDataFrame(rows, "column string, code int, value string")
+    out = spark.createDataFrame(rows, "column string, code int, value string")
+    for c, path in fitted.state.get("tables", {}).items():
+        out = out.unionByName(spark.read.schema("value string, code int").parquet(path).withColumn("column", F.lit(c)))
+    return out
 
 
 # Dates
@@ -334,25 +359,38 @@ STOP_WORDS = (
 )
 
 
+def _accents() -> tuple[str, str]:
+    """Letters with marks and what is left of them (by Unicode's decomposition), then the marks alone, which go."""
+    marked, plain = [], []
+    for code in range(0xC0, 0x2000):
+        base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+        if len(base) == 1 and base != chr(code):
+            marked.append(chr(code))
+            plain.append(base)
+    return "".join(marked) + "".join(map(chr, range(0x300, 0x370))), "".join(plain)
+
+
 def terms(c: Column, stop_words: str = STOP_WORDS) -> Column:
-    """Words of two and more letters or digits without stop words, and pairs of neighbours among them."""
-    words = F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~w.isin(stop_words.split()))
-    pairs = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))).otherwise(F.array().cast("array<string>"))
-    return F.concat(words, pairs)
+    """Words of two and more letters or digits, lower-cased and without accents and stop words, and pairs of neighbours among them."""
+    once = lambda value, make: F.get(F.transform(F.array(value), make), F.lit(0))  # noqa: E731  evaluates ``value`` one time
+    words = F.filter(F.regexp_extract_all(F.lower(F.translate(c, *_accents())), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~w.isin(stop_words.split()))
+    n = lambda w: F.greatest(F.size(w) - 1, F.lit(0))
+    return once(words, lambda w: F.concat(w, F.zip_with(F.slice(w, F.lit(1), n(w)), F.slice(w, F.lit(2), n(w)), lambda a, b: F.concat_ws(" ", a, b))))
 
 
 def tfidf(df: DataFrame, key: str, column: str, least: int = 2, most: float = 0.95, features: int = 5000) -> DataFrame:
     """key, term, weight: tf * (ln((1 + n) / (1 + df)) + 1), of length 1 for each row, for the most frequent terms.
 
-    ``features`` is the size of the vocabulary that is asked for.
+    ``features`` is the size of the vocabulary that is asked for. A row (also one with a null text) without a term of
+    the vocabulary is the zero vector: it has no rows here. Terms are counted once and read from there.
     """
-    counts = df.select(key, F.explode(terms(F.col(column))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    counts = cut(df.select(key, F.explode(terms(F.col(column))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")))
     n = df.count()
     vocabulary = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where((F.col("df") >= least) & (F.col("df") <= most * n))
     vocabulary = vocabulary.orderBy(F.desc("cf"), "term").limit(features)
     weighted = counts.join(F.broadcast(vocabulary), "term").withColumn("w", F.col("tf") * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1))  # ``features`` rows
-    norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return weighted.select(key, "term", (F.col("w") / length).alias("weight"))
 
 
 _APPLY = {

@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import metrics, rows
+from ..operators import metrics, profile, rows
 from ..session import cut
 
 
@@ -283,7 +283,7 @@ def isolation_forest(rows_: DataFrame, trees: int = 50, sample: int = 256, conta
 
     scored = rows_.withColumn("anomaly_score", isolation(F.col("v").cast("array<double>")))
     scored = cut(scored)
-    edge = scored.agg(F.percentile("anomaly_score", F.lit(1 - contamination))).head()[0]
+    edge = profile.quantiles(scored, ["anomaly_score"], [1 - contamination])["anomaly_score"][0]
     return scored.withColumn("anomaly_label", F.when(F.col("anomaly_score") > F.lit(edge), -1).otherwise(1))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -185,16 +188,16 @@ _STOP = ", ".join(f"'{w}'" for w in transforms.STOP_WORDS.split())
 
 @query(
     "x16_tfidf",
-    f"""WITH w AS (SELECT conv_id * 1000 + turn AS key, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: x NOT IN ({_STOP})) AS w FROM conversations),
+    f"""WITH w AS (SELECT conv_id * 1000 + turn AS key, list_filter(regexp_extract_all(lower(strip_accents(text)), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: x NOT IN ({_STOP})) AS w FROM conversations),
     t AS (SELECT key, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w),
     c AS (SELECT key, term, count(*) AS tf FROM t GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM conversations),
-    v AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM c GROUP BY 1 HAVING count(*) >= 2 AND count(*) <= 0.95 * (SELECT n FROM n) ORDER BY cf DESC, term LIMIT 500),
+    v AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM c GROUP BY 1 HAVING count(*) >= 2 AND count(*) <= 0.95 * (SELECT n FROM n) ORDER BY cf DESC, term LIMIT 5000),
     x AS (SELECT key, term, tf * (ln((1.0 + n) / (1.0 + df)) + 1) AS w FROM c JOIN v USING (term), n)
     SELECT key, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY key)), 6) AS weight FROM x""",
 )
 def x16(spark: SparkSession, d: str) -> DataFrame:
     df = load(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), "text")
-    return _r(transforms.tfidf(df, "key", "text", features=500), 6, "weight")
+    return _r(transforms.tfidf(df, "key", "text"), 6, "weight")
 
 
 @query("x17_dates_tree", "SELECT event_id, year(ts)::INT AS ts_year, month(ts)::INT AS ts_month, day(ts)::INT AS ts_day, (isodow(ts) - 1)::INT AS ts_dayofweek, quarter(ts)::INT AS ts_quarter, (isodow(ts) >= 6)::INT AS ts_is_weekend, hour(ts)::INT AS ts_hour, (hour(ts) BETWEEN 9 AND 17)::INT AS ts_is_business_hours FROM events")
@@ -239,26 +242,76 @@ def x26(spark: SparkSession, d: str) -> DataFrame:
 # Correlated features
 
 _PARTS = ("p_partkey", "p_size AS size_mean", "p_size * 2 + p_partkey % 3 AS size_worst", "p_size * 3 + p_partkey % 5 AS size_se", "p_retailprice AS price")
+_SIZES = ["size_mean", "size_worst", "size_se", "price"]
+_PART_SQL = "SELECT " + ", ".join(_PARTS) + " FROM part"
+_PAIR_SQL = f"t AS ({_PART_SQL}), p AS (" + " UNION ALL ".join(f"SELECT '{a}' AS f1, '{b}' AS f2, corr({a}, {b}) AS r FROM t" for a, b in combinations(_SIZES, 2)) + ")"
+#: How two names are related.
+_RELATED = """CASE WHEN f1 LIKE '%year%' AND f2 LIKE '%year%' THEN 'temporal_difference'
+    WHEN (f1 LIKE '%area%' AND f2 LIKE '%cars%') OR (f2 LIKE '%area%' AND f1 LIKE '%cars%') THEN 'area_per_unit'
+    WHEN (f1 LIKE '%area%' AND f2 LIKE '%frontage%') OR (f2 LIKE '%area%' AND f1 LIKE '%frontage%') THEN 'area_ratio'
+    WHEN (f1 LIKE '%room%' AND f2 LIKE '%room%') OR (f1 LIKE '%bed%' AND f2 LIKE '%room%') OR (f1 LIKE '%room%' AND f2 LIKE '%bed%') THEN 'count_difference'
+    WHEN CASE WHEN f1 LIKE '%\\_%' ESCAPE '\\' THEN split_part(f1, '_', 1) ELSE left(f1, 4) END = CASE WHEN f2 LIKE '%\\_%' ESCAPE '\\' THEN split_part(f2, '_', 1) ELSE left(f2, 4) END
+      AND length(CASE WHEN f1 LIKE '%\\_%' ESCAPE '\\' THEN split_part(f1, '_', 1) ELSE left(f1, 4) END) > 2 THEN 'same_category' ELSE 'none' END"""
 
 
-@query("x22_j11_a18_groups", "SELECT c AS \"column\", 3 AS group_size FROM (VALUES ('size_mean'), ('size_worst'), ('size_se')) AS v(c) WHERE (SELECT count(*) FROM part) > 0")
+@query(
+    "x22_j11_a18_groups",
+    f"""WITH RECURSIVE {_PAIR_SQL}, e AS (SELECT f1 AS a, f2 AS b FROM p WHERE abs(r) >= 0.9 UNION SELECT f2, f1 FROM p WHERE abs(r) >= 0.9),
+    g AS (SELECT a AS c, a AS m FROM e UNION SELECT e.b, g.m FROM g JOIN e ON e.a = g.c), h AS (SELECT c, min(m) AS head FROM g GROUP BY 1),
+    v AS ({" UNION ALL ".join(f"SELECT '{c}' AS c, abs(stddev_samp({c}) / avg({c})) AS cv FROM t" for c in _SIZES)}),
+    b AS (SELECT head, arg_max(c, (cv, -ascii(c), c)) AS best, count(*)::INT AS n FROM h JOIN v USING (c) GROUP BY 1)
+    SELECT c AS "column", head AS "group", best AS representative, n AS group_size FROM h JOIN b USING (head)""",
+)
 def x22(spark: SparkSession, d: str) -> DataFrame:
-    df = load(spark, d, "part").selectExpr(*_PARTS)
-    return correlate.representatives(df, ["size_mean", "size_worst", "size_se", "price"]).select("column", "group_size")
+    return correlate.representatives(load(spark, d, "part").selectExpr(*_PARTS), _SIZES)
 
 
-@query(
-    "x22_pairs",
-    "WITH t AS (SELECT " + ", ".join(_PARTS) + " FROM part) SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS f1, '{b}' AS f2, round(corr({a}, {b}), 6) AS r, 'area_ratio' AS relation FROM t" for a, b in (("size_mean", "size_worst"), ("size_mean", "size_se"), ("size_worst", "size_se"))) + ") WHERE abs(r) >= 0.9",
-)
+@query("x22_pairs", f"WITH {_PAIR_SQL} SELECT f1, f2, round(r, 6) AS r, {_RELATED} AS relation FROM p WHERE abs(r) >= 0.9")
 def x22b(spark: SparkSession, d: str) -> DataFrame:
-    return _r(correlate.pair_report(load(spark, d, "part").selectExpr(*_PARTS), ["size_mean", "size_worst", "size_se", "price"]), 6, "r")
+    return _r(correlate.pair_report(load(spark, d, "part").selectExpr(*_PARTS), _SIZES), 6, "r")
+
+
+_NAMES = "SELECT DISTINCT p_type AS f1, p_brand AS f2 FROM part UNION ALL SELECT DISTINCT 'lot_area_' || lower(p_mfgr), 'lot_frontage_' || lower(p_mfgr) FROM part UNION ALL SELECT DISTINCT 'year_' || p_size, 'built_year_' || p_size FROM part UNION ALL SELECT DISTINCT 'bed' || p_size, 'rooms' FROM part UNION ALL SELECT DISTINCT 'garage_area', 'garage_cars' || p_size FROM part"
+
+
+@query("x23_relations", f"SELECT f1, f2, {_RELATED.replace('f1 ', 'lower(f1) ').replace('f2 ', 'lower(f2) ').replace('(f1,', '(lower(f1),').replace('(f2,', '(lower(f2),')} AS relation FROM ({_NAMES})")
+def x23(spark: SparkSession, d: str) -> DataFrame:
+    part, low = load(spark, d, "part"), F.lower("p_mfgr")
+    size = F.col("p_size").cast("string")
+    named = [(F.col("p_type"), F.col("p_brand")), (F.concat(F.lit("lot_area_"), low), F.concat(F.lit("lot_frontage_"), low)), (F.concat(F.lit("year_"), size), F.concat(F.lit("built_year_"), size)), (F.concat(F.lit("bed"), size), F.lit("rooms")), (F.lit("garage_area"), F.concat(F.lit("garage_cars"), size))]
+    pairs = reduce(DataFrame.union, [part.select(a.alias("f1"), b.alias("f2")).distinct() for a, b in named])
+    return pairs.withColumn("relation", correlate.relation(F.col("f1"), F.col("f2")))
 
 
 @query("x24_reduce", "SELECT p_partkey, p_size AS size_mean, p_retailprice AS price FROM part")
 def x24(spark: SparkSession, d: str) -> DataFrame:
     df = load(spark, d, "part").selectExpr(*_PARTS)
-    return correlate.reduce_features(df, correlate.pair_report(df, ["size_mean", "size_worst", "size_se", "price"]), "unknown")[0]
+    return correlate.reduce_features(df, correlate.pair_report(df, _SIZES), "unknown")[0]
+
+
+_ROOMS = ("p_partkey", "p_size AS rooms_above", "p_size + p_partkey % 2 AS bedrooms", "p_size * 10 AS lot_area", "p_size * 5 + p_partkey % 3 AS lot_frontage", "p_size * 4 AS age_mean", "p_size * 4 AS age_worst")
+_ROOM_NAMES = ["rooms_above", "bedrooms", "lot_area", "lot_frontage", "age_mean", "age_worst"]
+
+
+@query(
+    "x24_reduce_linear",
+    "WITH t AS (SELECT " + ", ".join(_ROOMS) + " FROM part) SELECT p_partkey, rooms_above, bedrooms, lot_area, lot_frontage, age_mean, rooms_above - bedrooms AS rooms_above_minus_bedrooms, round(lot_area / CASE WHEN lot_frontage = 0 THEN 1 ELSE lot_frontage END, 6) AS lot_area_per_lot_frontage FROM t",
+)
+def x24b(spark: SparkSession, d: str) -> DataFrame:
+    df = load(spark, d, "part").selectExpr(*_ROOMS)
+    return _r(correlate.reduce_features(df, correlate.pair_report(df, _ROOM_NAMES), "linear")[0], 6, "lot_area_per_lot_frontage")
+
+
+@query("x24_reduce_distance", "WITH t AS (SELECT " + ", ".join(_ROOMS) + " FROM part) SELECT p_partkey, rooms_above, bedrooms, lot_area, lot_frontage, age_mean FROM t")
+def x24c(spark: SparkSession, d: str) -> DataFrame:
+    df = load(spark, d, "part").selectExpr(*_ROOMS)
+    return correlate.reduce_features(df, correlate.pair_report(df, _ROOM_NAMES), "distance")[0]
+
+
+@query("x24_reduce_tree", "SELECT " + ", ".join(_ROOMS) + " FROM part")
+def x24d(spark: SparkSession, d: str) -> DataFrame:
+    df = load(spark, d, "part").selectExpr(*_ROOMS)
+    return correlate.reduce_features(df, correlate.pair_report(df, _ROOM_NAMES), "tree")[0]
 
 
 # Expressions

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +17,17 @@ LABELS = ("ham", "spam", "yes", "no", "true", "false", "positive", "negative", "
 SNIFF_LINES = 10
 
 
-def first_lines(spark: SparkSession, path: str, n: int = SNIFF_LINES) -> list[str]:
-    return [r[0] for r in spark.read.text(path).limit(n).collect()]
+def text_lines(spark: SparkSession, path: str, charset: str = "utf-8") -> DataFrame:
+    """``value``: the lines of a file or folder, decoded. A file in UTF-16 is read by one task, as a stream."""
+    if charset == "utf-8":
+        return spark.read.text(path)
+    # A separator that occurs in no text and no quotes: a line is one cell.
+    lines = spark.read.schema("value string").csv(path, sep="\x01", quote="", escape="", encoding=charset, multiLine=charset == "utf-16")
+    return lines.where("value is not null")
+
+
+def first_lines(spark: SparkSession, path: str, charset: str = "utf-8", n: int = SNIFF_LINES) -> list[str]:
+    return [r[0] for r in text_lines(spark, path, charset).limit(n).collect()]
 
 
 def _cells(line: str, sep: str) -> list[str]:
@@ -82,28 +90,10 @@ def has_header(lines: Sequence[str], sep: str) -> bool:
 
 
 def encoding(spark: SparkSession, path: str) -> str:
-    """The first encoding that reads the beginning of every file; tried where the files are."""
-
-    def try_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = []
-            for content in pdf["content"]:
-                name = ENCODINGS[-1]
-                for e in ENCODINGS[:3]:
-                    try:
-                        bytes(content[: 1 << 16]).decode(e)
-                    except UnicodeDecodeError as error:
-                        if error.start < len(content[: 1 << 16]) - 4:
-                            continue
-                    name = e
-                    break
-                found.append(ENCODINGS[-1] if bytes(content[:2]) in (b"\xff\xfe", b"\xfe\xff") else name)
-            yield pd.DataFrame({"encoding": found})
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    counts = files.mapInPandas(try_all, "encoding string").groupBy("encoding").count().collect()  # a row for each encoding
-    names = {r["encoding"] for r in counts}
-    return next((e for e in (ENCODINGS[3], ENCODINGS[1], ENCODINGS[2], ENCODINGS[0]) if e in names), ENCODINGS[0])
+    """The first encoding that reads every line of every file; found where the lines are, from their bytes."""
+    head = F.hex(F.substring(F.col("value").cast("binary"), 1, 2))
+    marked, valid = spark.read.text(path).agg(F.bool_or(head.isin("FFFE", "FEFF")), F.bool_and(F.is_valid_utf8("value"))).head()
+    return ENCODINGS[3] if marked else ENCODINGS[0] if valid or valid is None else ENCODINGS[1]
 
 
 def clean_names(df: DataFrame) -> DataFrame:
@@ -126,17 +116,17 @@ def clean_names(df: DataFrame) -> DataFrame:
 def read_table(spark: SparkSession, path: str, sep: str | None = None, header: bool | None = None, charset: str | None = None, numeric_sentinels: bool = False) -> DataFrame:
     """A delimited file or folder as a table of texts: what is not given is found out; null tokens become null."""
     charset = charset or encoding(spark, path)
-    lines = [r[0] for r in spark.read.option("encoding", charset).text(path).limit(SNIFF_LINES).collect()] if charset == "utf-8" else first_lines(spark, path)
+    lines = first_lines(spark, path, charset)
     sep = sep or separator(lines)
     header = has_header(lines, sep) if header is None else header
     if sep == r"\s+":
-        rows = spark.read.text(path).where(F.trim("value") != "").select(F.split(F.trim("value"), r"\s+").alias("c"))
+        rows = text_lines(spark, path, charset).where(F.trim("value") != "").select(F.split(F.trim("value"), r"\s+").alias("c"))
         names = _cells(lines[0], sep) if header else [f"Column{i + 1}" for i in range(max(len(_cells(x, sep)) for x in lines if x.strip()))]
         df = rows.select(*[F.get("c", F.lit(i)).alias(n) for i, n in enumerate(names)])
         if header:
             df = df.where(~F.concat_ws(" ", *[F.col(f"`{n}`") for n in df.columns]).eqNullSafe(F.lit(" ".join(names))))
     else:
-        df = spark.read.csv(path, sep=sep, header=header, mode="DROPMALFORMED", ignoreLeadingWhiteSpace=True, encoding=charset)
+        df = spark.read.csv(path, sep=sep, header=header, mode="DROPMALFORMED", ignoreLeadingWhiteSpace=True, encoding=charset, multiLine=charset == "utf-16")
         if not header:
             df = df.toDF(*[f"Column{i + 1}" for i in range(len(df.columns))])
     return clean_names(normalise(df, numeric_sentinels))
