@@ -60,5 +60,28 @@ def timeline(n: int = 15, **events: DataFrame) -> DataFrame:
 def dashboard(models: DataFrame, datasets: DataFrame) -> DataFrame:
     """One row: totals, the best model, the newest dataset, and what needs attention."""
     m = models.agg(F.count("*").alias("n_models"), F.max_by("name", F.struct("score", "name")).alias("best_model"), F.max("score").alias("best_score"), F.count_if(F.col("score") < 0.6).alias("n_weak"))
-    d = datasets.agg(F.count("*").alias("n_datasets"), F.max_by("name", F.struct("at", "name")).alias("latest"), F.count_if(~F.col("processed")).alias("n_unprocessed"))
+    newest = F.struct("at", "name")
+    share = [F.max_by("missing_pct", newest).alias("latest_missing_pct")] if "missing_pct" in datasets.columns else []
+    d = datasets.agg(F.count("*").alias("n_datasets"), F.max_by("name", newest).alias("latest"), *share, F.count_if(~F.col("processed")).alias("n_unprocessed"))
     return m.crossJoin(d)  # one row each
+
+
+def attention(models: DataFrame, datasets: DataFrame, weak: float = 0.6, n: int = 5) -> DataFrame:
+    """type, severity, total, names: what to look at, with the first ``n`` names of each kind (a report, so limited)."""
+    none = F.lit(False)
+    kinds = [
+        ("unprocessed_datasets", "warning", datasets.where(~F.col("processed")), "dataset_id"),
+        ("low_accuracy", "error", models.where(F.coalesce("score", F.lit(0.0)) < weak), "model_id"),
+        ("class_imbalance", "info", models.where(F.coalesce("imbalanced", none) if "imbalanced" in models.columns else none), "model_id"),
+    ]
+    out = None
+    for kind, severity, rows, key in kinds:
+        first = rows.orderBy(key).limit(n).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "name"))), lambda x: x["name"]), ",").alias("names"))
+        one = rows.agg(F.count("*").alias("total")).where("total > 0").crossJoin(first).select(F.lit(kind).alias("type"), F.lit(severity).alias("severity"), "total", "names")  # one row each
+        out = one if out is None else out.union(one)
+    return out
+
+
+def model_table(models: DataFrame, datasets: DataFrame) -> DataFrame:
+    """Models with their dataset's name and a rounded score, the newest first."""
+    return with_dataset(models, datasets).withColumn("score", F.round("score", 4)).orderBy(F.desc("created"), "model_id")

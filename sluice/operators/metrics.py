@@ -143,7 +143,27 @@ def ranked(results: DataFrame) -> DataFrame:
     return scored.withColumn("all_out", all_out).withColumn("rank", F.row_number().over(order)).drop("all_out")
 
 
-def anomaly_summary(df: DataFrame, label: str = "anomaly_label", score: str = "anomaly_score") -> DataFrame:
-    """One row: rows outside and inside, the ratio, and the spread of scores."""
+def anomaly_summary(df: DataFrame, label: str = "anomaly_label", score: str = "anomaly_score", vector: str | None = None) -> DataFrame:
+    """One row: rows outside and inside, the ratio, the spread of scores, and with ``vector`` the silhouette of the split."""
     out = F.count_if(F.col(label) == -1)
-    return df.agg(out.alias("n_out"), F.count_if(F.col(label) != -1).alias("n_in"), (out / F.count("*")).alias("ratio"), F.avg(score).alias("mean_score"), F.stddev_samp(score).alias("std_score"))
+    one = df.agg(out.alias("n_out"), F.count_if(F.col(label) != -1).alias("n_in"), (out / F.count("*")).alias("ratio"), F.avg(score).alias("mean_score"), F.stddev_samp(score).alias("std_score"))
+    return one if vector is None else one.crossJoin(split_silhouette(df, label, vector))  # one row each
+
+
+def split_silhouette(df: DataFrame, cluster: str, vector: str) -> DataFrame:
+    """One row: the mean silhouette with squared distances, linear in the rows; -1 where there is one cluster only.
+
+    The mean squared distance of a row to a cluster follows from the cluster's size, sum and sum of squares.
+    """
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    rows = df.select(F.col(cluster).alias("c"), F.col(vector).cast("array<double>").alias("v")).withColumn("q", dot("v", "v"))
+    sums = rows.select("c", F.posexplode("v").alias("i", "x")).groupBy("c", "i").agg(F.sum("x").alias("s"))
+    sums = sums.groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda z: z["s"]).alias("s"))
+    each = rows.groupBy("c").agg(F.count("*").alias("n"), F.sum("q").alias("qs")).join(sums, "c").withColumnRenamed("c", "other")
+    table = each.agg(F.collect_list(F.struct("other", "n", "qs", "s")).alias("t"))
+    scored = rows.crossJoin(F.broadcast(table))  # one row
+    to = lambda keep: F.transform(F.filter("t", keep), lambda k: (k["n"] * F.col("q") - 2 * dot(F.col("v"), k["s"]) + k["qs"]) / F.when(k["other"] == F.col("c"), F.greatest(k["n"] - 1, F.lit(1))).otherwise(k["n"]))
+    a, b = F.array_max(to(lambda k: k["other"] == F.col("c"))), F.array_min(to(lambda k: k["other"] != F.col("c")))
+    alone = F.exists("t", lambda k: (k["other"] == F.col("c")) & (k["n"] == 1))
+    s = F.when(alone | (F.greatest(a, b) == 0), 0.0).otherwise((b - a) / F.greatest(a, b))
+    return scored.agg(F.coalesce(F.avg(F.when(b.isNotNull(), s)), F.lit(-1.0)).alias("silhouette"))

@@ -56,23 +56,28 @@ def full_score(df: DataFrame, numeric: Sequence[str], texts: Sequence[str], low_
 
 
 def recommendations(df: DataFrame, numeric: Sequence[str], texts: Sequence[str]) -> DataFrame:
-    """type, category, column of everything that deserves a look."""
+    """type, category, message, action, columns (comma-joined, sorted): a row for everything that deserves a look."""
     missing = profile.missing(df)
-    say = lambda d, kind, category, name="column": d.select(F.lit(kind).alias("type"), F.lit(category).alias("category"), F.col(name).alias("column"))
-    found = say(missing.where("pct_missing > 50"), "critical", "high_missing").union(say(missing.where("pct_missing > 0 and pct_missing <= 50"), "warning", "missing"))
-    dup = profile.duplicates(df).where("has_duplicates").select(F.lit("*").alias("column"))
-    found = found.union(say(dup, "warning", "duplicates"))
     distinct = profile.value_counts(df, [*numeric, *texts]).where("value is not null").groupBy("column").agg(F.count("*").alias("n"))
-    found = found.union(say(distinct.where("n <= 1"), "warning", "constant"))
-    found = found.union(say(distinct.where(F.col("column").isin(list(texts)) & (F.col("n") > 50)), "info", "high_cardinality"))
-    found = found.union(say(profile.outliers(df, numeric).where("pct > 5"), "warning", "outliers"))
-    if texts:
-        found = found.union(say(profile.rare_values(df, texts).select("column").distinct(), "info", "rare_values"))
-    if len(numeric) > 1:
-        pairs = profile.correlated_pairs(df, numeric, 0.9).select(F.concat_ws("|", "f1", "f2").alias("column"))
-        found = found.union(say(pairs, "info", "correlation"))
-    none = found.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("success"), F.lit("all_good"), F.lit("*"))
-    return found.union(none)
+    none = df.limit(0).select(F.lit("").alias("column"))
+    pairs = profile.correlated_pairs(df, numeric, 0.9).select(F.explode(F.array("f1", "f2")).alias("column")).distinct() if len(numeric) > 1 else none
+    found = [
+        ("warning", "missing_values", "over half of the values are missing", "drop_columns", missing.where("pct_missing > 50")),
+        ("info", "missing_values", "some values are missing", "impute", missing.where("pct_missing > 0 and pct_missing <= 50")),
+        ("warning", "duplicates", "some rows repeat others", "remove_duplicates", profile.duplicates(df).where("has_duplicates").select(F.lit("*").alias("column"))),
+        ("warning", "constant_features", "one value at most", "drop_columns", distinct.where("n <= 1")),
+        ("info", "encoding", "over 50 different values", "encode_or_bin", distinct.where(F.col("column").isin(list(texts)) & (F.col("n") > 50))),
+        ("warning", "rare_values", "values of under 2 % beside dominant ones, possibly typing errors", "remove_rows", profile.rare_values(df, texts) if texts else none),
+        ("info", "outliers", "over 5 % of the values are outliers", "handle_outliers", profile.outliers(df, numeric).where("pct > 5") if numeric else none),
+        ("info", "correlation", "strongly correlated with another column", "remove_correlated", pairs),
+    ]
+    rows = None
+    for kind, category, message, action, columns in found:
+        one = columns.agg(F.array_join(F.array_sort(F.collect_set("column")), ",").alias("columns")).where("columns <> ''")
+        one = one.select(*[F.lit(x).alias(n) for n, x in (("type", kind), ("category", category), ("message", message), ("action", action))], "columns")
+        rows = one if rows is None else rows.union(one)
+    fine = rows.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("success"), F.lit("quality"), F.lit("nothing stands out"), F.lit("none"), F.lit(""))
+    return rows.union(fine)
 
 
 def change_summary(before: DataFrame, after: DataFrame) -> DataFrame:

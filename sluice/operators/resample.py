@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import neighbours, profile
 from .rows import hash_edges
 
@@ -80,3 +81,18 @@ def policy(df: DataFrame, label: str) -> tuple[str, DataFrame]:
     if smallest >= 6 and r["ratio"] > 2.5:
         return "smote_tomek", one
     return "oversample", one
+
+
+def balanced(rows: DataFrame, label: str = "label", k: int = 5, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (id, v, label) rebalanced by ``policy``, and a report: class, policy, before, after.
+
+    What cannot be made (a class of one row has no neighbours) leaves the rows as they are.
+    """
+    how = policy(rows, label)[0]
+    try:
+        out = rows if how == "none" else smote(rows, label, k, seed) if how == "smote" else smote_tomek(rows, label, k, seed) if how == "smote_tomek" else oversample(rows, label, "id", seed).drop("copy")
+        out = cut(out.select("id", "v", label))
+    except Exception:  # an input that the method cannot handle
+        how, out = f"{how}_failed", rows.select("id", "v", label)
+    count = lambda df, name: df.groupBy(F.col(label).alias("class")).agg(F.count("*").alias(name))
+    return out, count(rows, "before").join(count(out, "after"), "class", "left").select("class", F.lit(how).alias("policy"), "before", F.coalesce("after", F.lit(0)).alias("after"))

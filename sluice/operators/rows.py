@@ -28,13 +28,16 @@ def drop_values(df: DataFrame, values: Mapping[str, Sequence[str]]) -> DataFrame
     return df
 
 
-def drop_values_report(df: DataFrame, values: Mapping[str, Sequence[str]]) -> DataFrame:
-    """column, n_rows, n_removed, by column alone, with what would be left after all: from one pass."""
+def drop_values_report(df: DataFrame, values: Mapping[str, Sequence[str]], target: str | None = None) -> DataFrame:
+    """column, n_rows, n_removed, by column alone, with what would be left after all: from one pass.
+
+    ``hits_target``: values of the target itself would go, so that a class may be left with too few rows to split.
+    """
     hit = {c: F.coalesce(F.trim(F.col(c)).isin(list(v)), F.lit(False)) for c, v in values.items()}
     any_hit = F.lit(False)
     for h in hit.values():
         any_hit = any_hit | h
-    rows = df.agg(F.array(*[F.struct(F.lit(c).alias("column"), F.count("*").alias("n_rows"), F.count_if(h).alias("n_removed"), F.count_if(~any_hit).alias("n_left")) for c, h in hit.items()]).alias("a"))
+    rows = df.agg(F.array(*[F.struct(F.lit(c).alias("column"), F.count("*").alias("n_rows"), F.count_if(h).alias("n_removed"), F.count_if(~any_hit).alias("n_left"), F.lit(c == target and bool(values[c])).alias("hits_target")) for c, h in hit.items()]).alias("a"))
     return rows.select(F.inline("a"))
 
 
@@ -92,6 +95,24 @@ def validation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
     return rows.select("column", "n_null", "n_infinite", F.coalesce((F.abs("mean") < 0.5) & (F.abs(F.col("std") - 1) < 0.5), F.lit(False)).alias("scaled"))
 
 
+def output_checks(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """check, passed, severity: whether prepared features are numbers, complete, finite, as many as their names, and none an id."""
+    numeric = set(profile.numeric_columns(df))
+    whole = validation(df, [c for c in df.columns if c in numeric]).agg(F.coalesce(F.sum("n_null"), F.lit(0)) == 0, F.coalesce(F.sum("n_infinite"), F.lit(0)) == 0, F.count_if("scaled") > 0).head()
+    checks = [
+        ("numeric", numeric == set(df.columns), "error"), ("no_nulls", whole[0], "error"), ("finite", whole[1], "error"), ("width", len(df.columns) == len(names), "error"),
+        ("no_ids", not any(profile.id_like(c) for c in names), "warning"), ("scaled", whole[2], "info"),
+    ]
+    return df.sparkSession.createDataFrame([(n, bool(p), k) for n, p, k in checks], "`check` string, passed boolean, severity string")
+
+
+def schema_difference(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
+    """kind (missing or extra), column: wanted columns that hold no value in any row, and columns with values that are not wanted."""
+    held = df.agg(F.array(*[F.when(F.count(f"`{c}`") > 0, F.lit(c)) for c in df.columns]).alias("held")).select(F.array_compact("held").alias("held"))
+    want = F.array(*map(F.lit, wanted))
+    return held.select(F.explode(F.array_except(want, F.col("held"))).alias("column")).select(F.lit("missing").alias("kind"), "column").union(held.select(F.explode(F.array_except("held", want)).alias("column")).select(F.lit("extra").alias("kind"), "column"))
+
+
 def _order(key: str, seed: int) -> Column:
     """An order by hash of the key, the same in any engine."""
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")).cast("binary"))

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import columns, profile, quality, rows
+from ..operators import catalog, columns, profile, quality, rows
 from . import load, query
 from .inputs import LINES_SQL, NUMBERS, ORDERS_SQL, each, lines, orders
 
@@ -138,9 +138,22 @@ def a12(spark: SparkSession, d: str) -> DataFrame:
     return _r(profile.rare_values(orders(spark, d), ["status", "priority"]), 6, "share")
 
 
-@query("a13_quality_full")
+_OUTSIDE = "(SELECT count(*) FILTER ({c} < low OR {c} > high) FROM t, (SELECT CASE WHEN q3 - q1 < 1e-10 THEN m - 3 * sd ELSE q1 - 2.5 * (q3 - q1) END AS low, CASE WHEN q3 - q1 < 1e-10 THEN m + 3 * sd ELSE q3 + 2.5 * (q3 - q1) END AS high FROM (SELECT " + _BOUNDS + " FROM t)))"
+_ALL = ["order_id", "custkey", "price", "status", "priority", "placed", "late", "version", "optional"]
+
+
+@query(
+    "a13_quality_full",
+    _counts(ORDERS_SQL, ["status", "priority"])
+    + f""", w AS (SELECT *, count(*) FILTER (share > 0.1) OVER (PARTITION BY "column") AS large FROM r), n AS (SELECT count(*) AS n FROM t), g AS (SELECT count(*) AS k FROM t GROUP BY {", ".join(_ALL)}),
+    p AS (SELECT round(({" + ".join(f"(SELECT count(*) - count({c}) FROM t)" for c in _ALL)}) / (n * 9) * 25, 4) AS p_missing, round((SELECT sum(k) - count(*) FROM g) / n * 15, 4) AS p_duplicates,
+    round(least(20.0, ({" + ".join(_OUTSIDE.replace("{c}", c) for c in ("price", "late"))}) / (n * 2) * 100), 4) AS p_outliers, round((SELECT (abs(skewness(price)) > 2)::INT + (abs(skewness(late)) > 2)::INT FROM t) / 2 * 10.0, 4) AS p_skew,
+    round(least(15.0, (SELECT count(*) FROM w WHERE large >= 2 AND share < 0.02) / 10 * 15.0), 4) AS p_rare, round(1 / 9 * 10.0, 4) AS p_low_variance, round((SELECT (abs(corr(price, late)) > 0.9)::INT FROM t) * 10.0, 4) AS p_correlation FROM n)
+    SELECT *, round(greatest(0.0, 100 - (p_missing + p_duplicates + p_outliers + p_skew + p_rare + p_low_variance + p_correlation)), 3) AS score,
+    CASE WHEN 100 - (p_missing + p_duplicates + p_outliers + p_skew + p_rare + p_low_variance + p_correlation) >= 90 THEN 'excellent' WHEN 100 - (p_missing + p_duplicates + p_outliers + p_skew + p_rare + p_low_variance + p_correlation) >= 75 THEN 'good' WHEN 100 - (p_missing + p_duplicates + p_outliers + p_skew + p_rare + p_low_variance + p_correlation) >= 60 THEN 'fair' WHEN 100 - (p_missing + p_duplicates + p_outliers + p_skew + p_rare + p_low_variance + p_correlation) >= 40 THEN 'poor' ELSE 'critical' END AS band FROM p""",
+)
 def a13(spark: SparkSession, d: str) -> DataFrame:
-    return quality.full_score(orders(spark, d), ["price", "late"], ["status", "priority"], ["version"])
+    return _r(quality.full_score(orders(spark, d), ["price", "late"], ["status", "priority"], ["version"]), 3, "score")
 
 
 @query(
@@ -151,7 +164,22 @@ def a14(spark: SparkSession, d: str) -> DataFrame:
     return quality.basic_score(lines(spark, d))
 
 
-@query("a15_recommendations")
+@query(
+    "a15_recommendations",
+    _counts(ORDERS_SQL, ["status", "priority"])
+    + f""", w AS (SELECT *, count(*) FILTER (share > 0.1) OVER (PARTITION BY "column") AS large FROM r), n AS (SELECT count(*) AS n FROM t),
+    m AS ({" UNION ALL ".join(f"SELECT '{c}' AS c, (count(*) - count({c})) * 100.0 / count(*) AS pct, count(DISTINCT {c}) AS k FROM t" for c in _ALL)}), g AS (SELECT count(*) AS k FROM t GROUP BY {", ".join(_ALL)}),
+    o AS ({" UNION ALL ".join(f"SELECT '{c}' AS c, {_OUTSIDE.replace('{c}', c)} * 100.0 / (SELECT count({c}) FROM t) AS pct" for c in ("price", "optional"))}),
+    f AS (SELECT 'warning' AS type, 'missing_values' AS category, 'over half of the values are missing' AS message, 'drop_columns' AS action, c FROM m WHERE round(pct, 2) > 50
+    UNION ALL SELECT 'info', 'missing_values', 'some values are missing', 'impute', c FROM m WHERE round(pct, 2) > 0 AND round(pct, 2) <= 50
+    UNION ALL SELECT 'warning', 'duplicates', 'some rows repeat others', 'remove_duplicates', '*' FROM g HAVING sum(k) > count(*)
+    UNION ALL SELECT 'warning', 'constant_features', 'one value at most', 'drop_columns', c FROM m WHERE k <= 1 AND c IN ('price', 'optional', 'status', 'priority')
+    UNION ALL SELECT 'info', 'encoding', 'over 50 different values', 'encode_or_bin', c FROM m WHERE k > 50 AND c IN ('status', 'priority')
+    UNION ALL SELECT DISTINCT 'warning', 'rare_values', 'values of under 2 % beside dominant ones, possibly typing errors', 'remove_rows', "column" FROM w WHERE large >= 2 AND share < 0.02
+    UNION ALL SELECT 'info', 'outliers', 'over 5 % of the values are outliers', 'handle_outliers', c FROM o WHERE round(pct, 2) > 5
+    UNION ALL SELECT 'info', 'correlation', 'strongly correlated with another column', 'remove_correlated', unnest(['price', 'optional']) FROM t HAVING abs(corr(price, optional)) > 0.9)
+    SELECT type, category, message, action, string_agg(c, ',' ORDER BY c) AS columns FROM f GROUP BY ALL""",
+)
 def a15(spark: SparkSession, d: str) -> DataFrame:
     return quality.recommendations(orders(spark, d), ["price", "optional"], ["status", "priority"])
 
@@ -179,7 +207,10 @@ def a26(spark: SparkSession, d: str) -> DataFrame:
     return _r(profile.box_summary(load(spark, d, "events"), ["value"]), 4, "q25", "median", "q75", "w1", "w2", "w3", "w4")
 
 
-@query("a31_change_summary")
+@query(
+    "a31_change_summary",
+    f"WITH t AS ({ORDERS_SQL}), n AS (SELECT count(*) AS n0, count(price) AS n1, sum({' + '.join(f'({c} IS NULL)::INT' for c in _ALL)}) AS m0 FROM t) SELECT n0 - n1 AS rows_removed, 1::BIGINT AS columns_removed, m0::BIGINT AS cells_filled, round(n1 / n0, 6) AS retention, round(100 - 30 * m0 / (n0 * 9), 6) AS quality, round(100 - 100 * m0 / (n0 * 9), 6) AS complete_before, 100.0 AS complete_after FROM n",
+)
 def a31(spark: SparkSession, d: str) -> DataFrame:
     before = orders(spark, d)
     return quality.change_summary(before, rows.final_fill(before.drop("version").where("price is not null")))
@@ -286,9 +317,9 @@ def f02(spark: SparkSession, d: str) -> DataFrame:
     return rows.drop_values(orders(spark, d), _DROP).select("order_id", "status", "priority")
 
 
-@query("f02_f04_drop_report", f"WITH t AS ({ORDERS_SQL}), h AS (SELECT coalesce(status IN ('RARE', 'P'), FALSE) AS a, coalesce(priority = '5-LOW', FALSE) AS b FROM t) SELECT 'status' AS \"column\", count(*) AS n_rows, count(*) FILTER (a) AS n_removed, count(*) FILTER (NOT (a OR b)) AS n_left FROM h UNION ALL SELECT 'priority', count(*), count(*) FILTER (b), count(*) FILTER (NOT (a OR b)) FROM h")
+@query("f02_f04_drop_report", f"WITH t AS ({ORDERS_SQL}), h AS (SELECT coalesce(status IN ('RARE', 'P'), FALSE) AS a, coalesce(priority = '5-LOW', FALSE) AS b FROM t) SELECT 'status' AS \"column\", count(*) AS n_rows, count(*) FILTER (a) AS n_removed, count(*) FILTER (NOT (a OR b)) AS n_left, FALSE AS hits_target FROM h UNION ALL SELECT 'priority', count(*), count(*) FILTER (b), count(*) FILTER (NOT (a OR b)), count(*) FILTER (b) > 0 FROM h")
 def f04(spark: SparkSession, d: str) -> DataFrame:
-    return rows.drop_values_report(orders(spark, d), _DROP)
+    return rows.drop_values_report(orders(spark, d), _DROP, "priority")
 
 
 @query("f03_guard", f"WITH t AS ({ORDERS_SQL}), g AS (SELECT count(*) AS n FROM t GROUP BY late) SELECT sum(n)::BIGINT AS n_rows, min(n) AS smallest, sum(n) >= 10 AS enough_rows, min(n) >= 2 AS enough_members, min(n) < 4 AS warn FROM g")
@@ -377,8 +408,37 @@ def u04(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber").dropDuplicates()
 
 
-@query("u06_schema_difference", "SELECT * FROM (VALUES ('missing', 'price'), ('extra', 'o_totalprice')) AS v(kind, \"column\") WHERE (SELECT count(*) FROM orders) > 0")
+_WANTED = ["order_id", "custkey", "price", "state", "placed", "nothing"]
+
+
+@query(
+    "u06_schema_difference",
+    f"WITH t AS (SELECT *, CAST(NULL AS INT) AS nothing FROM ({ORDERS_SQL})), h AS (" + " UNION ALL ".join(f"SELECT '{c}' AS c FROM t HAVING count({c}) > 0" for c in [*_ALL, "nothing"]) + "), w AS (SELECT unnest([" + ", ".join(f"'{c}'" for c in _WANTED) + "]) AS c) SELECT 'missing' AS kind, c AS \"column\" FROM w WHERE c NOT IN (SELECT c FROM h) UNION ALL SELECT 'extra', c FROM h WHERE c NOT IN (SELECT c FROM w)",
+)
 def u06(spark: SparkSession, d: str) -> DataFrame:
-    have, want = load(spark, d, "orders").columns, ["o_orderkey", "o_custkey", "o_orderstatus", "price", "o_orderdate", "o_orderpriority"]
-    one = spark.range(1).select(F.array(*map(F.lit, have)).alias("have"), F.array(*map(F.lit, want)).alias("want"))
-    return one.select(F.explode(F.array_except("want", "have")).alias("column")).select(F.lit("missing").alias("kind"), "column").union(one.select(F.explode(F.array_except("have", "want")).alias("column")).select(F.lit("extra").alias("kind"), "column"))
+    return rows.schema_difference(orders(spark, d).withColumn("nothing", F.lit(None).cast("int")), _WANTED)
+
+
+@query("f16_output_checks", f"WITH t AS ({LINES_SQL}) SELECT 'numeric' AS \"check\", TRUE AS passed, 'error' AS severity UNION ALL SELECT 'no_nulls', count(quantity) = count(*) AND count(tax) = count(*), 'error' FROM t UNION ALL SELECT 'finite', TRUE, 'error' UNION ALL SELECT 'width', FALSE, 'error' UNION ALL SELECT 'no_ids', FALSE, 'warning' UNION ALL SELECT 'scaled', (abs(avg(quantity)) < 0.5 AND abs(stddev_pop(quantity) - 1) < 0.5) OR (abs(avg(tax)) < 0.5 AND abs(stddev_pop(tax) - 1) < 0.5), 'info' FROM t")
+def f16b(spark: SparkSession, d: str) -> DataFrame:
+    return rows.output_checks(lines(spark, d).select("quantity", "tax"), ["quantity", "tax", "order_id"])
+
+
+@query("l02_top_missing", f"WITH t AS ({ORDERS_SQL}), m AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round((count(*) - count({c})) * 100.0 / count(*), 2) AS pct_missing FROM t" for c in _ALL) + ") SELECT * FROM m WHERE pct_missing > 0 ORDER BY pct_missing DESC, 1 LIMIT 10")
+def l02_missing(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.top(profile.missing(orders(spark, d)).select("column", "pct_missing"), "pct_missing", 10, 0.0)
+
+
+@query("l02_top_outliers", "WITH m AS (" + " UNION ALL ".join(f"({_outlier_sql(LINES_SQL, c, 1.5)} SELECT '{c}' AS \"column\", count(*) FILTER ({c} < low OR {c} > high) AS n_outliers FROM t, b)" for c in NUMBERS) + ") SELECT * FROM m WHERE n_outliers > 0 ORDER BY n_outliers DESC, 1 LIMIT 10")
+def l02_outliers(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.top(profile.outliers(lines(spark, d), NUMBERS, 1.5).select("column", "n_outliers"), "n_outliers", 10, 0)
+
+
+@query("l02_top_cardinality", f"WITH t AS ({ORDERS_SQL}) SELECT 'status' AS \"column\", count(DISTINCT status) AS n_distinct FROM t UNION ALL SELECT 'priority', count(DISTINCT priority) FROM t")
+def l02_cardinality(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.top(profile.categorical(orders(spark, d), ["status", "priority"]).select("column", "n_distinct"), "n_distinct", 10)
+
+
+@query("l02_top_skew", f"WITH t AS ({ORDERS_SQL}), m AS (SELECT 'price' AS \"column\", round(skewness(price), 4) AS skewness FROM t UNION ALL SELECT 'late', round(skewness(late), 4) FROM t UNION ALL SELECT 'custkey', round(skewness(custkey), 4) FROM t) SELECT * FROM m WHERE abs(skewness) > 0.5 ORDER BY abs(skewness) DESC LIMIT 10")
+def l02_skew(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.top(_r(profile.moments(orders(spark, d), ["price", "late", "custkey"]).select("column", "skewness"), 4, "skewness"), "skewness", 10, 0.5)

@@ -271,12 +271,12 @@ def x22b(spark: SparkSession, d: str) -> DataFrame:
     return _r(correlate.pair_report(load(spark, d, "part").selectExpr(*_PARTS), _SIZES), 6, "r")
 
 
-_NAMES = "SELECT DISTINCT p_type AS f1, p_brand AS f2 FROM part UNION ALL SELECT DISTINCT 'lot_area_' || lower(p_mfgr), 'lot_frontage_' || lower(p_mfgr) FROM part UNION ALL SELECT DISTINCT 'year_' || p_size, 'built_year_' || p_size FROM part UNION ALL SELECT DISTINCT 'bed' || p_size, 'rooms' FROM part UNION ALL SELECT DISTINCT 'garage_area', 'garage_cars' || p_size FROM part"
+_NAMES = "SELECT DISTINCT p_type AS f1, p_brand AS f2 FROM part UNION ALL SELECT DISTINCT 'lot_area_' || lower(p_brand), 'lot_frontage_' || lower(p_brand) FROM part UNION ALL SELECT DISTINCT 'year_' || p_size, 'built_year_' || p_size FROM part UNION ALL SELECT DISTINCT 'bed' || p_size, 'rooms' FROM part UNION ALL SELECT DISTINCT 'garage_area', 'garage_cars' || p_size FROM part"
 
 
 @query("x23_relations", f"SELECT f1, f2, {_RELATED.replace('f1 ', 'lower(f1) ').replace('f2 ', 'lower(f2) ').replace('(f1,', '(lower(f1),').replace('(f2,', '(lower(f2),')} AS relation FROM ({_NAMES})")
 def x23(spark: SparkSession, d: str) -> DataFrame:
-    part, low = load(spark, d, "part"), F.lower("p_mfgr")
+    part, low = load(spark, d, "part"), F.lower("p_brand")
     size = F.col("p_size").cast("string")
     named = [(F.col("p_type"), F.col("p_brand")), (F.concat(F.lit("lot_area_"), low), F.concat(F.lit("lot_frontage_"), low)), (F.concat(F.lit("year_"), size), F.concat(F.lit("built_year_"), size)), (F.concat(F.lit("bed"), size), F.lit("rooms")), (F.lit("garage_area"), F.concat(F.lit("garage_cars"), size))]
     pairs = reduce(DataFrame.union, [part.select(a.alias("f1"), b.alias("f2")).distinct() for a, b in named])

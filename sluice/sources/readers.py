@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.normalize import normalise
+from ..functions.normalize import finite, normalise
 
 SEPARATORS = (",", "\t", ";", r"\s+", "|", ":")
 ENCODINGS = ("utf-8", "iso-8859-1", "windows-1252", "utf-16")
@@ -143,4 +143,7 @@ def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
 
 
 def write_json(df: DataFrame, path: str) -> None:
+    """One object a line; NaN and infinities, which JSON does not have, become null."""
+    floating = [f.name for f in df.schema.fields if f.dataType.typeName() in ("float", "double")]
+    df = df.withColumns({c: finite(F.col(f"`{c}`")) for c in floating})
     df.write.mode("overwrite").json(path)
