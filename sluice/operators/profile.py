@@ -208,7 +208,7 @@ def id_like(name: str, substring: bool = False) -> bool:
 def outliers(df: DataFrame, columns: Sequence[str] | None = None, k: float = 2.5) -> DataFrame:
     """Bounds, count, share and the spread of the values outside, by column. Columns named like ids are left out; a
     column without values has no bounds and no outliers."""
-    names = [c for c in columns or numeric_columns(df) if not id_like(c)]
+    names = [c for c in (numeric_columns(df) if columns is None else columns) if not id_like(c)]
     bounds = bounds_dict(outlier_bounds(df, names, k))
 
     def stats(name: str) -> Column:

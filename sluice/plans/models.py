@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -67,6 +68,22 @@ def draw(model: str, s: Sampler, n: int) -> dict:
     raise ValueError(f"unknown model {model}")
 
 
+def repaired(model: str, params: dict, n: int, task: str = "classification") -> dict:
+    """``params`` without what cannot work: penalties without a weight, leaves larger than half of the rows, shares above 1."""
+    out = dict(params)
+    if out.get("regParam") == 0.0:
+        out.pop("elasticNetParam", None)
+    if "minInstancesPerNode" in out:
+        out["minInstancesPerNode"] = max(1, min(out["minInstancesPerNode"], n // 2))
+    if "subsamplingRate" in out:
+        out["subsamplingRate"] = min(1.0, max(out["subsamplingRate"], 1 / max(n, 1)))
+    if "featureSubsetStrategy" in out and model != "random_forest":
+        out.pop("featureSubsetStrategy")
+    if model == "linear_svm" and task != "classification":
+        raise ValueError("a linear SVM separates classes")
+    return out
+
+
 def estimator(model: str, task: str, classes: int, params: dict):  # noqa: ANN201
     """The Spark estimator of a model; binary ones are used one against the rest for more classes."""
     if task == "classification":
@@ -93,37 +110,47 @@ def evaluator(task: str):  # noqa: ANN201
     return V.MulticlassClassificationEvaluator(metricName="f1") if task == "classification" else V.RegressionEvaluator(metricName="r2")
 
 
-def search(train: DataFrame, key: str, task: str, models: tuple[str, ...] | None = None, trials: int = 2, k: int = 3, seed: int = 42, give_up: int = 5) -> Search:
+def search(train: DataFrame, key: str, task: str, models: tuple[str, ...] | None = None, trials: int = 2, k: int = 3, seed: int = 42, give_up: int = 5, parallel: int = 4) -> Search:
     """Random search with k folds over ``train`` (key, features, label); models ranked by how well they generalise.
 
-    Folds are dealt by a hash of the key within each class. A model's search ends after ``give_up`` failures. The
-    best parameters of each model are fitted again on all training rows.
+    Folds are dealt by a hash of the key within each class; ``parallel`` fits run at a time, so that small stages fill
+    the cluster. A model's search ends after ``give_up`` failures in a row. The best parameters of each model are
+    fitted again on all training rows.
     """
     data = cut(rows.folds(train.select(key, "features", F.col("label").cast("double").alias("label")), key, "label" if task == "classification" else None, k, seed))
     n, classes = data.count(), int((data.agg(F.max("label")).head()[0] or 0)) + 1
     measure, failures, table, fitted = evaluator(task), [], [], {}
-    for name in models or DEFAULT_MODELS[task]:
-        sampler, best, lost = Sampler(seed), None, 0
+
+    def score(name: str, params: dict, fold: int) -> float:
+        model = estimator(name, task, classes, repaired(name, params, n, task)).fit(data.where(F.col("fold") != fold))
+        return measure.evaluate(model.transform(data.where(F.col("fold") == fold)))
+
+    def tried(name: str) -> tuple[str, tuple[list[float], dict] | None, list[tuple[str, str]]]:
+        sampler, best, lost, errors = Sampler(seed), None, 0, []
         for _ in range(trials):
             params = draw(name, sampler, n)
             try:
-                scores = []
-                for f in range(k):
-                    model = estimator(name, task, classes, params).fit(data.where(F.col("fold") != f))
-                    scores.append(measure.evaluate(model.transform(data.where(F.col("fold") == f))))
+                scores = list(folds.map(lambda f, params=params: score(name, params, f), range(k)))
             except Exception as e:  # a trial may fail; the search goes on
-                failures.append((name, str(e)[:200]))
+                errors.append((name, str(e)[:200]))
                 lost += 1
                 if lost >= give_up:
                     break
                 continue
+            lost = 0
             if best is None or np.mean(scores) > np.mean(best[0]):
                 best = (scores, params)
-        if best is None:
-            continue
-        model = estimator(name, task, classes, best[1]).fit(data)
-        fitted[name] = (model, best[1])
-        table.append((name, float(measure.evaluate(model.transform(data))), float(np.mean(best[0])), float(np.std(best[0]))))
+        return name, best, errors
+
+    names = models or DEFAULT_MODELS[task]
+    with ThreadPoolExecutor(parallel) as folds, ThreadPoolExecutor(max(1, min(parallel, len(names)))) as each:
+        for name, best, errors in each.map(tried, names):
+            failures += errors
+            if best is None:
+                continue
+            model = estimator(name, task, classes, repaired(name, best[1], n, task)).fit(data)
+            fitted[name] = (model, best[1])
+            table.append((name, float(measure.evaluate(model.transform(data))), float(np.mean(best[0])), float(np.std(best[0]))))
     results = metrics.ranked(train.sparkSession.createDataFrame(table, "model string, train_score double, cv_score double, cv_std double"))
     top = results.where("rank = 1").head()["model"]
     return Search(results, fitted[top][0], top, fitted[top][1], failures)
@@ -291,6 +318,38 @@ def kmeans(df: DataFrame, k: int, seed: int = 42) -> K.KMeansModel:
     return K.KMeans(k=k, seed=seed).fit(df)
 
 
+def minibatch_kmeans(df: DataFrame, k: int, rounds: int = 10, batch: int = 4096, seed: int = 42) -> np.ndarray:
+    """Centres (k x dimension) of ``df`` (id, v) by batches: each round about ``batch`` rows, drawn by a hash, move their centres.
+
+    Spark sums each batch by centre; the driver holds the centres alone. Assign rows with ``nearest_centre``.
+    """
+    n = max(df.count(), 1)
+    h = lambda r: F.pmod(F.xxhash64(F.lit(seed), F.lit(r), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
+    first = df.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(k).select("v").collect()
+    centres, seen = np.asarray([r[0] for r in first], float), np.zeros(len(first))
+    for r in range(rounds):
+        near = nearest_centre(df.where(h(r) < min(1.0, batch / n)), centres)
+        sums = near.select("prediction", F.posexplode("v").alias("i", "x")).groupBy("prediction", "i").agg(F.sum("x").alias("s"), F.count("*").alias("n")).collect()  # k * dimension rows
+        total, count = np.zeros_like(centres), np.zeros(len(centres))
+        for c, i, s, m in sums:
+            total[c, i], count[c] = s, m
+        seen += count
+        moved = count > 0
+        centres[moved] += (total[moved] - count[moved, None] * centres[moved]) / seen[moved, None]
+    return centres
+
+
+def nearest_centre(df: DataFrame, centres: np.ndarray) -> DataFrame:
+    """``df`` (v) with ``prediction``, the number of the nearest centre; the smaller one of equals."""
+
+    @F.pandas_udf("int")
+    def nearest(v: pd.Series) -> pd.Series:
+        x = np.stack(v.to_numpy()).astype(float) if len(v) else np.zeros((0, centres.shape[1]))
+        return pd.Series(((centres**2).sum(axis=1)[None, :] - 2 * x @ centres.T).argmin(axis=1).astype(np.int32))
+
+    return df.withColumn("prediction", nearest("v"))
+
+
 def bisecting(df: DataFrame, k: int, seed: int = 42) -> K.BisectingKMeansModel:
     return K.BisectingKMeans(k=k, seed=seed).fit(df)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators import catalog, metrics, neighbours, resample, rows, transforms
 from ..plans import models, policy, prepare
-from ..session import shared_dir
+from ..session import cut, shared_dir
 from ..sources import readers
 from ..streaming import scoring
 from . import load, query
@@ -33,11 +34,20 @@ def _r(df: DataFrame, digits: int, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(F.col(n), digits) for n in names})
 
 
+#: A model for each brand of parts, with scores that follow from its parts and what was sold of them.
+_RESULTS = """SELECT p_brand AS model, CAST(0.98 - sum(p_size) / (count(*) * 500.0) AS DOUBLE) AS train_score, CAST(0.95 - sum(l_quantity) / (count(*) * 250.0) - sum(p_partkey % 7) / (count(*) * 60.0) AS DOUBLE) AS cv_score
+FROM part JOIN lineitem ON p_partkey = l_partkey GROUP BY p_brand"""
+
+
 def _results(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "nation").select(F.col("n_name").alias("model"), (F.lit(0.95) - F.col("n_nationkey") * 0.01).alias("train_score"), (F.lit(0.9) - (F.col("n_nationkey") % 7) * 0.0313).alias("cv_score"))
+    joined = load(spark, d, "part").join(load(spark, d, "lineitem"), F.col("p_partkey") == F.col("l_partkey"))
+    n = F.count("*")
+    train = F.lit(0.98) - F.sum("p_size") / (n * 500.0)
+    cv = F.lit(0.95) - F.sum("l_quantity") / (n * 250.0) - F.sum(F.col("p_partkey") % 7) / (n * 60.0)
+    return joined.groupBy(F.col("p_brand").alias("model")).agg(train.cast("double").alias("train_score"), cv.cast("double").alias("cv_score"))
 
 
-_RES = "SELECT n_name AS model, CAST(0.95 AS DOUBLE) - n_nationkey * CAST(0.01 AS DOUBLE) AS train_score, CAST(0.9 AS DOUBLE) - (n_nationkey % 7) * CAST(0.0313 AS DOUBLE) AS cv_score FROM nation"
+_RES = _RESULTS
 _GEN = f"WITH r AS ({_RES}), g AS (SELECT *, abs(train_score - cv_score) AS gap FROM r), p AS (SELECT *, gap > 0.20 AS rejected, gap * CASE WHEN gap > 0.20 THEN 5 WHEN gap > 0.10 THEN 3 ELSE 2 END AS penalty, gap > 0.05 AS overfitting FROM g)"
 
 # Metrics
@@ -134,10 +144,13 @@ def j05c(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.approximate_knn(p, 5)
 
 
-@query("j06_impute")
+@query(
+    "j06_impute",
+    "WITH t AS (SELECT c_custkey, CASE WHEN c_custkey % 9 <> 0 THEN c_acctbal END AS balance, c_nationkey::DOUBLE AS nation FROM customer), p AS (SELECT a.c_custkey, b.c_custkey AS nid, b.balance, sqrt(2.0 * (a.nation - b.nation) * (a.nation - b.nation)) AS dist FROM t a JOIN t b ON a.balance IS NULL AND b.balance IS NOT NULL), k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY dist, nid) <= 5), n AS (SELECT *, min(dist) OVER (PARTITION BY c_custkey) AS least FROM k), w AS (SELECT c_custkey, balance, CASE WHEN least = 0 THEN (dist = 0)::INT::DOUBLE ELSE 1 / dist END AS w FROM n), v AS (SELECT c_custkey, sum(balance * w) / sum(w) AS v FROM w GROUP BY 1) SELECT t.c_custkey, round(coalesce(balance, v), 6) AS balance, nation FROM t LEFT JOIN v USING (c_custkey)",
+)
 def j06(spark: SparkSession, d: str) -> DataFrame:
     df = load(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 9 != 0, F.col("c_acctbal")).alias("balance"), F.col("c_nationkey").cast("double").alias("nation"))
-    return neighbours.impute(df, "c_custkey", ["balance", "nation"])
+    return _r(neighbours.impute(df, "c_custkey", ["balance", "nation"]), 6, "balance")
 
 
 @query("j08_tomek", _KNN.format(k=1) + " SELECT a.id AS a, a.nid AS b FROM k a JOIN k b ON a.nid = b.id AND b.nid = a.id WHERE a.id < b.id AND a.label <> a.nlabel")
@@ -157,6 +170,22 @@ def j12(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.vote(p.where("id % 5 = 0"), p.where("id % 5 <> 0"))
 
 
+_TESTED = f"WITH t AS ({POINT_SQL}), p AS (SELECT a.id, b.id AS nid, b.label, {{d}} AS dist FROM t a JOIN t b ON a.id % 5 = 0 AND b.id % 5 <> 0), k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist, nid) <= 5)"
+_EUCLID = "sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y))"
+
+
+@query("j12_weighted_vote", _TESTED.format(d="abs(b.x - a.x) + abs(b.y - a.y)") + " SELECT id, label AS prediction FROM (SELECT id, label, round(sum(1 / greatest(dist, 1e-12)), 9) AS w FROM k GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY id ORDER BY w DESC, label) = 1")
+def j12b(spark: SparkSession, d: str) -> DataFrame:
+    p = _points(spark, d)
+    return neighbours.vote(p.where("id % 5 = 0"), p.where("id % 5 <> 0"), weights="distance", metric="manhattan")
+
+
+@query("j12_m06_average", _TESTED.format(d=_EUCLID) + " SELECT id, round(avg(label), 6) AS prediction FROM k GROUP BY 1")
+def j12c(spark: SparkSession, d: str) -> DataFrame:
+    p = _points(spark, d)
+    return _r(neighbours.average(p.where("id % 5 = 0"), p.where("id % 5 <> 0")), 6, "prediction")
+
+
 @query("m11_dbscan", f"WITH RECURSIVE t AS ({POINT_SQL}), n AS (SELECT a.id, b.id AS nid FROM t a JOIN t b ON a.id <> b.id AND (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) <= 0.01), c AS (SELECT id FROM n GROUP BY 1 HAVING count(*) + 1 >= 4), e AS (SELECT n.* FROM n JOIN c USING (id) JOIN c c2 ON n.nid = c2.id), r AS (SELECT id, id AS c FROM c UNION SELECT e.nid, r.c FROM r JOIN e ON e.id = r.id), l AS (SELECT id, min(c) AS c FROM r GROUP BY 1), b AS (SELECT n.id, min(l.c) AS c FROM n JOIN l ON n.nid = l.id GROUP BY 1) SELECT t.id, coalesce(l.c, b.c, -1) AS cluster FROM t LEFT JOIN l USING (id) LEFT JOIN b USING (id)")
 def m11(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.dbscan(_points(spark, d), 0.1, 4)
@@ -196,6 +225,15 @@ def a24(spark: SparkSession, d: str) -> DataFrame:
     return out.select("n_out", "n_in", F.round("ratio", 6).alias("ratio"), F.round("mean_score", 5).alias("mean_score"), F.round("std_score", 5).alias("std_score"))
 
 
+@query(
+    "a24_split_silhouette",
+    "WITH t AS (SELECT CASE WHEN value > 20 THEN -1 ELSE 1 END AS c, value::DOUBLE AS x FROM events), g AS (SELECT c, count(*) AS n, sum(x) AS s, sum(x * x) AS q FROM t GROUP BY 1), p AS (SELECT (o.n * x * x - 2 * x * o.s + o.q) / greatest(o.n - 1, 1) AS a, (r.n * x * x - 2 * x * r.s + r.q) / r.n AS b FROM t JOIN g o ON o.c = t.c JOIN g r ON r.c <> t.c) SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM p",
+)
+def a24b(spark: SparkSession, d: str) -> DataFrame:
+    df = load(spark, d, "events").select(F.when(F.col("value") > 20, -1).otherwise(1).alias("anomaly_label"), F.col("value").alias("anomaly_score"), F.array("value").alias("v"))
+    return metrics.anomaly_summary(df, vector="v").select(F.round("silhouette", 6).alias("silhouette"))
+
+
 # Rebalancing
 
 
@@ -223,6 +261,11 @@ def x31(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(resample.policy(orders(spark, d), "late")[0],)], "policy string")
 
 
+@query("x31_balanced", f"WITH t AS ({POINT_SQL}), c AS (SELECT (id % 8 = 0)::INT AS class, count(*) AS before FROM t GROUP BY 1) SELECT class, 'smote' AS policy, before, max(before) OVER () AS after FROM c")
+def x31b(spark: SparkSession, d: str) -> DataFrame:
+    return resample.balanced(_minority(spark, d))[1]
+
+
 # Decisions and preparation
 
 
@@ -239,7 +282,7 @@ def x35(spark: SparkSession, d: str) -> DataFrame:
     return policy.encoding(load(spark, d, "part"), ["p_brand", "p_type"], "linear")
 
 
-@query("x36_scaling_policy", "SELECT 'price' AS \"column\", 'robust' AS strategy FROM (SELECT 1) WHERE (SELECT count(*) FROM orders) > 0 UNION ALL SELECT 'custkey', 'standard' FROM (SELECT 1)")
+@query("x36_scaling_policy", f"WITH t AS ({ORDERS_SQL}) " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CASE WHEN (SELECT count(*) FROM t WHERE {c} < q1 - 2.5 * (q3 - q1) OR {c} > q3 + 2.5 * (q3 - q1)) > 0 THEN 'robust' ELSE 'standard' END AS strategy FROM (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM t)" for c in ("price", "custkey")))
 def x36(spark: SparkSession, d: str) -> DataFrame:
     return policy.scaling(orders(spark, d), ["price", "custkey"], "linear")
 
@@ -294,20 +337,44 @@ def m12(spark: SparkSession, d: str) -> DataFrame:
     return prepare.explained_variance(_vectors(spark, d), 8)
 
 
+@query("m12_truncated_svd")
+def m12b(spark: SparkSession, d: str) -> DataFrame:
+    shares = prepare.truncated_svd(_vectors(spark, d), 8)
+    return shares.withColumn("score", F.lit(prepare.parsimony_score(shares, 64)))
+
+
 # Models
 
 
+_HELD: dict = {}
+
+
 def _labelled(spark: SparkSession, d: str) -> tuple[prepare.Prepared, DataFrame, DataFrame]:
-    df = load(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_custkey", "o_orderpriority", F.when(F.col("o_totalprice") + F.col("o_custkey") % 7 * 1000 > 250000, "big").otherwise("small").alias("size"))
-    p = prepare.fixed(df, "o_orderkey", "size")
-    name = lambda x: prepare.vectors(x, p.features).withColumn("label", F.col("size").cast("double"))
-    return p, name(p.train), name(p.test)
+    """Orders of which ``size`` is to be told, prepared adaptively (dates included), once for a session and folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _HELD:
+        df = load(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_custkey", "o_orderpriority", "o_orderdate", F.when(F.col("o_totalprice") + F.col("o_custkey") % 7 * 1000 > 250000, "big").otherwise("small").alias("size"))
+        p = prepare.adaptive(df, "o_orderkey", "size", family="linear")
+        name = lambda x: cut(prepare.vectors(x, p.features).withColumn("label", F.col("size").cast("double")))
+        _HELD[key] = (p, name(p.train), name(p.test))
+    return _HELD[key]
+
+
+def _priced(spark: SparkSession, d: str) -> DataFrame:
+    """Lines with their price as the label."""
+    df = load(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_quantity", "l_discount", "l_tax", F.col("l_extendedprice").alias("label"))
+    return prepare.vectors(df, ["l_quantity", "l_discount", "l_tax"])
 
 
 @query("m15_m18_search")
 def m15(spark: SparkSession, d: str) -> DataFrame:
     _, train, _ = _labelled(spark, d)
-    return models.search(train, "o_orderkey", "classification", ("logistic_regression", "decision_tree"), trials=1, k=2).results
+    return models.search(train, "o_orderkey", "classification").results
+
+
+@query("m02_m08_regression_search")
+def m02(spark: SparkSession, d: str) -> DataFrame:
+    return models.search(_priced(spark, d), "id", "regression", ("ridge", "lasso", "elastic_net", "decision_tree", "random_forest", "gradient_boosting")).results
 
 
 @query("m08_m22_regression_importance")
@@ -317,35 +384,48 @@ def m08(spark: SparkSession, d: str) -> DataFrame:
     return models.importance(models.estimator("ridge", "regression", 0, {"regParam": 0.01}).fit(prepare.vectors(df, features)), features, spark)
 
 
+@query("m23_fixed_models")
+def m23b(spark: SparkSession, d: str) -> DataFrame:
+    _, train, test = _labelled(spark, d)
+    each = {"logistic_regression": {}, "decision_tree": {}, "random_forest": {"seed": 7}, "gradient_boosting": {"seed": 7}}
+    return reduce(DataFrame.union, [metrics.classification(models.fit_fixed(train, m, params=p).transform(test)).select(F.lit(m).alias("model"), "*") for m, p in each.items()])
+
+
 @query("m23_m24_fixed_and_score")
 def m23(spark: SparkSession, d: str) -> DataFrame:
     _, train, test = _labelled(spark, d)
-    model = models.fit_fixed(train, "random_forest", params={"numTrees": 10, "seed": 7})
+    model = models.fit_fixed(train, "random_forest", params={"seed": 7})
     return models.score(model, test, ["big", "small"]).select("o_orderkey", "predicted", "confidence")
 
 
 @query("m04_gradient_boosting")
 def m04(spark: SparkSession, d: str) -> DataFrame:
     _, train, test = _labelled(spark, d)
-    return metrics.classification(models.fit_fixed(train, "gradient_boosting", params={"maxIter": 5, "seed": 7}).transform(test))
+    return metrics.classification(models.fit_fixed(train, "gradient_boosting", params={"seed": 7}).transform(test))
 
 
 @query("m05_linear_svm")
 def m05(spark: SparkSession, d: str) -> DataFrame:
     _, train, test = _labelled(spark, d)
-    return metrics.classification(models.fit_fixed(train, "linear_svm", params={"maxIter": 20}).transform(test))
+    return metrics.classification(models.fit_fixed(train, "linear_svm").transform(test))
 
 
 @query("m07_adaboost")
 def m07(spark: SparkSession, d: str) -> DataFrame:
     _, train, test = _labelled(spark, d)
-    return metrics.classification(models.adaboost(train, rounds=3).transform(test))
+    return metrics.classification(models.adaboost(train).transform(test))
 
 
 @query("m09_m25_kmeans")
 def m09(spark: SparkSession, d: str) -> DataFrame:
-    v = _vectors(spark, d)
-    return metrics.cluster_sizes(models.kmeans(v, 5).transform(v), "prediction")
+    v = rows.train_test_split(_vectors(spark, d), "id")
+    return metrics.cluster_sizes(models.kmeans(v.where("split = 'train'"), 5).transform(v.where("split = 'test'")), "prediction")
+
+
+@query("m09_minibatch_kmeans")
+def m09b(spark: SparkSession, d: str) -> DataFrame:
+    v = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return metrics.cluster_sizes(models.nearest_centre(v, models.minibatch_kmeans(v, 5)), "prediction")
 
 
 @query("m10_bisecting")
@@ -357,14 +437,15 @@ def m10(spark: SparkSession, d: str) -> DataFrame:
 @query("m13_s10_isolation_forest")
 def m13(spark: SparkSession, d: str) -> DataFrame:
     df = load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.array(F.col("o_totalprice"), F.col("o_custkey").cast("double")).alias("v"))
-    return models.isolation_forest(df, trees=20).select("id", "anomaly_score", "anomaly_label")
+    return models.isolation_forest(df).select("id", "anomaly_score", "anomaly_label")
 
 
 @query("m19_stability")
 def m19(spark: SparkSession, d: str) -> DataFrame:
     _, train, test = _labelled(spark, d)
     model = models.estimator("decision_tree", "classification", 2, {"maxDepth": 3}).fit(train)
-    return models.stability(model, model.transform(test), 0.9, 0.88)
+    seen, new = model.transform(train), model.transform(test)
+    return models.stability(model, new, *(metrics.classification(x).head()["f1"] for x in (seen, new)))
 
 
 @query("m20_m21_objectives")
@@ -372,16 +453,33 @@ def m20(spark: SparkSession, d: str) -> DataFrame:
     v = _points(spark, d).withColumnRenamed("label", "cluster")
     s = neighbours.silhouette(v).agg(F.avg("silhouette")).head()[0]
     c = metrics.cluster_summary(v).head()
-    return spark.createDataFrame([("clusters", models.clustering_objective(s, c["noise_ratio"], c["largest"])), ("anomalies", models.anomaly_objective(s, 0.33))], "kind string, objective double")
+    far = models.isolation_forest(v.select("id", "v"))
+    a = metrics.anomaly_summary(far, vector="v").head()
+    return spark.createDataFrame([("clusters", models.clustering_objective(s, c["noise_ratio"], c["largest"])), ("anomalies", models.anomaly_objective(a["silhouette"], a["ratio"]))], "kind string, objective double")
 
 
 # Sources, sinks and streams
 
 
-@query("s01_s05_csv", "SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, n_regionkey::VARCHAR AS \"region key\" FROM nation")
+@query("s01_s05_csv", "SELECT o_orderkey::VARCHAR AS o_orderkey, o_orderpriority, o_custkey::VARCHAR AS \"cust key\" FROM orders")
 def s01(spark: SparkSession, d: str) -> DataFrame:
     path = _folder(spark)
-    load(spark, d, "nation").select("n_nationkey", "n_name", F.col("n_regionkey").alias(" region   key "), F.lit(None).cast("string").alias("empty")).coalesce(1).write.option("header", True).option("sep", ";").csv(path)
+    load(spark, d, "orders").select("o_orderkey", "o_orderpriority", F.col("o_custkey").alias(" cust   key "), F.lit(None).cast("string").alias("empty")).write.option("header", True).option("sep", ";").csv(path)
+    return readers.read_table(spark, path)
+
+
+@query("s04_csv_latin1", "SELECT c_custkey::VARCHAR AS \"clé\", c_name || '_é' AS name, CASE WHEN c_custkey % 2 = 0 THEN 'ñ' ELSE 'ü' END AS sign FROM customer")
+def s04(spark: SparkSession, d: str) -> DataFrame:
+    path = _folder(spark)
+    df = load(spark, d, "customer").select(F.col("c_custkey").alias("clé"), F.concat("c_name", F.lit("_é")).alias("name"), F.when(F.col("c_custkey") % 2 == 0, "ñ").otherwise("ü").alias("sign"))
+    df.write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    return readers.read_table(spark, path)
+
+
+@query("s02_csv_no_header", "SELECT s_suppkey::VARCHAR AS Column1, s_nationkey::VARCHAR AS Column2, s_name AS Column3 FROM supplier")
+def s02(spark: SparkSession, d: str) -> DataFrame:
+    path = _folder(spark)
+    load(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_name").write.option("sep", "\t").csv(path)
     return readers.read_table(spark, path)
 
 
@@ -392,11 +490,12 @@ def s06(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_split(spark, path, "test")
 
 
-@query("s11_c33_json", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1")
+@query("s11_c33_json", "SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS price FROM orders")
 def s11(spark: SparkSession, d: str) -> DataFrame:
-    path = _folder(spark)
-    readers.write_json(load(spark, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n")), path)
-    return spark.read.schema("o_orderpriority string, n long").json(path)
+    path, key = _folder(spark), F.col("o_orderkey")
+    price = F.when(key % 6 == 0, F.lit(float("nan"))).when(key % 3 == 0, F.lit(float("inf"))).otherwise(F.col("o_totalprice"))
+    readers.write_json(load(spark, d, "orders").select("o_orderkey", "o_orderpriority", price.alias("price")), path)
+    return spark.read.schema("o_orderkey long, o_orderpriority string, price double").json(path)
 
 
 @query("s12_saved_chain", "WITH k AS (SELECT p_brand, dense_rank() OVER (ORDER BY p_brand) - 1 AS code FROM (SELECT DISTINCT p_brand FROM part)), s AS (SELECT avg(p_size) AS a, stddev_pop(p_size) AS b FROM part) SELECT p_partkey, code::DOUBLE AS p_brand, round((p_size - a) / b, 6) AS p_size FROM part JOIN k USING (p_brand), s")
@@ -414,7 +513,7 @@ def t07(spark: SparkSession, d: str) -> DataFrame:
     folder = _folder(spark)
     models.fit_fixed(train, "logistic_regression").write().overwrite().save(f"{folder}/model")
     model = PipelineModel.load(f"{folder}/model")
-    source = load(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_custkey", "o_orderpriority")
+    source = load(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_custkey", "o_orderpriority", "o_orderdate")
     source.write.parquet(f"{folder}/arriving")
     arriving = scoring.stream(spark, f"{folder}/arriving", source).withColumn("size", F.lit(None).cast("string"))
     scoring.score_stream(arriving, p.chain, model, p.features, f"{folder}/scores", f"{folder}/progress", ["o_orderkey", "prediction", "confidence"]).awaitTermination()
@@ -423,32 +522,38 @@ def t07(spark: SparkSession, d: str) -> DataFrame:
 
 # Catalog, shaped like lists of models and datasets
 
-_MODELS = "SELECT n_nationkey AS model_id, n_name AS name, (CASE WHEN n_nationkey % 6 = 0 THEN 99 ELSE n_regionkey END)::INT AS dataset_id, round(0.4 + n_nationkey * 0.02, 2)::DOUBLE AS score FROM nation"
-_SETS = "SELECT r_regionkey::INT AS dataset_id, r_name AS name, r_regionkey % 2 = 0 AS processed, r_regionkey AS \"at\" FROM region"
+_MODELS = """SELECT CAST(replace(p_brand, 'Brand#', '') AS BIGINT) AS model_id, p_brand AS name, CASE WHEN CAST(replace(p_brand, 'Brand#', '') AS BIGINT) % 6 = 0 THEN 99 ELSE CAST(replace(p_brand, 'Brand#', '') AS BIGINT) % 5 END AS dataset_id,
+round(0.3 + sum(p_size) / (count(*) * 60.0), 4) AS score, max(p_partkey) AS created, sum(p_size) % 4 = 0 AS imbalanced FROM part GROUP BY p_brand"""
+_SETS = """SELECT c_nationkey % 5 AS dataset_id, 'set ' || (c_nationkey % 5) AS name, c_nationkey % 5 % 2 = 0 AS processed, max(c_custkey) AS "at", round(avg(CASE WHEN c_acctbal < 0 THEN 1.0 ELSE 0.0 END) * 100, 2) AS missing_pct FROM customer GROUP BY c_nationkey % 5"""
 
 
 def _models(spark: SparkSession, d: str) -> DataFrame:
-    n = load(spark, d, "nation")
-    return n.select(F.col("n_nationkey").alias("model_id"), F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 6 == 0, 99).otherwise(F.col("n_regionkey")).alias("dataset_id"), F.round(0.4 + F.col("n_nationkey") * 0.02, 2).alias("score"))
+    """A model for each brand of parts."""
+    number = F.replace("p_brand", F.lit("Brand#"), F.lit("")).cast("long")
+    each = load(spark, d, "part").groupBy("p_brand").agg(F.round(0.3 + F.sum("p_size") / (F.count("*") * 60.0), 4).alias("score"), F.max("p_partkey").alias("created"), (F.sum("p_size") % 4 == 0).alias("imbalanced"))
+    return each.select(number.alias("model_id"), F.col("p_brand").alias("name"), F.when(number % 6 == 0, 99).otherwise(number % 5).alias("dataset_id"), "score", "created", "imbalanced")
 
 
 def _sets(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "region").select(F.col("r_regionkey").alias("dataset_id"), F.col("r_name").alias("name"), (F.col("r_regionkey") % 2 == 0).alias("processed"), F.col("r_regionkey").alias("at"))
+    """A dataset for each fifth of the nations' customers."""
+    number = F.col("c_nationkey") % 5
+    each = load(spark, d, "customer").groupBy(number.alias("dataset_id")).agg(F.max("c_custkey").alias("at"), F.round(F.avg((F.col("c_acctbal") < 0).cast("double")) * 100, 2).alias("missing_pct"))
+    return each.select("dataset_id", F.concat(F.lit("set "), F.col("dataset_id").cast("string")).alias("name"), (F.col("dataset_id") % 2 == 0).alias("processed"), "at", "missing_pct")
 
 
-@query("j01_models_with_datasets", f"WITH m AS ({_MODELS}), s AS ({_SETS}) SELECT m.dataset_id, model_id, m.name, score, coalesce(s.name, 'Unknown') AS dataset_name FROM m LEFT JOIN s USING (dataset_id)")
+@query("j01_models_with_datasets", f"WITH m AS ({_MODELS}), s AS ({_SETS}) SELECT m.dataset_id, model_id, m.name, score, created, imbalanced, coalesce(s.name, 'Unknown') AS dataset_name FROM m LEFT JOIN s USING (dataset_id)")
 def j01(spark: SparkSession, d: str) -> DataFrame:
     return catalog.with_dataset(_models(spark, d), _sets(spark, d))
 
 
-@query("j03_compare", f"WITH m AS ({_MODELS}) SELECT * FROM m WHERE model_id IN (1, 5, 1000)")
+@query("j03_compare", f"WITH m AS ({_MODELS}) SELECT * FROM m WHERE model_id IN (11, 15, 1000)")
 def j03(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.compare(_models(spark, d), [1, 5, 1000])
+    return catalog.compare(_models(spark, d), [11, 15, 1000])
 
 
-@query("s14_find", f"WITH m AS ({_MODELS}) SELECT * FROM m WHERE (dataset_id = 1 OR name = 'NATION_3') AND score IS NOT NULL")
+@query("s14_find", f"WITH m AS ({_MODELS}) SELECT * FROM m WHERE (dataset_id = 1 OR name = 'Brand#13') AND score IS NOT NULL")
 def s14(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.find(_models(spark, d), either=[{"dataset_id": 1}, {"name": "NATION_3"}], exists={"score": True})
+    return catalog.find(_models(spark, d), either=[{"dataset_id": 1}, {"name": "Brand#13"}], exists={"score": True})
 
 
 @query("l04_sorted", "SELECT p_partkey, p_name FROM part ORDER BY lower(p_name)")
@@ -466,11 +571,21 @@ def l03(spark: SparkSession, d: str) -> DataFrame:
     return catalog.timeline(event=load(spark, d, "events").select(F.col("ts").alias("at"), F.col("event_type").alias("name")), order=load(spark, d, "orders").select(F.col("o_orderdate").alias("at"), F.col("o_orderpriority").alias("name")))
 
 
-@query("a30_dashboard", f"WITH m AS ({_MODELS}), s AS ({_SETS}) SELECT (SELECT count(*) FROM m) AS n_models, (SELECT name FROM m ORDER BY score DESC, name DESC LIMIT 1) AS best_model, (SELECT max(score) FROM m) AS best_score, (SELECT count(*) FROM m WHERE score < 0.6) AS n_weak, (SELECT count(*) FROM s) AS n_datasets, (SELECT name FROM s ORDER BY \"at\" DESC, name DESC LIMIT 1) AS latest, (SELECT count(*) FROM s WHERE NOT processed) AS n_unprocessed")
+@query("a30_dashboard", f"WITH m AS ({_MODELS}), s AS ({_SETS}) SELECT (SELECT count(*) FROM m) AS n_models, (SELECT name FROM m ORDER BY score DESC, name DESC LIMIT 1) AS best_model, (SELECT max(score) FROM m) AS best_score, (SELECT count(*) FROM m WHERE score < 0.6) AS n_weak, (SELECT count(*) FROM s) AS n_datasets, (SELECT name FROM s ORDER BY \"at\" DESC, name DESC LIMIT 1) AS latest, (SELECT missing_pct FROM s ORDER BY \"at\" DESC, name DESC LIMIT 1) AS latest_missing_pct, (SELECT count(*) FROM s WHERE NOT processed) AS n_unprocessed")
 def a30(spark: SparkSession, d: str) -> DataFrame:
     return catalog.dashboard(_models(spark, d), _sets(spark, d))
 
 
+@query("a30_attention", f"WITH m AS ({_MODELS}), s AS ({_SETS}), i AS (SELECT 'unprocessed_datasets' AS type, 'warning' AS severity, dataset_id AS id, name FROM s WHERE NOT processed UNION ALL SELECT 'low_accuracy', 'error', model_id, name FROM m WHERE score < 0.6 UNION ALL SELECT 'class_imbalance', 'info', model_id, name FROM m WHERE imbalanced), k AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY id) AS k FROM i) SELECT type, severity, count(*) AS total, string_agg(name, ',' ORDER BY id) FILTER (k <= 5) AS names FROM k GROUP BY ALL")
+def a30b(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.attention(_models(spark, d), _sets(spark, d))
+
+
+@query("a30_model_table", f"WITH m AS ({_MODELS}), s AS ({_SETS}) SELECT m.dataset_id, model_id, m.name, round(score, 4) AS score, created, imbalanced, coalesce(s.name, 'Unknown') AS dataset_name FROM m LEFT JOIN s USING (dataset_id)")
+def a30c(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.model_table(_models(spark, d), _sets(spark, d))
+
+
 @query("l01_w05_cumulative", "WITH c AS (SELECT event_type, sum(value) AS v FROM events GROUP BY 1), s AS (SELECT event_type, v / sum(v) OVER () AS share, v FROM c) SELECT event_type, round(share, 6) AS share, round(sum(share) OVER (ORDER BY v DESC, event_type), 6) AS cumulative FROM s")
 def l01(spark: SparkSession, d: str) -> DataFrame:
     c = load(spark, d, "events").groupBy("event_type").agg(F.sum("value").alias("v"))

@@ -1,5 +1,7 @@
 """The tabular operators on small frames: each branch, ties, nulls, empty tables, and the properties of splits and state."""
 
+import shutil
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -125,13 +127,30 @@ def test_encoders_and_unknown_values(spark):
     assert transforms.fit_one_hot(train, ["c"], drop_first=True).transform(new).columns == ["c_b"]
 
 
-def test_many_values_are_joined(spark, monkeypatch):
+def test_many_values_are_joined(spark, monkeypatch, tmp_path):
     df = spark.createDataFrame([(f"v{i % 50:02d}", i) for i in range(200)], "c string, k long")
     small = transforms.fit_ordinal(df, ["c"])
     monkeypatch.setattr(transforms, "LITERALS", 10)
     large = transforms.fit_ordinal(df, ["c"])
     new = df.union(spark.createDataFrame([("zz", 900), (None, 901)], df.schema))
     assert large.state["tables"] and sorted(map(tuple, large.transform(new).collect())) == sorted(map(tuple, small.transform(new).collect()))
+    decoded = lambda f: sorted(map(tuple, transforms.decode(f.transform(new), "c", f, "c").select("k", "decoded").collect()))
+    assert decoded(large) == decoded(small)
+    assert sorted(map(tuple, transforms.encoding_report(large, spark).collect())) == sorted(map(tuple, transforms.encoding_report(small, spark).collect()))
+    transforms.Chain([large]).save(spark, str(tmp_path / "chain"))
+    shutil.rmtree(large.state["tables"]["c"].removeprefix("file:"))  # the shared folder is cleared
+    again = transforms.Chain.load(spark, str(tmp_path / "chain"))
+    assert sorted(map(tuple, again.transform(new).collect())) == sorted(map(tuple, small.transform(new).collect()))
+
+
+def test_terms_without_accents(spark):
+    df = spark.createDataFrame([(1, "The Café cafe naïve"), (2, "café NAIVE e\u0301t\u0301 zz"), (3, None)], "k long, t string")
+    got = {(r["k"], r["term"]): r["weight"] for r in transforms.tfidf(df, "k", "t", least=1, most=1.0).collect()}
+    assert {t for k, t in got if k == 1} == {"cafe", "naive", "cafe cafe", "cafe naive"} and (2, "cafe naive") in got and (2, "et") in got
+    assert all(abs(sum(w * w for (k, _), w in got.items() if k == key) - 1) < 1e-9 for key in (1, 2))
+    few = spark.createDataFrame([(f"v{i}",) for i in range(30)], "c string")
+    with pytest.raises(ValueError):
+        transforms.fit_one_hot(few, ["c"], most=20)
 
 
 def test_chain_is_saved_and_loaded(spark, tmp_path):
@@ -156,9 +175,9 @@ def test_correlated_groups_form_a_chain():
 
 
 def test_related_names(spark):
-    pairs = [("start_year", "end_year"), ("area", "rooms"), ("lot_size", "area"), ("radius_mean", "radius_worst"), ("foo", "bar")]
+    pairs = [("start_year", "end_year"), ("garage_area", "GarageCars"), ("lot_area", "lot_frontage"), ("bedroom", "rooms_above"), ("size_mean", "size_worst"), ("average", "garage"), ("a_x", "a_y")]
     got = [r["relation"] for r in correlate.relation_table(spark, pairs).collect()]
-    assert got == ["temporal_difference", "area_per_unit", "area_ratio", "same_category", "none"]
+    assert got == ["temporal_difference", "area_per_unit", "area_ratio", "count_difference", "same_category", "none", "none"]
 
 
 @pytest.mark.parametrize("family, left", [("tree", ["k", "r_mean", "r_worst", "z"]), ("linear", ["k", "r_mean", "z"]), ("distance", ["k", "r_mean", "z"])])
@@ -210,7 +229,31 @@ def test_neighbours_against_brute_force(spark, monkeypatch):
         assert [got[i][k] for k in (1, 2, 3, 4)] == np.lexsort((np.arange(len(x)), d))[:4].tolist()
     near = neighbours.approximate_knn(df, 4)
     hits = near.join(neighbours.knn(df, df, 4).select("id", "nid"), ["id", "nid"]).count()
-    assert hits / (4 * len(x)) > 0.8
+    assert hits / (4 * len(x)) > 0.95
+    close = {(i, j) for i in range(len(x)) for j in range(len(x)) if i != j and ((x[i] - x[j]) ** 2).sum() <= 0.6}
+    assert {(r["id"], r["nid"]) for r in neighbours.within(df, 0.6**0.5).collect()} == close
+
+
+def test_approximate_neighbours_of_the_given_vectors(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    exact = neighbours.knn(rows, rows, 5).select("id", "nid")
+    assert neighbours.approximate_knn(rows, 5).select("id", "nid").intersect(exact).count() / exact.count() >= 0.9
+
+
+@pytest.mark.parametrize("few", [20_000, 5])
+def test_quantiles_are_exact(spark, monkeypatch, few):
+    monkeypatch.setattr(profile, "FEW", few)
+    monkeypatch.setattr(profile, "ACCURACY", 50)
+    rng = np.random.default_rng(few)
+    x, y = np.round(rng.standard_normal(3000) ** 3, 2), rng.integers(0, 4, 3000).astype(float)
+    data = [(float(a), None if i % 3 == 0 else float(b), None) for i, (a, b) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(data, "x double, y double, z double")
+    probabilities = [0.0, 0.25, 0.5, 0.731, 0.95, 1.0]
+    got = profile.quantiles(df, ["x", "y", "z"], probabilities)
+    known = np.asarray([d[1] for d in data if d[1] is not None])
+    assert got["x"] == pytest.approx(np.quantile(x, probabilities)) and got["y"] == pytest.approx(np.quantile(known, probabilities)) and got["z"] == [None] * 6
+    assert profile.quantiles(df.limit(1), ["x"], [0.3])["x"] == [data[0][0]] and profile.quantiles(df, [], [0.5]) == {}
+    assert profile.outliers(df, ["z"]).head()["n_outliers"] == 0 and profile.outliers(df, []).count() == 0
 
 
 def test_clusters_votes_and_factors(spark):
@@ -276,6 +319,28 @@ def test_search_score_and_stream(spark, tmp_path):
     assert {r["check"] for r in models.stability(found.best, scored, 0.9, 0.9).collect()} >= {"gap", "predictions"}
 
 
+def test_search_goes_on_after_failures(spark):
+    df = spark.createDataFrame([(i, float(i % 10), int(i % 10 > 4)) for i in range(60)], "key long, a double, label int")
+    found = models.search(prepare.vectors(df, ["a"]), "key", "regression", ("linear_svm", "decision_tree"), trials=9, k=2, give_up=3)
+    assert found.best_name == "decision_tree" and [f[0] for f in found.failures] == ["linear_svm"] * 3
+    assert models.repaired("logistic_regression", {"regParam": 0.0, "elasticNetParam": 1.0}, 10) == {"regParam": 0.0}
+    assert models.repaired("decision_tree", {"minInstancesPerNode": 50}, 10) == {"minInstancesPerNode": 5}
+
+
+def test_batches_move_the_centres(spark):
+    x, df = points(spark)
+    centres = models.minibatch_kmeans(df, 2)
+    near = {r["id"]: r["prediction"] for r in models.nearest_centre(df, centres).collect()}
+    assert len({near[i] for i in range(100)}) == 1 and near[0] != near[150]
+    shares = prepare.truncated_svd(prepare.vectors(df.select("id", *[F.col("v")[i].alias(f"f{i}") for i in range(3)]), ["f0", "f1", "f2"]), 3)
+    assert shares.orderBy(F.desc("component")).head()["cumulative"] == pytest.approx(1.0) and prepare.parsimony_score(shares, 3) == pytest.approx(0.9)
+    split = metrics.split_silhouette(df.withColumn("c", F.col("label")), "c", "v").head()[0]
+    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
+    a = [d[i, (np.arange(200) < 100) == (i < 100)].sum() / 99 for i in range(200)]
+    b = [d[i, (np.arange(200) < 100) != (i < 100)].mean() for i in range(200)]
+    assert split == pytest.approx(np.mean([(q - p) / max(p, q) for p, q in zip(a, b)]))
+
+
 def test_isolation_forest_and_boosting(spark):
     _, df = points(spark)
     far = spark.createDataFrame([(999, [40.0, -40.0, 40.0], 0)], df.schema)
@@ -299,6 +364,13 @@ def test_encoding_and_names(spark, tmp_path):
     (tmp_path / "l.csv").write_bytes("näme,wert\nä,1\n".encode("iso-8859-1"))
     assert readers.encoding(spark, str(tmp_path / "l.csv")) == "iso-8859-1"
     assert readers.read_table(spark, str(tmp_path / "l.csv")).columns == ["näme", "wert"]
+    for charset in ("iso-8859-1", "utf-16"):
+        (tmp_path / "w.txt").write_bytes("näme  wert\nä 1\nö  2\n".encode(charset))
+        assert readers.encoding(spark, str(tmp_path / "w.txt")) == charset
+        got = readers.read_table(spark, str(tmp_path / "w.txt"))
+        assert got.columns == ["näme", "wert"] and sorted(map(tuple, got.collect())) == [("ä", "1"), ("ö", "2")]
+    (tmp_path / "u.csv").write_bytes("a;wört\n1;é\n2;ü\n".encode("utf-16"))
+    assert sorted(map(tuple, readers.read_table(spark, str(tmp_path / "u.csv")).collect())) == [("1", "é"), ("2", "ü")]
     df = spark.createDataFrame([(1, 2, None, 3)], "` a  b ` int, x int, `Unnamed: 2` int, X2 int").withColumnRenamed("X2", "x ")
     assert readers.clean_names(df).columns == ["a b", "x", "x_1"]
 
@@ -312,7 +384,10 @@ def test_quality_and_catalog(spark):
     df = frame(spark)
     assert one(quality.basic_score(df))["band"] in ("excellent", "good")
     assert 0 <= one(quality.full_score(df, ["a", "b"], ["c", "y"]))["score"] <= 100
-    assert quality.recommendations(df.select("a"), ["a"], []).head()["category"] in ("duplicates", "all_good")
+    assert quality.recommendations(df.select("a"), ["a"], []).head()["category"] == "duplicates"
+    assert quality.recommendations(df.select("key"), ["key"], []).head()["type"] == "success"
+    checks = {r["check"]: r["passed"] for r in rows.output_checks(df.select("a", "b"), ["a", "b", "row_id"]).collect()}
+    assert checks == {"numeric": True, "no_nulls": False, "finite": True, "width": False, "no_ids": False, "scaled": False}
     m, s = spark.createDataFrame([(1, "m", 7, 0.5), (2, "n", 9, 0.7)], "model_id int, name string, dataset_id int, score double"), spark.createDataFrame([(7, "set", True, 1)], "dataset_id int, name string, processed boolean, at int")
     assert sorted(r["dataset_name"] for r in catalog.with_dataset(m, s).collect()) == ["Unknown", "set"]
     assert one(catalog.dashboard(m, s))["best_model"] == "n" and catalog.find(m, {"model_id": 1}, exists={"name": True}).count() == 1
