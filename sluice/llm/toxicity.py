@@ -15,8 +15,8 @@ the driver holds is bounded by it: at most ``2 * sample`` words of either side i
 
 Cases: null and empty texts get the score that belongs to no words; words without three letters count as
 harmless; single letters in a row ("i d i o t") are also read as one word; letters are lower-cased and other
-characters inside a word passed over; a label that is null or occurs in one class only gives nothing to learn
-(score 0 for all, or the one class's rate); rows are judged one by one; other columns are passed along, and columns
+characters inside a word passed over; null labels do not count, and labels of one class only, or without a word that
+tells the classes apart, give nothing to learn (score 0 for all); rows are judged one by one; other columns are passed along, and columns
 named score or predicted replaced.
 """
 
@@ -160,7 +160,6 @@ class Model:
     table: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
     bias: float = 0.0
     calibration: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    constant: float = 0.0
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         out = np.full(len(words), min(self.bias, -1.0))
@@ -243,7 +242,7 @@ class Scorer:
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if not self.model.calibration.size:
-            return np.full(len(texts), self.model.constant)
+            return np.zeros(len(texts))
         w = self.model.calibration
         return 1 / (1 + np.exp(-np.clip(self.features(texts) @ w[:-1] + w[-1], -30, 30)))
 
@@ -304,7 +303,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, landmarks: int
     counts = times.groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("fine"))
     n = {r[0]: r[1] for r in rows.where("not check").groupBy("toxic").count().collect()}
     if not n.get(1) or not n.get(0):
-        return Model(constant=1.0 if n.get(1) else 0.0)
+        return Model()
     counts = written(counts, "toxic-words")
     lift = F.log((F.col("bad") + 0.1) / n[1]) - F.log((F.col("fine") + 0.6) / n[0])
     share = n[1] / (n[0] + n[1])
@@ -317,7 +316,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, landmarks: int
     bad = {r["word"]: float(r["bad"]) for r in marks}
     fine = list(dict.fromkeys([*[r["word"] for r in common], *[r["word"] for r in rare]]))[: landmarks - len(bad)]
     if not bad or not fine:
-        return Model(constant=n[1] / (n[0] + n[1]))
+        return Model()
     strings = [*bad, *fine]
     words = dict.fromkeys(fine, (-1.0, 1.0)) | {w: (1.0, c) for w, c in bad.items()}
     model = _machine(strings, list(words), *np.asarray(list(words.values())).T)

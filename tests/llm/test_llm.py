@@ -622,3 +622,32 @@ def test_pipeline_stages(spark, tmp_path):
         docs_ = spark.createDataFrame(docs_.collect(), docs_.schema)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs_, sf)
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in docs_.collect()}
+
+
+def test_pipeline_on_odd_rows(spark):
+    """Nulls, empty and very long texts, repeated rows, ties, extra columns and no rows at all go through all stages."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    rng = random.Random(21)
+    body = lambda: " ".join(f"w{rng.randrange(900)}" for _ in range(80))
+    copy, item = body(), spark.read.parquet(f"{sf}/benchmark.parquet").where("length(text) > 100").head().text
+    texts = [*ODD, (20, copy), (21, copy), (21, copy), (22, copy + " tail"), (30, f"{body()}\nl1\nl2\nl3"), (31, f"l1\nl2\nl3\n{body()}"), (32, "l1\nl2\nl3"), (40, item), (50, body())]
+    made = spark.createDataFrame([(k, t, "en", "web", len(t or "")) for k, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    for wide in (False, True):
+        state = made.withColumns({c: F.lit("kept") for c in ("_id", "lines", "text_key", "score", "spans")}) if wide else made
+        columns = state.columns
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            state = stage(spark, state, sf)
+            state = spark.createDataFrame(state.select(columns).collect(), state.select(columns).schema)
+        left = sorted((r.doc_id is not None, r.doc_id or 0) for r in state.collect())
+        ids = [k for known, k in left if known]
+        assert {20, 30, 31, 50} <= set(ids) and not {21, 22, 32, 40} & set(ids) and ids.count(5) == 2 and left.count((False, 0)) == 2
+        kept = {r.doc_id: r.text for r in state.collect()}
+        assert kept[31] == texts[[k for k, _ in texts].index(31)][1].split("\n", 3)[3] and kept[6] == ODD[7][1]
+        packed = corpus_pipeline.STAGES[-1][1](spark, state, sf).collect()
+        assert {r.doc_id for r in packed} == set(kept)
+    state = made.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        state = stage(spark, state, sf)
+        assert state.count() == 0
