@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the one before it kept, and returns a DataFrame
 that is written as Parquet and read again. All but the last return the columns of ``documents``.
+
+Cases: rows with a null doc_id or text, empty texts and texts of few words pass every stage as clean (packing leaves
+an end id for them); rows equal in doc_id and text are one document, kept or dropped together; an empty table gives
+no pieces; ties between near-copies go to the smallest doc_id; further columns of ``documents``, whatever their
+names, are carried along to the last stage. Labels and benchmark are those of ``sf_dir``.
 """
 
 from __future__ import annotations
