@@ -122,7 +122,8 @@ def hash_edges(df: DataFrame, h: Column, label: Column, wanted: Mapping[tuple[st
     """For each (class, number) the text up to which exactly so many hashes of the class lie.
 
     Hashes are counted by their first digits, three more each time, within the groups that a border falls into: a
-    few thousand counts for each border, and no sort. ``label`` is the class as text.
+    few thousand counts for each border, and no sort. ``label`` is the class as text. Rows that share a key share a
+    hash and fall on one side together, so that quotas are exact for keys that do not repeat.
     """
     rows = df.select(label.alias("c"), h.alias("h"))
     done = {k: "" for k, n in wanted.items() if n <= 0}

@@ -207,9 +207,16 @@ def w08(spark: SparkSession, d: str) -> DataFrame:
     return s.select("id", "cluster", F.row_number().over(Window.partitionBy("cluster").orderBy("silhouette", "id")).alias("place"))
 
 
-@query("a22_cluster_indices")
+@query(
+    "a22_cluster_indices",
+    """WITH r AS (SELECT vec_id, label AS c, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT c, i, avg(x) AS m FROM r GROUP BY 1, 2), g AS (SELECT i, avg(x) AS g FROM r GROUP BY 1),
+    n AS (SELECT label AS c, count(*) AS n FROM embeddings GROUP BY 1), d AS (SELECT vec_id, c, sum((x - m) * (x - m)) AS d FROM r JOIN m USING (c, i) GROUP BY 1, 2), w AS (SELECT c, sum(d) AS w, avg(sqrt(d)) AS s FROM d GROUP BY 1),
+    b AS (SELECT sum(n * (m - g) * (m - g)) AS b FROM m JOIN g USING (i) JOIN n USING (c)), q AS (SELECT x.c AS a, y.c AS b, sqrt(sum((x.m - y.m) * (x.m - y.m))) AS gap FROM m x JOIN m y ON x.i = y.i AND x.c <> y.c GROUP BY 1, 2),
+    t AS (SELECT q.a, max((x.s + y.s) / gap) AS t FROM q JOIN w x ON x.c = q.a JOIN w y ON y.c = q.b GROUP BY 1)
+    SELECT round(((SELECT b FROM b) / (count(*) - 1)) / (sum(w) / ((SELECT sum(n) FROM n) - count(*))), 5) AS calinski_harabasz, (SELECT round(avg(t), 5) FROM t) AS davies_bouldin FROM w""",
+)
 def a22b(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.cluster_indices(load(spark, d, "embeddings").select(F.col("embedding").alias("v"), F.col("label").alias("cluster")))
+    return _r(metrics.cluster_indices(load(spark, d, "embeddings").select(F.col("embedding").alias("v"), F.col("label").alias("cluster"))), 5, "calinski_harabasz", "davies_bouldin")
 
 
 @query("a23_clusters", "WITH t AS (SELECT CASE WHEN label = 0 THEN -1 ELSE label END AS cluster FROM embeddings), s AS (SELECT cluster, count(*) AS n FROM t GROUP BY 1) SELECT count(*) FILTER (cluster >= 0) AS n_clusters, coalesce(sum(n) FILTER (cluster = -1), 0)::BIGINT AS n_noise, round(coalesce(sum(n) FILTER (cluster = -1), 0) / sum(n), 6) AS noise_ratio, round(max(n) FILTER (cluster >= 0) / sum(n), 6) AS largest FROM s")

@@ -429,9 +429,9 @@ def l02_missing(spark: SparkSession, d: str) -> DataFrame:
     return catalog.top(profile.missing(orders(spark, d)).select("column", "pct_missing"), "pct_missing", 10, 0.0)
 
 
-@query("l02_top_outliers", "WITH m AS (" + " UNION ALL ".join(f"({_outlier_sql(LINES_SQL, c, 1.5)} SELECT '{c}' AS \"column\", count(*) FILTER ({c} < low OR {c} > high) AS n_outliers FROM t, b)" for c in NUMBERS) + ") SELECT * FROM m WHERE n_outliers > 0 ORDER BY n_outliers DESC, 1 LIMIT 10")
+@query("l02_top_outliers", "WITH m AS (" + " UNION ALL ".join(f"({_outlier_sql(ORDERS_SQL, c, 1.5)} SELECT '{c}' AS \"column\", count(*) FILTER ({c} < low OR {c} > high) AS n_outliers FROM t, b)" for c in ("price", "optional", "custkey")) + ") SELECT * FROM m WHERE n_outliers > 0 ORDER BY n_outliers DESC, 1 LIMIT 10")
 def l02_outliers(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.top(profile.outliers(lines(spark, d), NUMBERS, 1.5).select("column", "n_outliers"), "n_outliers", 10, 0)
+    return catalog.top(profile.outliers(orders(spark, d), ["price", "optional", "custkey"], 1.5).select("column", "n_outliers"), "n_outliers", 10, 0)
 
 
 @query("l02_top_cardinality", f"WITH t AS ({ORDERS_SQL}) SELECT 'status' AS \"column\", count(DISTINCT status) AS n_distinct FROM t UNION ALL SELECT 'priority', count(DISTINCT priority) FROM t")
