@@ -422,6 +422,35 @@ def test_kernel_by_hand():
     assert k[1, 0] > k[2, 0]
 
 
+def test_machine_is_that_of_the_kernel():
+    """The weights of subsequences give what the kernel against the landmarks gives, whitened and separated."""
+    rng = random.Random(17)
+    marks = ["idiot", "idiots", "stupid", "loser", "house", "water", "green", "stone", "paper", "light"]
+    words = [*marks, "idxiot", "stuppid", "river", "table", "seven", "cloud"]
+    y = np.asarray([1.0 if w[:3] in ("idi", "idx", "stu", "los") else -1.0 for w in words])
+    cost = np.asarray([rng.randint(1, 9) for _ in words], float)
+    values, vectors = np.linalg.eigh(toxicity.kernel(marks, marks))
+    whiten = (vectors / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
+    share = np.where(y > 0, cost / cost[y > 0].sum(), cost / cost[y < 0].sum()) * len(words) / 2
+    w, bias = toxicity.fit_svm(toxicity.kernel(words, marks) @ whiten, y, share)
+    asked = [*words, "idiotic", "mississippi", "looser", "ab", "xyzzy"]
+    direct = toxicity.kernel(asked, marks) @ whiten @ w + bias
+    got = toxicity._machine(marks, words, y, cost).word_scores(asked)
+    assert np.allclose(got[[len(a) >= 3 for a in asked]], direct[[len(a) >= 3 for a in asked]], atol=1e-3)
+    assert got[asked.index("idxiot")] > 0 > got[asked.index("river")]
+
+
+def test_toxicity_of_held_out_rows(spark):
+    from sluice.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    got = queries.op5_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
+    toxic, fine = [r for r in got if r.toxic == 1], [r for r in got if r.toxic == 0]
+    assert np.mean([r.predicted for r in toxic]) >= 0.5 and np.mean([r.predicted for r in fine]) <= 0.1
+    ranks = [(a.score > b.score) + (a.score == b.score) / 2 for a in toxic for b in fine]
+    assert np.mean(ranks) > 0.8 and all((r.score >= 0.3) == (r.predicted == 1) for r in got)
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     plain = "the of and to house tree water stone light paper river cloud seven green table".split()
