@@ -311,54 +311,80 @@ def links(nodes: DataFrame, tau: int, similarity: float | None = None) -> DataFr
     return dealt.mapInArrow(compare, "a long, b long")
 
 
+def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets (in order) have at least that Jaccard similarity."""
+    if min(a.size, b.size) < similarity * max(a.size, b.size) - 1e-9:
+        return False
+    both = np.intersect1d(a, b, assume_unique=True).size
+    return both >= similarity * (a.size + b.size - both) - 1e-9
+
+
 def verified(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, width: int, similarity: float) -> DataFrame:
     """a, b: links of nodes whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
 
-    ``candidates`` (node, component): only nodes of one component are compared, all with all, by their sets. A
-    component of many bytes is dealt into blocks, and pairs of blocks are compared in separate tasks. Pairs that
-    a task has already joined through others are skipped, as are those whose sizes or sketches rule them out.
+    ``candidates`` (node, component): only nodes of one component are compared, by their sets. Every node is compared
+    with the first one of its component, which joins nearly all of a large group of copies; the others are compared
+    with all, but those joined already are not compared among each other. For that, components of many bytes are dealt
+    into blocks, and pairs of blocks are compared in separate tasks. Pairs that a task has already joined through
+    others are skipped, as are those whose sizes or sketches rule them out.
     """
     spark = docs.sparkSession
     small_batches(spark)
     chosen = nodes.join(candidates, "node").select("node", "component", "sketch", "n_set", F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key"))
     chosen = written(chosen, "candidates")
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(8 * F.sum(F.col("n_set").cast("long")) / VERIFY_BYTES), F.lit(1))
-    blocks = written(chosen.groupBy("component").agg(blocks.cast("int").alias("blocks")), "verify-blocks")
-    dealt = chosen.join(blocks, "component").withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_key"), F.col("text").cast("string").alias("text"))
-    texts = dealt.join(texts.hint("merge"), ["_id", "_key"]).select("component", "node", "mine", "blocks", "sketch", "text")
+    texts = chosen.join(texts.hint("merge"), ["_id", "_key"]).select("component", "node", "n_set", "sketch", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [shingle_set(words(t.as_py()), width).astype("<u8").tobytes() for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.binary())], names=[*b.schema.names[:-1], "hashes"])
 
-    held = texts.mapInArrow(sets, "component long, node long, mine int, blocks int, sketch binary, hashes binary").dropDuplicates(["node"])
-    held = written(held, "shingle-sets").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    held = held.withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")})
+    fields = "component long, node long, n_set int, sketch binary, hashes binary"
+    every = written(texts.mapInArrow(sets, fields).dropDuplicates(["node"]), "shingle-sets")
+    heads = every.groupBy("component").agg(F.min("node").alias("node"))
+    heads = written(every.select("component", "node", "hashes").join(heads.hint("merge"), ["component", "node"]).select("component", F.col("node").alias("head"), F.col("hashes").alias("head_hashes")), "first-sets")
+
+    def joins_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            same = [n == h or _similar(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8"), similarity) for n, h, x, y in zip(b.column("node").to_pylist(), b.column("head").to_pylist(), b.column("hashes"), b.column("head_hashes"))]
+            kept = ["component", "node", "n_set", "sketch", "hashes", "head"]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(same, pa.bool_())], names=[*kept, "joined"])
+
+    marked = written(every.join(heads.hint("merge"), "component").select("component", "node", "n_set", "sketch", "hashes", "head", "head_hashes").mapInArrow(joins_head, f"{fields}, head long, joined boolean"), "compared-sets")
+    at_once = marked.where("joined and node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(8 * F.sum(F.col("n_set").cast("long")) / VERIFY_BYTES), F.lit(1)).cast("int")
+    counted = marked.groupBy("component", "joined").agg(blocks.alias("blocks"))
+    counted = counted.groupBy("component").agg(F.max(F.when(~F.col("joined"), F.col("blocks"))).alias("others"), F.max(F.when(F.col("joined"), F.col("blocks"))).alias("known"))
+    counted = written(counted.where("others is not null"), "verify-blocks")
+    mine = F.pmod(F.xxhash64("node"), F.when(F.col("joined"), F.col("known")).otherwise(F.col("others"))).cast("int")
+    dealt = marked.join(counted, "component").withColumn("mine", mine + F.when(F.col("joined"), F.col("others")).otherwise(0))
+    last = F.when(F.col("joined"), F.col("others")).otherwise(F.col("others") + F.col("known")) - 1
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    dealt = dealt.withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")}).select("component", "low", "high", "node", "mine", "joined", "sketch", "hashes")
 
     def compare(key: tuple, rows: pa.Table) -> pa.Table:
         node, mine = rows.column("node").to_numpy(), rows.column("mine").to_numpy()
         each = [np.frombuffer(h, "<u8") for h in rows.column("hashes").to_pylist()]
         wide = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), "<u8").reshape(-1, SKETCH_WORDS)
         sizes, label, out = np.asarray([h.size for h in each]), np.arange(node.size), []
+        known = np.flatnonzero(rows.column("joined").to_numpy())
+        label[known] = known[0] if known.size else 0
         across = key[1].as_py() != key[2].as_py()
         for i in range(node.size - 1):
             rest = np.arange(i + 1, node.size)
-            ok = np.minimum(sizes[i], sizes[rest]) >= similarity * np.maximum(sizes[i], sizes[rest]) - 1e-9
+            ok = (label[rest] != label[i]) & (np.minimum(sizes[i], sizes[rest]) >= similarity * np.maximum(sizes[i], sizes[rest]) - 1e-9)
             if across:  # pairs inside a block have a task of their own
                 ok &= mine[rest] != mine[i]
             rest = rest[ok]
             rest = rest[np.bitwise_count(wide[i] ^ wide[rest]).sum(axis=1) <= LOOSE_BITS]
             for j in rest.tolist():
-                if label[i] != label[j]:
-                    both = np.intersect1d(each[i], each[j], assume_unique=True).size
-                    if both >= similarity * (sizes[i] + sizes[j] - both) - 1e-9:
-                        label[label == label[j]] = label[i]
-                        out.append((node[i], node[j]))
+                if label[i] != label[j] and _similar(each[i], each[j], similarity):
+                    label[label == label[j]] = label[i]
+                    out.append((node[i], node[j]))
         return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
 
-    return held.groupBy("component", "low", "high").applyInArrow(compare, "a long, b long")
+    return at_once.union(dealt.groupBy("component", "low", "high").applyInArrow(compare, "a long, b long"))
 
 
 def components(members: DataFrame, tau: int, docs: DataFrame | None = None, width: int = 5, similarity: float | None = None) -> DataFrame:

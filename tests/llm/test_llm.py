@@ -334,6 +334,33 @@ def test_keep_one(spark):
     assert sorted(r.doc_id or 0 for r in kept) == [0, 1, 3] and simhash.keep_one(docs(spark, [])).count() == 0
 
 
+def test_keep_one_in_blocks(spark, monkeypatch):
+    """A large group of copies with others on its edge, dealt into blocks: what stays is what brute force leaves."""
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    rng = random.Random(31)
+    sets = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    base = [f"w{rng.randrange(900)}" for _ in range(150)]
+    texts = [(0, base)]
+    for i in range(1, 70):  # few edits (joined to the first), or about as many as the rule allows
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4])):
+            w[rng.randrange(150)] = f"q{rng.randrange(9)}"
+        texts.append((i, w))
+    parent = list(range(70))
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    shingles = [sets(w) for _, w in texts]
+    for a, b in itertools.combinations(range(70), 2):
+        if len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b]) and find(a) != find(b):
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+    kept = {r.doc_id for r in simhash.keep_one(docs(spark, [(k, " ".join(w)) for k, w in texts])).collect()}
+    assert kept == {find(k) for k in range(70)} and 1 <= len(kept) < 30
+
+
 def test_keep_one_finds_every_near_copy(spark):
     """Truncated and edited copies at a similarity of 0.8 and more lose one side; those under 0.8 stay."""
     rng = random.Random(11)
