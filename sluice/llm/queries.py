@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, common, decontam, langid, line_dedup, packing, passage_dedup, pii, simhash, token_store, toxicity
+from . import ann, centroids, common, decontam, langid, line_dedup, manifest, packing, passage_dedup, pii, simhash, token_store, toxicity
 
 
 def tokenizer_path() -> str:
@@ -74,6 +74,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(centroids.usable(common.table(spark, sf_dir, "embeddings"))).rows
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampers = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return manifest.proofs(common.table(spark, sf_dir, "documents"), {"n_chars": F.col("n_chars") + F.when(tampers, 1).otherwise(0)})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -85,6 +94,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_personal_data": op8_personal_data,
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_line_dedup": line_dedup.SQL}
+ORACLE_SQL: dict[str, str] = {"op9_line_dedup": line_dedup.SQL, "op11_centroid_clustering": centroids.sql(), "op12_merkle_manifest": manifest.sql()}
