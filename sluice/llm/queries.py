@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, centroids, common, decontam, langid, line_dedup, manifest, packing, passage_dedup, pii, simhash, token_store, toxicity
+from . import ann, centroids, common, decontam, fingerprint, langid, line_dedup, manifest, packing, passage_dedup, pii, simhash, token_store, toxicity
 
 
 def tokenizer_path() -> str:
@@ -83,6 +83,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.proofs(common.table(spark, sf_dir, "documents"), {"n_chars": F.col("n_chars") + F.when(tampers, 1).otherwise(0)})
 
 
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.against_edits(common.table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -96,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op11_centroid_clustering": op11_centroid_clustering,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_document_fingerprints": op13_document_fingerprints,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_line_dedup": line_dedup.SQL, "op11_centroid_clustering": centroids.sql(), "op12_merkle_manifest": manifest.sql()}
+ORACLE_SQL: dict[str, str] = {"op9_line_dedup": line_dedup.SQL, "op11_centroid_clustering": centroids.sql(), "op12_merkle_manifest": manifest.sql(), "op13_document_fingerprints": fingerprint.sql()}
