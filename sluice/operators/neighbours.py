@@ -1,14 +1,18 @@
 """Nearest neighbours of rows with array vectors, and what is built on them: imputation, votes, Tomek links,
 density clusters and local outlier factors.
 
-Exact search deals the rows into blocks and compares block with block: every pair of blocks is one task of bounded
-size that keeps only the k best of each row, so no task and no shuffle holds all pairs, but the work is that of all
-pairs. ``approximate_knn`` files rows under their nearest pivots and compares a row with the files near it. Rows
-within a radius are found by cells of that width.
+Exact search (``knn``) files rows under their nearest pivot, and cuts a pivot's rows into units of bounded size by their
+distance from it. A query is first compared with the unit where it lies itself; the k-th distance found there bounds what
+can still be nearer. By the triangle inequality most other units are then out of reach, and the query is sent to those
+that are not. Where data have no structure (random directions in many dimensions) no unit is out of reach and the
+work is that of all pairs, though no task holds more than two blocks. ``approximate_knn`` files rows under several
+pivots and compares a row with the files near it. Rows within a radius are found by cells of that width.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -55,27 +59,175 @@ def _best(ids: np.ndarray, x: np.ndarray, nids: np.ndarray, y: np.ndarray, k: in
     return pd.DataFrame({n: np.concatenate([o[c] for o in out]) for c, n in enumerate(("id", "nid", "dist"))}) if out else _nothing()
 
 
-def knn(queries: DataFrame, rows: DataFrame, k: int, metric: str = "euclidean", same: bool = True) -> DataFrame:
-    """id, rank (from 1), nid, dist of the k nearest ``rows`` (id, v) of each query (id, v); ties to the smaller nid.
+#: Rows under a pivot on average, pivots at most, and rings that a pivot's rows are cut into at most.
+PER_PIVOT, MOST_PIVOTS, RINGS = 128, 1024, 32
+
 
-    ``same``: a row is not its own neighbour.
+@dataclass
+class _Units:
+    """Where rows are filed: pivots, and the units (pivot, ring of distances, part of the ring) with what they hold.
+
+    All of it is a row for each pivot or unit; there are about as many units as blocks of rows.
     """
-    a, b = _blocks(queries, queries.count()), _blocks(rows, rows.count())
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    left = queries.select(block(a).alias("a"), every(b).alias("b"), F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
-    right = rows.select(every(a).alias("a"), block(b).alias("b"), F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
+
+    metric: str
+    pivots: np.ndarray
+    edges: list[list[float]]  # of the rings of each pivot
+    parts: list[list[int]]  # of each ring
+    first: list[list[int]]  # number of the first unit of each ring
+    pivot: np.ndarray | None = None  # of each unit
+    low: np.ndarray | None = None  # least and largest distance from the pivot
+    high: np.ndarray | None = None
+    rows: np.ndarray | None = None
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        """From each row to each pivot, summed directly, as bounds are taken from them."""
+        out = np.empty((len(x), len(self.pivots)))
+        for j, p in enumerate(self.pivots):
+            gap = x - p
+            out[:, j] = np.abs(gap).sum(axis=1) if self.metric == "manhattan" else np.sqrt((gap * gap).sum(axis=1))
+        return out
+
+    def unit(self, cell: int, r: float, h: int) -> int:
+        ring = int(np.searchsorted(self.edges[cell], r, side="right"))
+        return self.first[cell][ring] + h % self.parts[cell][ring]
+
+    def home(self, ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The unit where each row lies, and its distance from the pivot there."""
+        d = self.distances(x)
+        cell = d.argmin(axis=1)
+        r = d[np.arange(len(x)), cell]
+        h = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+        return np.asarray([self.unit(c, a, int(b)) for c, a, b in zip(cell.tolist(), r.tolist(), h)], np.int32), r
+
+    def reach(self, x: np.ndarray, bound: np.ndarray, least: int) -> list[np.ndarray]:
+        """The units that may hold a row within ``bound`` of each query, which no unit of ``least`` rows can widen."""
+        d = self.distances(x)
+        enough = self.rows >= least
+        apart = np.stack([np.sqrt(((self.pivots - p) ** 2).sum(axis=1)) for p in self.pivots]) if self.metric != "manhattan" else None
+        out = []
+        for row, limit in zip(d, bound):
+            own = int(row.argmin())
+            if enough.any():
+                limit = min(limit, (row[self.pivot] + self.high)[enough].min())
+            limit = limit * (1 + 1e-9) + 1e-9
+            at = row[self.pivot]
+            nearest = np.maximum(at - self.high, self.low - at)
+            if apart is None:
+                beyond = (row - row[own]) / 2
+            else:  # rows of another pivot lie on its side of the plane between both
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    squares = row * row - row[own] * row[own] - 1e-12 * (row * row)
+                    beyond = np.where(apart[own] > 0, squares / (2 * apart[own]), 0.0)
+            nearest = np.maximum(nearest, beyond[self.pivot])
+            out.append(np.flatnonzero(nearest * (1 - 1e-9) <= limit))
+        return out
+
+
+def _units(rows: DataFrame, n: int, metric: str) -> tuple[_Units, DataFrame]:
+    """Where ``rows`` (id, v) are filed, and the rows with their unit and distance r from its pivot."""
+    wanted = min(MOST_PIVOTS, max(1, n // PER_PIVOT))
+    sample = [np.asarray(r[0]) for r in rows.orderBy(F.xxhash64("id"), "id").limit(wanted).select("v").collect()]
+    pivots = np.stack(list({p.tobytes(): p for p in sample}.values()))
+    k = len(pivots)
+    cells = _Units(metric, pivots, [[]] * k, [[1]] * k, [[i] for i in range(k)])
+    placed = cut(_filed(rows, cells))
+    fractions = [i / RINGS for i in range(1, RINGS)]
+    per = {r[0]: (r[1], r[2]) for r in placed.groupBy("unit").agg(F.count("*"), F.percentile_approx("r", fractions, 1000)).collect()}  # a row for each pivot
+    edges, parts, first, total = [], [], [], 0
+    for j in range(k):
+        many, marks = per.get(j, (0, []))
+        rings = min(RINGS, max(1, -(-many // BLOCK)))
+        mine = sorted({marks[RINGS * i // rings - 1] for i in range(1, rings)})
+        edges.append(mine)
+        parts.append([1] * (len(mine) + 1))
+        first.append(list(range(total, total + len(mine) + 1)))
+        total += len(mine) + 1
+    cells = _Units(metric, pivots, edges, parts, first)
+    if total > k:  # rings of equal distances are dealt into parts
+        ring = cut(_filed(rows, cells))
+        sizes = {r[0]: r[1] for r in ring.groupBy("unit").count().collect()}
+        parts = [[max(1, -(-sizes.get(u, 0) // (2 * BLOCK))) for u in units] for units in first]
+        total, start = 0, []
+        for each in parts:
+            start.append([total + sum(each[:i]) for i in range(len(each))])
+            total += sum(each)
+        cells = _Units(metric, pivots, edges, parts, start)
+        placed = cut(_filed(rows, cells)) if total > sum(map(len, parts)) else ring
+    cells.pivot = np.asarray([j for j in range(k) for n_ in cells.parts[j] for _ in range(n_)])
+    cells.low, cells.high, cells.rows = np.full(total, np.inf), np.full(total, -np.inf), np.zeros(total, np.int64)
+    for u, many, low, high in placed.groupBy("unit").agg(F.count("*"), F.min("r"), F.max("r")).collect():  # a row for each unit
+        cells.rows[u], cells.low[u], cells.high[u] = many, low, high
+    return cells, placed
+
+
+def _filed(rows: DataFrame, cells: _Units) -> DataFrame:
+    def place(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            x = np.stack(b["v"].to_numpy()) if len(b) else np.zeros((0, cells.pivots.shape[1]))
+            unit, r = cells.home(b["id"].to_numpy(), x) if len(b) else (np.zeros(0, np.int32), np.zeros(0))
+            yield b.assign(unit=unit, r=r)
+
+    return rows.mapInPandas(place, "id long, v array<double>, unit int, r double")
+
+
+def _compared(asks: DataFrame, placed: DataFrame, k: int, metric: str, same: bool) -> DataFrame:
+    """id, nid, dist of the k best in each unit that a query (id, v, unit) is sent to; and, with a null nid, how many pairs a task compared."""
+    crowds = asks.groupBy("unit").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("crowds"))  # a row for each unit
+    crowds = F.broadcast(crowds)
+    left = asks.join(crowds, "unit").select("unit", F.pmod(F.xxhash64("id"), "crowds").cast("int").alias("crowd"), "id", "v")
+    right = placed.join(crowds, "unit").select("unit", F.explode(F.sequence(F.lit(0), F.col("crowds") - 1)).alias("crowd"), "id", "v")
 
     def best(key: tuple, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(r):
             return _nothing()
-        return _best(q["id"].to_numpy(), np.stack(q["v"].to_numpy()), r["id"].to_numpy(), np.stack(r["v"].to_numpy()), k, metric, same)
+        found = _best(q["id"].to_numpy(), np.stack(q["v"].to_numpy()), r["id"].to_numpy(), np.stack(r["v"].to_numpy()), k, metric, same)
+        count = pd.DataFrame({"id": [len(q) * len(r)], "nid": [None], "dist": [None]})
+        return pd.concat([found.astype({"nid": "Int64", "dist": "float64"}), count.astype({"nid": "Int64", "dist": "float64"})])
+
+    return left.groupBy("unit", "crowd").cogroup(right.groupBy("unit", "crowd")).applyInPandas(best, "id long, nid long, dist double")
+
+
+def _searched(queries: DataFrame, rows: DataFrame, k: int, metric: str, same: bool) -> DataFrame:
+    """What ``_compared`` says of all pairs of a query and a unit that had to be compared."""
+    vectors = lambda df: df.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
+    asks, base = cut(vectors(queries)), cut(vectors(rows))
+    n = base.count()
+    if not n:
+        return asks.sparkSession.createDataFrame([], "id long, nid long, dist double")
+    cells, placed = _units(base, n, metric)
+    own = cut(_filed(asks, cells))
+    first = cut(_compared(own, placed, k, metric, same))
+    kth = first.where("nid is not null").groupBy("id").agg(F.when(F.count("*") >= k, F.max("dist")).alias("bound"))
+
+    def route(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            if len(b):
+                limits = b["bound"].fillna(np.inf).to_numpy(dtype=float)
+                units = cells.reach(np.stack(b["v"].to_numpy()), limits, k + int(same))
+                others = [u[(u != home) & (cells.rows[u] > 0)] for u, home in zip(units, b["unit"])]
+                yield pd.DataFrame({"id": b["id"], "v": b["v"], "units": others})
+
+    asked = own.join(kth, "id", "left").select("id", "v", "unit", "bound").mapInPandas(route, "id long, v array<double>, units array<int>")
+    asked = cut(asked.where(F.size("units") > 0).select("id", "v", F.explode("units").alias("unit")))
+    return first.unionByName(_compared(asked, placed, k, metric, same))
+
+
+def knn(queries: DataFrame, rows: DataFrame, k: int, metric: str = "euclidean", same: bool = True) -> DataFrame:
+    """id, rank (from 1), nid, dist of the k nearest ``rows`` (id, v) of each query (id, v); ties to the smaller nid.
 
-    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(best, "id long, nid long, dist double")
+    Exact. ``same``: a row is not its own neighbour. Ids are unique, vectors of one length and without nulls.
+    """
+    found = _searched(queries, rows, k, metric, same).where("nid is not null")
     w = Window.partitionBy("id").orderBy("dist", "nid")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "rank", "nid", "dist")
 
 
+def pairs_compared(queries: DataFrame, rows: DataFrame, k: int, metric: str = "euclidean", same: bool = True) -> int:
+    """How many pairs ``knn`` compares."""
+    return _searched(queries, rows, k, metric, same).where("nid is null").agg(F.coalesce(F.sum("id"), F.lit(0))).head()[0]
+
+
 def approximate_knn(rows: DataFrame, k: int, pivots: int = 64, post: int = 3, probe: int = 24) -> DataFrame:
     """As ``knn`` among ``rows`` (vectors of one length): each row is filed under its ``post`` nearest pivots, and compared with the files of its
     ``probe`` nearest ones.
