@@ -67,31 +67,38 @@ def pair_report(df: DataFrame, columns: Sequence[str], limit: float = 0.9) -> Da
     return profile.correlations(df, columns).where(F.abs("r") >= limit).withColumn("relation", relation(F.col("f1"), F.col("f2")))
 
 
-def reduce_features(df: DataFrame, pairs: DataFrame, family: str, target: str | None = None) -> tuple[DataFrame, list[tuple[str, str]]]:
-    """Handles correlated pairs for a family of models, and says what it did.
+def pair_actions(names: Sequence[str], pairs: DataFrame, family: str, target: str | None = None) -> list[tuple[str, str, str, str]]:
+    """(action, column, first, second) for correlated pairs of the columns ``names``: difference, ratio or drop.
 
     linear: a difference or ratio for related pairs, and the second of a pair of one base name goes above 0.98;
     distance: it goes above 0.95; tree: nothing; other: the second goes. The target and the last column of a base
     name stay.
     """
-    actions: list[tuple[str, str]] = []
+    actions: list[tuple[str, str, str, str]] = []
+    left = list(names)
     rows = sorted(((r["f1"], r["f2"], r["r"], r["relation"]) for r in pairs.collect()), key=lambda p: (-abs(p[2]), p[0], p[1]))  # pairs of columns
     for a, b, r, kind in rows:
-        if family == "tree" or a not in df.columns or b not in df.columns:
+        if family == "tree" or a not in left or b not in left:
             continue
         same = _base(a) == _base(b)
-        if family == "linear" and kind in ("temporal_difference", "count_difference"):
-            df = df.withColumn(f"{a}_minus_{b}", F.col(a) - F.col(b))
-            actions.append(("difference", f"{a}_minus_{b}"))
-        elif family == "linear" and kind in ("area_per_unit", "area_ratio"):
-            df = df.withColumn(f"{a}_per_{b}", scalar.ratio(F.col(a), F.col(b)))
-            actions.append(("ratio", f"{a}_per_{b}"))
+        new = {"temporal_difference": ("difference", f"{a}_minus_{b}"), "count_difference": ("difference", f"{a}_minus_{b}"), "area_per_unit": ("ratio", f"{a}_per_{b}"), "area_ratio": ("ratio", f"{a}_per_{b}")}.get(kind)
+        if family == "linear" and new:
+            left.append(new[1])
+            actions.append((*new, a, b))
         drop = {"linear": same and abs(r) > 0.98, "distance": same and abs(r) > 0.95}.get(family, True)
-        others = [c for c in df.columns if c != b and _base(c) == _base(b)]
+        others = [c for c in left if c != b and _base(c) == _base(b)]
         if drop and b != target and (others or not same):
-            df = df.drop(b)
-            actions.append(("drop", b))
-    return df, actions
+            left.remove(b)
+            actions.append(("drop", b, "", ""))
+    return actions
+
+
+def reduce_features(df: DataFrame, pairs: DataFrame, family: str, target: str | None = None) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """``df`` after the ``pair_actions`` for its columns, and what they were (action, column)."""
+    actions = pair_actions(df.columns, pairs, family, target)
+    make = {"difference": lambda a, b: F.col(a) - F.col(b), "ratio": lambda a, b: scalar.ratio(F.col(a), F.col(b))}
+    new = {c: make[what](a, b) for what, c, a, b in actions if what != "drop"}
+    return df.withColumns(new).drop(*[c for what, c, _, _ in actions if what == "drop"]), [(what, c) for what, c, _, _ in actions]
 
 
 def _base(name: str) -> str:

@@ -293,53 +293,92 @@ def average(test: DataFrame, train: DataFrame, k: int = 5, weights: str = "unifo
     return near.groupBy("id").agg((F.sum(F.col("label") * w) / F.sum(w)).alias("prediction"))
 
 
-def impute(df: DataFrame, key: str, columns: list[str], k: int = 5, weights: str = "distance", donors: int | None = None) -> DataFrame:
-    """``df`` with nulls of ``columns`` from the k nearest rows that know the value.
+def _known_best(x: np.ndarray, nids: np.ndarray, y: np.ndarray, k: int) -> list[tuple[np.ndarray, ...]]:
+    """For the nulls (NaN) of ``x``: (row, column, nid, distance, value) of the k nearest rows of ``y`` that know the value.
 
-    Distances are over the columns that both know, scaled up for those they do not. ``donors`` bounds the rows to
-    draw from (by order of a hash of the key); none: all rows.
+    Distances are over the columns that both know, scaled up for those they do not. Ties go to the smaller nid.
     """
-    v = F.array(*[F.col(c).cast("double") for c in columns])
-    rows = df.select(F.col(key).alias("id"), v.alias("v"))
+    out, known, dim = [], ~np.isnan(y), x.shape[1]
+    step = max(1, (1 << 22) // max(1, y.size))
+    for lo in range(0, len(x), step):
+        part = x[lo : lo + step]
+        gap = part[:, None, :] - y[None, :, :]
+        n = (~np.isnan(gap)).sum(axis=2)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            d = np.where(n > 0, np.sqrt(dim / n * np.nansum(gap * gap, axis=2)), np.inf)
+        for c in range(dim):
+            rows = np.flatnonzero(np.isnan(part[:, c]))
+            able = np.flatnonzero(known[:, c])
+            if not rows.size or not able.size:
+                continue
+            dc = d[np.ix_(rows, able)]
+            order = np.lexsort((np.broadcast_to(nids[able], dc.shape), dc), axis=1)[:, :k]
+            near = np.take_along_axis(dc, order, 1)
+            use = np.isfinite(near)
+            donor = able[order]
+            out.append((np.broadcast_to(rows[:, None] + lo, near.shape)[use], np.full(int(use.sum()), c), nids[donor][use], near[use], y[donor, c][use]))
+    return out
+
+
+def _weights(dist: np.ndarray, how: str) -> np.ndarray:
+    if how != "distance":
+        return np.ones_like(dist)
+    return (dist == 0).astype(float) if (dist == 0).any() else 1 / dist  # donors at distance 0 decide alone
+
+
+def filled(x: np.ndarray, nids: np.ndarray, y: np.ndarray, k: int, weights: str) -> np.ndarray:
+    """``x`` with its nulls (NaN) from the k nearest rows of ``y``; NaN where no row can tell."""
+    out = x.copy()
+    for rows, columns, _, dist, value in _known_best(x, nids, y, k):
+        for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(rows)) + 1):
+            if part.size:
+                w = _weights(dist[part], weights)
+                out[rows[part[0]], columns[part[0]]] = (value[part] * w).sum() / w.sum()
+    return out
+
+
+def filled_from(rows: DataFrame, donors: DataFrame, k: int = 5, weights: str = "distance") -> DataFrame:
+    """id, v of the ``rows`` (id, v) that have nulls, with values from the k nearest ``donors`` (nid, v), block by block."""
     holes = rows.where(F.exists("v", lambda x: x.isNull()))
-    pool = rows if donors is None else rows.orderBy(F.xxhash64("id"), "id").limit(donors)
-    a, b = _blocks(holes, holes.count()), _blocks(pool, pool.count())
+    a, b = _blocks(holes, holes.count()), _blocks(donors, donors.count())
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    schema = "id long, at int, nid long, dist double, value double"
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
 
-    def best(key_: tuple, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
+    def best(key: tuple, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+        found = [empty]
         if len(q) and len(r):
-            x, y = np.stack([np.asarray(z, float) for z in q["v"]]), np.stack([np.asarray(z, float) for z in r["v"]])
-            ids, known = r["id"].to_numpy(), ~np.isnan(y)
-            for i, row in zip(q["id"].to_numpy(), x):
-                both = known & ~np.isnan(row)
-                n = both.sum(axis=1)
-                gap = np.where(both, y - row, 0.0)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    d = np.where(n > 0, np.sqrt(len(row) / n * (gap**2).sum(axis=1)), np.inf)
-                d[ids == i] = np.inf
-                for c in np.flatnonzero(np.isnan(row)):
-                    dc = np.where(known[:, c], d, np.inf)
-                    at = np.lexsort((ids, dc))[:k]
-                    out += [(i, int(c), ids[j], dc[j], y[j, c]) for j in at if np.isfinite(dc[j])]
-        return pd.DataFrame(out, columns=["id", "at", "nid", "dist", "value"])
-
-    left = holes.select(block(a).alias("a"), every(b).alias("b"), "id", "v")
-    right = pool.select(every(a).alias("a"), block(b).alias("b"), "id", "v")
-    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(best, schema)
+            x, y = (np.stack([np.asarray(z, float) for z in d["v"]]) for d in (q, r))
+            ids = q["id"].to_numpy()
+            found += [(ids[f[0]], *f[1:]) for f in _known_best(x, r["nid"].to_numpy(), y, k)]
+        return pd.DataFrame({n: np.concatenate([f[i] for f in found]) for i, n in enumerate(("id", "at", "nid", "dist", "value"))})
+
+    left = holes.select(block("id", a).alias("a"), every(b).alias("b"), "id", "v")
+    right = donors.select(every(a).alias("a"), block("nid", b).alias("b"), "nid", "v")
+    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(best, "id long, at int, nid long, dist double, value double")
     w = Window.partitionBy("id", "at").orderBy("dist", "nid")
     near = found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
-    if weights == "distance":  # donors at distance 0 decide alone
+    if weights == "distance":
         nearest = F.min("dist").over(Window.partitionBy("id", "at"))
         near = near.withColumn("w", F.when(nearest == 0, (F.col("dist") == 0).cast("double")).otherwise(1 / F.nullif("dist", F.lit(0.0))))
     else:
         near = near.withColumn("w", F.lit(1.0))
     values = near.groupBy("id", "at").agg((F.sum(F.col("value") * F.col("w")) / F.sum("w")).alias("value"))
-    wide = values.groupBy("id").agg(*[F.max(F.when(F.col("at") == i, F.col("value"))).alias(f"_v{i}") for i in range(len(columns))]).withColumnRenamed("id", "_id")
-    joined = df.join(wide, F.col(key) == F.col("_id"), "left")
-    return joined.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_v{i}")) for i, c in enumerate(columns)}).select(df.columns)
+    by_place = values.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("at", "value"))).alias("m"))  # as many as columns
+    return holes.join(by_place, "id", "left").select("id", F.transform("v", lambda x, i: F.coalesce(x, F.try_element_at("m", i))).alias("v"))
+
+
+def impute(df: DataFrame, key: str, columns: list[str], k: int = 5, weights: str = "distance", donors: int | None = None) -> DataFrame:
+    """``df`` with nulls of ``columns`` from the k nearest of its rows that know the value.
+
+    ``donors`` bounds the rows to draw from (by order of a hash of the key); none: all rows. For new rows there is
+    ``transforms.fit_impute_neighbours``.
+    """
+    rows = df.select(F.col(key).alias("id"), F.array(*[F.col(c).cast("double") for c in columns]).alias("v"))
+    pool = rows if donors is None else rows.orderBy(F.xxhash64("id"), "id").limit(donors)
+    found = filled_from(rows, pool.withColumnRenamed("id", "nid"), k, weights).select(F.col("id").alias("_id"), F.col("v").alias("_v"))
+    joined = df.join(found, F.col(key) == F.col("_id"), "left")
+    return joined.withColumns({c: F.coalesce(F.col(c).cast("double"), F.get("_v", F.lit(i))) for i, c in enumerate(columns)}).select(df.columns)
 
 
 def tomek_links(rows: DataFrame) -> DataFrame:

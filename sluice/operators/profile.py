@@ -8,6 +8,7 @@ column. Results of fitted size (rows for each column) are the only data that rea
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,8 +18,8 @@ from ..session import cut
 
 #: Columns in one aggregate; more are done in several, so that generated code stays small.
 BATCH = 40
-#: Accuracy of the approximate pass of ``quantiles``, values of a bracket for the driver, and parts of a narrowing step.
-ACCURACY, FEW, STEPS = 10_000, 20_000, 1000
+#: Accuracy of the approximate passes of ``quantiles``, values of a bracket for the driver, and parts of a narrowing step.
+ACCURACY, FEW, STEPS = 10_000, 20_000, 64
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -53,67 +54,112 @@ def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[flo
     """Exact percentiles (with linear interpolation) of each column, in order; nulls do not count.
 
     An approximate pass puts a bracket around each; another counts the rows below the bracket and the values in it.
-    Brackets that hold many values are narrowed in steps. No task holds the values of a column, and the driver gets at
-    most ``FEW`` values of a bracket.
+    Where a bracket holds many values, each of the two ranks that make a percentile is narrowed down on its own, as
+    they may lie on both sides of a gap: approximate percentiles of the bracket's different values cut it into parts of
+    about as many values, and only the part with the rank stays. No task holds the values of a column, and the driver
+    gets at most ``FEW`` values of a bracket. Infinities and NaN (which comes last) are counted apart.
     """
     names = list(columns)
     if not names:
         return {}
-    double = {c: F.col(f"`{c}`").cast("double") for c in names}
-    ends = {r["column"]: r for r in per_column(df, names, lambda c: {"n": F.count(c), "lo": F.min(c.cast("double")), "hi": F.max(c.cast("double"))}).collect()}
-    live = [c for c in names if ends[c]["n"]]
-    slack = {c: 2 / ACCURACY + 3 / ends[c]["n"] for c in live}
+    number = {c: F.col(f"`{c}`").cast("double") for c in names}
+    infinite = float("inf")
+    finite = lambda c: F.when((c > -infinite) & (c < infinite), c)  # noqa: E731  NaN is above infinity
+
+    def facts(c: Column) -> dict[str, Column]:
+        x = c.cast("double")
+        return {"n": F.count(x), "low": F.count_if(x == -infinite), "high": F.count_if(x == infinite), "nan": F.count_if(F.isnan(x)), "lo": F.min(finite(x)), "hi": F.max(finite(x))}
+
+    ends = {r["column"]: r for r in per_column(df, names, facts).collect()}
+    inner = {c: r["n"] - r["low"] - r["high"] - r["nan"] for c, r in ends.items()}
+    live = [c for c in names if inner[c]]
+    slack = {c: 2 / ACCURACY + 3 / inner[c] for c in live}
+    double = {c: finite(number[c]) for c in names}
+
+    def ranks(c: str, p: float) -> tuple[int, int, float]:
+        """The ranks of ``p`` among the finite values: below 0 and from their number on, they lie outside."""
+        first, second, far = _ranks(ends[c]["n"], p)
+        return first - ends[c]["low"], second - ends[c]["low"], far
+
+    asked = {}  # of finite values: (column, place among the probabilities) -> share of the finite values
+    for c in live:
+        for k, p in enumerate(probabilities):
+            wanted = [r for r in ranks(c, p)[:2] if 0 <= r < inner[c]]
+            if wanted:
+                asked[c, k] = [r / max(1, inner[c] - 1) for r in (wanted[0], wanted[-1])]
     near = {}
     for lo in range(0, len(live), BATCH):
-        part = live[lo : lo + BATCH]
-        asked = [F.percentile_approx(double[c], [min(1.0, max(0.0, p + d)) for p in probabilities for d in (-slack[c], slack[c])], ACCURACY).alias(f"q{i}") for i, c in enumerate(part)]
-        got = df.agg(*asked).head()
-        near |= {c: got[f"q{i}"] for i, c in enumerate(part)}
-    brackets = {}  # number -> (column, first, second, how far, lowest, highest)
-    for c in live:
+        part = [c for c in live[lo : lo + BATCH] if any(a == c for a, _ in asked)]
+        shares = {c: [min(1.0, max(0.0, s)) for (a, _), (x, y) in asked.items() if a == c for s in (x - slack[c], y + slack[c])] for c in part}
+        if part:
+            got = df.agg(*[F.percentile_approx(double[c], shares[c], ACCURACY).alias(f"q{i}") for i, c in enumerate(part)]).head()
+            near |= {c: iter(got[f"q{i}"]) for i, c in enumerate(part)}
+    brackets = []  # (column, place, lowest, highest)
+    for (c, k), (x, y) in asked.items():
+        lowest, highest = next(near[c]), next(near[c])
+        brackets.append((c, k, lowest if x > slack[c] else ends[c]["lo"], highest if y < 1 - slack[c] else ends[c]["hi"]))
+    values = _at_ranks(df, double, brackets, [ranks(c, probabilities[k])[:2] for c, k, _, _ in brackets]) if brackets else []
+    inside = {(c, k): v for (c, k, _, _), v in zip(brackets, values)}
+    out: dict[str, list[float | None]] = {c: [] for c in names}
+    for c in names:
         for k, p in enumerate(probabilities):
-            brackets[len(brackets)] = (c, *_ranks(ends[c]["n"], p), near[c][2 * k] if p > slack[c] else ends[c]["lo"], near[c][2 * k + 1] if p < 1 - slack[c] else ends[c]["hi"])
-    if not brackets:
-        return {c: [None] * len(probabilities) for c in names}
-    marks = [F.when(double[c] <= F.lit(hi), F.struct(F.lit(i).alias("b"), F.when(double[c] >= F.lit(lo), double[c]).alias("x"))) for i, (c, _, _, _, lo, hi) in brackets.items()]
-    counts = df.select(F.explode(F.filter(F.array(*marks), lambda m: m.isNotNull())).alias("m")).groupBy("m.b", "m.x").agg(F.count("*").alias("n"))
-    counts = cut(counts)
+            if not ends[c]["n"]:
+                out[c].append(None)
+                continue
+            first, second, far = ranks(c, p)
+            a, b = (-infinite if r < 0 else inside[c, k][i] if r < inner[c] else infinite if r < inner[c] + ends[c]["high"] else float("nan") for i, r in enumerate((first, second)))
+            out[c].append(a if a == b or not far else a + (b - a) * far)
+    return out
+
+
+def _at_ranks(df: DataFrame, double: dict[str, Column], brackets: list[tuple[str, int, float, float]], ranks: list[tuple[int, int]]) -> list[tuple[float | None, float | None]]:
+    """For each bracket (column, -, lowest, highest), the values of two ranks that lie in it."""
+    marks = [F.when(double[c] <= F.lit(hi), F.struct(F.lit(i).alias("b"), F.when(double[c] >= F.lit(lo), double[c]).alias("x"))) for i, (c, _, lo, hi) in enumerate(brackets)]
+    counts = cut(df.select(F.explode(F.filter(F.array(*marks), lambda m: m.isNotNull())).alias("m")).groupBy("m.b", "m.x").agg(F.count("*").alias("n")))
     below = {r["b"]: r["n"] for r in counts.where("x is null").collect()}
-    inside, width = counts.where("x is not null"), {i: (lo, hi) for i, (*_, lo, hi) in brackets.items()}
-    while True:
-        held = {r["b"]: r["v"] for r in inside.groupBy("b").agg(F.count("*").alias("v")).collect()}
-        wide = [i for i, v in held.items() if v > FEW]
-        if not wide:
-            break
-        edge = lambda k: F.create_map(*[F.lit(x) for i in wide for x in (i, width[i][k])])[F.col("b")]
-        at = F.least(F.floor((F.col("x") - edge(0)) / (edge(1) - edge(0)) * STEPS), F.lit(STEPS - 1))
-        steps = inside.where(F.col("b").isin(wide)).groupBy("b", at.alias("s")).agg(F.sum("n").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()  # STEPS rows a bracket
-        for i in wide:
-            seen = below.get(i, 0)
-            for r in sorted((r for r in steps if r["b"] == i), key=lambda r: r["s"]):
-                if seen + r["n"] <= brackets[i][1]:
-                    seen += r["n"]
-                    below[i] = seen
-                    continue
-                width[i] = (r["lo"], r["hi"] if seen + r["n"] > brackets[i][2] else min(x["lo"] for x in steps if x["b"] == i and x["s"] > r["s"]))
-                break
-        keep = F.lit(False)
-        for i, (lo, hi) in width.items():
-            keep = keep | ((F.col("b") == i) & F.col("x").between(lo, hi))
-        inside = cut(inside.where(keep))
-    table = inside.orderBy("b", "x").toArrow()
-    values: dict[int, list[tuple[float, int]]] = {}
-    for b, x, n in zip(*(table.column(k).to_pylist() for k in ("b", "x", "n"))):
-        values.setdefault(b, []).append((x, n))
-    out: dict[str, list[float | None]] = {c: [] for c in names}
-    for i, (c, first, second, far, _, _) in brackets.items():
-        seen, found = below.get(i, 0), []
-        for x, n in values[i]:
+    counts = counts.where("x is not null")
+    sizes = {r["b"]: r["v"] for r in counts.groupBy("b").agg(F.count("*").alias("v")).collect()}
+    wide = [b for b, v in sizes.items() if v > FEW]
+    few = counts.where(~F.col("b").isin(wide)) if wide else counts
+    lists: dict[int, list[tuple[float, int]]] = {}  # of each rank (2 * bracket, and one more for the second): its values and their counts
+    for b, x, n in _sorted_rows(few):
+        for r in (2 * b, 2 * b + 1):
+            lists.setdefault(r, []).append((x, n))
+    under = {2 * b + i: n for b, n in below.items() for i in (0, 1)}
+    rest = counts.where(F.col("b").isin(wide)).select(F.explode(F.array(2 * F.col("b"), 2 * F.col("b") + 1)).alias("b"), "x", "n") if wide else None
+    while rest is not None:
+        parts = {r["b"]: sorted(set(r["m"])) for r in rest.groupBy("b").agg(F.percentile_approx("x", [i / STEPS for i in range(1, STEPS)], ACCURACY).alias("m")).collect()}
+        edges = F.create_map(*[v for r, m in parts.items() for v in (F.lit(r), F.array(*[F.lit(x) for x in m]))])[F.col("b")]
+        steps = rest.groupBy("b", F.size(F.filter(edges, lambda m: m < F.col("x"))).alias("s")).agg(F.count("*").alias("v"), F.sum("n").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()  # STEPS rows a rank
+        keep, done = [], []
+        for r in parts:
+            seen, mine = under.get(r, 0), sorted((t for t in steps if t["b"] == r), key=lambda t: t["s"])
+            for step in mine:
+                if seen + step["n"] > ranks[r // 2][r % 2]:
+                    under[r] = seen
+                    (keep if step["v"] > FEW and len(mine) > 1 else done).append((r, step["lo"], step["hi"]))  # a single part narrows no further
+                    break
+                seen += step["n"]
+        within = lambda some: reduce(lambda a, b: a | b, [(F.col("b") == r) & F.col("x").between(lo, hi) for r, lo, hi in some])
+        if done:
+            for r, x, n in _sorted_rows(rest.where(within(done))):
+                lists.setdefault(r, []).append((x, n))
+        rest = cut(rest.where(within(keep))) if keep else None
+
+    def value(r: int) -> float | None:
+        seen = under.get(r, 0)
+        for x, n in lists.get(r, []):
             seen += n
-            while len(found) < 2 and seen > (first, second)[len(found)]:
-                found.append(x)
-        out[c].append(found[0] + (found[1] - found[0]) * far)
-    return {c: v or [None] * len(probabilities) for c, v in out.items()}
+            if seen > ranks[r // 2][r % 2]:
+                return x
+        return None  # a rank outside of the finite values
+
+    return [(value(2 * b), value(2 * b + 1)) for b in range(len(brackets))]
+
+
+def _sorted_rows(counts: DataFrame) -> list[tuple[int, float, int]]:
+    table = counts.select("b", "x", "n").orderBy("b", "x").toArrow()
+    return list(zip(*(table.column(c).to_pylist() for c in ("b", "x", "n"))))
 
 
 def _named(values: dict[str, list[float | None]], at: int) -> Column:

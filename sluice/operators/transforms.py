@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,10 +54,10 @@ class Chain:
         return df
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Writes the steps, and the code tables that they use, into one folder."""
+        """Writes the steps, and the tables that they use, into one folder."""
         rows = []
         for i, s in enumerate(self.steps):
-            tables = {c: f"codes/{i}-{k}" for k, c in enumerate(s.state.get("tables", {}))}
+            tables = {c: f"tables/{i}-{k}" for k, c in enumerate(s.state.get("tables", {}))}
             for c, name in tables.items():
                 spark.read.parquet(s.state["tables"][c]).write.mode("overwrite").parquet(f"{path}/{name}")
             rows.append((i, Fitted(s.kind, s.state | ({"tables": tables} if tables else {})).to_json()))
@@ -378,22 +380,188 @@ def terms(c: Column, stop_words: str = STOP_WORDS) -> Column:
     return once(words, lambda w: F.concat(w, F.zip_with(F.slice(w, F.lit(1), n(w)), F.slice(w, F.lit(2), n(w)), lambda a, b: F.concat_ws(" ", a, b))))
 
 
+def term_counts(df: DataFrame, key: str, column: str) -> DataFrame:
+    """key, term, tf: how often a row's text has each term."""
+    return df.select(key, F.explode(terms(F.col(column))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+
+def vocabulary(counts: DataFrame, n: int, least: int = 2, most: float = 0.95, features: int = 5000) -> DataFrame:
+    """term, df, cf, idf of the most frequent terms of ``n`` rows, in ``least`` rows at least and a share ``most`` at most."""
+    terms_ = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where((F.col("df") >= least) & (F.col("df") <= most * n))
+    return terms_.orderBy(F.desc("cf"), "term").limit(features).withColumn("idf", F.log((1.0 + n) / (1.0 + F.col("df"))) + 1)
+
+
 def tfidf(df: DataFrame, key: str, column: str, least: int = 2, most: float = 0.95, features: int = 5000) -> DataFrame:
     """key, term, weight: tf * (ln((1 + n) / (1 + df)) + 1), of length 1 for each row, for the most frequent terms.
 
     ``features`` is the size of the vocabulary that is asked for. A row (also one with a null text) without a term of
     the vocabulary is the zero vector: it has no rows here. Terms are counted once and read from there.
     """
-    counts = cut(df.select(key, F.explode(terms(F.col(column))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")))
-    n = df.count()
-    vocabulary = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where((F.col("df") >= least) & (F.col("df") <= most * n))
-    vocabulary = vocabulary.orderBy(F.desc("cf"), "term").limit(features)
-    weighted = counts.join(F.broadcast(vocabulary), "term").withColumn("w", F.col("tf") * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1))  # ``features`` rows
+    counts = cut(term_counts(df, key, column))
+    weighted = counts.join(F.broadcast(vocabulary(counts, df.count(), least, most, features)), "term").withColumn("w", F.col("tf") * F.col("idf"))  # ``features`` rows
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return weighted.select(key, "term", (F.col("w") / length).alias("weight"))
 
 
+def fit_text(df: DataFrame, key: str, columns: Sequence[str], least: int = 2, most: float = 0.95, features: int = 5000) -> Fitted:
+    """Each text column becomes a vector, ``<column>_tfidf``: the weights of ``tfidf`` with the terms and rarities of these rows.
+
+    The vocabulary (``features`` terms at most) is a table; place ``at`` of the vector is its row ``at``. A null text,
+    and one that has no term of the vocabulary, is the zero vector. A column without any term is dropped.
+    """
+    n, tables, sizes = df.count(), {}, {}
+    for c in columns:
+        words = vocabulary(term_counts(df, key, c), n, least, most, features).orderBy("term").select("term", "df", "idf")
+        rows = [(i, *r) for i, r in enumerate(words.collect())]  # ``features`` rows
+        tables[c], sizes[c] = f"{shared_dir(df.sparkSession)}/vocabulary-{uuid.uuid4().hex}", len(rows)
+        df.sparkSession.createDataFrame(rows, _VOCABULARY).coalesce(1).write.parquet(tables[c])
+    return Fitted("text", {"columns": list(columns), "sizes": sizes, "tables": tables})
+
+
+_VOCABULARY = "at int, term string, df long, idf double"
+
+
+def terms_of(fitted: Fitted, spark: SparkSession, column: str) -> DataFrame:
+    """at, term, df, idf of a fitted text column."""
+    return spark.read.schema(_VOCABULARY).parquet(fitted.state["tables"][column])
+
+
+def _text(df: DataFrame, s: dict) -> DataFrame:
+    from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+    from pyspark.ml.linalg import Vectors
+
+    for c in s["columns"]:
+        if not s["sizes"][c]:
+            df = df.drop(c)
+            continue
+        words = df.sparkSession.read.schema(_VOCABULARY).parquet(s["tables"][c]).orderBy("at").collect()  # as many rows as the vocabulary has
+        a, b, w = (f"_{x}_{c}" for x in ("terms", "counts", "weights"))
+        df = df.withColumn(a, F.coalesce(terms(F.col(f"`{c}`").cast("string")), F.array().cast("array<string>")))
+        df = CountVectorizerModel.from_vocabulary([r["term"] for r in words], a, b).transform(df)
+        df = ElementwiseProduct(scalingVec=Vectors.dense([r["idf"] for r in words]), inputCol=b, outputCol=w).transform(df)
+        df = Normalizer(inputCol=w, outputCol=f"{c}_tfidf").transform(df).drop(a, b, w, c)
+    return df
+
+
+# Features from others
+
+
+def fit_derive(features: Sequence[tuple[str, str, str, str]]) -> Fitted:
+    """(name, operation, first, second): the difference or the ratio (a divisor of 0 counts as 1) of two columns."""
+    return Fitted("derive", {"features": [list(f) for f in features]})
+
+
+def _derive(df: DataFrame, s: dict) -> DataFrame:
+    make = {"difference": lambda a, b: a - b, "ratio": scalar.ratio}
+    return df.withColumns({name: make[what](F.col(f"`{a}`"), F.col(f"`{b}`")) for name, what, a, b in s["features"]})
+
+
+def fit_projection(df: DataFrame, columns: Sequence[str], variance: float = 0.95, most: int | None = None, centre: bool = True, output: str = "features") -> Fitted:
+    """``columns`` become one array, ``output``: their first principal components, as many as hold ``variance`` and ``most`` at most.
+
+    ``centre=False`` takes the singular directions of the uncentred columns. Nulls count as the mean (as 0, uncentred).
+    Sums of products come from one pass in blocks of rows; what reaches the driver has a number for each pair of columns.
+    """
+    d = len(columns)
+
+    def products(batches):  # noqa: ANN001, ANN202
+        total, n = np.zeros((d + 1, d + 1)), 0
+        for b in batches:
+            x = np.column_stack([np.ones(len(b)), b.to_numpy(dtype=float, na_value=np.nan)]) if len(b) else np.zeros((0, d + 1))
+            x[:, 1:] = np.where(np.isnan(x[:, 1:]), fill, x[:, 1:])
+            x[:, 1:] -= shift
+            total, n = total + x.T @ x, n + len(b)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["at", "x"])
+
+    def blocks(batches):  # noqa: ANN001, ANN202
+        return products(b.to_pandas() for b in batches)
+
+    means = _row(df, columns, lambda c: {"m": F.avg(c.cast("double"))})
+    mean = np.asarray([means[c]["m"] or 0.0 for c in columns])
+    fill, shift = (mean, mean) if centre else (np.zeros(d), np.zeros(d))
+    numbers = df.select(*[_double(c).alias(f"_{i}") for i, c in enumerate(columns)])
+    sums = np.zeros((d + 1) ** 2)
+    for at, x in numbers.mapInArrow(blocks, "at long, x double").groupBy("at").agg(F.sum("x")).collect():  # a row for each pair of columns
+        sums[at] = x
+    gram = sums.reshape(d + 1, d + 1)
+    n = gram[0, 0]
+    spread = gram[1:, 1:] - np.outer(gram[0, 1:], gram[0, 1:]) / n if n else gram[1:, 1:]
+    values, directions = np.linalg.eigh(spread if centre else gram[1:, 1:])
+    order = np.argsort(-values, kind="stable")
+    directions = directions[:, order].T
+    signs = np.sign(directions[np.arange(d), np.abs(directions).argmax(axis=1)])
+    directions = directions * np.where(signs == 0, 1, signs)[:, None]
+    held = np.asarray([v @ spread @ v for v in directions])
+    shares = held / held.sum() if held.sum() > 0 else np.zeros(d)
+    k = min(most or d, d, int(np.searchsorted(np.cumsum(shares), variance - 1e-12)) + 1)
+    return Fitted("projection", {"columns": list(columns), "fill": fill.tolist(), "shift": shift.tolist(), "directions": directions[:k].tolist(), "shares": shares[:k].tolist(), "output": output})
+
+
+def _projection(df: DataFrame, s: dict) -> DataFrame:
+    values = F.array(*[F.coalesce(F.nanvl(_double(c), F.lit(f)), F.lit(f)) - F.lit(m) for c, f, m in zip(s["columns"], s["fill"], s["shift"])])
+    lines = F.array(*[F.array(*[F.lit(float(x)) for x in line]) for line in s["directions"]])
+    along = lambda v: F.transform(lines, lambda line: F.aggregate(F.zip_with(line, v, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b))
+    new = F.get(F.transform(F.array(values), along), F.lit(0))  # the values are read once
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in s["columns"] and c != s["output"]]
+    return df.select(*kept, new.alias(s["output"]))
+
+
+# Imputation by neighbours
+
+#: Donors that a worker holds; with more, new rows are compared with them block by block.
+DONORS_HELD = 10_000
+
+
+def fit_impute_neighbours(df: DataFrame, key: str, columns: Sequence[str], fill: Sequence[str] | None = None, k: int = 5, weights: str = "distance") -> Fitted:
+    """Nulls of ``fill`` (all ``columns``, if not given) become means over the k nearest of these rows that know the value.
+
+    Distances are over those ``columns`` that both rows know, scaled up for the others. The rows are kept as a table of
+    donors; so are the means of the columns, for rows that share no known column with any donor.
+    """
+    means = _row(df, columns, lambda c: {"m": F.avg(c.cast("double"))})
+    path = f"{shared_dir(df.sparkSession)}/donors-{uuid.uuid4().hex}"
+    nid = F.col(f"`{key}`").cast("long") if isinstance(df.schema[key].dataType, T.IntegralType) else F.xxhash64(f"`{key}`")
+    donors = df.select(nid.alias("nid"), F.array(*[_double(c) for c in columns]).alias("v"))
+    donors.where(F.exists("v", lambda x: x.isNotNull())).write.parquet(path)
+    state = {"columns": list(columns), "fill": list(fill or columns), "k": k, "weights": weights, "means": [means[c]["m"] for c in columns]}
+    return Fitted("impute_neighbours", state | {"tables": {"donors": path}})
+
+
+def _impute_neighbours(df: DataFrame, s: dict) -> DataFrame:
+    from . import neighbours
+
+    spark, names = df.sparkSession, s["columns"]
+    donors = spark.read.schema("nid long, v array<double>").parquet(s["tables"]["donors"])
+    v = F.array(*[_double(c) for c in names])
+    at = {c: names.index(c) for c in s["fill"]}
+    if df.isStreaming or donors.count() <= DONORS_HELD:
+        held = donors.orderBy("nid").limit(DONORS_HELD + 1).collect()
+        if len(held) > DONORS_HELD:
+            raise ValueError(f"a stream can draw on {DONORS_HELD} donors at most")
+        ids = np.asarray([r["nid"] for r in held], np.int64)
+        y = np.asarray([r["v"] for r in held], float).reshape(len(held), len(names))
+
+        @F.pandas_udf("array<double>")
+        def filled(rows: pd.Series) -> pd.Series:
+            x = np.asarray([np.asarray(r, float) for r in rows]).reshape(len(rows), len(names))
+            return pd.Series(list(neighbours.filled(x, ids, y, s["k"], s["weights"])))
+
+        (got,) = _free(df, "filled")
+        out = df.withColumn(got, F.when(F.exists(v, lambda x: x.isNull()), filled(v)))
+        return out.withColumns({c: F.coalesce(_double(c), F.nanvl(F.get(F.col(got), F.lit(i)), F.lit(None)), F.lit(s["means"][i])) for c, i in at.items()}).drop(got)
+    row, got = _free(df, "row", "filled")
+    numbered = cut(df.withColumn(row, F.monotonically_increasing_id()))
+    found = neighbours.filled_from(numbered.select(F.col(row).alias("id"), v.alias("v")), donors, s["k"], s["weights"]).select(F.col("id").alias(row), F.col("v").alias(got))
+    out = numbered.join(found, row, "left")
+    return out.withColumns({c: F.coalesce(_double(c), F.get(F.col(got), F.lit(i)), F.lit(s["means"][i])) for c, i in at.items()}).select(df.columns)
+
+
+def _free(df: DataFrame, *names: str) -> list[str]:
+    taken = {c.lower() for c in df.columns}
+    return [next(x for x in (f"{'_' * n}{name}" for n in range(1, len(taken) + 2)) if x.lower() not in taken) for name in names]
+
+
 _APPLY = {
     "impute": _impute, "indicators": _indicators, "cap": _cap, "power": _power, "scale": _scale, "rare": _rare, "one_hot": _one_hot,
-    "ordinal": _ordinal, "dates": _dates, "drop": _drop,
+    "ordinal": _ordinal, "dates": _dates, "drop": _drop, "text": _text, "derive": _derive, "projection": _projection, "impute_neighbours": _impute_neighbours,
 }

@@ -6,10 +6,12 @@ from dataclasses import dataclass, field
 
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
-from ..operators import columns, correlate, neighbours, profile, rows, transforms
+from ..operators import columns, correlate, profile, rows, transforms
 from ..session import cut
 from . import policy
 
@@ -31,25 +33,36 @@ class Prepared:
 
 
 def vectors(df: DataFrame, features: list[str], output: str = "features") -> DataFrame:
-    """``df`` with the features as one vector; nulls count as 0."""
-    filled = df.withColumns({f"_f{i}": F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for i, c in enumerate(features)})
+    """``df`` with the features as one vector; nulls count as 0. Features may be vectors or arrays themselves."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+
+    def ready(c: str) -> Column:
+        if isinstance(kinds[c], VectorUDT):
+            return F.col(f"`{c}`")
+        if isinstance(kinds[c], ArrayType):
+            return array_to_vector(F.col(f"`{c}`").cast("array<double>"))
+        return F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0))
+
+    filled = df.withColumns({f"_f{i}": ready(c) for i, c in enumerate(features)})
     return VectorAssembler(inputCols=[f"_f{i}" for i in range(len(features))], outputCol=output).transform(filled).drop(*[f"_f{i}" for i in range(len(features))])
 
 
-def adaptive(df: DataFrame, key: str, target: str | None = None, model: str | None = None, family: str | None = None, ratio: float = 0.2, k: float = 2.5, outliers: str = "cap", seed: int = 42) -> Prepared:
+def adaptive(df: DataFrame, key: str, target: str | None = None, model: str | None = None, family: str | None = None, ratio: float = 0.2, k: float = 2.5, outliers: str = "cap", seed: int = 42, text: bool = True) -> Prepared:
     """Decides per column, and fits on training rows.
 
     Steps: drop problem columns and repeated rows; split; per column impute (constant, mode, mean, median or by
-    neighbours); cap or remove outliers (training rows only); features from dates; correlated pairs; power
-    transform of skewed columns (not for trees); scale; group rare values; encode.
+    neighbours); cap or remove outliers (training rows only); features from dates; correlated pairs, with their
+    differences and ratios; power transform of skewed columns (not for trees); scale; group rare values; encode;
+    term weights of text columns (``text``; else they are dropped).
     """
     log: list[tuple[str, str, str]] = []
     task = columns.task_type(df, target)
     family = family or policy.family_of(task, model)
     log.append(("task", target or "-", f"{task}, {family}"))
     role = columns.roles(df.drop(key), target)
-    keep = [*role.numerical, *role.categorical, *role.datetime]
-    for kind in ("ids", "constant", "high_missing", "low_variance", "text"):
+    prose = list(role.text) if text else []
+    keep = [*role.numerical, *role.categorical, *role.datetime, *prose]
+    for kind in ("ids", "constant", "high_missing", "low_variance", *["text"] * (not text)):
         log += [("columns", c, f"dropped: {kind}") for c in getattr(role, kind)]
     base = df.select(key, *keep, *[target] * bool(target))
     if target:
@@ -71,12 +84,11 @@ def adaptive(df: DataFrame, key: str, target: str | None = None, model: str | No
     add(transforms.fit_drop(gone))
     numbers, texts = [c for c in role.numerical if c not in gone], [c for c in role.categorical if c not in gone]
     by_neighbours = [c for c in numbers if how.get(c) == "knn"]
-    plain = {c: {"knn": "median", "none": "median"}.get(how[c], how[c]) for c in numbers} | {c: {"none": "mode"}.get(how[c], how[c]) for c in texts}
+    plain = {c: {"none": "median"}.get(how[c], how[c]) for c in numbers if c not in by_neighbours} | {c: {"none": "mode"}.get(how[c], how[c]) for c in texts}
     constants = {c: -999 for c in numbers} | {c: "MISSING" for c in texts}
-    if by_neighbours:  # small tables; new rows get the median
-        filled = neighbours.impute(train, key, numbers)
-        train = train.drop(*by_neighbours).join(filled.select(key, *by_neighbours), key)
-    add(transforms.fit_impute(train, [*numbers, *texts], plain, constants))
+    if by_neighbours:
+        add(transforms.fit_impute_neighbours(train, key, numbers, by_neighbours))
+    add(transforms.fit_impute(train, [*plain], plain, constants))
     if outliers == "remove" and numbers:
         train = rows.drop_outliers(train, numbers, k)
     elif outliers == "cap" and numbers and family != "tree":
@@ -89,11 +101,13 @@ def adaptive(df: DataFrame, key: str, target: str | None = None, model: str | No
         log += [("dates", c, family) for c in role.datetime]
         texts += [c for c in profile.text_columns(train) if any(c == f"{d}_weekday" for d in role.datetime)]
     if family != "tree" and len(numbers) > 1:
-        reduced, actions = correlate.reduce_features(train, correlate.pair_report(train, numbers), family, target)
-        dropped = [c for what, c in actions if what == "drop"]
+        actions = correlate.pair_actions(train.columns, correlate.pair_report(train, numbers), family, target)
+        new = [(c, what, a, b) for what, c, a, b in actions if what != "drop"]
+        dropped = [c for what, c, _, _ in actions if what == "drop"]
+        add(transforms.fit_derive(new))
         add(transforms.fit_drop(dropped))
-        numbers = [c for c in numbers if c not in dropped]
-        log += [("correlation", c, what) for what, c in actions if what == "drop"]
+        numbers = [c for c in [*numbers, *[name for name, *_ in new]] if c not in dropped]
+        log += [("correlation", c, what) for what, c, _, _ in actions]
     if family != "tree" and numbers:
         bent = [r["column"] for r in profile.skewed(train, numbers).collect()]
         if bent:
@@ -112,6 +126,10 @@ def adaptive(df: DataFrame, key: str, target: str | None = None, model: str | No
             add(transforms.fit_one_hot(train, hot))
         if coded := [c for c in texts if codes.get(c) != "one_hot"]:
             add(transforms.fit_ordinal(train, coded))
+    if prose:
+        step = transforms.fit_text(train, key, prose)
+        add(step)
+        log += [("text", c, f"{step.state['sizes'][c]} terms") for c in prose]
     if target and task == "classification":
         add(transforms.fit_ordinal(train, [target]))
     elif target and not isinstance(df.schema[target].dataType, transforms.T.NumericType):
@@ -122,7 +140,7 @@ def adaptive(df: DataFrame, key: str, target: str | None = None, model: str | No
 
 
 def fixed(df: DataFrame, key: str, target: str, impute: str = "mean", encode: str = "one_hot", scale: str = "standard", outliers: str | None = None, ratio: float = 0.2, drop_first: bool = False) -> Prepared:
-    """One chosen way for all columns: impute (mean, median or knn), encode (one_hot or ordinal), scale, outliers (clip or remove)."""
+    """One chosen way for all columns: impute (mean, median or knn), encode (one_hot, with codes for columns of very many values, or ordinal), scale, outliers (clip or remove)."""
     task = columns.task_type(df, target)
     numbers = [c for c in profile.numeric_columns(df) if c not in (key, target)]
     texts = [c for c in profile.text_columns(df) if c not in (key, target)]
@@ -131,13 +149,14 @@ def fixed(df: DataFrame, key: str, target: str, impute: str = "mean", encode: st
     steps: list[transforms.Fitted] = []
     if outliers == "remove":
         train = rows.drop_outliers_in_turn(train, numbers)
-    if impute == "knn":
-        train, test = neighbours.impute(train, key, numbers, weights="uniform"), test
+    coded = _many_values(train, texts) if encode == "one_hot" else texts
     todo = [
+        lambda d: transforms.fit_impute_neighbours(d, key, numbers, weights="uniform") if impute == "knn" and numbers else transforms.fit_drop([]),
         lambda d: transforms.fit_cap(d, numbers, 1.5) if outliers == "clip" else transforms.fit_drop([]),
-        lambda d: transforms.fit_impute(d, [*numbers, *texts], {**{c: "median" if impute == "knn" else impute for c in numbers}, **{c: "mode" for c in texts}}),
+        lambda d: transforms.fit_impute(d, [*(numbers if impute != "knn" else []), *texts], {**{c: impute for c in numbers}, **{c: "mode" for c in texts}}),
         lambda d: transforms.fit_scale(d, numbers, scale),
-        lambda d: transforms.fit_one_hot(d, texts, drop_first) if encode == "one_hot" else transforms.fit_ordinal(d, texts),
+        lambda d: transforms.fit_ordinal(d, coded),
+        lambda d: transforms.fit_one_hot(d, [c for c in texts if c not in coded], drop_first),
         lambda d: transforms.fit_ordinal(d, [target]) if task == "classification" else transforms.fit_drop([]),
     ]
     for make in todo:
@@ -148,8 +167,16 @@ def fixed(df: DataFrame, key: str, target: str, impute: str = "mean", encode: st
     return Prepared(train, chain.transform(test), chain, [c for c in train.columns if c not in (key, target)], task, policy.family_of(task))
 
 
-def unsupervised(df: DataFrame, key: str, most_values: int = 15, most_features: int = 50, variance: float = 0.95) -> Prepared:
-    """Median and robust scaling; few values as 0/1 columns without the first, many as codes scaled to 0..1; flat
+def _many_values(df: DataFrame, names: list[str], most: int = 1000) -> list[str]:
+    """Columns with more values than a table should have 0/1 columns for."""
+    if not names:
+        return []
+    sizes = profile.value_counts(df, names).where("value is not null").groupBy("column").count()
+    return [r["column"] for r in sizes.where(F.col("count") > most).collect()]
+
+
+def unsupervised(df: DataFrame, key: str, most_values: int = 15, most_features: int = 50, variance: float = 0.95, ratio: float = 0.0) -> Prepared:
+    """Fitted on all rows but a share ``ratio``, the test split. Median and robust scaling; few values as 0/1 columns without the first, many as codes scaled to 0..1; flat
     columns go; above ``most_features`` features, the principal components that hold ``variance``."""
     drop = {r["column"] for r in columns.id_columns(df.drop(key), "unsupervised").where("is_id").collect()} | {r["column"] for r in columns.constant_columns(df.drop(key)).where("is_constant").collect()} | {r["column"] for r in columns.missing_columns(df.drop(key)).where("is_high").collect()}
     base = df.drop(*drop)
@@ -160,7 +187,10 @@ def unsupervised(df: DataFrame, key: str, most_values: int = 15, most_features:
     n = {r["column"]: r["n_distinct"] for r in columns.constant_columns(base, texts).collect()} if texts else {}
     hot, coded = [c for c in texts if n[c] <= most_values], [c for c in texts if n[c] > most_values]
     steps: list[transforms.Fitted] = []
-    train = base
+    train, test = base, base.limit(0)
+    if ratio:
+        split = cut(rows.train_test_split(base, key, None, ratio))
+        train, test = split.where("split = 'train'").drop("split"), split.where("split = 'test'").drop("split")
     shape = [r["column"] for r in profile.skewed(train, numbers, 1.0).collect()] if numbers else []
     todo = [
         lambda d: transforms.fit_impute(d, [*numbers, *texts], {**{c: "median" for c in numbers}, **{c: "mode" for c in texts}}),
@@ -177,9 +207,11 @@ def unsupervised(df: DataFrame, key: str, most_values: int = 15, most_features:
         train = step.transform(train)
     features = [c for c in train.columns if c != key]
     if len(features) > most_features:
-        train = components(vectors(train, features), variance).select(key, F.col("pca").alias("features"))
-        features = ["features"]
-    return Prepared(train, train.limit(0), transforms.Chain(steps), features, "unsupervised", "distance")
+        step = transforms.fit_projection(train, features, variance)
+        steps.append(step)
+        train, features = step.transform(train), ["features"]
+    chain = transforms.Chain(steps)
+    return Prepared(train, chain.transform(test), chain, features, "unsupervised", "distance")
 
 
 def centred(df: DataFrame, column: str = "features") -> DataFrame:

@@ -153,6 +153,17 @@ def j06(spark: SparkSession, d: str) -> DataFrame:
     return _r(neighbours.impute(df, "c_custkey", ["balance", "nation"]), 6, "balance")
 
 
+@query(
+    "j06_impute_fitted",
+    "WITH t AS (SELECT c_custkey, c_custkey % 5 = 0 AS held, CASE WHEN c_custkey % 9 <> 0 THEN c_acctbal END AS balance, c_nationkey::DOUBLE AS nation FROM customer), p AS (SELECT a.c_custkey, b.c_custkey AS nid, b.balance, sqrt(2.0 * (a.nation - b.nation) * (a.nation - b.nation)) AS dist FROM t a JOIN t b ON a.held AND NOT b.held AND a.balance IS NULL AND b.balance IS NOT NULL), k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY dist, nid) <= 5), n AS (SELECT *, min(dist) OVER (PARTITION BY c_custkey) AS least FROM k), w AS (SELECT c_custkey, balance, CASE WHEN least = 0 THEN (dist = 0)::INT::DOUBLE ELSE 1 / dist END AS w FROM n), v AS (SELECT c_custkey, sum(balance * w) / sum(w) AS v FROM w GROUP BY 1) SELECT t.c_custkey, round(coalesce(balance, v), 6) AS balance, nation FROM t LEFT JOIN v USING (c_custkey) WHERE held",
+)
+def j06b(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out rows from donors among the others, which are kept in the chain."""
+    df = load(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 9 != 0, F.col("c_acctbal")).alias("balance"), F.col("c_nationkey").cast("double").alias("nation"))
+    step = transforms.fit_impute_neighbours(df.where("c_custkey % 5 <> 0"), "c_custkey", ["balance", "nation"], ["balance"])
+    return _r(step.transform(df.where("c_custkey % 5 = 0")), 6, "balance")
+
+
 @query("j08_tomek", _KNN.format(k=1) + " SELECT a.id AS a, a.nid AS b FROM k a JOIN k b ON a.nid = b.id AND b.nid = a.id WHERE a.id < b.id AND a.label <> a.nlabel")
 def j08(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.tomek_links(_points(spark, d))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 from itertools import combinations
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize, scalar
 from ..operators import correlate, transforms
+from ..session import shared_dir
 from . import load, query
 from .inputs import LINES_SQL, NUMBERS, ORDERS_SQL, lines, orders
 
@@ -200,6 +202,33 @@ def x16(spark: SparkSession, d: str) -> DataFrame:
     return _r(transforms.tfidf(df, "key", "text"), 6, "weight")
 
 
+def _reloaded(spark: SparkSession, *steps: transforms.Fitted) -> transforms.Chain:
+    """The steps after they were saved and loaded."""
+    path = f"{shared_dir(spark)}/chain-{uuid.uuid4().hex}"
+    transforms.Chain(list(steps)).save(spark, path)
+    return transforms.Chain.load(spark, path)
+
+
+@query(
+    "x16_tfidf_fitted",
+    f"""WITH w AS (SELECT conv_id * 1000 + turn AS key, conv_id % 5 = 0 AS held, list_filter(regexp_extract_all(lower(strip_accents(text)), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: x NOT IN ({_STOP})) AS w FROM conversations),
+    t AS (SELECT key, held, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w),
+    c AS (SELECT key, held, term, count(*) AS tf FROM t GROUP BY 1, 2, 3), n AS (SELECT count(*) AS n FROM w WHERE NOT held),
+    v AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM c WHERE NOT held GROUP BY 1 HAVING count(*) >= 2 AND count(*) <= 0.95 * (SELECT n FROM n) ORDER BY cf DESC, term LIMIT 5000),
+    x AS (SELECT key, term, tf * (ln((1.0 + n) / (1.0 + df)) + 1) AS w FROM c JOIN v USING (term), n WHERE held)
+    SELECT key, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY key)), 6) AS weight FROM x""",
+)
+def x16b(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out turns by the vocabulary and rarities of the others, from a saved chain."""
+    from pyspark.ml.functions import vector_to_array
+
+    df = load(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), "text", (F.col("conv_id") % 5 == 0).alias("held"))
+    fitted = transforms.fit_text(df.where("not held"), "key", ["text"])
+    held = _reloaded(spark, fitted).transform(df.where("held"))
+    weights = held.select("key", F.posexplode(vector_to_array("text_tfidf")).alias("at", "weight")).where("weight <> 0")
+    return _r(weights.join(F.broadcast(transforms.terms_of(fitted, spark, "text")), "at").select("key", "term", "weight"), 6, "weight")  # 5000 rows
+
+
 @query("x17_dates_tree", "SELECT event_id, year(ts)::INT AS ts_year, month(ts)::INT AS ts_month, day(ts)::INT AS ts_day, (isodow(ts) - 1)::INT AS ts_dayofweek, quarter(ts)::INT AS ts_quarter, (isodow(ts) >= 6)::INT AS ts_is_weekend, hour(ts)::INT AS ts_hour, (hour(ts) BETWEEN 9 AND 17)::INT AS ts_is_business_hours FROM events")
 def x17(spark: SparkSession, d: str) -> DataFrame:
     df = load(spark, d, "events").select("event_id", "ts")
@@ -302,6 +331,20 @@ def x24b(spark: SparkSession, d: str) -> DataFrame:
     return _r(correlate.reduce_features(df, correlate.pair_report(df, _ROOM_NAMES), "linear")[0], 6, "lot_area_per_lot_frontage")
 
 
+@query(
+    "x24_derived_fitted",
+    "WITH t AS (SELECT " + ", ".join(_ROOMS) + " FROM part WHERE p_partkey % 4 = 0) SELECT p_partkey, rooms_above, bedrooms, lot_area, lot_frontage, age_mean, rooms_above - bedrooms AS rooms_above_minus_bedrooms, round(lot_area / CASE WHEN lot_frontage = 0 THEN 1 ELSE lot_frontage END, 6) AS lot_area_per_lot_frontage FROM t",
+)
+def x24e(spark: SparkSession, d: str) -> DataFrame:
+    """Differences and ratios that were chosen on other rows, from a saved chain."""
+    df = load(spark, d, "part").selectExpr(*_ROOMS)
+    train = df.where("p_partkey % 4 <> 0")
+    actions = correlate.pair_actions(train.columns, correlate.pair_report(train, _ROOM_NAMES), "linear")
+    derive = transforms.fit_derive([(c, what, a, b) for what, c, a, b in actions if what != "drop"])
+    chain = _reloaded(spark, derive, transforms.fit_drop([c for what, c, _, _ in actions if what == "drop"]))
+    return _r(chain.transform(df.where("p_partkey % 4 = 0")), 6, "lot_area_per_lot_frontage")
+
+
 @query("x24_reduce_distance", "WITH t AS (SELECT " + ", ".join(_ROOMS) + " FROM part) SELECT p_partkey, rooms_above, bedrooms, lot_area, lot_frontage, age_mean FROM t")
 def x24c(spark: SparkSession, d: str) -> DataFrame:
     df = load(spark, d, "part").selectExpr(*_ROOMS)
