@@ -680,6 +680,24 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in docs_.collect()}
 
 
+def test_pipeline_keeps_every_column(spark):
+    """Columns named like what the stages compute hold their values after each of them; n_chars need not be there."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    names = ["score", "predicted", "n_lines", "n_removed", "ranges", "kept_text", "n_words", "n_hit", "n_items", "contaminated", "hit_items", "component", "_carried_0", "text_key"]
+    docs_ = spark.read.parquet(f"{sf}/documents.parquet").limit(60).select("doc_id", "text")
+    wide = docs_.select(*[F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in names[:7]], "text", "doc_id", *[F.lit(c).alias(c) for c in names[7:]])
+    state = wide
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        state = stage(spark, state, sf)
+        assert state.columns == wide.columns, name
+        for r in (rows := state.collect()):
+            assert [r[c] for c in names] == [f"{c} of {r.doc_id}" for c in names[:7]] + names[7:], name
+        state = spark.createDataFrame(rows, state.schema)
+    assert rows and corpus_pipeline.STAGES[-1][1](spark, state, sf).count() >= len(rows)
+
+
 def test_pipeline_on_odd_rows(spark):
     """Nulls, empty and very long texts, repeated rows, ties, extra columns and no rows at all go through all stages."""
     import corpus_pipeline
