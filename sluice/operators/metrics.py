@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import profile
 
 
@@ -45,38 +46,67 @@ def regression(df: DataFrame, label: str = "label", prediction: str = "predictio
     return one.select((1 - F.try_divide("mse", "v")).alias("r2"), "mae", "mse", F.sqrt("mse").alias("rmse"))
 
 
-def roc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """threshold, fpr, tpr: a point for each score that occurs, from the highest on.
+def _curves(counts: DataFrame) -> DataFrame:
+    """class, threshold, p, n, fpr, tpr of counts (class, threshold, p positives, n negatives): running shares from the highest threshold on.
 
-    Scores are counted first; the running sums are over groups of scores of about equal size, so that no task
-    holds all scores.
+    The running sums are over groups of thresholds of about equal size, so that no task holds all of a class.
     """
-    counts = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("n"))
-    edges = counts.agg(F.percentile_approx("threshold", [i / 32 for i in range(1, 32)], 10000).alias("e")).head()["e"] or []
-    part = F.lit(0)
-    for e in sorted(set(edges)):
-        part = part + (F.col("threshold") < F.lit(e)).cast("int")
-    parted = counts.withColumn("part", part)
-    totals = sorted(parted.groupBy("part").agg(F.sum("p"), F.sum("n")).collect())  # 32 rows
-    before, p, n = [], 0, 0
-    for k, a, b in totals:
-        before.append((k, p, n))
-        p, n = p + a, n + b
-    base = df.sparkSession.createDataFrame(before, "part int, p0 long, n0 long")
-    w = Window.partitionBy("part").orderBy(F.desc("threshold"))
-    run = parted.join(F.broadcast(base), "part")
-    return run.select("threshold", ((F.sum("n").over(w) + F.col("n0")) / F.lit(max(n, 1))).alias("fpr"), ((F.sum("p").over(w) + F.col("p0")) / F.lit(max(p, 1))).alias("tpr"))
+    spark = counts.sparkSession
+    counts = cut(counts)
+    marks = counts.groupBy("class").agg(F.percentile_approx("threshold", [i / 32 for i in range(1, 32)], 10000).alias("marks"))  # a row for each class
+    below = F.size(F.filter(F.array_distinct("marks"), lambda m: F.col("threshold") < m))
+    parted = counts.join(F.broadcast(marks), "class").select(*counts.columns, below.alias("part"))
+    before, seen = [], {}
+    for k, part, p, n in sorted(map(tuple, parted.groupBy("class", "part").agg(F.sum("p"), F.sum("n")).collect())):  # 32 rows a class
+        p0, n0 = seen.get(k, (0, 0))
+        before.append((k, part, p0, n0))
+        seen[k] = (p0 + p, n0 + n)
+    base = [(k, part, p0, n0, *seen[k]) for k, part, p0, n0 in before]
+    base = spark.createDataFrame(base, "class int, part int, p0 long, n0 long, np long, nn long")
+    w = Window.partitionBy("class", "part").orderBy(F.desc("threshold"))
+    run = parted.join(F.broadcast(base), ["class", "part"])
+    share = lambda c, start, all_: (F.sum(c).over(w) + F.col(start)) / F.greatest(F.col(all_), F.lit(1))
+    return run.select("class", "threshold", "p", "n", "np", "nn", share("n", "n0", "nn").alias("fpr"), share("p", "p0", "np").alias("tpr"))
+
+
+def _areas(curves: DataFrame) -> DataFrame:
+    """class, auc: a positive wins against the negatives below its score, and half against those at it."""
+    wins = F.col("p") * ((1 - F.col("fpr")) + F.try_divide(F.col("n"), F.col("nn")) / 2)
+    return curves.groupBy("class").agg(F.try_divide(F.sum(wins), F.max("np")).alias("auc"))
+
+
+def _hits(label: Column) -> list[Column]:
+    hit = label.cast("long")
+    return [F.sum(hit).alias("p"), F.sum(1 - hit).alias("n")]
+
+
+def _binary(df: DataFrame, label: str, score: str) -> DataFrame:
+    return df.groupBy(F.lit(1).alias("class"), F.col(score).cast("double").alias("threshold")).agg(*_hits(F.col(label)))
+
+
+def _one_vs_rest(df: DataFrame, label: str, scores: str) -> DataFrame:
+    each = df.select(F.col(label).cast("int").alias("_label"), F.posexplode(scores).alias("class", "threshold"))
+    return each.groupBy("class", F.col("threshold").cast("double").alias("threshold")).agg(*_hits(F.col("_label") == F.col("class")))
+
+
+def roc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    """threshold, fpr, tpr: a point for each score that occurs, from the highest on."""
+    return _curves(_binary(df, label, score)).select("threshold", "fpr", "tpr")
 
 
 def auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """One row: area under the curve, from the mean rank of the positives (ties share their ranks)."""
-    counts = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("n"))
-    points = roc(df, label, score).select(F.col("threshold").alias("s"), "fpr")
-    n = counts.agg(F.sum("p").alias("np"), F.sum("n").alias("nn"))
-    # A positive at score s wins against the negatives below it, and half of those at it.
-    wins = counts.join(points, "s").crossJoin(F.broadcast(n))  # n has one row
-    area = F.sum(F.col("p") * ((1 - F.col("fpr")) + F.col("n") / F.col("nn") / 2)) / F.max("np")
-    return wins.agg(area.alias("auc"))
+    return _areas(_curves(_binary(df, label, score))).select("auc")
+
+
+def roc_each(df: DataFrame, label: str = "label", scores: str = "scores") -> DataFrame:
+    """class, threshold, fpr, tpr of each class against all others; ``scores`` has a number for each class, in order of their codes."""
+    return _curves(_one_vs_rest(df, label, scores)).select("class", "threshold", "fpr", "tpr")
+
+
+def auc_each(df: DataFrame, label: str = "label", scores: str = "scores") -> DataFrame:
+    """class, auc of each class against all others; null for a class that all rows or none belong to."""
+    return _areas(_curves(_one_vs_rest(df, label, scores)))
 
 
 def residuals(df: DataFrame, key: str, label: str = "label", prediction: str = "prediction") -> DataFrame:

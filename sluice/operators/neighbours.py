@@ -397,19 +397,38 @@ def preservation(original: DataFrame, projected: DataFrame, k: int = 10) -> Data
     return both.agg(F.avg(F.size(F.array_intersect("n1", "n2")) / F.lit(k)).alias("preserved"))
 
 
+def _cells(rows: DataFrame, radius: float) -> tuple[DataFrame, DataFrame]:
+    """The rows (id, v) with their cell, of a grid as wide as ``radius`` over all components; and the pairs of
+    different or equal occupied cells (cell, other) whose boxes are not farther apart than ``radius``.
+
+    Cells meet by the two components along which rows spread most, so a cell is held against those of nine columns
+    of cells, whatever the number of dimensions; the others decide by the boxes around what is really there.
+    """
+    base = cut(rows.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).withColumn("cell", F.transform("v", lambda x: F.floor(x / radius))))
+    size = base.agg(F.max(F.size("v"))).head()[0] or 0
+    at = lambda name, i: F.get(name, F.lit(i))
+    spread = base.agg(*[F.approx_count_distinct(at("cell", i)).alias(str(i)) for i in range(size)]).head() if size else []
+    first, second = ([i for _, i in sorted((-n, i) for i, n in enumerate(spread))] + [0, 0])[:2]
+    box = lambda how: F.array(*[how(at("v", i)) for i in range(size)])
+    cells = cut(base.groupBy("cell").agg(box(F.min).alias("low"), box(F.max).alias("high")))
+    step = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in ((-1, 0, 1) if second != first else (0,))]))
+    left = cells.withColumn("s", step).select("cell", "low", "high", (at("cell", first) + F.col("s.a")).alias("c0"), (at("cell", second) + (F.col("s.b") if second != first else F.col("s.a"))).alias("c1"))
+    right = cells.select(F.col("cell").alias("other"), F.col("low").alias("low2"), F.col("high").alias("high2"), at("cell", first).alias("c0"), at("cell", second).alias("c1"))
+    gaps = F.zip_with(F.zip_with("low", "high2", lambda a, b: a - b), F.zip_with("low2", "high", lambda a, b: a - b), lambda a, b: F.greatest(a, b, F.lit(0.0)))
+    apart = F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g)
+    return base, left.join(right, ["c0", "c1"]).where(apart <= radius * radius * (1 + 1e-12)).select("cell", "other")
+
+
 def within(rows: DataFrame, radius: float) -> DataFrame:
     """id, nid of every two different rows within ``radius``. The result itself may be large; choose the radius with ``distance_range``.
 
-    Rows are filed by cells as wide as the radius over the first two components; rows within the radius lie in the
-    same or neighbouring cells, so a row meets the rows of nine cells. Spark splits crowded cells.
+    A row is compared with the rows of the cells that lie within the radius of its own; Spark splits crowded cells.
     """
-    base = rows.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
-    cell = lambda i: F.floor(F.coalesce(F.get("v", F.lit(i)), F.lit(0.0)) / radius)
-    step = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    left = base.withColumn("s", step).select("id", "v", (cell(0) + F.col("s.a")).alias("c0"), (cell(1) + F.col("s.b")).alias("c1"))
-    right = base.select(F.col("id").alias("nid"), F.col("v").alias("w"), cell(0).alias("c0"), cell(1).alias("c1"))
+    base, pairs = _cells(rows, radius)
+    other = base.select(F.col("cell").alias("other"), F.col("id").alias("nid"), F.col("v").alias("w"))
     gap = F.aggregate(F.zip_with("v", "w", lambda x, y: (y - x) * (y - x)), F.lit(0.0), lambda a, x: a + x)
-    return left.join(right, ["c0", "c1"]).where((F.col("id") != F.col("nid")) & (gap <= radius * radius)).select("id", "nid")
+    met = base.join(cut(pairs), "cell").join(other, "other")
+    return met.where((F.col("id") != F.col("nid")) & (gap <= radius * radius)).select("id", "nid")
 
 
 def dbscan(rows: DataFrame, radius: float, least: int = 5) -> DataFrame:

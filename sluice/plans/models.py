@@ -110,7 +110,7 @@ def evaluator(task: str):  # noqa: ANN201
     return V.MulticlassClassificationEvaluator(metricName="f1") if task == "classification" else V.RegressionEvaluator(metricName="r2")
 
 
-def search(train: DataFrame, key: str, task: str, models: tuple[str, ...] | None = None, trials: int = 2, k: int = 3, seed: int = 42, give_up: int = 5, parallel: int = 4) -> Search:
+def search(train: DataFrame, key: str, task: str, models: tuple[str, ...] | None = None, trials: int = 75, k: int = 5, seed: int = 42, give_up: int = 5, parallel: int = 4) -> Search:
     """Random search with k folds over ``train`` (key, features, label); models ranked by how well they generalise.
 
     Folds are dealt by a hash of the key within each class; ``parallel`` fits run at a time, so that small stages fill
@@ -174,10 +174,17 @@ def stability(model: Model, predictions: DataFrame, train_score: float, cv_score
     """check, failed: what makes a fitted model doubtful."""
     values = np.concatenate([np.ravel(getattr(model, a).toArray()) for a in ("coefficients", "coefficientMatrix", "featureImportances") if _has(model, a)] or [np.zeros(0)])
     p = predictions.agg(F.count_distinct("prediction").alias("kinds"), F.count_if(F.isnan("prediction") | F.col("prediction").isNull() | (F.abs("prediction") == float("inf"))).alias("odd"), F.var_pop("prediction").alias("v")).head()
-    checks = [("coefficients", bool(values.size and (~np.isfinite(values)).any() or (np.abs(values) > 1e6).any())), ("predictions", p["odd"] > 0), ("single_class", p["kinds"] <= 1), ("zero_variance", (p["v"] or 0) == 0), ("gap", abs(train_score - cv_score) > 0.5), ("no_skill", cv_score <= 0 and train_score > 0.5)]
+    checks = [("coefficients", bool(values.size and (~np.isfinite(values)).any() or (np.abs(values) > 1e6).any())), ("predictions", p["odd"] > 0), ("single_class", p["kinds"] <= 1), ("zero_variance", (p["v"] or 0) == 0), ("gap", abs(train_score - cv_score) > 0.5), ("no_skill", cv_score <= 0 and train_score > 0.5), ("not_converged", _cut_short(model))]
     return predictions.sparkSession.createDataFrame([(a, bool(b)) for a, b in checks], "check string, failed boolean")
 
 
+def _cut_short(model: Model) -> bool:
+    """Whether an iterative fit ended because its iterations were used up."""
+    if not _has(model, "summary") or not _has(model.summary, "totalIterations") or not model.hasParam("maxIter"):
+        return False
+    return model.summary.totalIterations >= model.getOrDefault("maxIter") > 0
+
+
 def _has(model: Model, name: str) -> bool:
     try:
         getattr(model, name)
@@ -269,49 +276,78 @@ def _average_path(n: float) -> float:
     return 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else float(n == 2)
 
 
-def isolation_forest(rows_: DataFrame, trees: int = 50, sample: int = 256, contamination: float = 0.1, seed: int = 42) -> DataFrame:
-    """``rows_`` (id, v) with anomaly_score (higher: more isolated) and anomaly_label (-1 outside).
-
-    Each tree grows in a task from ``sample`` rows drawn by hash; the trees (of bounded size) are broadcast for
-    scoring, and the label's threshold is the exact percentile of the scores.
-    """
+@dataclass
+class IsolationForest:
+    """Grown trees (nodes as rows of four numbers, and the rows each was grown from) and the score above which a row lies outside."""
+
+    trees: list[tuple[np.ndarray, int]]
+    edge: float = float("inf")
+
+    def scored(self, rows_: DataFrame) -> DataFrame:
+        """``rows_`` (v) with anomaly_score (higher: more isolated). The trees, of bounded size, are broadcast; works on streams too."""
+        shared = rows_.sparkSession.sparkContext.broadcast(self.trees)
+
+        @F.pandas_udf("double")
+        def isolation(v: pd.Series) -> pd.Series:
+            if not len(v) or not shared.value:
+                return pd.Series([0.5] * len(v), dtype=float)
+            x, total = np.stack(v.to_numpy()), np.zeros(len(v))
+            for nodes, _ in shared.value:
+                at, depth = np.zeros(len(x), int), np.zeros(len(x))
+                while True:
+                    f = nodes[at, 0].astype(int)
+                    inner = f >= 0
+                    if not inner.any():
+                        break
+                    right = x[np.arange(len(x)), np.maximum(f, 0)] >= nodes[at, 1]
+                    at = np.where(inner, np.where(right, nodes[at, 3], nodes[at, 2]).astype(int), at)
+                    depth += inner
+                total += depth + np.asarray([_average_path(s) for s in nodes[at, 1]])
+            c = np.mean([_average_path(s) for _, s in shared.value]) or 1.0
+            return pd.Series(2 ** (-total / len(shared.value) / c))
+
+        return rows_.withColumn("anomaly_score", isolation(F.col("v").cast("array<double>")))
+
+    def transform(self, rows_: DataFrame) -> DataFrame:
+        """``scored``, with anomaly_label: -1 outside, 1 inside."""
+        return self.scored(rows_).withColumn("anomaly_label", F.when(F.col("anomaly_score") > F.lit(self.edge), -1).otherwise(1))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        table = [(i, size, self.edge, np.asarray(nodes, float).ravel().tolist()) for i, (nodes, size) in enumerate(self.trees)]
+        spark.createDataFrame(table, _FOREST).coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> IsolationForest:
+        table = spark.read.schema(_FOREST).parquet(path).orderBy("tree").collect()  # a row for each tree
+        return cls([(np.asarray(r["nodes"]).reshape(-1, 4), r["size"]) for r in table], table[0]["edge"] if table else float("inf"))
+
+
+_FOREST = "tree int, size int, edge double, nodes array<double>"
+
+
+def fit_isolation_forest(rows_: DataFrame, trees: int = 50, sample: int = 256, contamination: float = 0.1, seed: int = 42) -> IsolationForest:
+    """A forest of ``rows_`` (id, v). Each tree grows in a task from about ``sample`` rows drawn by hash; the edge is
+    the exact percentile of the rows' own scores."""
     n = rows_.count()
     picks = rows_.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "tree", "id").cast("binary")), 1, 12), 16, 10).cast("double") / float(16**12)
-    picks = picks.where(h < min(1.0, sample / max(n, 1)))  # about ``sample`` rows for each tree
+    picks = picks.where(h < min(1.0, sample / max(n, 1)))
 
     def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf.sort_values("id")["v"].to_numpy())
         nodes = _path_tree(x, max(1, math.ceil(math.log2(max(len(x), 2)))), np.random.default_rng(seed * 1000 + int(key[0])))
         return pd.DataFrame({"tree": [int(key[0])], "size": [len(x)], "nodes": [np.asarray(nodes, float).ravel()]})
 
-    grown = picks.groupBy("tree").applyInPandas(grow, "tree int, size int, nodes array<double>").collect()  # ``trees`` rows of bounded size
-    forest = [(np.asarray(r["nodes"]).reshape(-1, 4), r["size"]) for r in grown]
-    shared = rows_.sparkSession.sparkContext.broadcast(forest)
-
-    @F.pandas_udf("double")
-    def isolation(v: pd.Series) -> pd.Series:
-        if not len(v):
-            return pd.Series([], dtype=float)
-        x, total = np.stack(v.to_numpy()), np.zeros(len(v))
-        for nodes, _ in shared.value:
-            at, depth = np.zeros(len(x), int), np.zeros(len(x))
-            while True:
-                f = nodes[at, 0].astype(int)
-                inner = f >= 0
-                if not inner.any():
-                    break
-                right = x[np.arange(len(x)), np.maximum(f, 0)] >= nodes[at, 1]
-                at = np.where(inner, np.where(right, nodes[at, 3], nodes[at, 2]).astype(int), at)
-                depth += inner
-            total += depth + np.asarray([_average_path(s) for s in nodes[at, 1]])
-        c = np.mean([_average_path(s) for _, s in shared.value]) or 1.0
-        return pd.Series(2 ** (-total / len(shared.value) / c))
-
-    scored = rows_.withColumn("anomaly_score", isolation(F.col("v").cast("array<double>")))
-    scored = cut(scored)
-    edge = profile.quantiles(scored, ["anomaly_score"], [1 - contamination])["anomaly_score"][0]
-    return scored.withColumn("anomaly_label", F.when(F.col("anomaly_score") > F.lit(edge), -1).otherwise(1))
+    grown = picks.groupBy("tree").applyInPandas(grow, "tree int, size int, nodes array<double>").orderBy("tree").collect()  # ``trees`` rows of bounded size
+    forest = IsolationForest([(np.asarray(r["nodes"]).reshape(-1, 4), r["size"]) for r in grown])
+    edge = profile.quantiles(cut(forest.scored(rows_.select("v")).select("anomaly_score")), ["anomaly_score"], [1 - contamination])["anomaly_score"][0]
+    forest.edge = float("inf") if edge is None else edge
+    return forest
+
+
+def isolation_forest(rows_: DataFrame, trees: int = 50, sample: int = 256, contamination: float = 0.1, seed: int = 42) -> DataFrame:
+    """``rows_`` (id, v) with the scores and labels of a forest of their own."""
+    return fit_isolation_forest(rows_, trees, sample, contamination, seed).transform(rows_)
 
 
 def kmeans(df: DataFrame, k: int, seed: int = 42) -> K.KMeansModel:
