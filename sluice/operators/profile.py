@@ -192,7 +192,7 @@ def missing_total(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     """One row: missing cells, their percentage of all cells, and columns with any."""
     names = columns or df.columns
     rows = per_column(df, names, lambda c: {"n": F.count_if(c.isNull()), "rows": F.count("*")})
-    return rows.agg(F.sum("n").alias("n_missing"), F.round(F.sum("n") * 100.0 / F.sum("rows"), 2).alias("pct_cells"), F.count_if(F.col("n") > 0).alias("n_columns"))
+    return rows.agg(F.sum("n").alias("n_missing"), F.round(F.coalesce(F.try_divide(F.sum("n") * 100.0, F.sum("rows")), F.lit(0.0)), 2).alias("pct_cells"), F.count_if(F.col("n") > 0).alias("n_columns"))
 
 
 def moments(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -277,7 +277,7 @@ def outlier_sample(df: DataFrame, column: str, key: str, k: float = 2.5, n_out:
 
 
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """f1, f2, r of every two columns, over the rows where both are known; f1 before f2 in column order."""
+    """f1, f2, r of every two columns, over the rows where both are known; f1 before f2 in column order. None for fewer than two columns."""
     names = list(columns or numeric_columns(df))
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
     out = None
@@ -285,7 +285,8 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
         part = df.agg(F.array(*[F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.corr(F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")).alias("r")) for a, b in pairs[lo : lo + 4 * BATCH]]).alias("a"))
         part = part.select(F.inline("a"))
         out = part if out is None else out.union(part)
-    assert out is not None, "fewer than two columns"
+    if out is None:  # fewer than two columns
+        return df.sparkSession.createDataFrame([], "f1 string, f2 string, r double")
     return out.where("r is not null")
 
 
