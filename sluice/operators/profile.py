@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -341,6 +342,53 @@ def rare_values(df: DataFrame, columns: Sequence[str], rare: float = 0.02, domin
     return shares.where(F.col("share") < rare).join(F.broadcast(heads), "column").select("column", "value", "n", "share", "dominant")
 
 
+def _segments(length: int, apart: int) -> list[tuple[int, int]]:
+    """(start, length) of apart + 1 segments of about equal length."""
+    n = apart + 1
+    short, longer = divmod(length, n)
+    out, at = [], 0
+    for i in range(n):
+        size = short + (i >= n - longer)
+        out.append((at, size))
+        at += size
+    return out
+
+
+def similar_values(df: DataFrame, columns: Sequence[str], least: float = 0.8) -> DataFrame:
+    """column, value, n, similar, n_similar, similarity: different values of a column that may be one, misspelt.
+
+    Similarity is 1 - edits / length of the longer value, as characters, and ``least`` (over 0.5) at the least;
+    ``value`` is the rarer of both (the later one in the alphabet of equals). Values within t edits share one of t + 1
+    segments of the shorter one, at about its place, so values meet by segments and only those are compared in full.
+    """
+    counts = cut(value_counts(df, columns).where("value <> ''"))
+
+    def signatures(batches):  # noqa: ANN001, ANN202
+        edits = lambda n: int((1 - least) * n + 1e-9)  # noqa: E731  of a pair whose longer value has n characters
+        for b in batches:
+            out = []
+            for column, value, n in zip(b["column"], b["value"], b["n"]):
+                size = len(value)
+                for t in sorted({edits(m) for m in range(size, int(size / least + 1e-9) + 1)} - {0}):  # as the shorter value
+                    out += [(column, value, n, True, f"{size}|{t}|{i}|{value[at : at + k]}") for i, (at, k) in enumerate(_segments(size, t)) if k]
+                t = edits(size)
+                for other in range(size - t, size + 1) if t else ():  # as the longer one
+                    for i, (at, k) in enumerate(_segments(other, t)):
+                        near = {value[j : j + k] for j in range(max(0, at - t), min(size - k, at + t) + 1)} if k else ()
+                        out += [(column, value, n, False, f"{other}|{t}|{i}|{x}") for x in near]
+            yield pd.DataFrame(out, columns=["column", "value", "n", "shorter", "key"])
+
+    signed = cut(counts.mapInPandas(signatures, "`column` string, value string, n long, shorter boolean, key string"))
+    a = signed.where("shorter").select("column", "key", F.col("value").alias("a"), F.col("n").alias("na"))
+    b = signed.where("not shorter").select("column", "key", F.col("value").alias("b"), F.col("n").alias("nb"))
+    met = a.join(b, ["column", "key"]).where("a <> b").select("column", "a", "na", "b", "nb").distinct()
+    alike = 1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b"))
+    met = met.withColumn("similarity", alike).where(F.col("similarity") >= least - 1e-9)
+    first = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") > F.col("b")))
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    return met.select("column", pick("a", "b").alias("value"), pick("na", "nb").alias("n"), pick("b", "a").alias("similar"), pick("nb", "na").alias("n_similar"), "similarity").distinct()
+
+
 def duplicates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row: rows that repeat an earlier one, their percentage, and whether there are any."""
     groups = df.groupBy(*(columns or df.columns)).agg(F.count("*").alias("n"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -15,10 +16,11 @@ from pyspark.ml import clustering as K
 from pyspark.ml import evaluation as V
 from pyspark.ml import regression as R
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import metrics, profile, rows
+from ..operators import metrics, neighbours, profile, rows
 from ..session import cut
 
 
@@ -65,6 +67,10 @@ def draw(model: str, s: Sampler, n: int) -> dict:
         return {"regParam": 0.0}
     if model == "naive_bayes":
         return {"modelType": "gaussian"}
+    if model == "knn":
+        return {"k": s.between(3, 15), "weights": s.one_of("uniform", "distance")}
+    if model == "adaboost":
+        return {"rounds": s.between(5, 20), "depth": s.between(1, 3)}
     raise ValueError(f"unknown model {model}")
 
 
@@ -84,9 +90,61 @@ def repaired(model: str, params: dict, n: int, task: str = "classification") ->
     return out
 
 
+@dataclass
+class Boosting:
+    """AdaBoost as a candidate of a search."""
+
+    rounds: int = 10
+    depth: int = 1
+
+    def fit(self, df: DataFrame) -> AdaBoost:
+        return adaboost(df, self.rounds, self.depth)
+
+
+@dataclass
+class Neighbours:
+    """Votes or means of the nearest training rows, as a candidate of a search."""
+
+    k: int = 5
+    weights: str = "uniform"
+    task: str = "classification"
+
+    def fit(self, df: DataFrame) -> NeighboursModel:
+        v = vector_to_array("features")
+        return NeighboursModel(cut(df.select(F.monotonically_increasing_id().alias("id"), v.alias("v"), F.col("label").cast("double").alias("label"))), self.k, self.weights, self.task)
+
+
+@dataclass
+class NeighboursModel:
+    """Training rows (id, v, label), searched exactly."""
+
+    rows: DataFrame
+    k: int
+    weights: str
+    task: str
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        numbered = cut(df.withColumn("_row", F.monotonically_increasing_id()))
+        asked = numbered.select(F.col("_row").alias("id"), vector_to_array("features").alias("v"))
+        told = (neighbours.vote if self.task == "classification" else neighbours.average)(asked, self.rows, self.k, self.weights)
+        return numbered.join(told.withColumnRenamed("id", "_row"), "_row", "left").drop("_row")
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.rows.write.mode("overwrite").parquet(f"{path}/rows")
+        spark.createDataFrame([(self.k, self.weights, self.task)], "k int, weights string, task string").coalesce(1).write.mode("overwrite").parquet(f"{path}/state")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> NeighboursModel:
+        return cls(spark.read.parquet(f"{path}/rows"), *spark.read.parquet(f"{path}/state").select("k", "weights", "task").head())
+
+
 def estimator(model: str, task: str, classes: int, params: dict):  # noqa: ANN201
-    """The Spark estimator of a model; binary ones are used one against the rest for more classes."""
+    """The estimator of a model; binary ones are used one against the rest for more classes."""
+    if model == "knn":
+        return Neighbours(task=task, **params)
     if task == "classification":
+        if model == "adaboost":
+            return Boosting(**params)
         make = {"logistic_regression": C.LogisticRegression, "linear_svm": C.LinearSVC, "decision_tree": C.DecisionTreeClassifier, "random_forest": C.RandomForestClassifier, "gradient_boosting": C.GBTClassifier, "naive_bayes": C.NaiveBayes}[model]
         one = make(**params)
         return C.OneVsRest(classifier=one) if classes > 2 and model in ("linear_svm", "gradient_boosting") else one
@@ -105,6 +163,25 @@ class Search:
     params: dict
     failures: list[tuple[str, str]] = field(default_factory=list)
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Writes the table of results, the failures, and the best model with its name and parameters."""
+        self.results.write.mode("overwrite").parquet(f"{path}/results")
+        spark.createDataFrame(self.failures, "model string, error string").write.mode("overwrite").parquet(f"{path}/failures")
+        own = isinstance(self.best, (AdaBoost, NeighboursModel))
+        if own:
+            self.best.save(spark, f"{path}/best")
+        else:
+            self.best.write().overwrite().save(f"{path}/best")
+        state = [(self.best_name, json.dumps(self.params), type(self.best).__name__ if own else "")]
+        spark.createDataFrame(state, "name string, params string, own string").coalesce(1).write.mode("overwrite").parquet(f"{path}/state")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Search:
+        name, params, own = spark.read.parquet(f"{path}/state").select("name", "params", "own").head()
+        kinds = {"AdaBoost": AdaBoost, "NeighboursModel": NeighboursModel}
+        best = kinds[own].load(spark, f"{path}/best") if own else DefaultParamsReader.loadParamsInstance(f"{path}/best", spark)
+        return cls(spark.read.parquet(f"{path}/results"), best, name, json.loads(params), [tuple(r) for r in spark.read.parquet(f"{path}/failures").collect()])
+
 
 def evaluator(task: str):  # noqa: ANN201
     return V.MulticlassClassificationEvaluator(metricName="f1") if task == "classification" else V.RegressionEvaluator(metricName="r2")
@@ -228,6 +305,18 @@ class AdaBoost:
             out = m.transform(out).withColumn("_v", F.zip_with("_v", told, lambda a, b: a + b)).drop("rawPrediction", "probability", "prediction")
         return out.withColumn("prediction", (F.array_position("_v", F.array_max("_v")) - 1).cast("double")).drop("_v")
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        for i, m in enumerate(self.stumps):
+            m.write().overwrite().save(f"{path}/stump-{i}")
+        rows_ = [(i, float(w), self.classes) for i, w in enumerate(self.weights)]
+        spark.createDataFrame(rows_, "stump int, weight double, classes int").coalesce(1).write.mode("overwrite").parquet(f"{path}/weights")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> AdaBoost:
+        rows_ = spark.read.parquet(f"{path}/weights").orderBy("stump").collect()
+        stumps = [C.DecisionTreeClassificationModel.load(f"{path}/stump-{r['stump']}") for r in rows_]
+        return cls(stumps, [r["weight"] for r in rows_], rows_[0]["classes"] if rows_ else 1)
+
 
 def adaboost(train: DataFrame, rounds: int = 10, depth: int = 1) -> AdaBoost:
     """SAMME: trees on reweighted rows; weights are a column, updated by expression, and cut from their lineage every 4 rounds."""
@@ -375,6 +464,15 @@ def minibatch_kmeans(df: DataFrame, k: int, rounds: int = 10, batch: int = 4096,
     return centres
 
 
+def save_centres(spark: SparkSession, centres: np.ndarray, path: str) -> None:
+    rows_ = [(i, [float(x) for x in c]) for i, c in enumerate(centres)]
+    spark.createDataFrame(rows_, "centre int, v array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_centres(spark: SparkSession, path: str) -> np.ndarray:
+    return np.asarray([r["v"] for r in spark.read.parquet(path).orderBy("centre").collect()])  # a row for each centre
+
+
 def nearest_centre(df: DataFrame, centres: np.ndarray) -> DataFrame:
     """``df`` (v) with ``prediction``, the number of the nearest centre; the smaller one of equals."""
 

@@ -245,16 +245,12 @@ def explained_variance(df: DataFrame, k: int) -> DataFrame:
 
 def truncated_svd(df: DataFrame, k: int) -> DataFrame:
     """component, share, cumulative: variance that the first k singular directions of the uncentred ``features`` hold."""
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    rows_ = df.select(vector_to_array("features").alias("v"))
-    directions = RowMatrix(rows_.rdd.map(lambda r: Vectors.dense(r[0]))).computeSVD(k).V.toArray()  # dimension x k, by Spark's sums over all rows
-    along = [F.aggregate(F.zip_with("v", F.array(*[F.lit(float(x)) for x in directions[:, j]]), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b) for j in range(k)]
-    dim = directions.shape[0]
-    one = rows_.select("v", *[a.alias(f"z{j}") for j, a in enumerate(along)]).agg(*[F.var_pop(f"z{j}").alias(f"z{j}") for j in range(k)], F.array(*[F.var_pop(F.get("v", F.lit(i))) for i in range(dim)]).alias("all")).head()
-    total, shares = sum(one["all"]), [one[f"z{j}"] for j in range(k)]
-    table = [(j + 1, s / total if total else 0.0, sum(shares[: j + 1]) / total if total else 0.0) for j, s in enumerate(shares)]
+    v = df.select(vector_to_array("features").alias("v"))
+    dim = v.select(F.size("v")).head()[0]
+    names = [f"f{i}" for i in range(dim)]
+    step = transforms.fit_projection(v.select(*[F.get("v", F.lit(i)).alias(n) for i, n in enumerate(names)]), names, variance=2.0, most=k, centre=False)
+    shares = step.state["shares"]
+    table = [(j + 1, float(s), float(sum(shares[: j + 1]))) for j, s in enumerate(shares)]
     return df.sparkSession.createDataFrame(table, "component int, share double, cumulative double")
 
 

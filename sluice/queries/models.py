@@ -462,6 +462,16 @@ def m09(spark: SparkSession, d: str) -> DataFrame:
     return metrics.cluster_sizes(models.kmeans(v.where("split = 'train'"), 5).transform(v.where("split = 'test'")), "prediction")
 
 
+@query("s13_saved_models")
+def s13(spark: SparkSession, d: str) -> DataFrame:
+    """A search over neighbours and boosting as it was saved, and what its best model says of new rows."""
+    df = load(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal"), F.col("c_nationkey"), (F.col("c_acctbal") > F.col("c_nationkey") * 200).cast("double").alias("label"))
+    rows_ = cut(prepare.vectors(df, ["c_acctbal", "c_nationkey"]))
+    path = _folder(spark)
+    models.search(rows_.where("id % 5 <> 0"), "id", "classification", ("knn", "adaboost"), trials=1, k=2).save(spark, path)
+    return models.Search.load(spark, path).best.transform(rows_.where("id % 5 = 0")).select("id", "label", "prediction")
+
+
 @query("m09_minibatch_kmeans")
 def m09b(spark: SparkSession, d: str) -> DataFrame:
     v = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))

@@ -138,6 +138,18 @@ def a12(spark: SparkSession, d: str) -> DataFrame:
     return _r(profile.rare_values(orders(spark, d), ["status", "priority"]), 6, "share")
 
 
+_SIMILAR = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS value, count(*) AS n FROM part WHERE {c} <> '' GROUP BY 2" for c in ("p_name", "p_type", "p_brand"))
+
+
+@query(
+    "a12_similar_values",
+    f"""WITH v AS ({_SIMILAR}), p AS (SELECT a."column", a.value, a.n, b.value AS similar, b.n AS n_similar, 1 - levenshtein(a.value, b.value) / greatest(length(a.value), length(b.value)) AS similarity
+    FROM v a JOIN v b ON a."column" = b."column" AND a.value <> b.value AND (a.n < b.n OR (a.n = b.n AND a.value > b.value))) SELECT * REPLACE (round(similarity, 6) AS similarity) FROM p WHERE similarity >= 0.8 - 1e-9""",
+)
+def a12b(spark: SparkSession, d: str) -> DataFrame:
+    return _r(profile.similar_values(load(spark, d, "part"), ["p_name", "p_type", "p_brand"]), 6, "similarity")
+
+
 _OUTSIDE = "(SELECT count(*) FILTER ({c} < low OR {c} > high) FROM t, (SELECT CASE WHEN q3 - q1 < 1e-10 THEN m - 3 * sd ELSE q1 - 2.5 * (q3 - q1) END AS low, CASE WHEN q3 - q1 < 1e-10 THEN m + 3 * sd ELSE q3 + 2.5 * (q3 - q1) END AS high FROM (SELECT " + _BOUNDS + " FROM t)))"
 _ALL = ["order_id", "custkey", "price", "status", "priority", "placed", "late", "version", "optional"]
 

@@ -179,3 +179,50 @@ def test_empty_tables(spark):
     assert quality.full_score(df, ["a", "b"], ["c"]).head()["score"] == 100
     assert profile.correlations(df, ["a"]).count() == 0 and profile.missing_total(df).head()["pct_cells"] == 0
     assert profile.outliers(df, ["a"]).head()["n_outliers"] == 0
+
+
+def test_models_are_the_same_after_loading(spark, tmp_path):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i, float(i % 10), rng.random(), float(i % 10 > 4)) for i in range(120)], "id long, a double, b double, label double")
+    data = prepare.vectors(df, ["a", "b"])
+    said = lambda m: {r["id"]: r["prediction"] for r in m.transform(data).collect()}
+    boosted = models.adaboost(data, rounds=3)
+    boosted.save(spark, str(tmp_path / "boosted"))
+    assert said(boosted) == said(models.AdaBoost.load(spark, str(tmp_path / "boosted")))
+    for names in (("knn",), ("adaboost",), ("decision_tree", "linear_svm")):
+        found = models.search(data, "id", "classification", names, trials=1, k=2)
+        found.save(spark, str(tmp_path / names[0]))
+        again = models.Search.load(spark, str(tmp_path / names[0]))
+        assert said(found.best) == said(again.best) and (again.best_name, again.params) == (found.best_name, found.params)
+        assert sorted(map(str, again.results.collect())) == sorted(map(str, found.results.collect()))
+    near = models.search(data, "id", "regression", ("knn",), trials=1, k=2)
+    assert near.best_name == "knn" and len(said(near.best)) == 120
+    v = data.select("id", vector_to_array("features").alias("v"))
+    centres = models.minibatch_kmeans(v, 3, rounds=2)
+    models.save_centres(spark, centres, str(tmp_path / "centres"))
+    assert np.array_equal(models.load_centres(spark, str(tmp_path / "centres")), centres)
+
+
+def test_similar_values(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdé", k=rng.randrange(1, 14))) for _ in range(60)]
+    words += [w[:3] + rng.choice("xyz") + w[4:] for w in words if len(w) > 6] + [w + "q" for w in words[:20]] + ["", "wörter", "worter", "wortern"]
+    df = spark.createDataFrame([(w, "same") for w in words for _ in range(1 + len(w) % 2)] + [(None, None)], "a string, b string")
+
+    def edits(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            row, last = [i], row
+            for j, e in enumerate(y, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (c != e)))
+        return row[-1]
+
+    count = {w: sum(1 + len(x) % 2 for x in words if x == w) for w in words if w}
+    expected = set()
+    for x in count:
+        for y in count:
+            s = 1 - edits(x, y) / max(len(x), len(y))
+            if x != y and s >= 0.8 - 1e-9 and (count[x] < count[y] or count[x] == count[y] and x > y):
+                expected.add(("a", x, count[x], y, count[y], round(s, 9)))
+    assert len(expected) > 20
+    assert {(*tuple(r)[:5], round(r["similarity"], 9)) for r in profile.similar_values(df, ["a", "b"]).collect()} == expected
