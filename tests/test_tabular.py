@@ -293,7 +293,8 @@ def test_preparation_does_not_leak(spark):
     test = {r["key"] for r in p.test.select("key").collect()}
     changed = df.withColumn("b", F.when(F.col("key").isin(*test), F.col("b") * 3).otherwise(F.col("b")))
     q = prepare.adaptive(changed, "key", "y", family="linear")
-    assert [s.to_json() for s in p.chain.steps] == [s.to_json() for s in q.chain.steps]
+    learned = lambda x: [(s.kind, {k: v for k, v in s.state.items() if k != "tables"}, {c: sorted(map(str, spark.read.parquet(t).collect())) for c, t in s.state.get("tables", {}).items()}) for s in x.chain.steps]
+    assert learned(p) == learned(q)
     assert p.train.count() + p.test.count() == 120
     assert p.train.dropna().count() == p.train.count() and p.task == "classification"
 
