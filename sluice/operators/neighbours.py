@@ -468,14 +468,12 @@ def silhouette(rows: DataFrame) -> DataFrame:
     left, right = rows.select(block.alias("a"), every.alias("b"), *cols), rows.select(every.alias("a"), block.alias("b"), *cols)
 
     def sums(key: tuple, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"id": np.zeros(0, np.int64), "own": np.zeros(0, np.int64), "cluster": np.zeros(0, np.int64), "d": np.zeros(0)})]
-        if len(q) and len(r):
-            y = np.stack(r["v"].to_numpy())
-            names, at = np.unique(r["cluster"].to_numpy(), return_inverse=True)
-            for i, own, v in zip(q["id"].to_numpy(), q["cluster"].to_numpy(), np.stack(q["v"].to_numpy())):
-                d = np.bincount(at, np.sqrt(((y - v) ** 2).sum(axis=1)), names.size)
-                out.append(pd.DataFrame({"id": np.full(names.size, i), "own": np.full(names.size, own), "cluster": names, "d": d}))
-        return pd.concat(out)
+        if not len(q) or not len(r):
+            return pd.DataFrame({"id": np.zeros(0, np.int64), "own": np.zeros(0, np.int64), "cluster": np.zeros(0, np.int64), "d": np.zeros(0)})
+        x, y = np.stack(q["v"].to_numpy()), np.stack(r["v"].to_numpy())
+        names, at = np.unique(r["cluster"].to_numpy(), return_inverse=True)
+        d = np.stack([np.bincount(at, np.sqrt(((y - v) ** 2).sum(axis=1)), names.size) for v in x])
+        return pd.DataFrame({"id": np.repeat(q["id"].to_numpy(), names.size), "own": np.repeat(q["cluster"].to_numpy(), names.size), "cluster": np.tile(names, len(x)), "d": d.ravel()})
 
     total = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(sums, "id long, own long, cluster long, d double").groupBy("id", "own", "cluster").agg(F.sum("d").alias("d"))
     sizes = rows.groupBy(F.col("cluster").cast("long").alias("cluster")).agg(F.count("*").alias("n"))

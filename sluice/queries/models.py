@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from functools import reduce
+from statistics import NormalDist
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -111,9 +112,16 @@ def a29(spark: SparkSession, d: str) -> DataFrame:
     return _r(metrics.residuals(load(spark, d, "orders").selectExpr(*NUMERIC), "id"), 4, "prediction", "residual")
 
 
-@query("a29_qq")
+_STEPS = [(i + 1) / 100 for i in range(99)]
+
+
+@query(
+    "a29_qq",
+    f"SELECT unnest({_STEPS}) AS q, round(unnest({[NormalDist().inv_cdf(q) for q in _STEPS]}), 6) AS theoretical, round(unnest((SELECT quantile_cont(o_totalprice::DOUBLE, {_STEPS}) FROM orders)), 4) AS sample",
+)
 def a29b(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.qq(load(spark, d, "orders"), "o_totalprice")
+    out = metrics.qq(load(spark, d, "orders"), "o_totalprice")
+    return out.select("q", F.round("theoretical", 6).alias("theoretical"), F.round("sample", 4).alias("sample"))
 
 
 @query("m17_generalization", _GEN + " SELECT model, round(gap, 6) AS gap, rejected, round(penalty, 6) AS penalty, round(cv_score - penalty, 6) AS generalization, overfitting FROM p")
