@@ -117,7 +117,7 @@ _STEPS = [(i + 1) / 100 for i in range(99)]
 
 @query(
     "a29_qq",
-    f"SELECT unnest({_STEPS}) AS q, round(unnest({[NormalDist().inv_cdf(q) for q in _STEPS]}), 6) AS theoretical, round(unnest((SELECT quantile_cont(o_totalprice::DOUBLE, {_STEPS}) FROM orders)), 4) AS sample",
+    f"SELECT unnest({_STEPS}::DOUBLE[]) AS q, round(unnest({[NormalDist().inv_cdf(q) for q in _STEPS]}::DOUBLE[]), 6) AS theoretical, round(unnest((SELECT quantile_cont(o_totalprice::DOUBLE, {_STEPS}) FROM orders)), 4) AS sample",
 )
 def a29b(spark: SparkSession, d: str) -> DataFrame:
     out = metrics.qq(load(spark, d, "orders"), "o_totalprice")
