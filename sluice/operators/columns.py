@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,30 +25,39 @@ class ColumnRoles:
     target: str | None = None
 
 
-def _name(column: str, *, equal: Sequence[str] = ("id",), part: Sequence[str] = ("identifier",), ends: str = "_id", starts: str = "id_") -> Column:
-    low = F.lower(F.col(column))
-    return low.isin(*equal) | low.endswith(ends) | low.startswith(starts) | _any(low, part)
+#: Standard error of the approximate counts below; a column is decided by one only if it is 15 such errors and more off a limit.
+ERROR = 0.02
 
 
-def _any(c: Column, parts: Sequence[str]) -> Column:
-    out = F.lit(False)
-    for p in parts:
-        out = out | c.contains(p)
-    return out
-
-
-def uniqueness(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """column, kind, n, n_distinct, and min and max as whole numbers (numeric columns)."""
+def screen(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, Row]:
+    """What one pass without a shuffle tells of each column, by name: kind, rows, n (not null), about (approximate
+    number of values), lo and hi as whole numbers (numeric columns), same (one value or none), missing (share of nulls
+    and of the text 'nan'), and mean and std (numeric columns)."""
     kinds = {r["column"]: r["kind"] for r in profile.column_kinds(df).collect()}
     names = [c for c in columns or df.columns if kinds[c] != "other"]
-    distinct = profile.value_counts(df, names).where("value is not null").groupBy("column").agg(F.count("*").alias("n_distinct"), F.sum("n").alias("n"))
-    numbers = [c for c in names if kinds[c] == "numeric"]
-    kind = F.create_map(*[F.lit(x) for c in names for x in (c, kinds[c])])[F.col("column")]
-    out = distinct.withColumn("kind", kind)
-    if not numbers:
-        return out.withColumns({"lo": F.lit(None).cast("long"), "hi": F.lit(None).cast("long")})
-    ends = profile.per_column(df, numbers, lambda c: {"lo": F.min(c).cast("long"), "hi": F.max(c).cast("long")})
-    return out.join(F.broadcast(ends), "column", "left")  # a row for each column
+
+    def facts(c: Column, number: bool) -> dict[str, Column]:
+        x = c.cast("double") if number else F.lit(None).cast("double")
+        whole = lambda v: v.try_cast("long") if number else F.lit(None).cast("long")
+        return {
+            "rows": F.count("*"), "n": F.count(c), "about": F.approx_count_distinct(c, ERROR), "lo": whole(F.min(c)), "hi": whole(F.max(c)),
+            "same": F.coalesce(F.min(c) == F.max(c), F.lit(True)), "missing": F.avg((c.isNull() | (F.lower(c.cast("string")) == "nan")).cast("double")),
+            "mean": F.avg(x), "std": F.stddev_samp(x),
+        }
+
+    out = {}
+    for number in (True, False):
+        chosen = [c for c in names if (kinds[c] == "numeric") == number]
+        for r in profile.per_column(df, chosen, lambda c, number=number: facts(c, number)).collect() if chosen else []:
+            out[r["column"]] = Row(kind=kinds[r["column"]], **r.asDict())
+    return {c: out[c] for c in names}
+
+
+def exact_distinct(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """The number of values (but null) of each column."""
+    if not columns:
+        return {}
+    return {r["column"]: r["n"] for r in profile.value_counts(df, columns).groupBy("column").agg(F.count("value").alias("n")).collect()}
 
 
 #: Names of id columns in the third variant; fixed values.
@@ -57,19 +66,36 @@ ID_PARTS = ("_id", "customerid", "userid", "rowid", "index", "record_id", "row_n
 
 def id_columns(df: DataFrame, mode: str = "adaptive") -> DataFrame:
     """column, is_id. ``adaptive``: name, and nearly unique or a sequence; ``basic``: name, or unique, or a sequence;
-    ``unsupervised``: a name from a longer list with near-uniqueness, or a unique sequence of over 10 numbers."""
-    u = uniqueness(df)
-    unique = F.col("n_distinct") / F.col("n")
-    dense = (F.col("kind") == "numeric") & (F.col("n_distinct") == F.col("n")) & (F.col("hi") - F.col("lo") + 1 == F.col("n"))
-    low = F.lower(F.col("column"))
+    ``unsupervised``: a name from a longer list with near-uniqueness, or a unique sequence of over 10 numbers.
+
+    Values are counted exactly only in columns that their names, ends and approximate counts leave open. Columns of
+    nulls are no ids, but by their name in ``basic``.
+    """
+    seen = screen(df)
+    ids = _ids(df, seen, mode)
+    return df.sparkSession.createDataFrame([(c, c in ids) for c in seen], "`column` string, is_id boolean")
+
+
+def _ids(df: DataFrame, seen: dict[str, Row], mode: str) -> set[str]:
+    def named(c: str) -> bool:
+        low = c.lower()
+        return any(p in low for p in ID_PARTS) or low in ("id", "idx") if mode == "unsupervised" else profile.id_like(c)
+
+    def least(c: str) -> float:
+        return 0.9 if mode == "unsupervised" and seen[c]["kind"] != "numeric" else 0.95
+
+    dense = {c for c, r in seen.items() if r["n"] and r["hi"] is not None and r["lo"] is not None and r["hi"] - r["lo"] + 1 == r["n"]}
+    near = lambda c, share: seen[c]["about"] > (share - 15 * ERROR) * seen[c]["n"]
+    some = [c for c, r in seen.items() if r["n"]]
     if mode == "adaptive":
-        test = (F.col("kind") != "datetime") & _name("column") & ((unique > 0.95) | (dense & F.col("lo").isin(0, 1)))
-    elif mode == "basic":
-        test = _name("column") | (F.col("n_distinct") == F.col("n")) | (dense & (F.col("lo") == 1))
-    else:
-        named = _any(low, ID_PARTS) | low.isin("id", "index", "idx")
-        test = (named & (unique > F.when(F.col("kind") == "numeric", 0.95).otherwise(0.9))) | (dense & (F.col("n") > 10))
-    return u.select("column", F.coalesce(test, F.lit(False)).alias("is_id"))
+        some = [c for c in some if named(c) and seen[c]["kind"] != "datetime" and near(c, 0.95)]
+        exact = exact_distinct(df, some)
+        return {c for c, n in exact.items() if n / seen[c]["n"] > 0.95 or (n == seen[c]["n"] and c in dense and seen[c]["lo"] in (0, 1))}
+    if mode == "basic":
+        exact = exact_distinct(df, [c for c in some if not named(c) and near(c, 1.0)])
+        return {c for c in seen if named(c)} | {c for c, n in exact.items() if n == seen[c]["n"]}
+    exact = exact_distinct(df, [c for c in some if (named(c) and near(c, least(c))) or (c in dense and seen[c]["n"] > 10 and near(c, 1.0))])
+    return {c for c, n in exact.items() if (named(c) and n / seen[c]["n"] > least(c)) or (c in dense and n == seen[c]["n"] and n > 10)}
 
 
 def constant_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -118,13 +144,16 @@ def verdicts(df: DataFrame, target: str | None = None) -> DataFrame:
     names = [c for c in df.columns if c != target]
     kinds = {r["column"]: r["kind"] for r in profile.column_kinds(df).collect()}
     usable = [c for c in names if kinds[c] != "other"]
-    features = df.select(*usable)
-    joined = id_columns(features).join(missing_columns(features), "column", "full").join(constant_columns(features), "column", "full").join(low_variance_columns(features), "column", "full")
-    verdict = F.when(F.col("is_id"), "id").when(F.col("is_high"), "high_missing").when(F.coalesce("is_constant", F.lit(True)), "constant").when(F.col("is_low"), "low_variance")
-    out = joined.select("column", verdict.alias("verdict")).where("verdict is not null")
-    if len(usable) - out.count() < 2:
-        return out.limit(0)
-    return out
+    features = df.select(*[F.col(f"`{c}`") for c in usable])
+    seen = screen(features)
+    ids = _ids(features, seen, "adaptive")
+    found = {c: "id" if c in ids else "high_missing" if (r["missing"] or 0) > 0.6 else "constant" for c, r in seen.items() if c in ids or (r["missing"] or 0) > 0.6 or r["same"]}
+    few = [c for c, r in seen.items() if c not in found and r["about"] <= (0.05 + 15 * ERROR) * r["rows"] + 10]  # a value in 95 % of the rows leaves no more
+    if few:
+        found |= {r["column"]: "low_variance" for r in low_variance_columns(features, few).where("is_low").collect()}
+    if len(usable) - len(found) < 2:
+        found = {}
+    return df.sparkSession.createDataFrame([(c, found[c]) for c in usable if c in found], "`column` string, verdict string")
 
 
 def drop_problem_columns(df: DataFrame, target: str | None = None) -> tuple[DataFrame, dict[str, str]]:

@@ -506,6 +506,29 @@ def _projection(df: DataFrame, s: dict) -> DataFrame:
     return df.select(*kept, new.alias(s["output"]))
 
 
+def fit_vector(columns: Sequence[str], output: str = "features") -> Fitted:
+    """The columns (numbers, vectors or arrays) as one vector, ``output``; nulls count as 0. The columns stay."""
+    return Fitted("vector", {"columns": list(columns), "output": output})
+
+
+def _vector(df: DataFrame, s: dict) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.linalg import VectorUDT
+
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+
+    def ready(c: str) -> Column:
+        if isinstance(kinds[c], VectorUDT):
+            return F.col(f"`{c}`")
+        if isinstance(kinds[c], T.ArrayType):
+            return array_to_vector(F.col(f"`{c}`").cast("array<double>"))
+        return F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0))
+
+    filled = df.withColumns({f"_f{i}": ready(c) for i, c in enumerate(s["columns"])})
+    return VectorAssembler(inputCols=[f"_f{i}" for i in range(len(s["columns"]))], outputCol=s["output"]).transform(filled).drop(*[f"_f{i}" for i in range(len(s["columns"]))])
+
+
 # Imputation by neighbours
 
 #: Donors that a worker holds; with more, new rows are compared with them block by block.
@@ -564,4 +587,5 @@ def _free(df: DataFrame, *names: str) -> list[str]:
 _APPLY = {
     "impute": _impute, "indicators": _indicators, "cap": _cap, "power": _power, "scale": _scale, "rare": _rare, "one_hot": _one_hot,
     "ordinal": _ordinal, "dates": _dates, "drop": _drop, "text": _text, "derive": _derive, "projection": _projection, "impute_neighbours": _impute_neighbours,
+    "vector": _vector,
 }

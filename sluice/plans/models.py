@@ -162,6 +162,7 @@ class Search:
     best_name: str
     params: dict
     failures: list[tuple[str, str]] = field(default_factory=list)
+    stopped: dict[str, int] = field(default_factory=dict)
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Writes the table of results, the failures, and the best model with its name and parameters."""
@@ -172,15 +173,15 @@ class Search:
             self.best.save(spark, f"{path}/best")
         else:
             self.best.write().overwrite().save(f"{path}/best")
-        state = [(self.best_name, json.dumps(self.params), type(self.best).__name__ if own else "")]
-        spark.createDataFrame(state, "name string, params string, own string").coalesce(1).write.mode("overwrite").parquet(f"{path}/state")
+        state = [(self.best_name, json.dumps(self.params), type(self.best).__name__ if own else "", json.dumps(self.stopped))]
+        spark.createDataFrame(state, "name string, params string, own string, stopped string").coalesce(1).write.mode("overwrite").parquet(f"{path}/state")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Search:
-        name, params, own = spark.read.parquet(f"{path}/state").select("name", "params", "own").head()
+        name, params, own, stopped = spark.read.parquet(f"{path}/state").select("name", "params", "own", "stopped").head()
         kinds = {"AdaBoost": AdaBoost, "NeighboursModel": NeighboursModel}
         best = kinds[own].load(spark, f"{path}/best") if own else DefaultParamsReader.loadParamsInstance(f"{path}/best", spark)
-        return cls(spark.read.parquet(f"{path}/results"), best, name, json.loads(params), [tuple(r) for r in spark.read.parquet(f"{path}/failures").collect()])
+        return cls(spark.read.parquet(f"{path}/results"), best, name, json.loads(params), [tuple(r) for r in spark.read.parquet(f"{path}/failures").collect()], json.loads(stopped))
 
 
 def evaluator(task: str):  # noqa: ANN201
@@ -191,23 +192,37 @@ def search(train: DataFrame, key: str, task: str, models: tuple[str, ...] | None
     """Random search with k folds over ``train`` (key, features, label); models ranked by how well they generalise.
 
     Folds are dealt by a hash of the key within each class; ``parallel`` fits run at a time, so that small stages fill
-    the cluster. A model's search ends after ``give_up`` failures in a row. The best parameters of each model are
-    fitted again on all training rows.
+    the cluster. A model's search ends after ``give_up`` failures in a row. A trial is stopped (and counted in
+    ``stopped``) once it could not reach the best mean so far even with perfect scores, 1, on its other folds; so the
+    result is that of a search that fits all folds. The best parameters of each model are fitted again on all training
+    rows.
     """
     data = cut(rows.folds(train.select(key, "features", F.col("label").cast("double").alias("label")), key, "label" if task == "classification" else None, k, seed))
     n, classes = data.count(), int((data.agg(F.max("label")).head()[0] or 0)) + 1
-    measure, failures, table, fitted = evaluator(task), [], [], {}
+    measure, failures, table, fitted, stopped = evaluator(task), [], [], {}, {}
 
     def score(name: str, params: dict, fold: int) -> float:
         model = estimator(name, task, classes, repaired(name, params, n, task)).fit(data.where(F.col("fold") != fold))
         return measure.evaluate(model.transform(data.where(F.col("fold") == fold)))
 
-    def tried(name: str) -> tuple[str, tuple[list[float], dict] | None, list[tuple[str, str]]]:
-        sampler, best, lost, errors = Sampler(seed), None, 0, []
+    def scored(name: str, params: dict, least: float) -> list[float] | None:
+        """A score for each fold, or None once their mean cannot be above ``least``: one fold, then the others as threads are free."""
+        known = {0: score(name, params, 0)}
+
+        def next_(fold: int) -> None:
+            so_far = list(known.values())
+            if (sum(so_far) + k - len(so_far)) / k > least:
+                known[fold] = score(name, params, fold)
+
+        list(folds.map(next_, range(1, k)))
+        return [known[f] for f in range(k)] if len(known) == k else None
+
+    def tried(name: str) -> tuple[str, tuple[list[float], dict] | None, list[tuple[str, str]], int]:
+        sampler, best, lost, errors, ended = Sampler(seed), None, 0, [], 0
         for _ in range(trials):
             params = draw(name, sampler, n)
             try:
-                scores = list(folds.map(lambda f, params=params: score(name, params, f), range(k)))
+                scores = scored(name, params, np.mean(best[0]) if best else -np.inf)
             except Exception as e:  # a trial may fail; the search goes on
                 errors.append((name, str(e)[:200]))
                 lost += 1
@@ -215,14 +230,17 @@ def search(train: DataFrame, key: str, task: str, models: tuple[str, ...] | None
                     break
                 continue
             lost = 0
-            if best is None or np.mean(scores) > np.mean(best[0]):
+            if scores is None:
+                ended += 1
+            elif best is None or np.mean(scores) > np.mean(best[0]):
                 best = (scores, params)
-        return name, best, errors
+        return name, best, errors, ended
 
     names = models or DEFAULT_MODELS[task]
     with ThreadPoolExecutor(parallel) as folds, ThreadPoolExecutor(max(1, min(parallel, len(names)))) as each:
-        for name, best, errors in each.map(tried, names):
+        for name, best, errors, ended in each.map(tried, names):
             failures += errors
+            stopped[name] = ended
             if best is None:
                 continue
             model = estimator(name, task, classes, repaired(name, best[1], n, task)).fit(data)
@@ -230,7 +248,7 @@ def search(train: DataFrame, key: str, task: str, models: tuple[str, ...] | None
             table.append((name, float(measure.evaluate(model.transform(data))), float(np.mean(best[0])), float(np.std(best[0]))))
     results = metrics.ranked(train.sparkSession.createDataFrame(table, "model string, train_score double, cv_score double, cv_std double"))
     top = results.where("rank = 1").head()["model"]
-    return Search(results, fitted[top][0], top, fitted[top][1], failures)
+    return Search(results, fitted[top][0], top, fitted[top][1], failures, stopped)
 
 
 def importance(model: Model, features: list[str], spark: SparkSession, top: int = 20) -> DataFrame:

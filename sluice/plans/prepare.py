@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
 
 from ..operators import columns, correlate, profile, rows, transforms
 from ..session import cut
@@ -34,17 +32,7 @@ class Prepared:
 
 def vectors(df: DataFrame, features: list[str], output: str = "features") -> DataFrame:
     """``df`` with the features as one vector; nulls count as 0. Features may be vectors or arrays themselves."""
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-
-    def ready(c: str) -> Column:
-        if isinstance(kinds[c], VectorUDT):
-            return F.col(f"`{c}`")
-        if isinstance(kinds[c], ArrayType):
-            return array_to_vector(F.col(f"`{c}`").cast("array<double>"))
-        return F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0))
-
-    filled = df.withColumns({f"_f{i}": ready(c) for i, c in enumerate(features)})
-    return VectorAssembler(inputCols=[f"_f{i}" for i in range(len(features))], outputCol=output).transform(filled).drop(*[f"_f{i}" for i in range(len(features))])
+    return transforms.fit_vector(features, output).transform(df)
 
 
 def adaptive(df: DataFrame, key: str, target: str | None = None, model: str | None = None, family: str | None = None, ratio: float = 0.2, k: float = 2.5, outliers: str = "cap", seed: int = 42, text: bool = True) -> Prepared:

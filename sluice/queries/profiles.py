@@ -281,7 +281,20 @@ def f10(spark: SparkSession, d: str) -> DataFrame:
     return _r(columns.missing_columns(orders(spark, d), ["optional", "status", "price"]), 6, "share")
 
 
-@query("f11_verdicts", "SELECT * FROM (VALUES ('order_id', 'id'), ('optional', 'high_missing'), ('version', 'constant')) AS v(\"column\", verdict)")
+#: SQL of a column's verdict, and of what it is without one.
+_MODAL = "(SELECT max(k) / sum(k) FROM (SELECT count(*) AS k FROM t GROUP BY {c})) > 0.95"
+_VERDICT = "CASE WHEN '{c}' LIKE '%\\_id' ESCAPE '\\' AND count(DISTINCT {c}) / count({c}) > 0.95 THEN 'id' WHEN avg(({c} IS NULL)::INT) > 0.6 THEN 'high_missing' WHEN count(DISTINCT {c}) <= 1 THEN 'constant' WHEN " + _MODAL
+_NUMBER = _VERDICT + " AND abs(stddev_samp({c}) / avg({c})) <= 0.5 THEN 'low_variance'"
+_OTHER = _VERDICT + " THEN 'low_variance'"
+_LONG = "(avg(length({c})) > 30 AND count(DISTINCT {c}) > 50 AND count(DISTINCT {c}) / count({c}) > 0.5) OR (avg(length({c})) > 50 AND avg(regexp_matches({c}, '\\s')::INT) > 0.5)"
+
+
+def _judged(name: str, number: str, text: str, date: str) -> str:
+    parts = ((["order_id", "custkey", "price", "version", "optional"], number, _NUMBER), (["status", "priority"], text, _OTHER), (["placed"], date, _OTHER))
+    return "SELECT * FROM (" + ") UNION ALL SELECT * FROM (".join(each(names, f"{verdict} {rest} END AS {name}", ORDERS_SQL) for names, rest, verdict in parts) + ")"
+
+
+@query("f11_verdicts", "SELECT * FROM (" + _judged("verdict", "", "", "") + ") WHERE verdict IS NOT NULL")
 def f11(spark: SparkSession, d: str) -> DataFrame:
     return columns.verdicts(orders(spark, d), "late")
 
@@ -299,7 +312,7 @@ def t06(spark: SparkSession, d: str) -> DataFrame:
     return _r(columns.text_columns(load(spark, d, "documents"), ["text", "lang", "source"]), 4, "avg_len")
 
 
-@query("t03_roles", "SELECT * FROM (VALUES ('custkey', 'numerical'), ('price', 'numerical'), ('status', 'categorical'), ('priority', 'categorical'), ('placed', 'datetime'), ('order_id', 'id'), ('optional', 'high_missing'), ('version', 'constant')) AS v(\"column\", role) WHERE (SELECT count(*) FROM orders) > 0")
+@query("t03_roles", _judged("role", "ELSE 'numerical'", f"WHEN {_LONG} THEN 'text' ELSE 'categorical'", "ELSE 'datetime'"))
 def t03(spark: SparkSession, d: str) -> DataFrame:
     r = columns.roles(orders(spark, d), "late")
     listed = [(c, k) for k, names in (("numerical", r.numerical), ("categorical", r.categorical), ("datetime", r.datetime), ("text", r.text), ("id", r.ids), ("constant", r.constant), ("high_missing", r.high_missing), ("low_variance", r.low_variance)) for c in names]

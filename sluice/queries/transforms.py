@@ -6,11 +6,13 @@ import uuid
 from functools import reduce
 from itertools import combinations
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalize, scalar
 from ..operators import correlate, transforms
+from ..plans import stages
 from ..session import shared_dir
 from . import load, query
 from .inputs import LINES_SQL, NUMBERS, ORDERS_SQL, lines, orders
@@ -136,6 +138,40 @@ def x10(spark: SparkSession, d: str) -> DataFrame:
     return transforms.fit_rare(df, ["status"], 0.012).transform(df)
 
 
+@query(
+    "x01_x13_pipeline",
+    f"""WITH t AS ({ORDERS_SQL}), m AS (SELECT quantile_cont(price, 0.5) AS med FROM t WHERE order_id % 4 <> 0),
+    mo AS (SELECT status AS s FROM t WHERE order_id % 4 <> 0 AND status IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+    f AS (SELECT order_id, coalesce(price, med) AS price, coalesce(status, s) AS status, priority FROM t, m, mo),
+    b AS (SELECT quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.75) AS q3 FROM f WHERE order_id % 4 <> 0),
+    c AS (SELECT order_id, least(greatest(price, q1 - 2.5 * (q3 - q1)), q3 + 2.5 * (q3 - q1)) AS price, status, priority FROM f, b),
+    s AS (SELECT avg(price) AS a, stddev_pop(price) AS d FROM c WHERE order_id % 4 <> 0),
+    k AS (SELECT status, count(*) / (SELECT count(*) FROM c WHERE order_id % 4 <> 0) AS share FROM c WHERE order_id % 4 <> 0 GROUP BY 1),
+    r AS (SELECT order_id, price, priority, CASE WHEN share >= 0.012 THEN status ELSE '__OTHER__' END AS status FROM c LEFT JOIN k USING (status)),
+    o AS (SELECT status, dense_rank() OVER (ORDER BY status) - 1 AS code FROM (SELECT DISTINCT status FROM r WHERE order_id % 4 <> 0))
+    SELECT order_id, round((price - a) / d, 6) AS price, coalesce(code, -1)::DOUBLE AS status, """
+    + ", ".join(f"(priority = '{v}')::INT::DOUBLE AS \"priority_{v}\"" for v in ("2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"))
+    + " FROM r LEFT JOIN o USING (status), s WHERE order_id % 4 = 0",
+)
+def x01c(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out orders by a ``pyspark.ml`` pipeline of the library's estimators, fitted on the others, saved and loaded."""
+    df = orders(spark, d).select("order_id", "price", "status", "priority")
+    fitted = Pipeline(
+        stages=[
+            stages.ColumnImputer(inputCols=["price"]),
+            stages.ColumnImputer(inputCols=["status"], strategy="mode"),
+            stages.OutlierCapper(inputCols=["price"]),
+            stages.ColumnScaler(inputCols=["price"]),
+            stages.RareGrouper(inputCols=["status"], share=0.012),
+            stages.OrdinalCodes(inputCols=["status"]),
+            stages.IndicatorColumns(inputCols=["priority"], dropFirst=True),
+        ]
+    ).fit(df.where("order_id % 4 <> 0"))
+    path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    fitted.write().save(path)
+    return _r(PipelineModel.load(path).transform(df.where("order_id % 4 = 0")), 6, "price")
+
+
 _HOT = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
