@@ -590,6 +590,33 @@ def test_personal_data(spark):
     assert pii.summary(docs(spark, [])).count() == 0
 
 
+def replaced(text, spans):
+    """The sanitised text and the number of brackets, span by span."""
+    kinds = (*pii.KINDS, "term")
+    out, at, n = "", 0, 0
+    for start, _, end, kind in sorted((int(a), kinds.index(k), int(b), k) for k, a, b in (s.split(":") for s in spans.split(",") if s)):
+        if start >= at:
+            out, n = f"{out}{text[at:start]}[{kind.upper()}]", n + 1
+        at = max(at, end)
+    return out + text[at:], n
+
+
+def cleaned(texts, got):
+    for (i, text), r in zip(sorted(texts), sorted(got, key=lambda r: r.doc_id)):
+        clean, n = replaced(text or "", r.spans)
+        assert i == r.doc_id and (r.n_replaced, r.clean_sha256) == (n, hashlib.sha256(clean.encode()).hexdigest()), i
+
+
+def test_sanitised_texts(spark):
+    mail, card = "ann.lee@mail.example.org", "4111 1111 1111 1111"
+    texts = [(1, f"write to {mail}, or {card}"), (2, None), (3, ""), (4, "nothing here"), (5, f"é {mail}{mail} +{card} 10.0.0.1 ok"), (6, f"{mail} " * 300)]
+    got = pii.summary(docs(spark, texts)).collect()
+    cleaned(texts, got)
+    assert {r.doc_id: r.n_replaced for r in got}[6] == 300
+    named = docs(spark, texts).withColumn("clean_text", F.lit("kept")).withColumn("made", F.lit("kept"))
+    assert {r.made for r in pii.sanitise(named).collect()} == {"kept"}
+
+
 def test_disclosing_terms(spark):
     rng = random.Random(1)
     plain = "house tree water stone light paper river cloud seven green".split()
@@ -601,6 +628,7 @@ def test_disclosing_terms(spark):
         terms = [t[int(a) : int(b)] for k, a, b in (s.split(":") for s in got[i].spans.split(",")) if k == "term"]
         assert terms == ["Zephyrine"], terms
     assert sum(got[100 + i].n_term for i in range(200)) == 0
+    cleaned(texts, got.values())
     clean = {r.doc_id: r.clean_text for r in pii.sanitise(docs(spark, texts[:8])).collect()}
     assert "zeph@mail.org" not in clean[0] and "[EMAIL]" in clean[0]
 
