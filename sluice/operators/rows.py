@@ -8,6 +8,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import profile
 
 
@@ -206,3 +207,24 @@ def preview_splits(df: DataFrame, key: str, train: int = 8, test: int = 2) -> Da
     """The first rows of each split."""
     rank = F.row_number().over(Window.partitionBy("split").orderBy(key))
     return df.withColumn("_r", rank).where(F.col("_r") <= F.when(F.col("split") == "train", train).otherwise(test)).drop("_r")
+
+
+def ranked(df: DataFrame, groups: Sequence[str], order: Sequence[str], name: str = "place", tasks: int | None = None) -> DataFrame:
+    """``df`` with the place of each row (from 1) in its group, by ``order`` (which should leave no ties).
+
+    Rows are spread over ranges of (group, order), so that no task holds all of a large group; a range's places go on
+    from the rows that its group has in earlier ranges. Nulls are a group of their own and come first in the order.
+    """
+    keys = [F.col(f"`{c}`") for c in (*groups, *order)]
+    parted = df.repartitionByRange(tasks, *keys) if tasks else df.repartitionByRange(*keys)
+    parted = cut(parted.withColumn("_range", F.spark_partition_id()))
+    named = [F.col(f"`{c}`").alias(f"_g{i}") for i, c in enumerate(groups)]
+    held = [f"_g{i}" for i in range(len(groups))]
+    sizes = parted.groupBy(*named, F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))  # a row for each range, and for each group
+    earlier = Window.partitionBy(*held).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    same = F.col("_range") == F.col("_r")
+    for c, h in zip(groups, held):
+        same = same & F.col(f"`{c}`").eqNullSafe(F.col(h))
+    inside = F.row_number().over(Window.partitionBy(*keys[: len(groups)], "_range").orderBy(*keys[len(groups) :]))
+    return parted.withColumn("_inside", inside).join(before, same).select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_before") + F.col("_inside")).alias(name))

@@ -251,7 +251,7 @@ def a22(spark: SparkSession, d: str) -> DataFrame:
 @query("w08_silhouette_order", f"WITH t AS ({POINT_SQL}), s AS (SELECT label, count(*) AS n FROM t GROUP BY 1), p AS (SELECT a.id, a.label AS own, b.label, sum(sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y))) AS d FROM t a JOIN t b ON TRUE GROUP BY 1, 2, 3), m AS (SELECT id, own, max(d / (n - 1)) FILTER (own = p.label) AS a, min(d / n) FILTER (own <> p.label) AS b FROM p JOIN s ON s.label = p.label GROUP BY 1, 2), q AS (SELECT id, own AS cluster, round((b - a) / greatest(a, b), 5) AS s FROM m) SELECT id, cluster::BIGINT AS cluster, row_number() OVER (PARTITION BY cluster ORDER BY s, id)::INT AS place FROM q")
 def w08(spark: SparkSession, d: str) -> DataFrame:
     s = _r(neighbours.silhouette(_points(spark, d).withColumnRenamed("label", "cluster")), 5, "silhouette")
-    return s.select("id", "cluster", F.row_number().over(Window.partitionBy("cluster").orderBy("silhouette", "id")).alias("place"))
+    return rows.ranked(s, ["cluster"], ["silhouette", "id"]).select("id", "cluster", F.col("place").cast("int").alias("place"))
 
 
 @query(
