@@ -403,15 +403,38 @@ def test_language_filters_hold_the_ngrams(spark):
     make = lambda letters: ["".join(rng.choices(letters, k=rng.randrange(3, 9))) for _ in range(400)]
     own = {"aa": make("abcdefghijk"), "bb": make("lmnopqrstuv")}
     train = spark.createDataFrame([(" ".join(rng.choices(w, k=300)), lang) for lang, w in own.items() for _ in range(5)], "text string, lang string")
-    model = langid.fit(train)
+    model = langid.fit(train).filter()
     assert model.false_positive.max() < 0.02
     for i, (lang, w) in enumerate(sorted(own.items())):
         text = " ".join(r.text for r in train.where(F.col("lang") == lang).collect())
-        share, n = model.score([text])
-        grams = langid.ngrams([f" {text} "])[0]
+        sums, n = model.tally([text])
+        share, grams = langid.shares(sums, n), langid.ngrams([f" {text} "])[0]
         assert n[0] == grams.size and share[0, i] > 0.999 and share[0, 1 - i] < 0.02
     full = langid.Model(["aa"], [np.ones(8, np.uint8)], np.ones(1))
-    assert np.isfinite(full.score(["text"])[0]).all()
+    assert np.isfinite(full.tally(["text"])[0]).all()
+
+
+def test_language_filters_in_parts(spark):
+    """Below a bound of bytes the n-grams are divided: every filter keeps to the bound, and texts get the scores of exact n-gram sets."""
+    rng = random.Random(15)
+    make = lambda letters: ["".join(rng.choices(letters, k=rng.randrange(3, 9))) for _ in range(300)]
+    own = {"aa": make("abcdefghijk"), "bb": make("ghijklmnopq")}
+    rows = [(i, " ".join(rng.choices(own[lang], k=60)), lang, "kept") for i in range(60) for lang in ["ab"[i % 2] * 2]]
+    table = spark.createDataFrame([*rows, (900, None, "aa", "kept"), (901, "", "aa", "kept"), (902, "1 2", None, "kept")], "doc_id long, text string, lang string, _sums string")
+    train = table.where("doc_id % 3 <> 1")
+    parted = langid.fit(train, share=0.0, filter_bytes=1 << 15)
+    assert parted.parts > 2 and parted.slots * 8 <= 1 << 15
+    held = {lang: set() for lang in own}
+    for i, text, lang, _ in rows:
+        if i % 3 != 1:
+            held[lang] |= set(langid.ngrams([f" {text} "])[0].tolist())
+    got = {r.doc_id: r for r in langid.predict(table, parted).collect()}
+    assert {r["_sums"] for r in got.values()} == {"kept"} and len(got) == 63
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (900, 901, 902))
+    for i, text, _, _ in rows:
+        grams = langid.ngrams([f" {text} "])[0].tolist()
+        exact = {lang: np.mean([g in h for g in grams]) for lang, h in held.items()}
+        assert got[i].lang_pred == max(exact, key=exact.get) and got[i].score == pytest.approx(max(exact.values()), abs=0.01)
 
 
 def test_ties_between_languages(spark):
