@@ -132,3 +132,22 @@ def judged(found: DataFrame) -> DataFrame:
             "contaminated": (n_hit > 0) & (n_hit * 20 >= F.col("n_words")),
         }
     )
+
+
+_SQL_WORDS = r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+#: ``judged(find(documents, benchmark))`` without the positions, by a join of all windows on their words.
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_SQL_WORDS} AS w FROM documents),
+e AS (SELECT r, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM d),
+ahead AS (SELECT r, pos, list(word) OVER (PARTITION BY r ORDER BY pos ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS l FROM e),
+b AS (SELECT item_id::VARCHAR AS item_id, {_SQL_WORDS} AS w FROM benchmark),
+s AS (SELECT item_id, w, least({WINDOW}, len(w)) AS m, unnest(range(1, greatest(len(w) - {WINDOW}, 0) + 2)) AS i FROM b WHERE len(w) > 0),
+p AS (SELECT DISTINCT item_id, m, array_to_string(w[i : i + m - 1], ' ') AS k FROM s),
+x AS (SELECT r, pos, m, array_to_string(l[1 : m], ' ') AS k FROM ahead, (SELECT DISTINCT m FROM p) WHERE len(l) >= m),
+found AS (SELECT r, pos, m, item_id FROM x JOIN p USING (m, k)),
+hit AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(pos, pos + m)) AS j FROM (SELECT DISTINCT r, pos, m FROM found)) GROUP BY r),
+named AS (SELECT r, count(item_id) AS n_items, coalesce(string_agg(item_id, ',' ORDER BY item_id), '') AS ids FROM (SELECT DISTINCT r, item_id FROM found) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+"""

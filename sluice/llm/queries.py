@@ -103,4 +103,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_document_fingerprints": op13_document_fingerprints,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_line_dedup": line_dedup.SQL, "op11_centroid_clustering": centroids.sql(), "op12_merkle_manifest": manifest.sql(), "op13_document_fingerprints": fingerprint.sql()}
+ORACLE_SQL: dict[str, str] = {"op7_decontamination": decontam.SQL, "op9_line_dedup": line_dedup.SQL, "op11_centroid_clustering": centroids.sql(), "op12_merkle_manifest": manifest.sql(), "op13_document_fingerprints": fingerprint.sql()}

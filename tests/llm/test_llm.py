@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -158,6 +159,14 @@ def test_decontamination(spark, passes):
         assert any((r.n_words, r.n_hit, r.n_items) == (n, h, len(x)) and r.items_sha256 == hashlib.sha256(",".join(x).encode()).hexdigest() for n, h, x in hand[r.doc_id]), r
     none = decontam.judged(decontam.find(docs(spark, ODD), spark.createDataFrame([], "item_id long, text string")))
     assert none.where("contaminated").count() == 0
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [list(t) for t in texts])
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", [list(t) for t in items])
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    rows = con.execute(f"SELECT {', '.join(columns)} FROM ({decontam.SQL})").fetchall()
+    assert sorted(map(str, rows)) == sorted(str(tuple(r[c] for c in columns)) for r in out)
 
 
 # Lines
