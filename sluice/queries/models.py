@@ -543,6 +543,14 @@ def s04(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_table(spark, path)
 
 
+@query("s04_csv_utf16", "SELECT o_orderkey::VARCHAR AS \"schlüssel\", o_orderstatus || '_ß' AS status, CASE WHEN o_orderkey % 2 = 0 THEN '漢' ELSE 'ж' END AS sign FROM orders")
+def s04b(spark: SparkSession, d: str) -> DataFrame:
+    path = _folder(spark)
+    df = load(spark, d, "orders").select(F.col("o_orderkey").alias("schlüssel"), F.concat("o_orderstatus", F.lit("_ß")).alias("status"), F.when(F.col("o_orderkey") % 2 == 0, "漢").otherwise("ж").alias("sign"))
+    df.repartition(4).write.option("header", True).option("sep", ";").option("encoding", "UTF-16").csv(path)
+    return readers.read_table(spark, path)
+
+
 @query("s02_csv_no_header", "SELECT s_suppkey::VARCHAR AS Column1, s_nationkey::VARCHAR AS Column2, s_name AS Column3 FROM supplier")
 def s02(spark: SparkSession, d: str) -> DataFrame:
     path = _folder(spark)
