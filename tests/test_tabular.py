@@ -408,3 +408,15 @@ def test_entry_without_the_corpus_part(tmp_path):
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), set(e.oracle_sql()) <= set(e.queries()), any(q.startswith('op') for q in e.queries()))"], cwd=tmp_path, env=env, capture_output=True, text=True)
     n, within, corpus = said.stdout.split()
     assert int(n) > 100 and within == "True" and corpus == "False", said.stderr
+
+
+def test_histogram_bins_are_those_of_the_division(spark):
+    """Values at and next to the borders of bins, where a quotient that is rounded otherwise gives another bin."""
+    for low, high in ((0.1, 20.1), (0.01, 490.02), (0.0, 0.7), (0.03, 99.97)):
+        width = (high - low) / 20
+        borders = np.concatenate([low + np.arange(21) * width, low + (high - low) * np.arange(21) / 20])
+        near = np.concatenate([borders, np.nextafter(borders, 1e9), np.nextafter(borders, -1e9)])
+        values = [low, high, *near[(near >= low) & (near <= high)].tolist()]
+        at = [min(int(np.floor((v - low) / width)) + 1, 20) for v in values]
+        got = profile.histogram(spark.createDataFrame([(v,) for v in values], "x double"), "x", 20)
+        assert {r["bin"]: r["n"] for r in got.collect()} == {b: at.count(b) for b in at}
