@@ -420,3 +420,19 @@ def test_histogram_bins_are_those_of_the_division(spark):
         at = [min(int(np.floor((v - low) / width)) + 1, 20) for v in values]
         got = profile.histogram(spark.createDataFrame([(v,) for v in values], "x double"), "x", 20)
         assert {r["bin"]: r["n"] for r in got.collect()} == {b: at.count(b) for b in at}
+
+
+def test_preparation_reads_its_input_a_few_times(spark):
+    """What follows the removal of repeated rows starts from a stored table, not from the input."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    source = spark.range(0, 300, 1, 2).selectExpr("id AS k", "id % 50 + id / 1000 AS x", "id * id % 997 AS y", "date_add(DATE'2020-01-01', CAST(id % 400 AS INT)) AS d", "concat('c', id % 4) AS s", "IF(id % 3 = 0, 'a', 'b') AS t")
+    df = source.mapInPandas(counted, source.schema)
+    p = prepare.adaptive(df, "k", "t", family="linear")
+    assert p.train.count() + p.test.count() == 300
+    assert seen.value <= 7 * 300  # three kinds of columns, dominant values, their spread, texts, and the table itself
