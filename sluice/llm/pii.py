@@ -11,8 +11,10 @@ discloses it as far as the corpus makes the entity likely once the word is known
 with p from counts of documents over the whole corpus. A word at ``ALPHA`` or more is a
 span of kind ``term`` wherever it stands in the corpus, if meeting the entity as often by chance is less likely
 than ``CHANCE`` over all pairs that are judged (Chernoff's bound on the binomial tail). How often they met is the
-number of unrelated texts with both: texts that share one of ``SIGNS`` MinHash values of their word pairs, by
-themselves or through others, are taken for copies of each other and count once, since copies are no evidence.
+number of unrelated texts with both: copies are no evidence and count once. Texts are taken for copies of each other
+if they agree, by themselves or through others, in ``BAND`` neighbouring ones of ``SIGNS`` MinHash values of the word
+pairs outside their entities: 0.99 of the pairs of texts that have 0.7 of their word pairs in common, 0.05 of those
+that have a third in common, as a shared passage gives.
 
 Cases: a null text is empty; rows equal in doc_id and text get equal results; a null doc_id is a key like any
 other; an empty table gives an empty result; other columns are ignored, or passed along by ``with_spans`` and
@@ -40,7 +42,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
-ALPHA, CHANCE, SIGNS = 0.8, 0.01, 8
+ALPHA, CHANCE = 0.8, 0.01
+SIGNS, BAND = 240, 6
 #: Candidate words that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 _KEY = ["doc_id", "text_key"]
@@ -116,15 +119,20 @@ def _let(value: Column, make: Callable[[Column], Column]) -> Column:
 
 
 def _signs(text: Column) -> Column:
-    """``SIGNS`` MinHash values of the pairs of neighbouring words of a text (of the text, if it has under two words)."""
-    words = F.filter(F.split(F.lower(text), f"[^{_WORD}]+"), lambda w: w != "")
+    """A hash of every ``BAND`` of ``SIGNS`` MinHash values of a text's pairs of neighbouring words with a letter, outside
+    e-mail addresses (of the text, if it has under two)."""
+    free = F.regexp_replace(text, F.lit(PATTERNS["email"]), F.lit(" "))
+    words = F.filter(F.split(F.lower(free), f"[^{_WORD}]+"), lambda w: w.rlike(r"\p{L}"))
     pairs = _let(words, lambda w: F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b)))
-    hashes = _let(pairs, lambda p: F.when(F.size(p) == 0, F.array(F.xxhash64(text))).otherwise(p))
-    return _let(hashes, lambda p: F.array(*[F.array_min(F.transform(p, lambda h, k=k: F.xxhash64(h, F.lit(k)))) for k in range(SIGNS)]))
+    hashes = _let(pairs, lambda p: F.when(F.size(p) == 0, F.array(F.xxhash64(text))).otherwise(F.array_distinct(p)))
+    # A function of two arguments would be given the place of a value as its second one.
+    least = lambda p, k: F.array_min(F.transform(p, lambda h: F.xxhash64(h, k)))
+    signs = _let(hashes, lambda p: F.transform(F.sequence(F.lit(1), F.lit(SIGNS)), lambda k: least(p, k)))
+    return _let(signs, lambda s: F.transform(F.sequence(F.lit(1), F.lit(SIGNS), F.lit(BAND)), lambda at: F.xxhash64(F.slice(s, at, BAND))))
 
 
 def classes(texts: DataFrame) -> DataFrame:
-    """text_key, copy_class of ``texts`` (text_key, text; each once): texts with a MinHash value in common have one class."""
+    """text_key, copy_class of ``texts`` (text_key, text; each once): texts that agree in a band of MinHash values have one class."""
     rows = written(texts.select("text_key", F.posexplode(_signs(F.col("text"))).alias("k", "sign")), "pii-signs")
     least = rows.groupBy("k", "sign").agg(F.min("text_key").alias("m"), F.count("*").alias("n")).where("n > 1").drop("n")
     least = written(least, "pii-shared-signs")
@@ -134,31 +142,35 @@ def classes(texts: DataFrame) -> DataFrame:
 
 
 def met(held: DataFrame, spans: DataFrame) -> DataFrame:
-    """entity, word, both (documents that hold them), times (unrelated texts among these): for the entities of unrelated texts."""
+    """entity, alike, word, both (documents that hold them), times (unrelated texts among these), for every entity.
+
+    Entities that the same texts hold have the same words: the first of them stands for ``alike`` of them.
+    """
     each = written(spans.select(_entity().alias("entity"), *_KEY).distinct().groupBy("entity", "text_key").agg(F.count("*").alias("docs")), "pii-held")
-    often = each.groupBy("entity").agg(F.count("*").alias("n")).where("n > 1").select("entity")
-    each = written(each.join(often, "entity"), "pii-shared")
-    texts = held.join(each.select("text_key").distinct().hint("merge"), "text_key").groupBy("text_key").agg(F.first("text").alias("text"))
-    texts = written(texts, "pii-texts")
-    each = each.join(classes(texts).hint("merge"), "text_key")
-    apart = each.groupBy("entity").agg(F.count_distinct("copy_class").alias("n")).where("n > 1").select("entity")
-    each = written(each.join(apart, "entity"), "pii-apart")
-    words = texts.join(each.hint("merge"), "text_key").select("entity", "copy_class", "docs", F.explode(_vocabulary(F.col("text"))).alias("word"))
-    by_class = words.groupBy("entity", "word", "copy_class").agg(F.sum("docs").alias("n"))
-    return by_class.groupBy("entity", "word").agg(F.sum("n").alias("both"), F.count("*").alias("times"))
+    mark = lambda k: F.xxhash64(F.lit(k), "text_key")
+    where = each.groupBy("entity").agg(F.count("*").alias("n"), F.sum(mark(0).cast("decimal(38,0)")).alias("s"), F.bit_xor(mark(1)).alias("x"))
+    first = where.groupBy("n", "s", "x").agg(F.min("entity").alias("entity"), F.count("*").alias("alike"))
+    each = written(each.join(first.select("entity", "alike", "n").hint("merge"), "entity"), "pii-first")
+    texts = written(held.groupBy("text_key").agg(F.first("text").alias("text")), "pii-texts")
+    shared = each.where("n > 1").select("text_key").distinct()  # only an entity of several texts can lie in copies
+    copies = classes(texts.join(shared.hint("merge"), "text_key"))
+    each = written(each.join(copies.hint("merge"), "text_key", "left").withColumn("copy_class", F.coalesce("copy_class", "text_key")), "pii-classed")
+    words = texts.join(each.hint("merge"), "text_key").select("entity", "alike", "copy_class", "docs", F.explode(_vocabulary(F.col("text"))).alias("word"))
+    by_class = words.groupBy("entity", "alike", "word", "copy_class").agg(F.sum("docs").alias("n"))
+    return by_class.groupBy("entity", "alike", "word").agg(F.sum("n").alias("both"), F.count("*").alias("times"))
 
 
 def disclosing(docs: DataFrame, held: DataFrame, spans: DataFrame, alpha: float = ALPHA, chance: float = CHANCE) -> DataFrame:
-    """entity, word, disclosure of every word that discloses an entity."""
+    """entity, word, disclosure of every word that discloses an entity (the first of those that the same texts hold)."""
     pairs = written(met(held, spans), "pii-pairs")
-    limit = math.log(max(pairs.count(), 1) / chance)
+    limit = math.log((pairs.agg(F.sum("alike")).head()[0] or 1) / chance)
     n = float(max(docs.count(), 1))
     with_entity = spans.select(_entity().alias("entity"), *_KEY).distinct().groupBy("entity").agg(F.count("*").alias("holders"))
     base = F.col("holders") / n
     rarity = -F.log(base)
     times = F.col("times").cast("double")
     # A word that meets the entity in all of its documents is the least likely to do so by chance.
-    pairs = written(pairs.where("times > 1").join(with_entity, "entity").where((rarity > 0) & (times * rarity >= limit)), "pii-candidates")
+    pairs = written(pairs.join(with_entity, "entity").where((rarity > 0) & (times * rarity >= limit)), "pii-candidates")
     wanted = written(pairs.select("word").distinct(), "pii-words")
     words = _texts(docs).select(F.explode(_vocabulary(F.col("text"))).alias("word"))
     if wanted.count() <= BROADCAST_ROWS:

@@ -677,6 +677,34 @@ def test_disclosing_terms_far_from_the_entity(spark):
     assert got[0].spans.endswith("term:0:10")
 
 
+def test_edited_copies_are_no_evidence(spark):
+    """Copies with a word put in somewhere count once; unrelated texts that share a passage count each."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    fill = lambda n: " ".join(word() for _ in range(n))
+    copied, passage = [word() for _ in range(60)], fill(12)
+    texts = [(i, " ".join([*copied[:at], word(), *copied[at:]]) + " c@mail.org") for i, at in enumerate((0, 0, 20, 40, 59))]
+    texts += [(10 + i, f"{fill(20 + i)} {passage} Quillimore {fill(30)} q@mail.org") for i in range(5)]
+    texts += [(100 + i, f"{passage if i % 5 == 0 else fill(12)} {fill(20)}") for i in range(300)]
+    near = spark.createDataFrame([(i, t) for i, t in texts if i < 50], "text_key long, text string")
+    found = {r.text_key: r.copy_class for r in pii.classes(near).collect()}
+    assert len({found[i] for i in range(5)}) == 1 and len({found[10 + i] for i in range(5)}) == 5
+    got = {r.doc_id: r for r in pii.summary(docs(spark, texts)).collect()}
+    assert [got[i].n_term for i in range(5)] == [0] * 5 and [got[10 + i].n_term for i in range(5)] == [1] * 5
+
+
+def test_entities_of_one_text_are_judged(spark):
+    """By chance alone: one meeting is enough where few pairs are judged in many documents, and not where many are."""
+    texts = [(0, "xandrine wrote x0@mail.org y0@mail.org"), *[(100 + i, f"river{i % 40} stone{i % 7} wrote") for i in range(1500)]]
+    got = {r.doc_id: r for r in pii.summary(docs(spark, texts)).collect()}
+    assert got[0].spans.endswith("term:0:8") and got[0].n_term == 1 and sum(got[100 + i].n_term for i in range(1500)) == 0
+    listed = [(0, "xandrine wrote " + " ".join(f"x{i}@mail.org" for i in range(40))), *texts[1:]]
+    frame = docs(spark, listed)
+    spans = pii.base_spans(pii.holding(frame))
+    assert sorted((r.word, r.alike, r.times) for r in pii.met(pii.holding(frame), spans).collect()) == [("wrote", 40, 1), ("xandrine", 40, 1)]
+    assert pii.disclosing(frame, pii.holding(frame), spans).count() == 0
+
+
 # Extra columns
 
 
