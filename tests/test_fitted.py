@@ -226,3 +226,38 @@ def test_similar_values(spark):
                 expected.add(("a", x, count[x], y, count[y], round(s, 9)))
     assert len(expected) > 20
     assert {(*tuple(r)[:5], round(r["similarity"], 9)) for r in profile.similar_values(df, ["a", "b"]).collect()} == expected
+
+
+def test_search_learns_from_grouped_rows(spark, monkeypatch):
+    """Repeated rows are learned from and asked about once, with the same models and scores."""
+    rng = random.Random(8)
+    rows_ = [(i, float(rng.randrange(4)), float(rng.randrange(3))) for i in range(400)]
+    rows_ = [(i, a, b, a * 2 - b + rng.random(), float(a + rng.random() > 2)) for i, a, b in rows_]
+    data = prepare.vectors(spark.createDataFrame(rows_, "id long, a double, b double, y double, c double"), ["a", "b"]).cache()
+    sizes = []
+    made = models.estimator
+
+    def watched(name, task, classes, params):
+        est = made(name, task, classes, params)
+        fit = est.fit
+        est.fit = lambda df: (sizes.append(df.count()), fit(df))[1]
+        return est
+
+    for task, label, names in (("regression", "y", ("ridge", "lasso", "decision_tree")), ("classification", "c", ("logistic_regression", "decision_tree", "adaboost"))):
+        labelled = data.withColumn("label", F.col(label))
+        few = models.grouped(labelled.withColumn("fold", F.lit(0)), task)
+        for name in names:
+            params = {"minInstancesPerNode": 30} if name == "decision_tree" else {"depth": 1, "rounds": 2} if name == "adaboost" else {"regParam": 0.1, "elasticNetParam": float(name == "lasso")}
+            weighted = models._by_weight(params, 400.0) | {"weight" if name == "adaboost" else "weightCol": "weight"}
+            whole, small = made(name, task, 2, params).fit(labelled), made(name, task, 2, weighted).fit(few)
+            told = [{tuple(r.features): round(r.prediction, 6) for r in m.transform(few).collect()} for m in (whole, small)]
+            assert told[0] == told[1], name
+        monkeypatch.setattr(models, "estimator", watched)
+        models.search(labelled.select("id", "features", "label"), "id", task, names[:1], trials=1, k=2)
+        monkeypatch.setattr(models, "estimator", made)
+        assert max(sizes) <= 2 * 2 * 12
+    asked = []
+    vote = models.neighbours.vote
+    monkeypatch.setattr(models.neighbours, "vote", lambda test, *a: (asked.append(test.count()), vote(test, *a))[1])
+    near = models.Neighbours(3).fit(data.withColumn("label", F.col("c")))
+    assert near.transform(data.select("id", "features")).where("prediction is not null").count() == 400 and asked == [12]
