@@ -10,8 +10,9 @@ discloses it as far as the corpus makes the entity likely once the word is known
 
 with p from counts of documents over the whole corpus. A word at ``ALPHA`` or more is a
 span of kind ``term`` wherever it stands in the corpus, if meeting the entity as often by chance is less likely
-than ``CHANCE`` over all pairs that are judged (Chernoff's bound on the binomial tail). How often they met is the
-number of unrelated texts with both: copies are no evidence and count once. Texts are taken for copies of each other
+than ``CHANCE`` over all pairs that are judged (Chernoff's bound on the binomial tail): every entity with the different
+words of each unrelated text that holds it. How often they met is the number of unrelated texts with both: copies are
+no evidence and count once (the one of the most words stands for its pairs). Texts are taken for copies of each other
 if they agree, by themselves or through others, in ``BAND`` neighbouring ones of ``SIGNS`` MinHash values of the word
 pairs outside their entities: 0.99 of the pairs of texts that have 0.7 of their word pairs in common, 0.05 of those
 that have a third in common, as a shared passage gives.
@@ -141,8 +142,8 @@ def classes(texts: DataFrame) -> DataFrame:
     return rows.select("text_key").distinct().join(linked.hint("merge"), "text_key", "left").select("text_key", F.coalesce("copy_class", "text_key").alias("copy_class"))
 
 
-def met(held: DataFrame, spans: DataFrame) -> DataFrame:
-    """entity, alike, word, both (documents that hold them), times (unrelated texts among these), for every entity.
+def placed(held: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """text_key, text, n_rows (how many have it), n_words (different words) of ``holding``'s texts; and entity, alike, text_key, docs, copy_class of every entity.
 
     Entities that the same texts hold have the same words: the first of them stands for ``alike`` of them.
     """
@@ -151,37 +152,66 @@ def met(held: DataFrame, spans: DataFrame) -> DataFrame:
     where = each.groupBy("entity").agg(F.count("*").alias("n"), F.sum(mark(0).cast("decimal(38,0)")).alias("s"), F.bit_xor(mark(1)).alias("x"))
     first = where.groupBy("n", "s", "x").agg(F.min("entity").alias("entity"), F.count("*").alias("alike"))
     each = written(each.join(first.select("entity", "alike", "n").hint("merge"), "entity"), "pii-first")
-    texts = written(held.groupBy("text_key").agg(F.first("text").alias("text")), "pii-texts")
+    once = held.groupBy("text_key").agg(F.first("text").alias("text"), F.count("*").alias("n_rows"))
+    texts = written(once.withColumn("n_words", F.size(_vocabulary(F.col("text")))), "pii-texts")
     shared = each.where("n > 1").select("text_key").distinct()  # only an entity of several texts can lie in copies
-    copies = classes(texts.join(shared.hint("merge"), "text_key"))
-    each = written(each.join(copies.hint("merge"), "text_key", "left").withColumn("copy_class", F.coalesce("copy_class", "text_key")), "pii-classed")
-    words = texts.join(each.hint("merge"), "text_key").select("entity", "alike", "copy_class", "docs", F.explode(_vocabulary(F.col("text"))).alias("word"))
+    copies = classes(texts.select("text_key", "text").join(shared.hint("merge"), "text_key"))
+    each = each.join(copies.hint("merge"), "text_key", "left").withColumn("copy_class", F.coalesce("copy_class", "text_key"))
+    return texts, written(each.select("entity", "alike", "text_key", "docs", "copy_class"), "pii-classed")
+
+
+def _meetings(words: DataFrame) -> DataFrame:
+    """entity, alike, word, both, times from ``words`` (entity, alike, copy_class, docs, word)."""
     by_class = words.groupBy("entity", "alike", "word", "copy_class").agg(F.sum("docs").alias("n"))
     return by_class.groupBy("entity", "alike", "word").agg(F.sum("n").alias("both"), F.count("*").alias("times"))
 
 
+def met(held: DataFrame, spans: DataFrame) -> DataFrame:
+    """entity, alike, word, both (documents that hold them), times (unrelated texts among these), for every entity and word."""
+    texts, each = placed(held, spans)
+    return _meetings(texts.join(each.hint("merge"), "text_key").select("entity", "alike", "copy_class", "docs", F.explode(_vocabulary(F.col("text"))).alias("word")))
+
+
 def disclosing(docs: DataFrame, held: DataFrame, spans: DataFrame, alpha: float = ALPHA, chance: float = CHANCE) -> DataFrame:
-    """entity, word, disclosure of every word that discloses an entity (the first of those that the same texts hold)."""
-    pairs = written(met(held, spans), "pii-pairs")
-    limit = math.log((pairs.agg(F.sum("alike")).head()[0] or 1) / chance)
+    """entity, word, disclosure of every word that discloses an entity (the first of those that the same texts hold).
+
+    Only pairs that can pass are listed: a word meets an entity in no more unrelated texts than hold the entity, or the
+    word; and a word of many documents discloses an entity of few in none of them.
+    """
+    texts, each = placed(held, spans)
+    by_class = each.join(texts.select("text_key", "n_words").hint("merge"), "text_key").groupBy("entity", "alike", "copy_class").agg(F.sum("docs").alias("docs"), F.max("n_words").alias("n_words"))
+    entities = written(by_class.groupBy("entity", "alike").agg(F.sum("docs").alias("holders"), F.count("*").alias("unrelated"), F.sum("n_words").alias("pairs")), "pii-entities")
+    limit = math.log((entities.agg(F.sum(F.col("alike") * F.col("pairs"))).head()[0] or 1) / chance)
     n = float(max(docs.count(), 1))
-    with_entity = spans.select(_entity().alias("entity"), *_KEY).distinct().groupBy("entity").agg(F.count("*").alias("holders"))
     base = F.col("holders") / n
     rarity = -F.log(base)
     times = F.col("times").cast("double")
     # A word that meets the entity in all of its documents is the least likely to do so by chance.
-    pairs = written(pairs.join(with_entity, "entity").where((rarity > 0) & (times * rarity >= limit)), "pii-candidates")
-    wanted = written(pairs.select("word").distinct(), "pii-words")
-    words = _texts(docs).select(F.explode(_vocabulary(F.col("text"))).alias("word"))
+    able = entities.where((rarity > 0) & (F.col("unrelated") * rarity >= limit))
+    able = able.select("entity", "holders", rarity.alias("rarity"), (F.col("holders") * F.exp((1 - alpha) * rarity) * (1 + 1e-9)).alias("most"))  # documents of a word
+    each = written(each.join(able.hint("merge"), "entity"), "pii-able")
+    asked = each.groupBy("text_key", "copy_class").agg(F.max("rarity").alias("rarity"), F.max("most").alias("most"))
+    words = written(texts.join(asked.hint("merge"), "text_key").select("text_key", "copy_class", "rarity", "most", F.explode(_vocabulary(F.col("text"))).alias("word")), "pii-vocabulary")
+    wanted = words.groupBy("word", "copy_class").agg(F.max("rarity").alias("rarity"), F.max("most").alias("most"))
+    wanted = wanted.groupBy("word").agg(F.count("*").alias("unrelated"), F.max("rarity").alias("rarity"), F.max("most").alias("most"))
+    wanted = wanted.where(F.col("unrelated") * F.col("rarity") >= limit).select("word", F.col("most").alias("cap"))
+    # What is too common among the texts that hold personal data is so among all, and need not be counted there.
+    least = texts.select("n_rows", F.explode(_vocabulary(F.col("text"))).alias("word")).groupBy("word").agg(F.sum("n_rows").alias("n"))
+    wanted = written(wanted.join(least, "word").where("n <= cap").select("word", "cap"), "pii-words")
+    seen = _texts(docs).select(F.explode(_vocabulary(F.col("text"))).alias("word"))
     if wanted.count() <= BROADCAST_ROWS:
-        counted = words.join(F.broadcast(wanted), "word").groupBy("word").agg(F.count("*").alias("docs"))
+        counted = seen.join(F.broadcast(wanted.select("word")), "word").groupBy("word").agg(F.count("*").alias("n"))
     else:
-        counted = words.groupBy("word").agg(F.count("*").alias("docs")).join(wanted, "word")
-    given = F.least(F.col("both") / F.col("docs"), F.lit(1.0))
-    tries = F.greatest(F.col("docs") - F.col("both") + times, times)
+        counted = seen.groupBy("word").agg(F.count("*").alias("n"))
+    counted = written(counted.join(wanted, "word").where("n <= cap").select("word", "n"), "pii-counted")
+    left = words.select("text_key", "word").join(counted, "word").join(each.hint("merge"), "text_key").where("n <= most")
+    pairs = written(_meetings(left.select("entity", "alike", "copy_class", "docs", "word")), "pii-pairs")
+    scored = pairs.join(able, "entity").join(counted, "word").where(times * rarity >= limit)
+    given = F.least(F.col("both") / F.col("n"), F.lit(1.0))
+    tries = F.greatest(F.col("n") - F.col("both") + times, times)
     missed = tries - times
     surprise = times * F.log(times / (tries * base)) + F.when(missed > 0, missed * F.log(missed / (tries * (1 - base)))).otherwise(0.0)
-    scored = pairs.join(counted, "word").withColumn("disclosure", 1 + F.log(given) / rarity)
+    scored = scored.withColumn("disclosure", 1 + F.log(given) / rarity)
     return scored.where((F.col("disclosure") >= alpha) & (times > tries * base) & (surprise >= limit)).select("entity", "word", "disclosure")
 
 

@@ -705,6 +705,28 @@ def test_entities_of_one_text_are_judged(spark):
     assert pii.disclosing(frame, pii.holding(frame), spans).count() == 0
 
 
+def test_pairs_do_not_grow_with_the_square_of_copies(spark, monkeypatch):
+    """Copies that hold many entities each list no pairs of entity and word; unrelated texts are judged as before."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    fill = lambda n: " ".join(word() for _ in range(n))
+    copied = fill(150)
+    texts = [(i, f"{copied} {word()} " + " ".join(f"u{j}@mail.org" for j in range(60) if j != i)) for i in range(60)]
+    texts += [(100 + i, f"{fill(20 + i)} Quillimore {fill(30)} q@mail.org") for i in range(6)]
+    texts += [(200 + i, fill(8)) for i in range(300)]
+    rows, keep = {}, pii.written
+
+    def counting(df, label):
+        out = keep(df, label)
+        rows[label] = out.count()
+        return out
+
+    monkeypatch.setattr(pii, "written", counting)
+    got = {r.doc_id: r for r in pii.summary(docs(spark, texts)).collect()}
+    assert [got[100 + i].n_term for i in range(6)] == [1] * 6 and [got[i].n_term for i in range(60)] == [0] * 60
+    assert rows["pii-held"] == 60 * 59 + 6 and rows["pii-pairs"] < 100
+
+
 # Extra columns
 
 
