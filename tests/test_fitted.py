@@ -261,3 +261,28 @@ def test_search_learns_from_grouped_rows(spark, monkeypatch):
     monkeypatch.setattr(models.neighbours, "vote", lambda test, *a: (asked.append(test.count()), vote(test, *a))[1])
     near = models.Neighbours(3).fit(data.withColumn("label", F.col("c")))
     assert near.transform(data.select("id", "features")).where("prediction is not null").count() == 400 and asked == [12]
+
+
+def test_forests_and_boosting_learn_from_grouped_rows(spark, monkeypatch, tmp_path):
+    """No fit of numbers reads all of many equal rows, and what is told is near what Spark's own learn from all rows."""
+    rng = random.Random(8)
+    rows = [(i, float(a), float(b), a * a + 3.0 * b + rng.gauss(0, 1)) for i in range(600) for a, b in [(rng.randrange(4), rng.randrange(3))]]
+    data = prepare.vectors(spark.createDataFrame(rows, "id long, a double, b double, label double"), ["a", "b"])
+    sizes = []
+    for made in (models.R.RandomForestRegressor, models.R.GBTRegressor, models.R.DecisionTreeRegressor):
+        keep = made.fit
+        monkeypatch.setattr(made, "fit", lambda self, df, *a, keep=keep: (sizes.append(df.count()), keep(self, df, *a))[1])
+    plain = {"random_forest": models.R.RandomForestRegressor(numTrees=4, maxDepth=4, featureSubsetStrategy="all", seed=7), "gradient_boosting": models.R.GBTRegressor(maxIter=3, maxDepth=3, stepSize=0.3, subsamplingRate=0.7, seed=7)}
+    drawn = {"random_forest": {"numTrees": 4, "maxDepth": 4, "seed": 7, "minInstancesPerNode": 1, "featureSubsetStrategy": "all"}, "gradient_boosting": {"maxIter": 3, "maxDepth": 3, "stepSize": 0.3, "subsamplingRate": 0.7, "seed": 7}}
+    monkeypatch.setattr(models, "draw", lambda name, s, n: dict(drawn[name]))
+    for name in plain:
+        found = models.search(data.select("id", "features", "label"), "id", "regression", (name,), trials=1, k=2)
+        assert not found.failures and sizes and max(sizes) <= 2 * 2 * 12
+        told = [r[0] for r in found.best.transform(data).orderBy("id").select("prediction").collect()]
+        expected = [r[0] for r in plain[name].fit(data).transform(data).orderBy("id").select("prediction").collect()]
+        sizes.clear()
+        assert np.abs(np.subtract(told, expected)).max() < 0.8, name
+        found.save(spark, str(tmp_path / name))
+        again = models.Search.load(spark, str(tmp_path / name)).best
+        assert [r[0] for r in again.transform(data).orderBy("id").select("prediction").collect()] == told
+        assert models.importance(again, ["a", "b"], spark).head()["feature"] == "a"
