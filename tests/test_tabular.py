@@ -352,6 +352,31 @@ def test_isolation_forest_and_boosting(spark):
     assert boosted.where("prediction <> label").count() == 0
 
 
+def test_isolation_forest_scores_each_row_once(spark):
+    """A forest and its rows' scores, read twice, take each row twice: as trees draw it, and as it is scored."""
+    _, df = points(spark, 600)
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def counted(v):
+        seen.add(1)
+        return v
+
+    out = models.isolation_forest(df.select("id", counted("v").alias("v")), trees=9, sample=64)
+    got = {r["id"]: r["anomaly_score"] for r in out.collect()}
+    assert out.where("anomaly_label = -1").count() == 60 and 0 < seen.value <= 1200
+    forest = models.fit_isolation_forest(df, trees=9, sample=64)
+    c = np.mean([models._average_path(s) for _, s in forest.trees])
+    for i, v in df.select("id", "v").collect():
+        total = 0.0
+        for nodes, _ in forest.trees:
+            at, depth = 0, 0
+            while nodes[at, 0] >= 0:
+                at, depth = int(nodes[at, 3 if v[int(nodes[at, 0])] >= nodes[at, 1] else 2]), depth + 1
+            total += depth + models._average_path(nodes[at, 1])
+        assert got[i] == 2 ** (-total / 9 / c)
+
+
 @pytest.mark.parametrize("text, sep, header, shape", [("a;b\n1;2\n3;4\n", ";", True, (2, ["a", "b"])), ("1,2,x\n3,4,y\n", ",", False, (2, ["Column1", "Column2", "Column3"])), ("a\tb\n1\t?\n", "\t", True, (1, ["a"])), ("1 2  3\n4 5 6\n", r"\s+", False, (2, ["Column1", "Column2", "Column3"]))])
 def test_files_are_read_as_they_are(spark, tmp_path, text, sep, header, shape):
     (tmp_path / "f.csv").write_text(text)
