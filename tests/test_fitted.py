@@ -263,6 +263,19 @@ def test_search_learns_from_grouped_rows(spark, monkeypatch):
     assert near.transform(data.select("id", "features")).where("prediction is not null").count() == 400 and asked == [12]
 
 
+def test_search_groups_no_rows_that_do_not_repeat(spark, monkeypatch):
+    """Rows with features of their own are not shuffled to see whether they repeat."""
+    rng = random.Random(5)
+    rows_ = [(i, rng.random(), float(i % 3)) for i in range(300)]
+    data = prepare.vectors(spark.createDataFrame([(i, a, b, float(a + b / 4 > 0.7)) for i, a, b in rows_], "id long, a double, b double, label double"), ["a", "b"])
+    calls, group = [], models.grouped
+    monkeypatch.setattr(models, "grouped", lambda d, t: (calls.append(t), group(d, t))[1])
+    found = models.search(data, "id", "classification", ("decision_tree",), trials=1, k=3)
+    assert not calls and not found.failures and found.results.head()["cv_score"] > 0.9
+    assert not models._may_repeat(data.withColumn("fold", F.lit(0)), "classification", 300)
+    assert models._may_repeat(data.withColumn("fold", F.lit(0)), "classification", 600)
+
+
 def test_forests_and_boosting_learn_from_grouped_rows(spark, monkeypatch, tmp_path):
     """No fit of numbers reads all of many equal rows, and what is told is near what Spark's own learn from all rows."""
     rng = random.Random(8)
